@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import token_counts
+from seqloom.llm import simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op9_simhash_near_dedup": simhash.op9,
         "op8_token_counts": token_counts.op8,
     }
 
