@@ -42,7 +42,44 @@ def lookup(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in columns.items()])
 
 
+def least_hashed(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """The n rows with the least hash of their key columns (all rows, if fewer): a sample of bounded size that doesn't
+    depend on how the rows lie. Rows whose hash is too large to be among them are dropped first, so that few reach the
+    sort, whatever the size of the input."""
+    total = rows.count()
+    hashed = rows.withColumn("_hash", F.xxhash64(*key))
+    if total > 2 * n:
+        share = min(1.0, 1.5 * n / total + 100 / total)
+        low = hashed.where(F.col("_hash") <= int(-(2**63) + share * (2**64 - 1)))
+        if low.count() >= n:
+            hashed = low
+    return hashed.orderBy("_hash", *key).limit(n).drop("_hash")
+
+
 def rows_of(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """The batch in slices, to bound what is held as Python objects at once."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+class Remembered(dict):
+    """A dictionary of bounded size: when full, its entries become the previous generation, and those of it that are
+    asked for again move back. So what is frequent stays, whatever order the keys come in."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.before = most, {}
+
+    def known(self, key) -> bool:
+        """Whether key has a value, which is then in the dictionary itself."""
+        if key in self:
+            return True
+        if key in self.before:
+            self[key] = self.before[key]
+            return True
+        return False
+
+    def make_room(self) -> None:
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
