@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
+from seqloom.llm import decontamination, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op3_quality_rules": quality_rules.op3,
+        "op4_decontamination": decontamination.op4,
         "op5_packing": packing.op5,
         "op6_quality_classifier": quality_classifier.op6,
         "op9_simhash_near_dedup": simhash.op9,
