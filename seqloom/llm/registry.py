@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import decontamination, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts
+from seqloom.llm import decontamination, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op4_decontamination": decontamination.op4,
         "op5_packing": packing.op5,
         "op6_quality_classifier": quality_classifier.op6,
+        "op7_warc": warc.op7,
         "op9_simhash_near_dedup": simhash.op9,
         "op10_suffix_dedup": suffix_dedup.op10,
         "op8_token_counts": token_counts.op8,
