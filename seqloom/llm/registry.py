@@ -6,23 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import decontamination, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, warc
+from seqloom.llm import decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_license_scan": licenses.op1,
+        "op2_sharding": sharding.op2,
         "op3_quality_rules": quality_rules.op3,
         "op4_decontamination": decontamination.op4,
         "op5_packing": packing.op5,
         "op6_quality_classifier": quality_classifier.op6,
         "op7_warc": warc.op7,
+        "op8_token_counts": token_counts.op8,
         "op9_simhash_near_dedup": simhash.op9,
         "op10_suffix_dedup": suffix_dedup.op10,
-        "op8_token_counts": token_counts.op8,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": licenses.OP1_SQL, "op2_sharding": sharding.OP2_SQL}
