@@ -1,22 +1,472 @@
-"""Named queries over the driver's tables, each with the SQL that gives the same rows."""
+"""Named queries over the driver's tables, each with the SQL that gives the same rows.
+
+No table holds sequences, so pairs are made from order keys, alike in both engines: a is spelt from a digest of the key;
+b is a with up to two edits, or, for every fifth key, unrelated.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions import align as A
+from seqloom.functions import cigar, cost_model, expr
+from seqloom.operators import heuristics as H
+from seqloom.operators import seeds as S
+from seqloom.operators import similarity
+
 Query = Callable[[SparkSession, str], DataFrame]
+K, K2, BOUND = 4, 5, 8
+
+_DNA = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_KEY = "cast(o_orderkey as {string})"
+PAIRS = f"""
+SELECT cast(o_orderkey as bigint) AS id, a,
+  CASE WHEN o_orderkey % 5 = 0 THEN {_DNA.format("concat('other', " + _KEY + ")")}
+       ELSE concat(substring(a, 1, cast(o_orderkey % 20 as int) + 1),
+                   CASE o_orderkey % 3 WHEN 0 THEN 'G' WHEN 1 THEN '' ELSE 'TT' END,
+                   substring(a, cast(o_orderkey % 20 as int) + 3)) END AS b
+FROM (SELECT o_orderkey, {_DNA.format(_KEY)} AS a FROM orders) o
+"""
+PAIRS_SQL = PAIRS.replace("{string}", "varchar")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, a, b) of every order."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return spark.sql(PAIRS.replace("{string}", "string").replace("FROM orders", "FROM {orders}"), orders=orders)
+
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, with_pairs: bool = True) -> Callable[[Callable], Callable]:
+    """Registers a query; sql may use the view p (id, a, b)."""
 
+    def add(f: Callable) -> Callable:
+        _QUERIES[name] = (lambda spark, sf_dir: f(pairs(spark, sf_dir))) if with_pairs else f
+        if sql is not None:
+            if with_pairs:
+                head = f"p AS ({PAIRS_SQL})"
+                body = sql.strip()
+                _SQL[name] = f"WITH RECURSIVE {head}, {body[15:]}" if body.startswith("WITH RECURSIVE ") else f"WITH {head}, {body[5:]}" if body.startswith("WITH ") else f"WITH {head} {body}"
+            else:
+                _SQL[name] = sql
+        return f
 
-def unit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {"unit_distance": unit_distance}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- distances and bounds --------------------------------------------------------------------------------------------
+
+
+@query("unit_distance", "SELECT id, levenshtein(a, b)::INT AS cost FROM p")
+def unit_distance(p: DataFrame) -> DataFrame:
+    return p.select("id", expr.distance("a", "b").alias("cost"))
+
+
+@query("bounded_distance", f"SELECT id, (CASE WHEN levenshtein(a, b) <= {BOUND} THEN levenshtein(a, b) END)::INT AS cost FROM p")
+def bounded_distance(p: DataFrame) -> DataFrame:
+    return p.select("id", expr.bounded_distance("a", "b", BOUND).alias("cost"))
+
+
+@query("gap_bound", "SELECT id, abs(length(a) - length(b))::INT AS bound FROM p")
+def gap_bound(p: DataFrame) -> DataFrame:
+    return p.select("id", expr.gap_bound("a", "b").alias("bound"))
+
+
+def _count_sql(letters: str) -> str:
+    of = lambda x, c: f"(length({x}) - length(replace({x}, '{c}', '')))"
+    over = " + ".join(f"greatest({of('a', c)} - {of('b', c)}, 0)" for c in letters)
+    under = " + ".join(f"greatest({of('b', c)} - {of('a', c)}, 0)" for c in letters)
+    return f"greatest({over}, {under})"
+
+
+@query("count_bound", f"SELECT id, {_count_sql('ACGT')}::INT AS bound FROM p")
+def count_bound(p: DataFrame) -> DataFrame:
+    return p.select("id", expr.count_bound("a", "b").alias("bound"))
+
+
+def _pair_count_sql() -> str:
+    of = lambda x, w: f"len([1 FOR i IN range(1, length({x})) IF substring({x}, i::INT, 2) = '{w}'])"
+    words = [c + d for c in "ACGT" for d in "ACGT"]
+    over = " + ".join(f"greatest({of('a', w)} - {of('b', w)}, 0)" for w in words)
+    under = " + ".join(f"greatest({of('b', w)} - {of('a', w)}, 0)" for w in words)
+    return f"greatest({_count_sql('ACGT')}, ceil(greatest({over}, {under}) / 2.0))"
+
+
+@query("pair_count_bound", f"SELECT id, {_pair_count_sql()}::INT AS bound FROM p")
+def pair_count_bound(p: DataFrame) -> DataFrame:
+    return p.select("id", expr.pair_count_bound("a", "b").alias("bound"))
+
+
+@query("bound_violations", "SELECT id, 0::INT AS bound, 0::INT AS cost FROM p WHERE false")
+def bound_violations(p: DataFrame) -> DataFrame:
+    b = expr.best_bound(expr.gap_bound("a", "b"), expr.count_bound("a", "b"), expr.pair_count_bound("a", "b"))
+    return p.select("id", b.alias("bound"), expr.distance("a", "b").alias("cost")).where("bound > cost")
+
+
+@query("suffix_distance", "SELECT id, levenshtein(substring(a, 9), substring(b, 8))::INT AS cost FROM p")
+def suffix_distance(p: DataFrame) -> DataFrame:
+    return p.select("id", expr.suffix_distance("a", "b", F.lit(8), F.lit(7)).alias("cost"))
+
+
+@query("common_prefix", "SELECT id, coalesce((SELECT min(i) - 1 FROM range(1, least(length(a), length(b)) + 1) t(i) WHERE a[i] <> b[i]), least(length(a), length(b)))::INT AS n FROM p")
+def common_prefix(p: DataFrame) -> DataFrame:
+    return p.select("id", expr.common_prefix("a", "b").alias("n"))
+
+
+@query("near_pairs", f"SELECT id, levenshtein(a, b)::INT AS cost FROM p WHERE levenshtein(a, b) <= {BOUND}")
+def near_pairs(p: DataFrame) -> DataFrame:
+    return similarity.near_pairs(p, BOUND).select("id", "cost")
+
+
+@query("similar_names", "WITH n AS (SELECT DISTINCT p_name AS t FROM part) SELECT x.t AS text_a, y.t AS text_b, levenshtein(x.t, y.t)::INT AS cost FROM n x, n y WHERE levenshtein(x.t, y.t) <= 3", with_pairs=False)
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_name").alias("text"))
+    return similarity.near_texts(names, names, 3)
+
+
+@query(
+    "similar_benchmark",
+    "WITH n AS (SELECT DISTINCT text AS t FROM benchmark) SELECT x.t AS text_a, y.t AS text_b, levenshtein(x.t, y.t)::INT AS cost FROM n x, n y WHERE levenshtein(x.t, y.t) <= 12",
+    with_pairs=False,
+)
+def similar_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    return similarity.near_texts(texts, texts, 12)
+
+
+@query("byte_distance", "SELECT x.item_id AS id, levenshtein(x.text, y.text)::INT AS cost FROM benchmark x JOIN benchmark y ON y.item_id = x.item_id + 1", with_pairs=False)
+def byte_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), F.col("text").alias("a"))
+    y = x.select((F.col("id") - 1).alias("id"), F.col("a").alias("b"))
+    return x.join(y, "id").select("id", expr.distance("a", "b").alias("cost"))
+
+
+# --- seeds and matches -----------------------------------------------------------------------------------------------
+
+_SEEDS = f"s AS (SELECT id, (t * {K})::INT AS start, substring(a, (t * {K} + 1)::INT, {K}) AS q FROM (SELECT id, a, unnest(range(0, length(a) // {K})) AS t FROM p))"
+_KMERS = f"k AS (SELECT id, j::INT AS j, substring(b, (j + 1)::INT, {K}) AS q FROM (SELECT id, b, unnest(range(0, length(b) - {K} + 1)) AS j FROM p))"
+_MATCHES = f'm AS (SELECT s.id, s.start AS start_i, k.j AS start_j, s.start + {K} AS end_i, k.j + {K} AS end_j FROM s JOIN k ON s.id = k.id AND s.q = k.q)'
+
+
+@query("seeds", f"WITH {_SEEDS} SELECT id, start, start + {K} AS \"end\", 1::INT AS seed_potential, 1::INT AS seed_cost, q FROM s")
+def seeds(p: DataFrame) -> DataFrame:
+    return S.seeds(p, K)
+
+
+@query("kmers", f"WITH {_KMERS} SELECT id, j, q FROM k")
+def kmers(p: DataFrame) -> DataFrame:
+    return S.kmers(p, K)
+
+
+@query("kmer_codes", f"WITH {_KMERS} SELECT id, j, ({" + ".join(f"((ascii(q[{c + 1}]) >> 1) & 3) * {4 ** (K - 1 - c)}" for c in range(K))})::BIGINT AS code FROM k")
+def kmer_codes(p: DataFrame) -> DataFrame:
+    return S.kmers(p, K).select("id", "j", expr.kmer_code("q").alias("code"))
+
+
+@query("matches_exact", f"WITH {_SEEDS}, {_KMERS}, {_MATCHES} SELECT *, 0::INT AS match_cost, 1::INT AS seed_potential FROM m")
+def matches_exact(p: DataFrame) -> DataFrame:
+    return S.matches_exact(p, K)
+
+
+@query("matches_per_pair", f"WITH {_SEEDS}, {_KMERS}, {_MATCHES} SELECT id, count(*) AS n FROM m GROUP BY id")
+def matches_per_pair(p: DataFrame) -> DataFrame:
+    return S.matches_exact(p, K).groupBy("id").agg(F.count("*").alias("n"))
+
+
+def _p_sql(i: str, n: str = "length(a)", k: int = K, r: int = 1) -> str:
+    return f"({r} * greatest(0, {n} // {k} - (({i}) + {k - 1}) // {k}))"
+
+
+@query("seed_potential", f"SELECT id, i::INT AS i, {_p_sql('i')}::INT AS potential, (CASE WHEN i // {K} < length(a) // {K} THEN (i // {K}) * {K} END)::INT AS seed FROM (SELECT id, a, unnest(range(0, length(a) + 1)) AS i FROM p)")
+def seed_potential(p: DataFrame) -> DataFrame:
+    at = p.select("id", "a", F.explode(F.sequence(F.lit(0), F.length("a"))).alias("i"))
+    return at.select("id", "i", expr.potential(F.length("a"), "i", K).alias("potential"), S.covering_seed(F.col("i"), F.length("a"), K).alias("seed"))
+
+
+_T = f"""t AS (
+  SELECT m.*, length(a) AS n, length(b) AS o, (start_i - start_j - {_p_sql('start_i')})::INT AS start_ti, (start_j - start_i - {_p_sql('start_i')})::INT AS start_tj,
+         (end_i - end_j - {_p_sql('end_i')})::INT AS end_ti, (end_j - end_i - {_p_sql('end_i')})::INT AS end_tj
+  FROM m JOIN p USING (id))"""
+
+
+@query("transform", f"WITH {_SEEDS}, {_KMERS}, {_MATCHES}, {_T} SELECT id, start_i, start_j, start_ti, start_tj, end_ti, end_tj FROM t")
+def transform(p: DataFrame) -> DataFrame:
+    return S.transformed(S.matches_exact(p, K), p, K).select("id", "start_i", "start_j", "start_ti", "start_tj", "end_ti", "end_tj")
+
+
+@query("matches_tfilter", f"WITH {_SEEDS}, {_KMERS}, {_MATCHES}, {_T} SELECT id, start_i, start_j, end_i, end_j, 0::INT AS match_cost, 1::INT AS seed_potential FROM t WHERE start_ti <= n - o AND start_tj <= o - n")
+def matches_tfilter(p: DataFrame) -> DataFrame:
+    return S.target_filter(S.matches_exact(p, K), p, K)
+
+
+_LETTERS = "(SELECT unnest(['A', 'C', 'G', 'T']) AS c)"
+_S5 = f"s AS (SELECT id, (t * {K2})::INT AS start, substring(a, (t * {K2} + 1)::INT, {K2}) AS q FROM (SELECT id, a, unnest(range(0, length(a) // {K2})) AS t FROM p))"
+_MUT = f"""u AS (
+  SELECT DISTINCT q, 'del' AS kind, substring(q, 1, i::INT) || substring(q, i::INT + 2) AS w FROM (SELECT DISTINCT q FROM s), range(0, {K2}) r(i)
+  UNION ALL SELECT DISTINCT q, 'sub', substring(q, 1, i::INT) || c || substring(q, i::INT + 2) FROM (SELECT DISTINCT q FROM s), range(0, {K2}) r(i), {_LETTERS} WHERE c <> substring(q, i::INT + 1, 1)
+  UNION ALL SELECT DISTINCT q, 'ins', substring(q, 1, i::INT) || c || substring(q, i::INT + 1) FROM (SELECT DISTINCT q FROM s), range(0, {K2} + 1) r(i), {_LETTERS})"""
+_INEXACT = f"""{_S5}, {_MUT},
+w AS (SELECT id, start, q AS w, 0 AS c FROM s UNION ALL SELECT s.id, s.start, u.w, 1 FROM s JOIN u USING (q)),
+k AS (SELECT id, j::INT AS j, substring(b, (j + 1)::INT, l::INT) AS q FROM (SELECT id, b, l, unnest(range(0, length(b) - l + 1)) AS j FROM p, range({K2 - 1}, {K2 + 2}) r(l))),
+m AS (SELECT w.id, w.start AS start_i, k.j AS start_j, w.start + {K2} AS end_i, (k.j + length(k.q))::INT AS end_j, min(w.c)::INT AS match_cost, 2::INT AS seed_potential
+      FROM w JOIN k ON w.id = k.id AND w.w = k.q GROUP BY ALL)"""
+
+
+@query("mutations", f"WITH {_S5}, {_MUT} SELECT q, kind, w FROM u")
+def mutations(p: DataFrame) -> DataFrame:
+    q = S.seeds(p, K2).select("q").distinct()
+    return q.select("q", F.explode(S.mutations(F.col("q"), K2)).alias("m")).select("q", "m.kind", F.col("m.q").alias("w"))
+
+
+@query("matches_inexact", f"WITH {_INEXACT} SELECT * FROM m")
+def matches_inexact(p: DataFrame) -> DataFrame:
+    return S.matches_inexact(p, K2)
+
+
+@query(
+    "consistency_closure",
+    f"""WITH {_INEXACT},
+x AS (SELECT id, start_i, start_j + ds AS start_j, end_i, end_j + de AS end_j, match_cost + 1 AS match_cost, seed_potential
+      FROM m, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(ds, de) WHERE match_cost + 1 < seed_potential)
+SELECT * FROM m UNION ALL SELECT x.* FROM x ANTI JOIN m USING (id, start_i, start_j, end_i, end_j, match_cost)""",
+)
+def consistency_closure(p: DataFrame) -> DataFrame:
+    return S.consistent(S.matches_inexact(p, K2))
+
+
+@query("seed_costs", f"WITH {_INEXACT} SELECT s.id, s.start, s.start + {K2} AS \"end\", 2::INT AS seed_potential, coalesce(c.c, 2)::INT AS seed_cost FROM s LEFT JOIN (SELECT id, start_i, min(match_cost) AS c FROM m GROUP BY 1, 2) c ON s.id = c.id AND s.start = c.start_i")
+def seed_costs(p: DataFrame) -> DataFrame:
+    return S.seed_costs(p, K2, 2)
+
+
+@query("suffix_potentials", f"WITH {_SEEDS} SELECT id, start, {_p_sql('start', 'n')}::BIGINT AS potential FROM (SELECT s.*, length(a) AS n FROM s JOIN p USING (id))")
+def suffix_potentials(p: DataFrame) -> DataFrame:
+    return S.suffix_potentials(S.seeds(p, K)).select("id", "start", "potential")
+
+
+# --- bounds from matches ---------------------------------------------------------------------------------------------
+
+
+@query("sh_h0", f"WITH {_SEEDS}, {_KMERS}, f AS (SELECT DISTINCT id, q FROM k) SELECT p.id, (count(s.q) - count(f.q))::INT AS h FROM p LEFT JOIN s ON p.id = s.id LEFT JOIN f ON s.id = f.id AND s.q = f.q GROUP BY p.id")
+def sh_h0(p: DataFrame) -> DataFrame:
+    return H.sh(p, K)
+
+
+def _chain_sql(source: str, start: tuple[str, str], end: tuple[str, str]) -> str:
+    """r(id, v): the best chain's score, adding one match at a time from the last start on."""
+    (si, sj), (ei, ej) = start, end
+    return f"""
+o AS (SELECT id, {si} AS si, {sj} AS sj, {ei} AS ei, {ej} AS ej, row_number() OVER (PARTITION BY id ORDER BY {si} + {sj} DESC, {si} DESC, {sj} DESC) AS k FROM {source}),
+g AS (
+  SELECT id, 1::BIGINT AS k, [{{'i': si, 'j': sj, 'v': 1}}] AS st FROM o WHERE k = 1
+  UNION ALL
+  SELECT g.id, o.k, list_append(g.st, {{'i': o.si, 'j': o.sj, 'v': 1 + coalesce(list_max([x.v FOR x IN g.st IF x.i >= o.ei AND x.j >= o.ej]), 0)}})
+  FROM g JOIN o ON o.id = g.id AND o.k = g.k + 1),
+r AS (SELECT id, max(list_max([x.v FOR x IN st])) AS v FROM g GROUP BY id)"""
+
+
+@query("csh_h0", f"WITH RECURSIVE {_SEEDS}, {_KMERS}, {_MATCHES}, {_chain_sql('m', ('start_i', 'start_j'), ('end_i', 'end_j'))} SELECT p.id, ({_p_sql('0')} - coalesce(r.v, 0))::INT AS h FROM p LEFT JOIN r USING (id)")
+def csh_h0(p: DataFrame) -> DataFrame:
+    return H.csh(p, K)
+
+
+@query(
+    "gcsh_h0",
+    f"WITH RECURSIVE {_SEEDS}, {_KMERS}, {_MATCHES}, {_T}, f AS (SELECT * FROM t WHERE start_ti <= n - o AND start_tj <= o - n AND end_ti <= n - o AND end_tj <= o - n), {_chain_sql('f', ('start_ti', 'start_tj'), ('end_ti', 'end_tj'))} SELECT p.id, (CASE WHEN r.v IS NULL THEN greatest(abs(length(a) - length(b)), {_p_sql('0')}) ELSE {_p_sql('0')} - r.v END)::INT AS h FROM p LEFT JOIN r USING (id)",
+)
+def gcsh_h0(p: DataFrame) -> DataFrame:
+    return H.gcsh(p, K)
+
+
+@query("bound_order_violations", "SELECT id, 0::INT AS sh, 0::INT AS csh, 0::INT AS gcsh, 0::INT AS cost FROM p WHERE false")
+def bound_order_violations(p: DataFrame) -> DataFrame:
+    out = p.select("id", expr.distance("a", "b").alias("cost"))
+    for kind in ("sh", "csh", "gcsh"):
+        out = out.join(H.bound(p, kind, K, 1).withColumnRenamed("h", kind), "id")
+    return out.where("NOT (sh <= csh AND csh <= gcsh AND gcsh <= cost)").select("id", "sh", "csh", "gcsh", "cost")
+
+
+@query("inexact_bound_violations", "SELECT id, 0::INT AS h, 0::INT AS cost FROM p WHERE false")
+def inexact_bound_violations(p: DataFrame) -> DataFrame:
+    h = H.symmetric("gcsh", p, K2, 2)
+    return p.select("id", expr.distance("a", "b").alias("cost")).join(h, "id").where("h > cost").select("id", "h", "cost")
+
+
+# --- cost models -----------------------------------------------------------------------------------------------------
+
+
+def _model_sql(model: cost_model.CostModel) -> str:
+    """All pairs' grids, a row for each step: m, and a list d for each deletion layer."""
+    big = 1 << 20
+    sub = big if model.sub is None else model.sub
+    ins, dels = model.gaps("ins"), model.gaps("del")
+    prefix = lambda t: f"[least({', '.join(['list_extract(' + t + ', j + 1)'] + [f'coalesce(list_min([list_extract({t}, q + 1) + {o} + {e} * (j - q) FOR q IN range(0, j)]), {big})' for o, e in ins])}) FOR j IN range(0, length(b) + 1)]"
+    first = f"[least({', '.join([f'CASE WHEN j = 0 THEN 0 ELSE {big} END'] + [f'CASE WHEN j = 0 THEN 0 ELSE {o} + {e} * j END' for o, e in ins])}) FOR j IN range(0, length(b) + 1)]"
+    d_next = [f"[least(list_extract(d{g}, j + 1), list_extract(m, j + 1) + {o}) + {e} FOR j IN range(0, length(b) + 1)] AS d{g}" for g, (o, e) in enumerate(dels)]
+    least = ", ".join([f"CASE WHEN j = 0 THEN {big} ELSE list_extract(m, j) + CASE WHEN substring(b, j::INT, 1) = substring(a, i::INT + 1, 1) THEN 0 ELSE {sub} END END"] + [f"list_extract(d{g}, j + 1)" for g in range(len(dels))])
+    names = "".join(f", d{g}" for g in range(len(dels)))
+    start = "".join(f", [{big} FOR j IN range(0, length(b) + 1)] AS d{g}" for g in range(len(dels)))
+    return f"""
+g AS (
+  SELECT id, a, b, 0 AS i, {first} AS m{start} FROM p
+  UNION ALL
+  SELECT id, a, b, i + 1, {prefix("t")}, {names[2:]}
+  FROM (SELECT id, a, b, i{names}, [least({least}) FOR j IN range(0, length(b) + 1)] AS t
+        FROM (SELECT id, a, b, i, m, {", ".join(d_next)} FROM g WHERE i < length(a))))"""
+
+
+MODELS = {
+    "lcs_distance": cost_model.lcs(),
+    "linear_distance": cost_model.linear(1, 3),
+    "asymmetric_distance": cost_model.linear_asymmetric(1, 2, 3),
+    "affine_distance": cost_model.affine(1, 2, 1),
+    "linear_affine_distance": cost_model.linear_affine(1, 3, 2, 1),
+    "affine_asymmetric_distance": cost_model.affine_asymmetric(1, 2, 2, 3, 1),
+    "double_affine_distance": cost_model.double_affine(1, 4, 2, 10, 1),
+}
+for _name, _model in MODELS.items():
+    query(_name, f"WITH RECURSIVE {_model_sql(_model)} SELECT id, (list_extract(m, length(b) + 1))::INT AS cost FROM g WHERE i = length(a)")(lambda p, model=_model: p.select("id", A.alignment_cost("a", "b", model).alias("cost")))
+
+
+@query("affine_script_check", f"WITH RECURSIVE {_model_sql(cost_model.affine(1, 2, 1))} SELECT id, (list_extract(m, length(b) + 1))::INT AS cost, length(a)::INT AS used_a, length(b)::INT AS used_b FROM g WHERE i = length(a)")
+def affine_script_check(p: DataFrame) -> DataFrame:
+    """The cost that the script's own parts add up to, and what it consumes."""
+    s = p.select("id", A.affine_align("a", "b", cost_model.affine(1, 2, 1))["cigar"].alias("s"))
+    count = lambda ops: F.aggregate(F.filter("s", lambda e: e["op"].isin(*ops)), F.lit(0), lambda x, e: x + e["cnt"])
+    return s.select("id", (count("X") + 2 * count("O") + count("ID")).alias("cost"), count("=XD").alias("used_a"), count("=XI").alias("used_b"))
+
+
+@query("gap_costs", "SELECT d::INT AS delta, (CASE WHEN d = 0 THEN 0 WHEN d < 0 THEN 2 + 2 * -d ELSE 3 + d END)::INT AS cost, least(abs(d) * 3, CASE WHEN d = 0 THEN 0 ELSE 2 + abs(d) END)::INT AS mixed FROM range(-20, 21) t(d)", with_pairs=False)
+def gap_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.range(-20, 21).select(F.col("id").cast("int").alias("delta"))
+    return d.select("delta", expr.gap_cost(cost_model.affine_asymmetric(1, 2, 2, 3, 1), "delta").alias("cost"), expr.gap_cost(cost_model.linear_affine(1, 3, 2, 1), "delta").alias("mixed"))
+
+
+# --- edit scripts ----------------------------------------------------------------------------------------------------
+
+
+@query("align_cost_check", "SELECT id, levenshtein(a, b)::INT AS cost, levenshtein(a, b)::INT AS script_cost, true AS ok FROM p")
+def align_cost_check(p: DataFrame) -> DataFrame:
+    s = p.withColumn("r", A.align("a", "b"))
+    return s.select("id", F.col("r.cost").alias("cost"), cigar.cost("r.cigar").alias("script_cost"), cigar.valid("r.cigar", "a", "b").alias("ok"))
+
+
+@query("bounded_align", f"SELECT id, levenshtein(a, b)::INT AS cost, length(a)::INT AS used_a, length(b)::INT AS used_b FROM p WHERE levenshtein(a, b) <= {BOUND}")
+def bounded_align(p: DataFrame) -> DataFrame:
+    s = p.withColumn("r", A.bounded_align("a", "b", BOUND)).where("r is not null")
+    return s.select("id", F.col("r.cost").alias("cost"), cigar.count_of("r.cigar", "=XD").alias("used_a"), cigar.count_of("r.cigar", "=XI").alias("used_b"))
+
+
+@query("cigar_op_counts", "SELECT id, (length(a) - length(b))::INT AS surplus, levenshtein(a, b)::INT AS edits FROM p")
+def cigar_op_counts(p: DataFrame) -> DataFrame:
+    s = p.select("id", A.align("a", "b")["cigar"].alias("s"))
+    return s.select("id", (cigar.count_of("s", "D") - cigar.count_of("s", "I")).alias("surplus"), cigar.count_of("s", "XID").alias("edits"))
+
+
+@query("cigar_path", "SELECT id, length(a)::INT AS i, length(b)::INT AS j, levenshtein(a, b)::INT AS cost, true AS starts FROM p")
+def cigar_path(p: DataFrame) -> DataFrame:
+    s = p.select("id", cigar.path(A.align("a", "b")["cigar"]).alias("w"))
+    end = F.element_at("w", -1)
+    return s.select("id", end["i"].alias("i"), end["j"].alias("j"), end["cost"].alias("cost"), ((F.get("w", F.lit(0))["i"] == 0) & (F.get("w", F.lit(0))["j"] == 0)).alias("starts"))
+
+
+@query("cigar_round_trip", "SELECT id, true AS same_text, true AS same_reversed, true AS same_halves FROM p")
+def cigar_round_trip(p: DataFrame) -> DataFrame:
+    s = p.select("id", A.align("a", "b")["cigar"].alias("s"))
+    back = cigar.from_text(cigar.to_text("s"))
+    half = F.floor(F.size("s") / 2).cast("int")
+    halves = cigar.appended(F.slice("s", F.lit(1), half), F.slice("s", half + 1, F.size("s")))
+    return s.select("id", (back == F.col("s")).alias("same_text"), (cigar.reversed_(cigar.reversed_("s")) == F.col("s")).alias("same_reversed"), (halves == F.col("s")).alias("same_halves"))
+
+
+@query("cigar_to_base", f"WITH RECURSIVE {_model_sql(cost_model.affine(1, 2, 1))} SELECT id, true AS ok, length(a)::INT AS used_a FROM g WHERE i = length(a)")
+def cigar_to_base(p: DataFrame) -> DataFrame:
+    s = p.select("id", "a", "b", cigar.to_base(A.affine_align("a", "b", cost_model.affine(1, 2, 1))["cigar"]).alias("s"))
+    return s.select("id", cigar.valid("s", "a", "b").alias("ok"), cigar.count_of("s", "=XD").alias("used_a"))
+
+
+# --- semi-global search ----------------------------------------------------------------------------------------------
+
+_PATTERN = "concat(substring(b, 5, 3), 'N', substring(b, 9, 3), 'Y')"
+_SEARCH_SQL = f"""
+x AS (SELECT id, a, {_PATTERN} AS q, length({_PATTERN})::INT AS n FROM p),
+g AS (
+  SELECT id, a, q, n, 0 AS i, [{{u}} FOR j IN range(0, n + 1)] AS m, [] :: BIGINT[] AS o FROM x
+  UNION ALL
+  SELECT id, a, q, n, i + 1, [list_min([list_extract(t, k + 1) + j - k FOR k IN range(0, j + 1)]) FOR j IN range(0, n + 1)], list_append(o, list_extract(m, n + 1))
+  FROM (SELECT id, a, q, n, i, o, m, [CASE WHEN j = 0 THEN 0 ELSE least(list_extract(m, j + 1) + 1, list_extract(m, j) + CASE WHEN substring(q, j::INT, 1) = 'N' OR substring(q, j::INT, 1) = substring(a, i::INT + 1, 1) OR (substring(q, j::INT, 1) = 'Y' AND substring(a, i::INT + 1, 1) IN ('C', 'T')) THEN 0 ELSE 1 END) END FOR j IN range(0, n + 1)] AS t FROM g WHERE i < length(a))),
+f AS (SELECT id, n, list_append(o, list_extract(m, n + 1)) || [list_extract(m, j + 1) + {{un}} - {{u}} FOR j IN range(n - 1, -1, -1)] AS c FROM g WHERE i = length(a))"""
+
+
+def _searched(p: DataFrame, u: float) -> DataFrame:
+    return p.select("id", A.search(F.expr(_PATTERN), "a", u).alias("c"))
+
+
+for _name, _u, _sql in (("semiglobal_costs", 0.0, "0"), ("semiglobal_costs_half", 0.5, "((j + 1) // 2)"), ("semiglobal_costs_full", 1.0, "j")):
+    query(_name, f"WITH RECURSIVE {_SEARCH_SQL.format(u=_sql, un=_sql.replace('j', 'n'))} SELECT id, (k - 1)::INT AS idx, list_extract(c, k)::INT AS cost FROM (SELECT id, c, unnest(range(1, len(c) + 1)) AS k FROM f)")(
+        lambda p, u=_u: _searched(p, u).select("id", F.posexplode("c").alias("idx", "cost"))
+    )
+
+
+@query("best_hit_per_text", f"WITH RECURSIVE {_SEARCH_SQL.format(u='j', un='n')} SELECT id, list_min(c)::INT AS cost, (list_position(c, list_min(c)) - 1)::INT AS idx FROM f")
+def best_hit_per_text(p: DataFrame) -> DataFrame:
+    s = _searched(p, 1.0)
+    return s.select("id", F.array_min("c").alias("cost"), (F.array_position("c", F.array_min("c")) - 1).cast("int").alias("idx"))
+
+
+@query("search_trace_check", f"WITH RECURSIVE {_SEARCH_SQL.format(u='0', un='0')} SELECT id, list_min(c)::INT AS cost FROM f")
+def search_trace_check(p: DataFrame) -> DataFrame:
+    s = p.select("id", "a", F.expr(_PATTERN).alias("q")).withColumn("c", A.search("q", "a", 0.0))
+    s = s.withColumn("idx", (F.array_position("c", F.array_min("c")) - 1).cast("int"))
+    return s.select("id", cigar.cost(A.search_trace("q", "a", "idx", 0.0)["cigar"]).alias("cost"))
+
+
+# --- reports and compositions ----------------------------------------------------------------------------------------
+
+
+@query("error_rate_report", "SELECT id % 5 AS kind, count(*) AS n, avg(length(a)) AS len_a, avg(levenshtein(a, b)) AS cost, avg(100.0 * levenshtein(a, b) / length(a)) AS error_percent FROM p GROUP BY 1")
+def error_rate_report(p: DataFrame) -> DataFrame:
+    d = p.select((F.col("id") % 5).alias("kind"), F.length("a").alias("n_a"), expr.distance("a", "b").alias("d"))
+    return d.groupBy("kind").agg(F.count("*").alias("n"), F.avg("n_a").alias("len_a"), F.avg("d").alias("cost"), F.avg(F.lit(100.0) * F.col("d") / F.col("n_a")).alias("error_percent"))
+
+
+@query("rollup_error", "SELECT id % 5 AS kind, id % 3 AS edit, count(*) AS n, sum(levenshtein(a, b))::BIGINT AS cost FROM p GROUP BY ROLLUP (1, 2)")
+def rollup_error(p: DataFrame) -> DataFrame:
+    d = p.select((F.col("id") % 5).alias("kind"), (F.col("id") % 3).alias("edit"), expr.distance("a", "b").alias("d"))
+    return d.rollup("kind", "edit").agg(F.count("*").alias("n"), F.sum("d").alias("cost"))
+
+
+@query("topk_per_segment", "SELECT kind, id, cost FROM (SELECT id % 7 AS kind, id, levenshtein(a, b)::INT AS cost, row_number() OVER (PARTITION BY id % 7 ORDER BY levenshtein(a, b) DESC, id) AS k FROM p) WHERE k <= 10")
+def topk_per_segment(p: DataFrame) -> DataFrame:
+    d = p.select((F.col("id") % 7).alias("kind"), "id", expr.distance("a", "b").alias("cost"))
+    w = Window.partitionBy("kind").orderBy(F.desc("cost"), "id")
+    return d.withColumn("k", F.row_number().over(w)).where("k <= 10").drop("k")
+
+
+@query("window_rank_distance", "SELECT id, cost, dense_rank() OVER (PARTITION BY kind ORDER BY cost)::INT AS rank FROM (SELECT id, id % 100 AS kind, levenshtein(a, b)::INT AS cost FROM p)")
+def window_rank_distance(p: DataFrame) -> DataFrame:
+    d = p.select("id", (F.col("id") % 100).alias("kind"), expr.distance("a", "b").alias("cost"))
+    return d.select("id", "cost", F.dense_rank().over(Window.partitionBy("kind").orderBy("cost")).alias("rank"))
+
+
+@query("segment_distance", f"WITH p AS ({PAIRS_SQL}) SELECT c_mktsegment AS segment, count(*) AS n, sum(levenshtein(a, b))::BIGINT AS cost FROM p JOIN orders ON id = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1", with_pairs=False)
+def segment_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c_custkey"))
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    d = pairs(spark, sf_dir).select("id", expr.distance("a", "b").alias("d"))
+    return d.join(orders, "id").join(customer, "c_custkey").groupBy("segment").agg(F.count("*").alias("n"), F.sum("d").alias("cost"))
+
