@@ -79,6 +79,13 @@ class Remembered(dict):
             return True
         return False
 
+    def unknown(self, keys: set) -> set:
+        """Those of keys without a value; the others' values are then in the dictionary itself."""
+        new = keys - self.keys()
+        back = new & self.before.keys()
+        self.update(zip(back, map(self.before.__getitem__, back), strict=True))
+        return new - back
+
     def make_room(self) -> None:
         if len(self) >= self.most:
             self.before = dict(self)

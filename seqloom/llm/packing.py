@@ -7,6 +7,7 @@ product with the room that is left, so that it takes most of what there is most
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -16,34 +17,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import rows_of, saved, table
+from seqloom.llm.common import Remembered, rows_of, saved, table
 
 #: Words that a worker remembers with their ids before it starts afresh; examples that are packed together.
 REMEMBERED_WORDS, GROUP = 300_000, 16_384
 
 
+#: Blanks and line ends become blanks, capital ASCII letters small ones: the tokenizer makes no difference between them.
+_SAME = bytes.maketrans(b"\n\t\r" + bytes(range(65, 91)), b"   " + bytes(range(97, 123)))
+_BLANK = bytes.maketrans(b"\n\t\r", b"   ")
+
+
+#: Marks that may end a word; not those of contractions and special tokens.
+MARKS = b".,;:!?%*$&#)"
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizer that drops white space and encodes each word by itself.
+    """Ids of whole texts by a tokenizer that drops white space, encodes each word by itself and ignores case.
 
-    Words between blanks and line ends are encoded by the library once and remembered, as little-endian 32-bit ids.
+    Words between blanks and line ends are encoded by the library and remembered, as little-endian 32-bit ids. The
+    library gets many words of letters at a time.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already has a task for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list(set().union(*words) - self.known.keys())
-        if new:
-            if len(self.known) + len(new) > REMEMBERED_WORDS:
-                self.known = {"": b""}
-                new = list(set().union(*words) - self.known.keys())
-            for at in range(0, len(new), 5000):
-                part = new[at : at + 5000]
-                self.known.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True))
+        self.tokenizer, self.small = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.small.normalizer = None  # small ASCII letters are what the normalizer would make of them
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known = Remembered(REMEMBERED_WORDS)
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Words that end with marks after a letter are put together from the word and the marks, which the tokenizer
+        always parts."""
+        new.discard(b"")
+        self.known[b""] = b""
+        marked = []
+        for w in new:
+            bare = w.rstrip(MARKS)
+            if len(bare) < len(w) and bare[-1:].isalpha() and b"<|" not in bare:
+                marked.append((w, bare, w[len(bare) :]))
+        if marked:
+            new.difference_update([w for w, _, _ in marked])
+            new |= self.known.unknown({x for _, *parts in marked for x in parts})
+        small = [w for w in new if w.isalpha() and w.islower()]
+        new.difference_update(small)
+        latin = [w for w in new if w[0] >= 65 and (t := w.decode()).isalpha() and max(t) < "\u0250" and "\u0130" not in t]
+        new.difference_update(latin)
+        for words, tokenizer in ((small, self.small), (latin, self.tokenizer)):
+            new.update(self._learn_letters(words, tokenizer))
+        rest = list(new)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+        known = self.known
+        known.update([(w, known[bare] + known[marks]) for w, bare, marks in marked])
+
+    def _learn_letters(self, words: list[bytes], tokenizer) -> list[bytes]:
+        """Words of letters alone, whose last id is the first that ends a word; gives back those left to learn."""
+        left = []
+        groups = [words[k : k + 200] for k in range(0, len(words), 200)]
+        for k in range(0, len(groups), 20):
+            encoded = tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups[k : k + 20]], add_special_tokens=False)
+            for own, e in zip(groups[k : k + 20], encoded, strict=True):
+                ids = np.asarray(e.ids, "<u4")
+                at = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                if len(at) != len(own):
+                    left += own
+                    continue
+                self.known.update(zip(own, map(ids.tobytes().__getitem__, map(slice, [0, *at[:-1]], at)), strict=True))
+        return left
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        words = [t.translate(_BLANK if b"<|" in t else _SAME).split(b" ") for t in texts]
+        self.known.make_room()
+        if new := self.known.unknown(set().union(*words)):
+            self._learn(new)
         ids = self.known.__getitem__
         return [b"".join(map(ids, w)) for w in words]
 
@@ -55,12 +106,15 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096, id_col
     """Each row's token ids and the end id, cut into pieces of most ids and a rest: (doc_id, start, length, ids_crc32, doc_tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.setdefault(path, WordIds(path))
+        if path not in _encoders:
+            _encoders[path] = WordIds(path)
+        encode = _encoders[path]
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for part in rows_of(batch, 256):
+            for part in rows_of(batch, 1000):
                 found = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+                for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
                     ids += end
                     n = len(ids) // 4
                     found += [(doc, at, min(most, n - at), zlib.crc32(ids[4 * at : 4 * (at + most)]), n) for at in range(0, n, most)]
