@@ -5,10 +5,14 @@ pairs: (id, a, b) of A, C, G, T. Seeds are the disjoint k-letter pieces of a; k-
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 from seqloom.functions import expr
+from seqloom.functions.kernels import costs_to_column
 
 MATCH = ["id", "start_i", "start_j", "end_i", "end_j"]
 
@@ -116,12 +120,8 @@ def covering_seed(i: Column, n: Column, k: int) -> Column:
 def locally_pruned(found: DataFrame, pairs: DataFrame, k: int, r: int, look_ahead: int) -> DataFrame:
     """Keeps matches after which the next seeds can be covered for less than their potential: from a match's end, the
     cheapest way to the end of `look_ahead` seeds (its own included) must cost less than these have."""
-    import pandas as pd
-    from pyspark.sql.pandas.functions import pandas_udf
 
-    from seqloom.functions.kernels import costs_to_column
-
-    @pandas_udf("boolean")
+    @pandas_udf(BooleanType())
     def promising(a: pd.Series, b: pd.Series, si: pd.Series, ei: pd.Series, ej: pd.Series, cost: pd.Series) -> pd.Series:
         keep = []
         for x, y, s, e, j, c in zip(a, b, si, ei, ej, cost, strict=True):
