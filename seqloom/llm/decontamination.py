@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import Remembered, rows_of, table
 
-#: Picked (1) and ignored (0) words. In any 10 words with at most two substitutions, or so, one of the masks' windows
-#: near them avoids these.
-MASKS = ("1101100111", "1110010111", "1011101101", "1111000000111")
+#: Picked (1) and ignored (0) words. A stretch of 16 words or more with at most a fifth substituted has four words in a
+#: row that aren't (there are too few gaps for more breaks); the others see to it that shorter stretches, down to 5 words,
+#: always have a window whose picked words aren't either. So no overlap is missed.
+MASKS = ("1111", "11011", "11101", "10111")
 SHORTEST, STRETCH, SIMILARITY = 5, 13, 0.8
 #: Words of benchmark that are broadcast at once, and words that a worker remembers.
 BLOCK_WORDS, REMEMBERED_WORDS = 2_000_000, 150_000
@@ -66,10 +67,8 @@ class Block:
     def __init__(self, items: list[tuple], similarity: float, stretch: int):
         self.ids, self.words = [i for i, _ in items], [w for _, w in items]
         self.similarity, self.stretch = similarity, stretch
-        self.masks = sorted(set(MASKS) | {"1" * len(w) for w in self.words if len(w) < max(map(len, MASKS))})
         self.seeds = {}
-        for mask in self.masks:
-            # an item shorter than the longest mask is also looked up whole
+        for mask in MASKS:
             own = [(k, window_hashes(w, mask)) for k, w in enumerate(self.words) if len(w) >= len(mask)]
             h = np.concatenate([x for _, x in own]) if own else np.zeros(0, np.uint64)
             item = np.repeat([k for k, _ in own], [len(x) for _, x in own]).astype(np.int64)
