@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -32,6 +34,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Has Spark delete shuffle files that no plan refers to any more, such as those of stages that were saved.
+
+    Its cleaner learns of them when the driver collects garbage, and runs beside it; one round frees what refers to
+    the next one's.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row (a lambda variable is bound once, a repeated expression is not)."""
     return F.transform(F.array(value), body)[0]

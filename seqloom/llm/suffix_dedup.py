@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import saved, table
+from seqloom.llm.common import forget, saved, table
 
 ANCHOR = 32
 #: Bytes of text that are hashed at once, and bits for a place in them.
@@ -31,6 +31,8 @@ CHUNK, PLACE_BITS = 1 << 18, 20
 #: Anchors with more surroundings than this are split by 34 more bytes to either side.
 CROWD = 2000
 SHALLOW = 16
+#: Anchors that a task holds before it sends them on.
+HELD = 400_000
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
 
 
@@ -241,50 +243,66 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def _first_pass(least: int, buckets: int):
     """For each batch of documents: anchors by bucket, packed; and spans that the batch itself shows to be repeated."""
+    reach = least - ANCHOR
+
+    def flushed(docs: list[tuple[int, int, int]], parts: list[tuple]) -> pa.RecordBatch:
+        number = np.repeat(np.arange(len(docs)), [len(p[0]) for p in parts])
+        place, h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, marks, sizes = (np.array(x, np.int64) for x in zip(*docs, strict=True))
+        order = np.lexsort([place, number, c, h])
+        number, place, h, c = number[order], place[order], h[order], c[order]
+        again = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])]
+        rows = np.empty(int((~again).sum()), _ROW)
+        for name, x in (("h", h), ("c", c), ("doc", ids[number]), ("mark", marks[number]), ("place", place)):
+            rows[name] = x[~again]
+        to = (rows["h"] >> np.uint64(40)) % np.uint64(buckets)
+        order = np.lexsort([rows["place"], rows["mark"], rows["doc"], to])
+        rows, to = rows[order], to[order]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        out = [(int(to[s]), None, None, _packed(rows[s:e])) for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True)]
+        number, place = number[again], place[again]
+        order = np.lexsort([place, number])
+        number, place = number[order], place[order]
+        spans = np.stack([np.maximum(0, place - reach), np.minimum(sizes[number], place + least)], axis=1).astype("<i4")
+        new = np.ones(len(number), bool)
+        new[1:] = (number[1:] != number[:-1]) | (spans[1:, 0] > spans[:-1, 1])
+        first = np.flatnonzero(new)
+        runs = np.stack([spans[first, 0], spans[np.r_[first[1:], len(number)] - 1, 1]], axis=1) if len(first) else spans[:0]
+        owner = number[first]
+        for k in np.unique(owner).tolist():
+            d, m, _ = docs[k]
+            out.append(((d * 31 + m) % buckets, d, m, runs[np.searchsorted(owner, k) : np.searchsorted(owner, k, "right")].tobytes()))
+        cols = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["bucket", "doc_id", "mark", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: list[tuple[int, int, int]] = []
+        parts: list[tuple] = []
+        seen: set[tuple[int, int]] = set()
+        held = 0
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            marks = np.asarray(batch.column(1))
-            order = np.lexsort([marks, ids])
-            last = None
-            seen: set[tuple[int, int]] = set()
-            found: list[np.ndarray] = []
-            covered: list[tuple[int, int, bytes]] = []
-            for k in order.tolist():
-                if last == (last := (int(ids[k]), int(marks[k]))):
+            for k, own in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if own in seen:
                     continue  # the same row again: one document
+                seen.add(own)
                 text = batch.column(2)[k].as_py()
                 place, h = anchors(text, least)
                 if not len(place):
                     continue
                 view = memoryview(text)
-                spans = surroundings(text, place, least)
-                c = [xxhash.xxh64_intdigest(view[s:e], (p - s) * 256 + e - p) for p, (s, e) in zip(place.tolist(), spans, strict=True)]
-                keep, own = [], []
-                for j, key in enumerate(zip(h.tolist(), c, strict=True)):
-                    if key in seen:
-                        own.append(spans[j])
-                    else:
-                        seen.add(key)
-                        keep.append(j)
-                if own:
-                    covered.append((int(ids[k]), int(marks[k]), np.asarray(merged(own), "<i4").tobytes()))
-                if keep:
-                    rows = np.empty(len(keep), _ROW)
-                    rows["h"], rows["c"] = h[keep], np.array(c, np.uint64)[keep]
-                    rows["doc"], rows["mark"], rows["place"] = ids[k], marks[k], place[keep]
-                    found.append(rows)
-            rows = np.concatenate(found) if found else np.zeros(0, _ROW)
-            to = (rows["h"] >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(to, kind="stable")
-            rows, to = rows[order], to[order]
-            cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(rows) else np.zeros(0, np.int64)
-            ends = np.r_[cuts[1:], len(rows)]
-            out = [(int(to[s]), None, None, _packed(rows[s:e])) for s, e in zip(cuts.tolist(), ends.tolist(), strict=True)]
-            out += [((d * 31 + m) % buckets, d, m, b) for d, m, b in covered]
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["bucket", "doc_id", "mark", "data"])
+                c = [xxhash.xxh64_intdigest(view[s:e], (p - s) * 256 + e - p) for p, (s, e) in zip(place.tolist(), surroundings(text, place, least), strict=True)]
+                docs.append((*own, len(text)))
+                parts.append((place, h, np.array(c, np.uint64)))
+                held += len(place)
+                if held >= HELD:
+                    # what is flushed together is in corpus order
+                    order = sorted(range(len(docs)), key=docs.__getitem__)
+                    yield flushed([docs[k] for k in order], [parts[k] for k in order])
+                    docs, parts, held = [], [], 0
+                    seen.clear()
+        if docs:
+            order = sorted(range(len(docs)), key=docs.__getitem__)
+            yield flushed([docs[k] for k in order], [parts[k] for k in order])
 
     return run
 
@@ -332,6 +350,7 @@ def _second_pass(least: int):
         for b in list(found):
             rows = np.concatenate(found.pop(b))
             rows = rows[np.lexsort([rows["place"], rows["mark"], rows["doc"], rows["c"], rows["h"]])]
+            rows = rows[np.r_[True, rows[1:] != rows[:-1]]]  # rows that repeat a document
             same_h = np.r_[False, rows["h"][1:] == rows["h"][:-1]]
             same_c = same_h & np.r_[False, rows["c"][1:] == rows["c"][:-1]]
             for part in _blocks(rows[same_c]):
@@ -433,13 +452,16 @@ def repeated(docs: DataFrame, least: int = 100, crowd: int = CROWD) -> DataFrame
     request = "doc_id bigint, mark bigint, anchor bigint, crowd bigint, data binary"
     packed = own.where(F.length("text") >= least).mapInArrow(_first_pass(least, buckets), "bucket bigint, doc_id bigint, mark bigint, data binary")
     found = saved(packed.repartition("bucket").mapInArrow(_second_pass(least), request))
+    forget(spark)  # the shuffled anchors are not read again
     asked = found.where("anchor is not null").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "crowd", "data")).alias("wanted"))
     # One row for each document: rows that repeat one are dropped before their texts are read.
     texts = own.where(F.length("text") >= least).join(asked, ["doc_id", "mark"]).select("doc_id", "mark", "text", "wanted")
     cut = texts.mapInArrow(_cut_out(least, crowd), "anchor bigint, doc_id bigint, mark bigint, place bigint, before bigint, data binary")
     compared = cut.repartition("anchor").dropDuplicates(["anchor", "doc_id", "mark", "place"]).sortWithinPartitions("anchor", "doc_id", "mark", "place").mapInArrow(_compare(least), request)
     spans = found.where("anchor is null").unionByName(compared).select("doc_id", "mark", "data")
-    return spans.groupBy("doc_id", "mark").agg(F.collect_list("data").alias("spans"))
+    out = saved(spans.groupBy("doc_id", "mark").agg(F.collect_list("data").alias("spans")))
+    forget(spark)
+    return out
 
 
 def _kept(text: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
