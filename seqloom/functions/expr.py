@@ -53,8 +53,8 @@ def max_length(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.greatest(n_bytes(a), n_bytes(b))
 
 
-def _occurrences(x: ColumnOrName, piece: str) -> Column:
-    return (F.length(col(x)) - F.length(F.replace(col(x), F.lit(piece), F.lit("")))) / len(piece)
+def _occurrences(x: ColumnOrName, letter: str) -> Column:
+    return F.length(col(x)) - F.length(F.replace(col(x), F.lit(letter), F.lit("")))
 
 
 def count_bound(a: ColumnOrName, b: ColumnOrName, alphabet: str = "ACGT") -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql.types import BooleanType
 from seqloom.functions import expr
 from seqloom.functions.kernels import costs_to_column
 
+#: Sizes are estimated before pieces are exploded, so an estimate would broadcast too much; a merge join spills instead.
+JOIN = "merge"
 MATCH = ["id", "start_i", "start_j", "end_i", "end_j"]
 
 
@@ -36,7 +38,7 @@ def kmers(pairs: DataFrame, k: int) -> DataFrame:
 
 def matches_exact(pairs: DataFrame, k: int, r: int = 1) -> DataFrame:
     """Seeds found in b unchanged: (id, start_i, start_j, end_i, end_j, match_cost, seed_potential)."""
-    found = seeds(pairs, k, r).join(kmers(pairs, k), ["id", "q"])
+    found = seeds(pairs, k, r).join(kmers(pairs, k).hint(JOIN), ["id", "q"])
     return found.select("id", F.col("start").alias("start_i"), F.col("j").alias("start_j"), F.col("end").alias("end_i"), (F.col("j") + k).alias("end_j"), F.lit(0).alias("match_cost"), "seed_potential")
 
 
@@ -62,7 +64,7 @@ def matches_inexact(pairs: DataFrame, k: int) -> DataFrame:
     near = own.select("id", "start", "end", F.explode(mutations(F.col("q"), k)).alias("m")).select("id", "start", "end", "m.q", F.lit(1).alias("match_cost"))
     wanted = exact.unionByName(near)
     there = kmers(pairs, k - 1).unionByName(kmers(pairs, k)).unionByName(kmers(pairs, k + 1))
-    found = wanted.join(there, ["id", "q"])
+    found = wanted.join(there.hint(JOIN), ["id", "q"])
     rows = found.select("id", F.col("start").alias("start_i"), F.col("j").alias("start_j"), F.col("end").alias("end_i"), (F.col("j") + F.length("q")).alias("end_j"), "match_cost")
     return rows.groupBy(*MATCH).agg(F.min("match_cost").alias("match_cost")).withColumn("seed_potential", F.lit(2))
 

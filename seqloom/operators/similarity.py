@@ -36,7 +36,8 @@ def near_texts(left: DataFrame, right: DataFrame, bound: int) -> DataFrame:
     first, last = F.greatest(F.lit(0), low - bound), F.least(F.length("b") - size, low + bound)
     places = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
     theirs = slots.select("b", "n", "t", F.explode(F.array_distinct(F.transform(places, lambda s: F.substr(F.col("b"), s + 1, size)))).alias("piece"))
-    candidates = own.join(theirs, ["n", "t", "piece"]).select("a", "b").distinct()
+    # sizes are estimated before pieces are exploded: no broadcast on their word
+    candidates = own.join(theirs.hint("merge"), ["n", "t", "piece"]).select("a", "b").distinct()
     d = F.levenshtein("a", "b", bound)
     back = lambda c: F.encode(c, "ISO-8859-1").cast("string")
     return candidates.withColumn("cost", d).where("cost >= 0").select(back("a").alias("text_a"), back("b").alias("text_b"), "cost")
