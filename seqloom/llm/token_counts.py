@@ -19,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import rows_of, table
+from seqloom.llm.common import Remembered, rows_of, table
 
 #: How the byte-level encoder cuts a text before merging (fixed value of its file format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces, and pairs of tokens, that a worker remembers before it starts afresh: a bound on its memory only.
-REMEMBERED_PIECES, REMEMBERED_PAIRS = 300_000, 600_000
+REMEMBERED_PIECES, REMEMBERED_TOTALS, REMEMBERED_PAIRS = 50_000, 300_000, 600_000
 LATEST = 1 << 60
 
 
@@ -56,8 +56,7 @@ class PrefixCounter:
         self.special = set(special)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.split, self.blank = regex.compile(SPLIT), regex.compile(r"\s+")
-        self.pieces: dict[str, bytes | tuple[int, ...]] = {}
-        self.totals: dict[str, int] = {}
+        self.pieces, self.totals = Remembered(REMEMBERED_PIECES), Remembered(REMEMBERED_TOTALS)
         self.apart: dict[tuple[int, int], bool] = {}
 
     def stay_apart(self, a: int, b: int) -> bool:
@@ -106,17 +105,21 @@ class PrefixCounter:
 
     def counts_of(self, piece: str) -> tuple[int, ...]:
         """Counts of the piece's prefixes of 1, 2, ... characters, as texts of their own."""
-        if (known := self.pieces.get(piece)) is None:
+        if not self.pieces.known(piece):
             by_byte = self.of_piece(piece.encode())
             known = tuple(by_byte) if len(by_byte) == len(piece) else tuple(by_byte[e - 1] for e in accumulate(len(c.encode()) for c in piece))
             if len(piece) == 3 and piece in ("'re", "'ve", "'ll"):
                 known = (known[0], 2, known[2])  # "'r" is cut before its letter, "'re" isn't
-            if len(self.pieces) >= REMEMBERED_PIECES:
-                self.pieces.clear()
-                self.totals.clear()
+            self.pieces.make_room()
             self.pieces[piece] = known
-            self.totals[piece] = known[-1]
-        return known
+        return self.pieces[piece]
+
+    def last_count(self, piece: str) -> int:
+        """The count of the whole piece."""
+        if not self.totals.known(piece):
+            self.totals.make_room()
+            self.totals[piece] = self.of_piece(piece.encode())[-1]
+        return self.totals[piece]
 
     def parts(self, text: str) -> list[str]:
         """The text cut at special tokens; these are parts of their own."""
@@ -135,7 +138,7 @@ class PrefixCounter:
             try:
                 n += sum(map(self.totals.__getitem__, cut))
             except KeyError:
-                n += sum(self.counts_of(p)[-1] for p in cut)
+                n += sum(map(self.last_count, cut))
         return n
 
     def prefixes(self, text: str) -> np.ndarray:
