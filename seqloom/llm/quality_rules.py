@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import let, saved, table
+from seqloom.llm.common import least_hashed, let, saved, table
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 WINDOW = 5
@@ -181,14 +181,8 @@ def train(stats: DataFrame, labels: DataFrame, sample: int = 20_000, **options)
     """Learns from at most `sample` labelled rows (those with the least hash of their id), which go to the driver as
     numbers. A doc_id labelled twice counts as bad if any of its labels is. Null labels and ids don't count."""
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    rows = (
-        stats.where(~base_failed())
-        .join(known, "doc_id")
-        .select(*[f().alias(n) for n, f in FEATURES.items()], (F.col("_quality") == 0).alias("bad"), F.xxhash64("doc_id").alias("h"), "doc_id")
-        .orderBy("h", "doc_id", "n_words")
-        .limit(sample)
-        .collect()
-    )
+    joined = stats.where(~base_failed()).join(known, "doc_id").select("doc_id", *[f().alias(n) for n, f in FEATURES.items()], (F.col("_quality") == 0).alias("bad"))
+    rows = least_hashed(joined, sample, "doc_id", "n_words").collect()
     x = {n: np.array([r[n] for r in rows], float) for n in FEATURES}
     return learn(x, np.array([r["bad"] for r in rows], bool), **options) if rows else []
 
