@@ -7,6 +7,7 @@ product with the room that is left, so that it takes most of what there is most
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import Remembered, rows_of, saved, table
 
 #: Words that a worker remembers with their ids before it starts afresh; examples that are packed together.
-REMEMBERED_WORDS, GROUP = 300_000, 16_384
+REMEMBERED_WORDS, GROUP = 600_000, 8_192
 
 
 #: Blanks and line ends become blanks, capital ASCII letters small ones: the tokenizer makes no difference between them.
@@ -109,6 +110,8 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096, id_col
         if path not in _encoders:
             _encoders[path] = WordIds(path)
         encode = _encoders[path]
+        gc.collect()
+        gc.freeze()  # the remembered words hold no cycles, and need not be searched for any
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for part in rows_of(batch, 1000):
