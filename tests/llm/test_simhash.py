@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+import corpus_pipeline
 from seqloom.llm import simhash as S
 from seqloom.llm.components import components
 
@@ -116,3 +117,67 @@ def test_query_equals_brute_force(spark):
     fp = np.array([int(r.fingerprint, 16) for r in rows], np.uint64)
     own = classes(all_pairs(fp), range(len(rows)))
     assert all(r.component_id == min(ids[j] for j in own if own[j] == own[k]) for k, r in enumerate(rows))
+
+
+def jaccard(a, b):
+    def own(text):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    a, b = own(a), own(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def similar_by_brute_force(texts):
+    return [(x, y) for y in range(len(texts)) for x in range(y) if jaccard(texts[x], texts[y]) >= 0.8]
+
+
+def edited(r, words, n):
+    words = list(words)
+    for k in r.sample(range(len(words)), n):
+        words[k] = f"new{r.randrange(10**6)}"
+    return words
+
+
+def near_copies(seed):
+    """Near copies of similarity about 0.7 to 0.95, short ones too, most of which differ in more than 3 bits."""
+    r = random.Random(seed)
+    texts = list(TEXTS)
+    for n in (5, 8, 30, 120, 120, 300):
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        texts += [" ".join(edited(r, base, r.randint(0, max(1, n // 45)))) for _ in range(6)] + [" ".join(base[: n - n // 8]), " ".join(base[: n - n // 4])]
+    r.shuffle(texts)
+    return texts
+
+
+def test_stage_keeps_one_of_near_copies_by_brute_force_jaccard(spark, monkeypatch):
+    texts = near_copies(3)
+    own = classes(similar_by_brute_force(texts), range(len(texts)))
+    fp = np.array([plain(t) for t in texts], np.uint64)
+    assert sorted(set(classes(all_pairs(fp), range(len(texts))).values())) != sorted(set(own.values()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' AS key", "2 AS node").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    for few, common in ((32, 20), (2, 4)):  # the second: crowds and common shingles
+        monkeypatch.setattr(S, "FEW", few)
+        monkeypatch.setattr(S, "COMMON", common)
+        kept = stage(spark, df, "")
+        assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(own.values()))
+
+
+def test_forest_joins_what_close_pairs_join(monkeypatch):
+    monkeypatch.setattr(S, "TILE", 16)
+    fp = near_group(4)
+    rows = np.zeros(len(fp), [("fp", np.uint64), ("size", np.int32)])
+    rows["fp"], rows["size"] = fp, np.sort(np.random.default_rng(4).integers(50, 90, len(fp)))
+    fits = [(a, b) for a, b in all_pairs(fp, 6) if 5 * rows["size"][a] >= 4 * rows["size"][b]]
+    assert sorted((int(a), int(b)) for x, y in S.close_pairs(rows, 6) for a, b in zip(x, y, strict=True)) == fits
+    x, y = S.forest(rows, 6)
+    assert len(x) < len(rows) and classes(zip(x.tolist(), y.tolist(), strict=True), range(len(fp))) == classes(fits, range(len(fp)))
+
+
+def test_stage_decides_by_row_not_by_id(spark):
+    say = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(None, say(0)), (None, say(1)), (None, say(1)), (1, say(2)), (1, say(3)), (2, say(3)), (3, say(3) + " tail"), (4, say(1)), (5, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, S.near_copy_stage(spark, df, "").collect()), key=str)
+    assert got == sorted([(None, say(0)), (4, say(1)), (1, say(2)), (1, say(3)), (5, None)], key=str)
