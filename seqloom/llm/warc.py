@@ -109,25 +109,65 @@ def revisit_record(page_id: int | None, url: str | None, digest: str, n_bytes: i
     return record(fields, head)
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields (names in lower case) and block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        head_end = data.find(b"\r\n\r\n", at)
-        if head_end < 0:
-            if data[at:].strip():
-                raise ValueError("a record's header has no end")
+def inflated(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """All gzip members of raw, piece by piece; raw itself if it isn't gzipped. A member that is cut off and what follows
+    the last member, other than zeros, are errors."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    member, view = zlib.decompressobj(31), memoryview(raw)
+    begun = False  # whether the member has had any input
+    for at in range(0, len(raw), 1 << 16):
+        rest = bytes(view[at : at + (1 << 16)])
+        while rest:
+            if not begun and not (rest := rest.lstrip(b"\0")):
+                break
+            begun = True
+            out = member.decompress(rest, step)
+            if out:
+                yield out
+            if member.eof:
+                rest, member, begun = member.unused_data, zlib.decompressobj(31), False
+            else:
+                rest = member.unconsumed_tail
+    while begun and (out := member.decompress(member.unconsumed_tail, step)):
+        yield out
+        if member.eof:
             return
-        version, *lines = data[at:head_end].decode("utf-8", "replace").split("\r\n")
+    if begun:
+        raise ValueError("an archive ends within a gzip member")
+
+
+def parsed(data: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields (names in lower case) and block of each record of an archive, given whole or in pieces."""
+    pieces, held, base = iter([data] if isinstance(data, bytes) else data), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        seen = 0
+        while (head_end := held.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(held) - 3)
+            if not more():
+                if held.strip():
+                    raise ValueError("a record's header has no end")
+                return
+        version, *lines = held[:head_end].decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {base}")
         fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         start = head_end + 4
         end = start + int(fields["content-length"])
-        if data[end : end + 4] != END:
-            raise ValueError(f"the record at byte {at} doesn't end where its length says")
-        yield fields, data[start:end]
-        at = end + 4
+        while len(held) < end + 4 and more():
+            pass
+        if held[end : end + 4] != END:
+            raise ValueError(f"the record at byte {base} doesn't end where its length says")
+        yield fields, bytes(held[start:end])
+        del held[: end + 4]
+        base += end + 4
 
 
 # --- Spark -----------------------------------------------------------------------------------------------------------
@@ -179,7 +219,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Records in one segment are decoded where they are read; only segments of longer ones are moved, grouped by origin
     and put together. Copies of a record that is written twice give a row each. A missing segment, a wrong total
-    length, broken framing or a payload that doesn't fit its digest is an error.
+    length, broken framing or a payload that doesn't fit its digest is an error. An archive may have any number of gzip
+    members; it is inflated record by record, but its compressed bytes are held whole.
     """
     schema = "record_id string, url string, record_type string, refers_to_id string, payload_digest string, payload binary, payload_bytes bigint, segment int, total bigint"
 
@@ -187,11 +228,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 raw = batch.column(0)[k].as_py()
-                data = zlib.decompress(raw, 47) if raw[:2] == b"\x1f\x8b" else raw
-                del raw
                 held: list[tuple] = []
                 size = 0
-                for f, block in parsed(data):
+                for f, block in parsed(inflated(raw)):
                     row = _row(f, block)
                     held.append(row)
                     size += len(row[5] or b"")

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -81,6 +82,24 @@ def test_missing_segment_is_an_error(spark, tmp_path):
         W.read_archives(spark, str(tmp_path)).collect()
 
 
+def test_archive_with_a_member_for_each_record(spark, tmp_path):
+    import gzip
+
+    payloads = [b"one", b"", b"x" * 200_000, bytes(range(256)) * 900, b"last"]
+    records = [r + W.END for k, p in enumerate(payloads) for r in W.response_records(k, "u", p, base64.b32encode(hashlib.sha1(p).digest()).decode(), 50_000)]
+    members = b"".join(map(gzip.compress, records))
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "a.warc.gz").write_bytes(members)
+    assert sorted(bytes(r.payload) for r in W.read_archives(spark, str(tmp_path / "a")).collect()) == sorted(payloads)
+    assert b"".join(W.inflated(members + b"\0" * 70_000, 100)) == b"".join(records) == b"".join(W.inflated(gzip.compress(b"".join(records))))
+    for bad in (members + b"garbage", members[:-9], members + b"\x1f"):
+        with pytest.raises((ValueError, zlib.error)):
+            list(W.inflated(bad))
+    (tmp_path / "a" / "b.warc.gz").write_bytes(members + b"garbage")
+    with pytest.raises(PySparkException):
+        W.read_archives(spark, str(tmp_path / "a")).collect()
+
+
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert W.op7(spark, str(tmp_path)).count() == 0
