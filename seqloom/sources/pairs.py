@@ -49,8 +49,8 @@ def _paired(rows: DataFrame, strict: bool, prefixed: bool) -> DataFrame:
 def read_pairs(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """(file, pair, a, b, name_a, name_b) of one file or of all files of a folder; names are those of FASTA records.
 
-    A last line or record without a partner is dropped, or an error with mode FAILFAST. Files of other kinds are an
-    error, as is a .seq line without its prefix.
+    An empty line of a .txt file is an empty sequence. A last line or record without a partner is dropped, or an error
+    with mode FAILFAST. Files of other kinds are an error, as is a .seq line without its prefix, an empty one included.
     """
     if mode not in ("PERMISSIVE", "FAILFAST"):
         raise ValueError("mode is PERMISSIVE or FAILFAST")
@@ -67,7 +67,7 @@ def read_pairs(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> Data
             body = F.regexp_replace(F.substr("value", F.length(head) + 1), r"\s+", "")
             rows = rows.select("file", "block", F.split(head, r"\s")[0].alias("name"), body.alias("value"))
         else:
-            rows = _lines(spark, path, "\n", pattern).where("value <> ''").select("file", "block", F.lit(None).cast("string").alias("name"), F.regexp_replace("value", "\r$", "").alias("value"))
+            rows = _lines(spark, path, "\n", pattern).select("file", "block", F.lit(None).cast("string").alias("name"), F.regexp_replace("value", "\r$", "").alias("value"))
         parts.append(_paired(rows, mode == "FAILFAST", FORMATS[kind] == "seq"))
     if not parts:
         return spark.createDataFrame([], "file string, pair bigint, a string, b string, name_a string, name_b string")

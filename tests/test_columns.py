@@ -146,6 +146,15 @@ def test_files(spark, tmp_path):
     assert lines == [">ACGT", "<ACGA", ">AA", "<TT"]
 
 
+def test_empty_lines_are_sequences(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("AC\nAG\n\nTT\nC\n\n\r\nG\n")
+    rows = read_pairs(spark, str(tmp_path / "e.txt"), "FAILFAST").orderBy("pair").collect()
+    assert [(r.a, r.b) for r in rows] == [("AC", "AG"), ("", "TT"), ("C", ""), ("", "G")]
+    (tmp_path / "e.seq").write_text(">AC\n\n<AG\n")
+    with pytest.raises(PySparkException):
+        read_pairs(spark, str(tmp_path / "e.seq")).collect()
+
+
 def test_block_numbers_cross_splits(spark, tmp_path):
     lines = [f"{'ACGT'[k % 4] * (k % 50 + 1)}" for k in range(4000)]
     (tmp_path / "big.txt").write_text("\n".join(lines) + "\n")
