@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import Remembered, least_hashed, rows_of, saved, table
 
 BUCKETS = 1 << 18
-#: Bounds of what is fitted on: labelled rows for stems, stems, rows of each class for a scorer, rows for thresholds.
-LABELLED, STEMS, PER_CLASS, CALIBRATION = 8_000, 2_000, 2_000, 10_000
+#: Bounds of what is fitted on: labelled rows for stems, stems, rows of each class for a scorer.
+LABELLED, STEMS, PER_CLASS = 8_000, 2_000, 2_000
+#: Share of annotated clean documents that each threshold spares.
+SPARED = 0.999
 REMEMBERED_WORDS = 300_000
 ENDS = ".,;:!?%#*$&|<>\"'()"
 SYMBOLS, CAPITALS = b"#*$%&|<>", bytes(range(65, 91))
@@ -266,7 +268,23 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Vote patterns are counted over all documents; the scorers are trained on at most PER_CLASS rows of each class."""
+    """Vote patterns are counted over all documents; the scorers are trained on at most PER_CLASS rows of each class.
+    Thresholds are from all documents that annotators call clean."""
+    model, clean = _fitted(docs, labels)
+    return calibrated(model, scored(docs.join(clean, "doc_id", "left_semi"), model))
+
+
+def calibrated(model: Model, scores: DataFrame) -> Model:
+    """Thresholds of model spare all but one in a thousand of the annotated clean documents, whose scores are given. They
+    are zero, where the scorers are undecided, if there are none."""
+    high = scores.agg(*[F.percentile_approx(c, SPARED, 100_000) for c in ("quality_score", "toxic_score")]).first()
+    for head, found in zip((model.quality, model.toxic), high, strict=True):
+        head.threshold = max(0.0, found or 0.0)
+    return model
+
+
+def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The model without thresholds, and the doc_id of what annotators and the label model call clean."""
     found = toxic_stems(docs, labels)
     cast = saved(votes(docs, labels, found))
     accuracy, scorers, clean = {}, [], F.lit(True)
@@ -287,14 +305,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         rows = _training_rows(docs, sample.groupBy("doc_id").agg(F.max(head).alias("pattern")), found)
         scorers.append(train_scorer([r[:2] for r in rows], np.array([posterior[r[2]] for r in rows])))
     model = Model(*scorers, found, accuracy)
-    # Thresholds spare all but one in a thousand clean documents, by annotators' word where there is any.
     said = cast.where(clean & F.col("quality").endswith(str(GOOD)) & F.col("toxic").endswith(str(GOOD)))
-    sample = least_hashed((said if said.count() >= CALIBRATION // 10 else cast.where(clean)).select("doc_id"), CALIBRATION, "doc_id")
-    rows = scored(docs.select("doc_id", "text").join(F.broadcast(sample.distinct()), "doc_id"), model).select("quality_score", "toxic_score").collect()
-    if rows:
-        for head, k in ((model.quality, 0), (model.toxic, 1)):
-            head.threshold = max(0.0, float(np.quantile([r[k] for r in rows], 0.999)))
-    return model
+    return model, said.select("doc_id").distinct()
 
 
 def _training_rows(docs: DataFrame, sample: DataFrame, found: frozenset[str]) -> list[tuple[np.ndarray, np.ndarray, str]]:
@@ -341,13 +353,23 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, quality_score double, toxic_score double, accepted boolean")
 
 
+def judged(docs: DataFrame, labels: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """scored() by the model of docs and labels, in one pass for thresholds and verdicts. ids: docs with doc_id replaced
+    by what its rows are told apart by, a struct with doc_id in it."""
+    model, clean = _fitted(docs, labels)
+    scores = saved(scored(docs if ids is None else ids, model).drop("accepted"))
+    own = scores.withColumn("_id", F.col("doc_id") if ids is None else F.col("doc_id.doc_id"))
+    model = calibrated(model, own.join(clean.select(F.col("doc_id").alias("_id")), "_id", "left_semi"))
+    accepted = (F.col("quality_score") <= model.quality.threshold) & (F.col("toxic_score") <= model.toxic.threshold)
+    return scores.withColumn("accepted", accepted)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. A doc_id whose rows differ in the verdict goes with all its rows."""
-    verdict = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+    verdict = judged(docs, table(spark, sf_dir, "labels"))
     rejected = verdict.where(~F.col("accepted")).select("doc_id").distinct()
     return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.doc_id), "left_anti")

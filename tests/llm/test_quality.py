@@ -131,3 +131,25 @@ def test_fit_without_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for d in (docs, docs.limit(0)):
         assert Q.scored(d, Q.fit(d, labels)).where("NOT accepted").count() == 0
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_thresholds_are_from_annotated_clean_documents_at_every_size(spark, size):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    seen = labels.where("doc_id % 3 <> 0")
+    model = Q.fit(docs, seen)
+    x = Q.scored(docs, model).join(labels, "doc_id").toPandas()
+    clean = x[(x.doc_id % 3 != 0) & (x.quality == 1) & (x.toxic == 0)]
+    for head, c in ((model.quality, "quality_score"), (model.toxic, "toxic_score")):
+        assert head.threshold <= max(0, clean[c].max()) + 1e-9
+    held = x[x.doc_id % 3 == 0]
+    toxic = held[(held.toxic == 1) & (held.quality == 1)]
+    print(size, len(clean), "clean; held-out toxic:", len(toxic), "accepted", toxic.accepted.mean(), "clean accepted", held[(held.quality == 1) & (held.toxic == 0)].accepted.mean())
+    assert len(toxic) == 0 or toxic.accepted.mean() < 0.6
+    assert held[(held.quality == 1) & (held.toxic == 0)].accepted.mean() > 0.9
+
+
+def test_query_equals_fit_and_score(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    key = lambda r: (r.doc_id, r.accepted)
+    assert sorted(map(key, Q.op6(spark, SF).collect())) == sorted(map(key, Q.scored(docs, Q.fit(docs, labels)).collect()))
