@@ -190,6 +190,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap; a contaminated doc_id goes with all its rows."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti")
+    """Documents without an overlap, decided for each text of a doc_id."""
+    ids = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc_id"), "text")
+    found = contaminated(ids, table(spark, sf_dir, "benchmark")).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.key").alias("_key")).distinct()
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    return keyed.join(found, keyed.doc_id.eqNullSafe(found._id) & (keyed._text == found._key), "left_anti").drop("_text")

@@ -369,7 +369,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. A doc_id whose rows differ in the verdict goes with all its rows."""
-    verdict = judged(docs, table(spark, sf_dir, "labels"))
-    rejected = verdict.where(~F.col("accepted")).select("doc_id").distinct()
-    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected.doc_id), "left_anti")
+    """Documents that the classifier accepts, decided for each text of a doc_id."""
+    ids = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc_id"), "text")
+    verdict = judged(docs, table(spark, sf_dir, "labels"), ids)
+    rejected = verdict.where(~F.col("accepted")).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.key").alias("_key")).distinct()
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    return keyed.join(rejected, keyed.doc_id.eqNullSafe(rejected._id) & (keyed._text == rejected._key), "left_anti").drop("_text")

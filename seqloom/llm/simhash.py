@@ -199,13 +199,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of op9 the rows with its smallest doc_id stay; a doc_id that stays has one row (rows that repeat it go)."""
-    found = near_duplicates(docs)
-    kept = saved(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("fp").alias("fp")))
-    out = docs.join(kept.select("doc_id"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    if kept.where("rows > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id"])
+    """Of each class of op9 one row stays, decided for each text of a doc_id."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("key"))
+    found = near_duplicates(docs.select(row.alias("doc_id"), "text"))
+    return one_of_each(docs, found.select("doc_id.doc_id", "doc_id.key", F.col("component_id").alias("root")))
 
 
 # --- the pipeline's stage --------------------------------------------------------------------------------------------

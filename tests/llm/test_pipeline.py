@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_suffix_dedup import brute
 from test_tokens import check_packed
 from tokenizers import Tokenizer
@@ -61,3 +62,18 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert out.count() > 100 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_decide_by_row_not_by_id(spark, monkeypatch):
+    stages = dict(corpus_pipeline.STAGES)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    item = max((r.text for r in bench.collect()), key=lambda x: len(x or ""))
+    rows = [(None, "some words that nobody else says here at all"), (None, item), (7, "other words that nobody else says here at all"), (7, item), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text) for r in stages["benchmark decontamination"](spark, df, SF).collect()}
+    assert got == {r for r in rows if r[1] != item}
+
+    monkeypatch.setattr(Q, "judged", lambda docs, labels, ids=None: (docs if ids is None else ids).select("doc_id", (~F.coalesce(F.contains("text", F.lit("bad")), F.lit(False))).alias("accepted")))
+    rows = [(None, "bad words"), (None, "calm words"), (7, "calm"), (7, "bad"), (7, None), (8, "bad")]
+    kept = {(r.doc_id, r.text) for r in stages["quality classifier"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert kept == {r for r in rows if "bad" not in (r[1] or "")}
