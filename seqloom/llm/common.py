@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,9 +51,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def lookup(df: DataFrame, **columns: Column) -> DataFrame:
-    """Only the given columns, so that further columns of the input can't clash with ours."""
-    return df.select(*[c.alias(n) for n, c in columns.items()])
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def least_hashed(rows: DataFrame, n: int, *key: str) -> DataFrame:
@@ -70,10 +73,18 @@ def least_hashed(rows: DataFrame, n: int, *key: str) -> DataFrame:
     return hashed.orderBy("_hash", *key).limit(n).drop("_hash")
 
 
-def rows_of(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """The batch in slices, to bound what is held as Python objects at once."""
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def rows_of(batch: pa.RecordBatch, rows: int = 2000, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows and about `most_bytes` bytes (or one row, if it has more), to bound what
+    is held as Python objects at once."""
+    if not batch.num_rows:
+        return
+    step = max(1, min(rows, int(most_bytes * batch.num_rows / max(1, batch.nbytes))))
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        if part.nbytes > 4 * most_bytes and part.num_rows > 1:
+            yield from (x for half in (part.slice(0, part.num_rows // 2), part.slice(part.num_rows // 2)) for x in rows_of(half, rows, most_bytes))
+        else:
+            yield part
 
 
 class Remembered(dict):
@@ -93,10 +104,10 @@ class Remembered(dict):
             return True
         return False
 
-    def unknown(self, keys: set) -> set:
+    def unknown(self, keys: Iterable) -> set:
         """Those of keys without a value; the others' values are then in the dictionary itself."""
-        new = keys - self.keys()
-        back = new & self.before.keys()
+        new = {k for k in keys if k not in self}
+        back = {k for k in new if k in self.before}
         self.update(zip(back, map(self.before.__getitem__, back), strict=True))
         return new - back
 

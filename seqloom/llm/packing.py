@@ -10,15 +10,17 @@ from __future__ import annotations
 import gc
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Remembered, rows_of, saved, table
+from seqloom.llm.common import Remembered, free_name, rows_of, saved, table
 
 #: Words that a worker remembers with their ids before it starts afresh; examples that are packed together.
 REMEMBERED_WORDS, GROUP = 600_000, 8_192
@@ -54,26 +56,31 @@ class WordIds:
     def _learn(self, new: set[bytes]) -> None:
         """Words that end with marks after a letter are put together from the word and the marks, which the tokenizer
         always parts."""
-        new.discard(b"")
-        self.known[b""] = b""
-        marked = []
+        known, marked, parts = self.known, [], set()
+        known[b""] = b""
+        small: list[bytes] = []
+        latin: list[bytes] = []
+        rest: list[bytes] = []
+
+        def sorted_in(words: Iterable[bytes]) -> None:
+            for w in words:
+                if w.isalpha() and w.islower():
+                    small.append(w)
+                elif w[0] >= 65 and (t := w.decode()).isalpha() and max(t) < "\u0250" and "\u0130" not in t:
+                    latin.append(w)
+                else:
+                    rest.append(w)
+
         for w in new:
-            bare = w.rstrip(MARKS)
-            if len(bare) < len(w) and bare[-1:].isalpha() and b"<|" not in bare:
+            if w and w[-1] in MARKS and len(bare := w.rstrip(MARKS)) and bare[-1:].isalpha() and b"<|" not in bare:
                 marked.append((w, bare, w[len(bare) :]))
-        if marked:
-            new.difference_update([w for w, _, _ in marked])
-            new |= self.known.unknown({x for _, *parts in marked for x in parts})
-        small = [w for w in new if w.isalpha() and w.islower()]
-        new.difference_update(small)
-        latin = [w for w in new if w[0] >= 65 and (t := w.decode()).isalpha() and max(t) < "\u0250" and "\u0130" not in t]
-        new.difference_update(latin)
+                parts.update(marked[-1][1:])
+        sorted_in(known.unknown(parts - new))
+        sorted_in(new.difference([w for w, _, _ in marked], [b""]))
         for words, tokenizer in ((small, self.small), (latin, self.tokenizer)):
-            new.update(self._learn_letters(words, tokenizer))
-        rest = list(new)
+            rest += self._learn_letters(words, tokenizer)
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        known = self.known
+            known[w] = np.asarray(e.ids, "<u4").tobytes()
         known.update([(w, known[bare] + known[marks]) for w, bare, marks in marked])
 
     def _learn_letters(self, words: list[bytes], tokenizer) -> list[bytes]:
@@ -92,31 +99,52 @@ class WordIds:
         return left
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.translate(_BLANK if b"<|" in t else _SAME).split(b" ") for t in texts]
+        """Words are told apart by Arrow's hash table, each with the blank after it, so that only the distinct ones of
+        these texts are looked up, and their ids are put in place of the words by Arrow too."""
+        data = b"".join([x for t in texts for x in (t.translate(_BLANK if b"<|" in t else _SAME), b" ")])
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        places = pa.array(np.r_[0, ends + 1], pa.int64())
+        found = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, places.buffers()[1], pa.py_buffer(data)]).dictionary_encode()
+        words = pc.binary_slice(found.dictionary, 0, -1).to_numpy(zero_copy_only=False).tolist()
         self.known.make_room()
-        if new := self.known.unknown(set().union(*words)):
+        if new := self.known.unknown(words):
             self._learn(new)
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, w)) for w in words]
+        ids = pa.array(list(map(self.known.__getitem__, words)), pa.large_binary()).take(found.indices)
+        _, at, raw = ids.buffers()
+        last = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1) + 1
+        cuts = np.frombuffer(at, np.int64)[ids.offset : ids.offset + len(ids) + 1][np.r_[0, last]].tolist()
+        view = memoryview(raw) if raw is not None else memoryview(b"")
+        return [bytes(view[s:e]) for s, e in pairwise(cuts)]
 
 
 _encoders: dict[str, WordIds] = {}
 
 
+def encoder(path: str) -> WordIds:
+    """One for each worker and file."""
+    if path not in _encoders:
+        _encoders[path] = WordIds(path)
+    gc.collect()
+    gc.freeze()  # the remembered words hold no cycles, and need not be searched for any
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, path: str, end_id: int = 2, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's token ids and the end id, cut into pieces of most ids and a rest: (doc_id, start, length, ids_crc32, doc_tokens)."""
+    """Each row's token ids and the end id, cut into pieces of most ids and a rest: (doc_id, start, length, ids_crc32,
+    doc_tokens).
+
+    Null and empty texts are the end id alone. Texts are encoded whole, in slices of bounded bytes (a text that is longer
+    than these by itself). Null ids are kept, repeated rows give their own pieces each, no rows give none; other columns
+    aren't read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = WordIds(path)
-        encode = _encoders[path]
-        gc.collect()
-        gc.freeze()  # the remembered words hold no cycles, and need not be searched for any
+        encode = encoder(path)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for part in rows_of(batch, 1000):
                 found = []
-                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_numpy(zero_copy_only=False)]
                 for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
                     ids += end
                     n = len(ids) // 4
@@ -161,19 +189,22 @@ def pack(examples: DataFrame, tokens: str = "length", loss: str = "loss_tokens",
 
     Each example must fit by itself, else an error names it. Examples are dealt evenly into groups of at most about
     `group` rows, and each is packed by itself; so no group grows with the input, whatever the keys are. Repeated rows
-    are packed as rows of their own. Null sizes count as zero. No rows: no rows.
+    are packed as rows of their own. Null sizes count as zero. No rows: no rows. Columns of examples named sequence_id
+    or offset are replaced; all others stay, whatever their names.
     """
-    rows = saved(examples).withColumn("_no", F.monotonically_increasing_id())  # the saved rows keep their places
+    examples = examples.drop("sequence_id", "offset")
+    no, dealt = free_name(examples, "_no"), free_name(examples, "_group")
+    rows = saved(examples).withColumn(no, F.monotonically_increasing_id())  # the saved rows keep their places
     n = rows.count()
     size = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
     over = rows.where((size(tokens) > max_tokens) | (size(loss) > max_loss)).select(tokens, loss).first()
     if over:
         raise ValueError(f"an example of {over[0]} tokens, {over[1]} with loss, is over the limits; cut it first")
-    full = rows.where(size(tokens) == max_tokens).select(*examples.columns, (F.col("_no") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = rows.where(size(tokens) == max_tokens).select(*examples.columns, (F.col(no) * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     limits = np.array([max_tokens, max_segments, max_loss], float)
 
     def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("_no", kind="stable")
+        x = x.sort_values(no, kind="stable")
         t = x[tokens].fillna(0).to_numpy(np.int64)
         bins, place = fill(np.stack([t, np.ones_like(t), x[loss].fillna(0).to_numpy(np.int64)], axis=1).astype(float), limits)
         order = np.lexsort([place, bins])
@@ -183,16 +214,54 @@ def pack(examples: DataFrame, tokens: str = "length", loss: str = "loss_tokens",
         offset = np.empty(len(x), np.int64)
         offset[order] = before - before[np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))]
         x["sequence_id"], x["offset"] = (int(key[0]) * 2**32 + bins) * 2, offset
-        return x.drop(columns=["_no", "_group"])
+        return x.drop(columns=[no, dealt])
 
     groups = max(1, -(-n // group))
-    rest = rows.where(size(tokens) < max_tokens).withColumn("_group", F.pmod(F.xxhash64("_no"), F.lit(groups)))
+    rest = rows.where(size(tokens) < max_tokens).withColumn(dealt, F.pmod(F.xxhash64(no), F.lit(groups)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in examples.schema) + ", sequence_id bigint, offset bigint"
-    return full.unionByName(rest.groupBy("_group").applyInPandas(run, schema))
+    return full.unionByName(rest.groupBy(dealt).applyInPandas(run, schema))
+
+
+#: Turns of a conversation that are counted together before the counts are summed up over the conversation.
+TURNS = 1_000
+
+
+def conversation_pieces(turns: DataFrame, path: str, end_id: int = 2, most: int = 4096, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """turns (conv_id, turn, role, text) to (conv_id, start, length, loss_tokens): each conversation's ids, each turn's
+    with the end id after them, in the turns' order, cut into pieces of most ids and a rest. Ids of the learned roles'
+    turns bear a loss, but for the first id of a conversation: nothing comes before it.
+
+    Null texts are the end id alone, null roles bear no loss. Turns of one number (null: before all) are in the order of
+    role and text. Running sums go over blocks of turns first, so that no task needs all turns of a conversation that
+    has a large part of the rows. Other columns aren't read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path)
+        for batch in batches:
+            for part in rows_of(batch, 1000):
+                texts = [t or b"" for t in part.column(3).cast(pa.binary()).to_numpy(zero_copy_only=False)]
+                size = pa.array([len(ids) // 4 + 1 for ids in encode(texts)], pa.int64())
+                mark = pa.array([zlib.crc32(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], size, mark], names=["conv_id", "turn", "role", "size", "mark"])
+
+    kinds = [turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn", "role")]
+    own = turns.select("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kinds[0]}, turn {kinds[1]}, role {kinds[2]}, size bigint, mark bigint")
+    own = saved(own.withColumn("block", F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-(2**62)))))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = own.groupBy("conv_id", "block").agg(F.sum("size").alias("n")).select(F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    at = own.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    at = at.join(base, at.conv_id.eqNullSafe(base._conv) & (at.block == base._block)).withColumn("at", F.col("at") + F.col("base"))
+    parts = at.withColumn("piece", F.explode(F.sequence(F.floor(F.col("at") / most), F.floor((F.col("at") + F.col("size") - 1) / most))))
+    first, last = F.greatest("at", F.col("piece") * most), F.least(F.col("at") + F.col("size"), (F.col("piece") + 1) * most)
+    bears = F.when(F.col("role").isin(*learned), last - first - F.when(first == 0, 1).otherwise(0)).otherwise(0)
+    return parts.groupBy("conv_id", (F.col("piece") * most).alias("start")).agg(F.sum(last - first).alias("length"), F.sum(bears).alias("loss_tokens"))
 
 
 def packed_documents(docs: DataFrame, path: str, most: int = 4096, max_segments: int = 512) -> DataFrame:
-    """Pieces of documents in sequences. All ids but each piece's first have a loss: that one has nothing before it."""
+    """Pieces of documents in sequences. All ids but each piece's first have a loss: that one has nothing before it. So
+    their limit can't bind here before that of tokens does; it does for conversations (see conversation_pieces)."""
     cut = pieces(docs, path, most=most).withColumn("loss_tokens", F.col("length") - 1)
     return pack(cut, max_tokens=most, max_segments=max_segments, max_loss=most).drop("loss_tokens")
 

@@ -33,7 +33,7 @@ def test_every_prefix_counts_as_the_library_says(library, text):
 @settings(max_examples=250, deadline=None)
 @given(st.lists(TEXT, max_size=4))
 def test_word_ids_equal_the_library(library, texts):
-    encode = K._encoders.setdefault(WORDS, K.WordIds(WORDS))
+    encode = K._encoders.get(WORDS) or K.encoder(WORDS)
     got = [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])]
     assert got == [library[1].encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -123,3 +123,44 @@ def test_fill_prefers_what_there_is_room_for():
     sizes = np.array([[60, 1, 5], [40, 1, 5], [50, 1, 90], [50, 1, 10]], float)
     bins, place = K.fill(sizes, np.array([100.0, 10.0, 100.0]))
     assert len(set(bins.tolist())) == 2 and sorted(zip(bins.tolist(), place.tolist(), strict=True)) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_examples_with_columns_of_our_names(spark):
+    rows = [(k, 10, 1, k % 3, -1, "x") for k in range(20)]
+    df = spark.createDataFrame(rows, "_no long, length long, loss_tokens long, _group long, sequence_id long, offset string")
+    out = K.pack(df, max_tokens=45).collect()
+    assert sorted((r._no, r.length, r._group) for r in out) == [(k, 10, k % 3) for k in range(20)]
+    assert sorted(r.offset for r in out) == [10 * (k // 5) for k in range(20)]
+
+
+def test_pieces_of_null_ids_repeated_rows_and_long_texts(spark, library):
+    long = "word " * 300_000
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (1, "a b"), (2, long)], "doc_id long, text string").selectExpr("*", "0 AS start", "0 AS doc_tokens")
+    out = K.pieces(df, WORDS).collect()
+    assert sorted((r.doc_id or 0, r.start, r.length) for r in out if r.doc_id != 2) == [(0, 0, 3), (0, 0, 3), (1, 0, 1), (1, 0, 3)]
+    assert sum(r.length for r in out if r.doc_id == 2) == 300_001
+    packed = K.packed_documents(df, WORDS).collect()
+    assert len(packed) == len(out) and len({(r.sequence_id, r.offset) for r in packed}) == len(out)
+
+
+def test_conversations_have_loss_where_the_assistant_speaks(spark, library, monkeypatch):
+    monkeypatch.setattr(K, "TURNS", 7)
+    r = random.Random(5)
+    rows = [(c, t, r.choice(["user", "assistant", "assistant", None]), r.choice([None, "", "one two", "three, four five!", "é " * 9])) for c in (1, 2, 3, None) for t in range(1 if c == 3 else 40)]
+    rows += [(1, 5, "assistant", "again"), (1, 5, "assistant", "again"), (2, None, "assistant", "before all")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS start", "2 AS length").repartition(3)
+    wanted = {}
+    for c in {x[0] for x in rows}:
+        bears = []
+        size = lambda t: len(library[1].encode(t or "", add_special_tokens=False).ids) + 1
+        for _, _, role, text in sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is not None, x[1], x[2] is not None, x[2] or "", size(x[3]), zlib.crc32((x[3] or "").encode()))):
+            bears += [role == "assistant"] * size(text)
+        bears[0] = False
+        wanted |= {(c, s): (len(bears[s : s + 16]), sum(bears[s : s + 16])) for s in range(0, len(bears), 16)}
+    cut = K.conversation_pieces(df, WORDS, most=16)
+    assert {(x.conv_id, x.start): (x.length, x.loss_tokens) for x in cut.collect()} == wanted
+    packed = K.pack(cut, max_tokens=64, max_segments=9, max_loss=16).groupBy("sequence_id").agg({"length": "sum", "loss_tokens": "sum", "start": "count"}).collect()
+    assert all(x["sum(length)"] <= 64 and x["sum(loss_tokens)"] <= 16 and x["count(start)"] <= 9 for x in packed)
+    assert sum(x["count(start)"] for x in packed) == len(wanted)
+    roomy = K.pack(cut, max_tokens=64, max_segments=9, max_loss=64).select("sequence_id").distinct().count()
+    assert roomy < len(packed)  # the limit of loss binds
