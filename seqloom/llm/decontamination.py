@@ -4,6 +4,9 @@ Fixed masks pick some of the words in a window and ignore the others, so a hash
 substitutions at ignored places. Hashes of the benchmark's windows are joined with those of the training texts'
 windows; around each hit both texts are compared word by word along the diagonal, and an overlap counts if a stretch
 of at least 13 words (or the whole item, if shorter) agrees in at least 80 % of its words.
+
+Both sides of the join are made in executors. A Bloom filter of the benchmark's hashes keeps most windows of the training
+texts out of it; its size has a bound, and beyond that more windows pass it, none is lost.
 """
 
 from __future__ import annotations
@@ -12,109 +15,205 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Remembered, rows_of, table
+from seqloom.llm.common import Remembered, rows_of, saved, table
 
-#: Picked (1) and ignored (0) words. A stretch of 16 words or more with at most a fifth substituted has four words in a
-#: row that aren't (there are too few gaps for more breaks); the others see to it that shorter stretches, down to 5 words,
-#: always have a window whose picked words aren't either. So no overlap is missed.
-MASKS = ("1111", "11011", "11101", "10111")
-SHORTEST, STRETCH, SIMILARITY = 5, 13, 0.8
-#: Words of benchmark that are broadcast at once, and words that a worker remembers.
-BLOCK_WORDS, REMEMBERED_WORDS = 2_000_000, 150_000
-ENDS = ".,;:!?%#*$&|<>\"'()[]{}`-_/\\“”‘’«»„–—…¿¡"
-_SAME = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+STRETCH, SIMILARITY = 13, 0.8
+#: Picked (1) and ignored (0) words, by the least number of words of the items that they are for. Each family leaves no
+#: placement of the substitutions that misses all its masks: in stretches of 13 to 25 words (longer ones hold one of
+#: these) for the last, in whole items of 5 to 12 words for the one before. Shorter items have no word to spare.
+MASKS = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111", "11011", "11101", "10111"), 13: ("111111", "1101111", "1111011", "101010111")}
+LONGEST = 9
+#: Words that a worker remembers; the filter has at least so many bits for each hash, up to 2 to the power of the last.
+REMEMBERED_WORDS, BITS_EACH, MOST_BITS = 150_000, 64, 28
+ENDS = ".,;:!?%*$&|<>\"'()[]{}`-_/\\+“”‘’«»„–—…¿¡"
+#: White space becomes blanks, capital ASCII letters small ones.
+_SAME = bytes.maketrans(b"\t\n\r\x0b\x0c" + bytes(range(65, 91)), b"     " + bytes(range(97, 123)))
+_FACTORS = [np.uint64(f) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
 
 
 class WordHashes(Remembered):
-    """8 bytes for each word, in lower case and without marks at its ends; none for marks alone."""
+    """A 64-bit hash for each word, in lower case and without marks at its ends; zero for marks alone."""
 
     def __init__(self) -> None:
         super().__init__(REMEMBERED_WORDS)
 
-    def __missing__(self, word: bytes) -> bytes:
+    def __missing__(self, word: bytes) -> int:
         if not self.known(word):
-            self.make_room()
             bare = word.decode("utf-8", "replace").lower().strip(ENDS)
-            self[word] = xxhash.xxh64_intdigest(bare).to_bytes(8, "little") if bare else b""
+            self[word] = xxhash.xxh64_intdigest(bare) | 1 if bare else 0
         return self[word]
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_SAME).split()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u8")
-
-
-def window_hashes(words: np.ndarray, mask: str) -> np.ndarray:
-    n = len(words) - len(mask) + 1
-    out = np.full(max(0, n), len(mask), np.uint64)
-    if n > 0:
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts, and where each text's end (the first is 0). Arrow tells words apart, so only the
+        distinct ones are hashed."""
+        data = b"".join([x for t in texts for x in ((t or b"").translate(_SAME), b" ")])
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        places = pa.array(np.r_[0, ends + 1], pa.int64())
+        found = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, places.buffers()[1], pa.py_buffer(data)]).dictionary_encode()
+        self.make_room()
+        words = pc.binary_slice(found.dictionary, 0, -1).to_numpy(zero_copy_only=False).tolist()
+        hashes = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))[found.indices.to_numpy()]
+        kept = hashes != 0
+        last = np.searchsorted(ends, np.cumsum([len(t or b"") + 1 for t in texts]) - 1) + 1
+        return hashes[kept], np.r_[0, np.cumsum(kept)[last - 1]] if len(texts) else np.zeros(1, np.int64)
+
+
+def family_of(n_words: int) -> int:
+    return max((k for k in MASKS if k <= n_words), default=0)
+
+
+def window_hashes(words: np.ndarray, family: int) -> list[np.ndarray]:
+    """For each mask of the family the hashes of all windows that start in words and end there."""
+    scaled: dict[int, np.ndarray] = {}
+    out = []
+    for number, mask in enumerate(MASKS[family]):
+        n = max(0, len(words) - len(mask) + 1)
+        h = np.full(n, (family << 8 | number) * 0x100000001B3, np.uint64)
         for k, c in enumerate(mask):
             if c == "1":
-                out = out * np.uint64(0x9E3779B97F4A7C15) + (words[k : k + n] ^ (out >> np.uint64(29)))
-        out ^= out >> np.uint64(32)
-        out *= np.uint64(0xD6E8FEB86659FD93)
+                if k not in scaled:
+                    scaled[k] = words * _FACTORS[k]
+                h += scaled[k][k : k + n]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        out.append(h)
     return out
 
 
-class Block:
-    """A part of the benchmark that is looked up at once: items' words, and all windows' hashes in order."""
-
-    FILTER_BITS = 22
-
-    def __init__(self, items: list[tuple], similarity: float, stretch: int):
-        self.ids, self.words = [i for i, _ in items], [w for _, w in items]
-        self.similarity, self.stretch = similarity, stretch
-        self.seeds = {}
-        for mask in MASKS:
-            own = [(k, window_hashes(w, mask)) for k, w in enumerate(self.words) if len(w) >= len(mask)]
-            h = np.concatenate([x for _, x in own]) if own else np.zeros(0, np.uint64)
-            item = np.repeat([k for k, _ in own], [len(x) for _, x in own]).astype(np.int64)
-            at = np.concatenate([np.arange(len(x)) for _, x in own]) if own else np.zeros(0, np.int64)
-            order = np.argsort(h, kind="stable")
-            maybe = np.zeros(1 << self.FILTER_BITS, bool)
-            maybe[(h >> np.uint64(64 - self.FILTER_BITS)).astype(np.int64)] = True
-            if len(h):
-                self.seeds[mask] = (h[order], item[order], at[order], maybe)
-
-    def overlaps(self, words: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, length, matches, start in words): the best overlap of each item that has one."""
-        found = set()
-        for mask, (seeds, item, at, maybe) in self.seeds.items():
-            h = window_hashes(words, mask)
-            place = np.flatnonzero(maybe[(h >> np.uint64(64 - self.FILTER_BITS)).astype(np.int64)])
-            if not place.size:
-                continue
-            low, high = np.searchsorted(seeds, h[place], "left"), np.searchsorted(seeds, h[place], "right")
-            n = high - low
-            place, low = place[n > 0], low[n > 0]
-            n = n[n > 0]
-            if not place.size:
-                continue
-            seed = np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            shift = np.repeat(place, n) - at[seed]
-            pairs = np.unique(np.stack([item[seed], shift], axis=1), axis=0)
-            found.update(map(tuple, pairs.tolist()))
-        shifts: dict[int, list[int]] = {}
-        for k, d in found:
-            shifts.setdefault(k, []).append(d)
-        out = []
-        for k in sorted(shifts):
-            if best := self._verified(words, self.words[k], np.sort(np.array(shifts[k]))):
-                out.append((k, *best))
-        return out
-
-    def _verified(self, words: np.ndarray, item: np.ndarray, shifts: np.ndarray) -> tuple[int, int, int] | None:
+class Filter:
+    """A Bloom filter: two of its bits for each hash."""
+
+    def __init__(self, words: np.ndarray, log_bits: int):
+        self.bits, self.log_bits = words, log_bits
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(64 - self.log_bits)), (h & np.uint64((1 << self.log_bits) - 1))
+
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        """Places in h that may be in the filter, and all that are."""
+        one = h >> np.uint64(64 - self.log_bits)
+        at = np.flatnonzero(self.bits[(one >> np.uint64(3)).astype(np.int64)] >> (one & np.uint64(7)).astype(np.uint8) & 1)
+        two = h[at] & np.uint64((1 << self.log_bits) - 1)
+        return at[(self.bits[(two >> np.uint64(3)).astype(np.int64)] >> (two & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+
+
+def seed_filter(seeds: DataFrame) -> Filter:
+    """seeds: hash. The bits are gathered in executors; the driver gets the filter, whose size has a bound."""
+    log_bits = max(6, min(MOST_BITS, int(seeds.count() * BITS_EACH).bit_length()))
+    one, two = F.shiftrightunsigned("hash", 64 - log_bits), F.col("hash").bitwiseAND((1 << log_bits) - 1)
+    bits = seeds.select(F.explode(F.array(one, two)).alias("p")).groupBy(F.shiftright("p", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 AS INT))")).alias("bits"))
+    rows = bits.toArrow()
+    words = np.zeros(1 << log_bits >> 5, "<u4")
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype("<u4")
+    return Filter(words.view(np.uint8), log_bits)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, words): distinct items that have words, and their words' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for part in rows_of(batch):
+                words, ends = hashes.of(part.column(1).cast(pa.binary()).to_pylist())
+                packed = [words[s:e].astype("<u8").tobytes() for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["item_id", "words"])
+
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    found = benchmark.select("item_id", "text").mapInArrow(run, f"item_id {kind}, words binary").where(F.octet_length("words") > 0).distinct()
+    return saved(found).select(F.monotonically_increasing_id().alias("item"), "item_id", "words")
+
+
+def _seeds(items: DataFrame) -> DataFrame:
+    """(item, family, hash), each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = np.frombuffer(packed, "<u8")
+                family = family_of(len(words))
+                found = np.unique(np.concatenate(window_hashes(words, family))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), item)), pa.array(np.full(len(found), family, np.int32)), pa.array(found)], names=["item", "family", "hash"])
+
+    return items.select("item", "words").mapInArrow(run, "item bigint, family int, hash bigint")
+
+
+def _hits(docs: DataFrame, families: list[int], filter_: Filter) -> DataFrame:
+    """Rows of docs (doc_id, text) with a window that the filter lets pass: doc_id, words, hashes (of these windows)."""
+    sent = docs.sparkSession.sparkContext.broadcast(filter_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, own = WordHashes(), sent.value
+        for batch in batches:
+            for part in rows_of(batch):
+                words, ends = hashes.of(part.column(1).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+                number = np.repeat(np.arange(part.num_rows, dtype=np.int32), np.diff(ends))
+                rows, found = [], []
+                for family in families:
+                    for mask, h in zip(MASKS[family], window_hashes(words, family), strict=True):
+                        at = own.maybe(h)
+                        at = at[number[at] == number[at + len(mask) - 1]]  # windows within one text
+                        rows.append(number[at])
+                        found.append(h[at])
+                row, h = np.concatenate(rows), np.concatenate(found)
+                if not len(row):
+                    continue
+                order = np.lexsort([h, row])
+                row, h = row[order], h[order]
+                new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]
+                row, h = row[new], h[new].view(np.int64)
+                hit, first = np.unique(row, return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(row)], pa.int32()), pa.array(h))
+                packed = [words[ends[k] : ends[k + 1]].astype("<u8").tobytes() for k in hit.tolist()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hit)), pa.array(packed, pa.binary()), lists], names=["doc_id", "words", "hashes"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, words binary, hashes array<bigint>")
+
+
+class Searched:
+    """A text's windows in order of their hashes, to find those of many items in."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.by_family = words, {}
+
+    def windows(self, family: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if family not in self.by_family:
+            own = window_hashes(self.words, family)
+            orders = [np.argsort(h, kind="stable") for h in own]
+            self.by_family[family] = [(h[o], o) for h, o in zip(own, orders, strict=True)]
+        return self.by_family[family]
+
+    def shifts(self, item: np.ndarray) -> np.ndarray:
+        """Diagonals with a hit, in order: where in the text the item's first word would be. Each is marked once, however
+        many windows agree on it, so repeated words take no more room than text and item."""
         n = len(item)
-        least, best = min(self.stretch, n), None
-        for s in range(0, len(shifts), 256):
-            at = shifts[s : s + 256, None] + np.arange(n)
+        marked = np.zeros(len(self.words) + n, bool)
+        family = family_of(n)
+        for (sorted_, place), h in zip(self.windows(family), window_hashes(item, family), strict=True):
+            low, high = np.searchsorted(sorted_, h, "left"), np.searchsorted(sorted_, h, "right")
+            for k in np.flatnonzero(high > low).tolist():
+                marked[place[low[k] : high[k]] - k + n] = True
+        return np.flatnonzero(marked) - n
+
+    def overlap(self, item: np.ndarray, similarity: float, stretch: int) -> tuple[int, int, int] | None:
+        """Length, matching words and start of the best stretch: of those with most matches the first."""
+        words, n = self.words, len(item)
+        least, best = min(stretch, n), None
+        shifts = self.shifts(item)
+        step = max(1, (1 << 20) // n)
+        for s in range(0, len(shifts), step):
+            at = shifts[s : s + step, None] + np.arange(n)
             inside = (at >= 0) & (at < len(words))
             same = inside & (words[np.clip(at, 0, len(words) - 1)] == item)
             # a stretch from i to j is similar enough if its sum of (match - similarity) isn't negative
-            total = np.concatenate([np.zeros((len(at), 1)), np.cumsum(same - self.similarity, axis=1)], axis=1)
+            total = np.concatenate([np.zeros((len(at), 1)), np.cumsum(same - similarity, axis=1)], axis=1)
             low = np.minimum.accumulate(total, axis=1)
             good = total[:, least:] - low[:, : n - least + 1] >= -1e-9
             for r in np.flatnonzero(good.any(axis=1)).tolist():
@@ -126,63 +225,48 @@ class Block:
         return best
 
 
-def blocks(benchmark: DataFrame, similarity: float, stretch: int, most: int) -> Iterator[Block]:
-    """The benchmark in blocks of at most about `most` words. Items with fewer than 5 words can't be told from chance
-    and are left out, as are null texts."""
-    hashes, held, size = WordHashes(), [], 0
-    for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        words = hashes.of(row.text).copy()
-        if len(words) < SHORTEST:
-            continue
-        held.append((row.item_id, words))
-        size += len(words)
-        if size >= most:
-            yield Block(held, similarity, stretch)
-            held, size = [], 0
-    if held:
-        yield Block(held, similarity, stretch)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, stretch: int = STRETCH, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, stretch: int = STRETCH) -> DataFrame:
     """Pairs with an overlap, for each row of docs: doc_id, item_id, n_words (of the stretch), n_matches, start_word.
 
-    The benchmark goes through memory in blocks of bounded size, and all documents are looked up in each; so neither
-    its size nor that of a document or of a group of copies decides what a task holds. Texts are compared whole. Null
-    and empty texts have no overlap; rows that repeat an item_id give their own pairs, with the best of them kept for
-    each row of docs. Other columns aren't read.
+    Words are compared in lower case and without marks at their ends, and texts whole. Items of fewer than 5 words must
+    be found word for word. Null texts and texts without words have no overlap; null ids are kept; rows that repeat a
+    doc_id are looked up each by itself; of rows that repeat an item_id the one with most matches counts. Either table
+    empty: no rows. Other columns aren't read. The masks are for similarities and stretches from 0.8 and 13 words up.
     """
-    sc = docs.sparkSession.sparkContext
+    if similarity < SIMILARITY or stretch < STRETCH:
+        raise ValueError(f"the masks find overlaps from a similarity of {SIMILARITY} and {STRETCH} words up")
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_words bigint, n_matches bigint, start_word bigint"
-    own = docs.select("doc_id", "text")
-    item_type = benchmark.select("item_id").limit(0).toArrow().schema.field(0).type
-
-    def pairs(block: Block) -> DataFrame:
-        sent = sc.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, block = WordHashes(), sent.value
-            for batch in batches:
-                for part in rows_of(batch):
-                    row, found = [], []
-                    for k, t in enumerate(part.column(1).to_pylist()):
-                        best: dict = {}
-                        for item, *x in block.overlaps(hashes.of(t)):
-                            i = block.ids[item]
-                            if i not in best or x[1] > best[i][1]:
-                                best[i] = x
-                        row += [k] * len(best)
-                        found += [(i, *x) for i, x in best.items()]
-                    if found:
-                        c = list(zip(*found, strict=True))
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(c[0], item_type), *(pa.array(x, pa.int64()) for x in c[1:])], names=["doc_id", "item_id", "n_words", "n_matches", "start_word"])
-
-        return own.mapInArrow(run, schema)
-
-    out = None
-    for block in blocks(benchmark, similarity, stretch, block_words):
-        out = pairs(block) if out is None else out.unionByName(pairs(block))
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    items = _items(benchmark)
+    seeds = saved(_seeds(items))
+    families = sorted(r.family for r in seeds.select("family").distinct().collect())  # at most as many as MASKS has
+    if not families:
+        return docs.sparkSession.createDataFrame([], schema)
+    hits = saved(_hits(docs, families, seed_filter(seeds))).withColumn("doc", F.monotonically_increasing_id())
+    pairs = hits.select("doc", F.explode("hashes").alias("hash")).join(seeds.select("item", "hash"), "hash").select("doc", "item").distinct()
+    # A text comes first and then the items to look for in it, so a task holds one text, however many items there are.
+    none = lambda kind: F.lit(None).cast(kind)
+    sought = pairs.join(items, "item").select("doc", F.lit(1).alias("side"), none(kinds[0]).alias("doc_id"), "item", "item_id", "words")
+    texts = hits.select("doc", F.lit(0).alias("side"), "doc_id", none("bigint").alias("item"), none(kinds[1]).alias("item_id"), "words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, ids, doc = None, None, None
+        for batch in batches:
+            found, best = [], {}
+            for k, (number, side) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                words = np.frombuffer(batch.column(5)[k].as_py(), "<u8")
+                if side == 0:
+                    text, ids, doc = Searched(words), batch.column(2).slice(k, 1), number
+                elif number == doc and (x := text.overlap(words, similarity, stretch)):
+                    found.append((ids, batch.column(4).slice(k, 1), number, *x))
+            if found:
+                c = list(zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c[0]), pa.concat_arrays(c[1]), *(pa.array(x, pa.int64()) for x in c[2:])], names=["doc_id", "item_id", "doc", "n_words", "n_matches", "start_word"])
+
+    both = texts.unionByName(sought).repartition("doc").sortWithinPartitions("doc", "side", "item")
+    overlaps = both.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, doc bigint, n_words bigint, n_matches bigint, start_word bigint")
+    best = overlaps.groupBy("doc", "doc_id", "item_id").agg(F.max(F.struct("n_matches", (-F.col("start_word")).alias("early"), "n_words")).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_words", "b.n_matches", (-F.col("b.early")).alias("start_word"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -173,22 +174,36 @@ def test_licences(spark):
 
 
 def plain_overlap(words, item, similarity=0.8, stretch=13):
-    """Whether any stretch of any diagonal agrees."""
-    least = min(stretch, len(item))
+    """(length, matches, start) of the best overlap: of each diagonal the stretch that ends last, from its first possible
+    start on; of these the one with most matches, the first of equals. All diagonals are tried."""
+    least, best = min(stretch, len(item)), None
     for shift in range(-len(item) + 1, len(words)):
         same_ = [0 <= k + shift < len(words) and words[k + shift] == w for k, w in enumerate(item)]
-        for i in range(len(item) - least + 1):
-            for j in range(i + least, len(item) + 1):
-                if sum(same_[i:j]) >= similarity * (j - i) - 1e-9:
-                    return True
-    return False
-
-
-def test_overlaps_equal_brute_force(spark):
+        if sum(same_) < similarity * least - 1e-9:
+            continue
+        good = [(j, -i) for i in range(len(item)) for j in range(i + least, len(item) + 1) if sum(same_[i:j]) >= similarity * (j - i) - 1e-9]
+        if good:
+            j, i = max(good)
+            i = -i
+            own = (sum(same_[i:j]), -(i + shift), j - i)
+            best = max(best or own, own)
+    return best and (best[2], best[0], max(0, -best[1]))
+
+
+def test_masks_miss_no_overlap():
+    """Every placement of as many substitutions as an overlap may have leaves a window whose picked words are unlike none."""
+    for n in range(1, 26):
+        masks = D.MASKS[D.family_of(n)]
+        picked = [(len(m), [k for k, c in enumerate(m) if c == "1"]) for m in masks]
+        for unlike in combinations(range(n), n - -(-4 * n // 5)):
+            assert any(not set(unlike) & {at + k for k in own} for size, own in picked for at in range(n - size + 1)), (n, unlike)
+
+
+def test_overlaps_equal_brute_force(spark, monkeypatch):
     r = random.Random(6)
     vocabulary = [f"w{k}" for k in range(200)]
     say = lambda n: [r.choice(vocabulary) for _ in range(n)]
-    items = [say(n) for n in (3, 5, 6, 9, 10, 13, 16, 30, 50)] + [["same"] * 20]
+    items = [say(n) for n in (1, 2, 3, 4, 5, 6, 9, 10, 13, 16, 30, 50)] + [["same"] * 20]
     docs = []
     for _ in range(120):
         w = list(r.choice(items))
@@ -196,26 +211,40 @@ def test_overlaps_equal_brute_force(spark):
             w[r.randrange(len(w))] = r.choice(vocabulary)
         cut = r.choice([0, 0, 3]) if len(w) > 20 else 0
         docs.append(say(r.randint(0, 30)) + w[cut:] + say(r.randint(0, 30)))
-    docs += [say(60) for _ in range(40)] + [[], ["same"] * 300]
-    df = spark.createDataFrame([(k, " ".join(d).upper().replace("W1 ", "W1, ")) for k, d in enumerate(docs)] + [(999, None)], "doc_id long, text string").selectExpr("*", "1 AS item_id")
-    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(50, None)], "item_id long, text string")
-    got = {(x.doc_id, x.item_id) for x in D.contaminated(df, bench).collect()}
-    expected = {(d, k) for d, w in enumerate(docs) for k, x in enumerate(items) if len(x) >= 5 and plain_overlap(w, x)}
-    assert got == expected
-    small = {(x.doc_id, x.item_id) for x in D.contaminated(df, bench, block_words=20).collect()}
-    assert small == got
-
-
-def test_decontamination_of_nothing(spark):
-    docs = spark.createDataFrame([(1, "x y z")], "doc_id long, text string")
+    docs += [say(60) for _ in range(40)] + [[], ["same"] * 300, docs[0]]
+    rows = [(k, " ".join(d).upper().replace("W1 ", "W1, ").replace("W2 ", "W2\n--\t")) for k, d in enumerate(docs)]
+    df = spark.createDataFrame([*rows, (999, None), (999, "!? ..."), rows[5]], "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS hashes")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] * 2 + [(50, None), (51, "..."), (12, "other words here")], "item_id long, text string").selectExpr("*", "1 AS doc_id", "'x' AS words")
+    found = ((d, k, plain_overlap(docs[d], x)) for d, _ in [*rows, rows[5]] for k, x in enumerate(items))
+    expected = sorted((d, k, *x) for d, k, x in found if x)
+    for bits in (28, 6):  # a filter that lets nearly everything pass changes nothing
+        monkeypatch.setattr(D, "MOST_BITS", bits)
+        assert sorted((x.doc_id, x.item_id, x.n_words, x.n_matches, x.start_word) for x in D.contaminated(df, bench).collect()) == expected
+
+
+def test_decontamination_of_nothing_nulls_and_long_texts(spark):
+    docs = spark.createDataFrame([(None, "x y z"), (1, "x y z"), (2, "word " * 300_000 + "x Y z!")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.contaminated(docs, bench).count() == 0
     assert D.contaminated(docs.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+    got = D.contaminated(docs, spark.createDataFrame([(None, "X, Y, Z"), (1, "word " * 40)], "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id, x.n_words, x.n_matches, x.start_word) for x in got} == {(None, None, 3, 3, 0), (1, None, 3, 3, 0), (2, None, 3, 3, 300_000), (2, 1, 40, 40, 0)}
+    with pytest.raises(ValueError):
+        D.contaminated(docs, bench, similarity=0.7)
 
 
-def test_decontamination_query_finds_all_inserted_items(spark):
+def test_decontamination_query_equals_brute_force(spark):
     docs, bench = ({r[0]: r[1] for r in spark.read.parquet(f"{SF}/{t}.parquet").select(k, "text").collect()} for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
-    h = D.WordHashes()
-    items = {k: h.of(t).tobytes() for k, t in bench.items()}
-    inserted = {(d, k) for d, t in docs.items() for k, x in items.items() if x in h.of(t).tobytes()}
-    assert {(r.doc_id, r.item_id) for r in D.op4(spark, SF).collect()} >= inserted and inserted
+    bare = lambda t: [w for w in (w.strip(D.ENDS) for w in t.lower().split()) if w]
+    number = {}
+    of = lambda t: np.array([number.setdefault(w, len(number)) for w in bare(t)], np.int64)
+    items, expected = {k: of(t) for k, t in bench.items()}, set()
+    for d, t in docs.items():
+        words = of(t)
+        padded = np.concatenate([np.full(100, -1), words, np.full(100, -1)])
+        for k, x in items.items():
+            windows = np.lib.stride_tricks.sliding_window_view(padded, len(x))
+            if (windows == x).sum(axis=1).max() >= 0.8 * min(13, len(x)) and (o := plain_overlap(words.tolist(), x.tolist())):
+                expected.add((d, k, *o))
+    got = D.op4(spark, SF).collect()
+    assert {(r.doc_id, r.item_id, r.n_words, r.n_matches, r.start_word) for r in got} == expected and len(got) == len(expected) > 2
