@@ -14,8 +14,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -64,12 +65,18 @@ def dechunked(body: bytes) -> bytes:
         at += size + 2
 
 
+def http_fields(head: bytes) -> dict[bytes, bytes]:
+    return dict(x.split(b":", 1) for x in head.lower().split(b"\r\n") if b":" in x)
+
+
 def block_payload(block: bytes) -> bytes:
-    """Of an HTTP response: the body, without its transfer framing."""
+    """Of an HTTP response: the body, without its transfer framing. Of another protocol's: all of it."""
+    if not block.startswith(b"HTTP/"):
+        return block
     head, found, body = block.partition(b"\r\n\r\n")
     if not found:
         raise ValueError("an HTTP header has no end")
-    fields = dict(x.split(b":", 1) for x in head.lower().split(b"\r\n")[1:])
+    fields = http_fields(head)
     return dechunked(body) if fields.get(b"transfer-encoding", b"").strip() == b"chunked" else body
 
 
@@ -109,35 +116,6 @@ def revisit_record(page_id: int | None, url: str | None, digest: str, n_bytes: i
     return record(fields, head)
 
 
-def inflated(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """All gzip members of raw, piece by piece; raw itself if it isn't gzipped. A member that is cut off and what follows
-    the last member, other than zeros, are errors."""
-    if raw[:2] != b"\x1f\x8b":
-        yield raw
-        return
-    member, view = zlib.decompressobj(31), memoryview(raw)
-    begun = False  # whether the member has had any input
-    for at in range(0, len(raw), 1 << 16):
-        rest = bytes(view[at : at + (1 << 16)])
-        while rest:
-            if not begun and not (rest := rest.lstrip(b"\0")):
-                break
-            begun = True
-            out = member.decompress(rest, step)
-            if out:
-                yield out
-            if member.eof:
-                rest, member, begun = member.unused_data, zlib.decompressobj(31), False
-            else:
-                rest = member.unconsumed_tail
-    while begun and (out := member.decompress(member.unconsumed_tail, step)):
-        yield out
-        if member.eof:
-            return
-    if begun:
-        raise ValueError("an archive ends within a gzip member")
-
-
 def parsed(data: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields (names in lower case) and block of each record of an archive, given whole or in pieces."""
     pieces, held, base = iter([data] if isinstance(data, bytes) else data), bytearray(), 0
@@ -215,56 +193,68 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: i
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row for each response and revisit record: record_id, page_id, url, record_type, refers_to_id, payload_digest
-    (as the archive has it), payload (null for revisits), payload_bytes.
-
-    Records in one segment are decoded where they are read; only segments of longer ones are moved, grouped by origin
-    and put together. Copies of a record that is written twice give a row each. A missing segment, a wrong total
-    length, broken framing or a payload that doesn't fit its digest is an error. An archive may have any number of gzip
-    members; it is inflated record by record, but its compressed bytes are held whole.
+    (as the archive has it), payload (null for revisits), payload_bytes (null for revisits that don't tell it).
+
+    Archives are *.gz, of any number of gzip members, or *.warc. Gzipped ones are inflated and parsed as a stream, record
+    by record; plain ones are held whole, as no record tells where it starts in a split. Records of other types (warcinfo,
+    request, metadata, resource, conversion) are skipped. Records in one segment are decoded where they are read; only
+    segments of longer ones are moved, grouped by origin and put together. Copies of a record that is written twice give a
+    row each. A missing segment, a wrong total length, broken framing, a payload that doesn't fit its SHA-1 digest and an
+    archive that is cut off or followed by something else are errors. No archives: no rows.
     """
     schema = "record_id string, url string, record_type string, refers_to_id string, payload_digest string, payload binary, payload_bytes bigint, segment int, total bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                raw = batch.column(0)[k].as_py()
-                held: list[tuple] = []
-                size = 0
-                for f, block in parsed(inflated(raw)):
-                    row = _row(f, block)
-                    held.append(row)
-                    size += len(row[5] or b"")
-                    if size > 4_000_000 or len(held) >= 2000:
-                        yield _rows(held)
-                        held, size = [], 0
-                if held:
+        pieces = ((batch.column(0)[k].as_py(), batch.column(1)[k].as_py()) for batch in batches for k in range(batch.num_rows))
+        for _, own in groupby(pieces, itemgetter(0)):
+            held: list[tuple] = []
+            size = 0
+            for f, block in parsed(x for _, x in own):
+                row = _row(f, block)
+                if row is None:
+                    continue
+                held.append(row)
+                size += len(row[5] or b"")
+                if size > 4_000_000 or len(held) >= 2000:
                     yield _rows(held)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    found = saved(files.mapInArrow(run, schema))
+                    held, size = [], 0
+            if held:
+                yield _rows(held)
+
+    # A text reader's lines hold a file's bytes as they are. They come in order, and a gzipped file is never split.
+    file = F.col("_metadata.file_path").alias("file")
+    lines = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", END.decode()).text(path).select(file, F.concat(F.col("value").cast("binary"), F.lit(END)).alias("bytes"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select(file, F.col("content").alias("bytes"))
+    found = saved(lines.unionByName(plain).mapInArrow(run, schema))
     whole = found.where("segment is null")
     joined = found.where("segment is not null").repartition("record_id").sortWithinPartitions("record_id", "segment").mapInArrow(_reassembled, schema)
     return whole.unionByName(joined).drop("segment", "total")
 
 
-def _row(f: dict[str, str], block: bytes) -> tuple:
-    digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
+def _row(f: dict[str, str], block: bytes) -> tuple | None:
+    """None for records that are neither response, revisit nor a segment of any type."""
+    said = f.get("warc-payload-digest", "")
+    digest = said.removeprefix("sha1:") if said.startswith("sha1:") else said or None
     kind = f["warc-type"]
     number = f.get("warc-segment-number")
     total = f.get("warc-segment-total-length")
     if kind == "revisit":
-        head = dict(x.split(b":", 1) for x in block.lower().split(b"\r\n") if b":" in x)
-        return f["warc-record-id"], f.get("warc-target-uri"), kind, f.get("warc-refers-to"), digest, None, int(head[b"content-length"]), None, None
+        size = http_fields(block).get(b"content-length", b"").strip()
+        return f["warc-record-id"], f.get("warc-target-uri"), kind, f.get("warc-refers-to"), digest, None, int(size) if size.isdigit() else None, None, None
     if number is None:
-        payload = _checked(block, digest, f["warc-record-id"])
+        if kind != "response":
+            return None
+        payload = _checked(block, said, f["warc-record-id"])
         return f["warc-record-id"], f.get("warc-target-uri"), kind, None, digest, payload, len(payload), None, None
     origin = f.get("warc-segment-origin-id") or f["warc-record-id"]
-    return origin, f.get("warc-target-uri"), kind, None, digest, block, None, int(number), int(total) if total else None
+    return origin, f.get("warc-target-uri"), kind, None, said or None, block, None, int(number), int(total) if total else None
 
 
-def _checked(block: bytes, digest: str | None, name: str) -> bytes:
+def _checked(block: bytes, said: str | None, name: str) -> bytes:
+    """The block's payload. Digests of other kinds than SHA-1 in base32 aren't checked."""
     payload = block_payload(block)
-    if digest and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+    kind, _, digest = (said or "").partition(":")
+    if kind == "sha1" and len(digest) == 32 and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest.upper():
         raise ValueError(f"the payload of {name} doesn't fit its digest")
     return payload
 
@@ -288,8 +278,10 @@ def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = b"".join(r[5] for r in parts)
         if parts[-1][8] != len(block):
             raise ValueError(f"{own[0][0]} has {len(block)} bytes, not {parts[-1][8]}")
+        if parts[0][2] != "response":
+            return []  # a record of another type that is long
         payload = _checked(block, parts[0][4], own[0][0])
-        return [(*parts[0][:5], payload, len(payload), None, None)] * copies
+        return [(*parts[0][:4], (parts[0][4] or "").removeprefix("sha1:") or None, payload, len(payload), None, None)] * copies
 
     out: list[tuple] = []
     for batch in batches:
