@@ -29,7 +29,7 @@ STRETCH, SIMILARITY = 13, 0.8
 MASKS = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111", "11011", "11101", "10111"), 13: ("111111", "1101111", "1111011", "101010111")}
 LONGEST = 9
 #: Words that a worker remembers; the filter has at least so many bits for each hash, up to 2 to the power of the last.
-REMEMBERED_WORDS, BITS_EACH, MOST_BITS = 150_000, 64, 28
+REMEMBERED_WORDS, BITS_EACH, MOST_BITS = 150_000, 1_024, 28
 ENDS = ".,;:!?%*$&|<>\"'()[]{}`-_/\\+“”‘’«»„–—…¿¡"
 #: White space becomes blanks, capital ASCII letters small ones.
 _SAME = bytes.maketrans(b"\t\n\r\x0b\x0c" + bytes(range(65, 91)), b"     " + bytes(range(97, 123)))
