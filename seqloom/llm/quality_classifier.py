@@ -5,6 +5,10 @@ the counts of vote patterns of all documents estimates how often each labeller v
 documents, and so each pattern's posterior. A linear scorer over hashed words, word stems and style marks is trained on
 documents with these posteriors as labels, and then scores all documents. There are two such models, one for low
 quality and one for toxic language, since their labellers say nothing about each other's question.
+
+The model is semi-supervised: where annotators have labelled documents, they are one more labeller, which is taken to
+call a good text bad next to never; one labeller's word list is learned from labelled toxic documents; and thresholds
+spare what annotators call clean. Without any labels the heuristics alone are fitted.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.common import Remembered, least_hashed, rows_of, saved, table
@@ -24,6 +28,8 @@ from seqloom.llm.common import Remembered, least_hashed, rows_of, saved, table
 BUCKETS = 1 << 18
 #: Bounds of what is fitted on: labelled rows for stems, stems, rows of each class for a scorer.
 LABELLED, STEMS, PER_CLASS = 8_000, 2_000, 2_000
+#: Bytes of features of these rows that the driver holds at once for a scorer: rows with the least hash of their id first.
+FEATURE_BYTES = 256 << 20
 #: Share of annotated clean documents that each threshold spares.
 SPARED = 0.999
 REMEMBERED_WORDS = 300_000
@@ -321,7 +327,9 @@ def _training_rows(docs: DataFrame, sample: DataFrame, found: frozenset[str]) ->
 
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts.mapInArrow(run, f"doc_id {kind}, words binary, style binary, pattern string").collect()
+    made = saved(texts.mapInArrow(run, f"doc_id {kind}, words binary, style binary, pattern string"))
+    before = Window.orderBy(F.xxhash64("doc_id"), "words").rowsBetween(Window.unboundedPreceding, -1)  # over at most 2 * PER_CLASS rows
+    rows = made.withColumn("before", F.coalesce(F.sum(F.octet_length("words")).over(before), F.lit(0))).where(F.col("before") < FEATURE_BYTES).collect()
     ints = lambda b: np.frombuffer(b, "<i4")
     own = {(bytes(r.words), bytes(r.style), r.pattern): None for r in sorted(rows, key=lambda r: (r.doc_id, bytes(r.words)))}
     return [(ints(w), ints(s), p) for w, s, p in own]  # copies count once

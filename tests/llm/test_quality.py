@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -49,6 +50,29 @@ def test_rules_are_learned_and_applied(spark):
     assert R.learn({n: np.zeros(9) for n in R.FEATURES}, np.zeros(9, bool)) == []
 
 
+def test_the_conditional_expression_equals_the_rules(spark):
+    """Rules of several conditions, learned from data that need them, over a table: the first rule that holds counts."""
+    rng = np.random.default_rng(3)
+    n = 2000
+    rows = [(k, *map(int, rng.integers(0, 100, 9))) for k in range(n)]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_distinct_words"]
+    df = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in names))
+    table = {c: np.array([r[k + 1] for r in rows], float) for k, c in enumerate(names)}
+    per = lambda a, b: table[a] / np.maximum(table[b], 1)
+    x = {"n_words": table["n_words"], "word_length": per("word_chars", "n_words"), "symbol_share": per("n_symbols", "word_chars"), "dup_line_share": per("n_dup_lines", "n_lines"), "repeat_share": per("n_repeat_words", "n_words"), "line_words": per("n_words", "n_lines"), "upper_share": per("n_upper", "word_chars"), "mark_share": per("n_marks", "n_words"), "distinct_share": per("n_distinct_words", "n_words")}
+    assert x.keys() == R.FEATURES.keys()
+    bad = (x["n_words"] > 50) & (x["symbol_share"] > 0.8) & (x["mark_share"] <= 1) | (x["line_words"] <= 0.3) & (x["upper_share"] > 1)
+    rules = R.learn(x, bad)
+    assert len(rules) >= 2 and max(map(len, rules)) >= 3
+    first = np.zeros(n, int)
+    for number, rule in reversed(list(enumerate(rules, 1))):
+        first[R._holds(rule, x, np.ones(n, bool))] = number
+    failed = (table["n_words"] < 10) | (100 * table["n_repeat_words"] > 20 * table["n_words"])
+    for r in R.judged(df, rules).collect():
+        assert r.rule == (None if failed[r.doc_id] or not first[r.doc_id] else first[r.doc_id])
+        assert r.kept == (not failed[r.doc_id] and not first[r.doc_id])
+
+
 def test_rules_query(spark):
     rows = R.op3(spark, SF).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -114,10 +138,36 @@ def test_classifier_on_labels_not_seen(judged):
     clean = x[(x.quality == 1) & (x.toxic == 0)]
     assert clean.accepted.mean() > 0.99
     assert x[x.quality == 0].accepted.mean() < 0.05
-    assert x[x.toxic == 1].accepted.mean() < 0.6
+    assert x[x.toxic == 1].accepted.mean() < 0.25
     assert all(0 <= a <= 1 for own in model.accuracy.values() for a in own)
 
 
+def test_scores_equal_brute_force(spark, judged):
+    """Scores from the weights alone, feature by feature, for texts of every kind."""
+    model, docs, _ = judged
+    texts = {r.doc_id: r.text for r in docs.where("doc_id < 300").collect()} | {-1: None, -2: "", -3: "Idiot, IDIOT! é É | $$ " * 30}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in Q.scored(df, model).collect()}
+    assert got.keys() == texts.keys()
+    for k, t in texts.items():
+        words = set((t or "").lower().split())
+        bare = [w.strip(Q.ENDS) for w in words]
+        hits = sum(any(s in model.toxic_stems for s in [b, *(b[:n] + "*" for n in (4, 5, 6) if len(b) > n)]) for b in bare)
+        votes = [Q.BAD if any(b in Q.INSULTS for b in bare) else Q.NOTHING, Q.BAD if hits >= 2 else Q.NOTHING if hits else Q.GOOD]
+        marks = [f"style {n} {sum(s > x for x in Q.STYLE_STEPS)}" for n, s in enumerate(Q.style(t or ""))] + [f"vote {n} {v}" for n, v in enumerate(votes)]
+        for head, score in ((model.quality, got[k].quality_score), (model.toxic, got[k].toxic_score)):
+            of = lambda name: float(head.weights[zlib.crc32(name.encode()) % Q.BUCKETS])  # noqa: E731, B023
+            sums = sum(of(b) + sum(of(b[:n] + "*") for n in (4, 5, 6) if len(b) > n) for b in bare)
+            assert abs(sums / max(1, len(words)) ** Q.LENGTH_POWER + sum(map(of, marks)) + head.bias - score) < 1e-6
+        assert got[k].accepted == (got[k].quality_score <= model.quality.threshold and got[k].toxic_score <= model.toxic.threshold)
+
+
+def test_few_bytes_of_features_still_fit(spark, monkeypatch):
+    monkeypatch.setattr(Q, "FEATURE_BYTES", 20_000)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    assert Q.scored(docs, Q.fit(docs, labels)).count() == docs.count()
+
+
 def test_classifier_takes_any_row(spark, judged):
     model, docs, _ = judged
     rows = [(1, None), (1, None), (None, ""), (2, "idiot " * 40_000), (3, "İ ß 日本 🙂")]
