@@ -5,6 +5,8 @@ Cost-only plans with unit costs should use expr.distance, which doesn't leave th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -31,10 +33,18 @@ def _binary(x: ColumnOrName) -> Column:
     return col(x).cast("binary")
 
 
+def _raw(x: str | bytes) -> bytes:
+    return x.encode() if isinstance(x, str) else bytes(x)
+
+
+def _scripts(rows: list) -> pd.DataFrame:
+    """rows: (cost, script) or (None, None)."""
+    return pd.DataFrame({"cost": pd.array([c for c, _ in rows], "Int32"), "cigar": [None if c is None else [{"op": o, "cnt": n} for o, n in s] for c, s in rows]})
+
+
 @pandas_udf(_struct(cost=INT, cigar=cigar.TYPE))
 def _align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    rows = [(None, None) if x is None or y is None else kernels.align(bytes(x), bytes(y)) for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame({"cost": pd.array([c for c, _ in rows], "Int32"), "cigar": [None if s is None else [{"op": o, "cnt": n} for o, n in s] for _, s in rows]})
+    return _scripts([(None, None) if x is None or y is None else kernels.align(_raw(x), _raw(y)) for x, y in zip(a, b, strict=True)])
 
 
 def align(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -49,7 +59,7 @@ def bounded_align(a: ColumnOrName, b: ColumnOrName, bound: int) -> Column:
     return F.when(found["cost"].isNotNull(), found)
 
 
-def _bucketed(a: list[bytes], b: list[bytes], model: CostModel) -> np.ndarray:
+def _bucketed(a: list[bytes], b: list[bytes], model: CostModel, bound: int | None = None) -> np.ndarray:
     order = np.argsort([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], kind="stable")
     out, s = np.zeros(len(a), np.int64), 0
     while s < len(order):
@@ -58,7 +68,7 @@ def _bucketed(a: list[bytes], b: list[bytes], model: CostModel) -> np.ndarray:
         while e < len(order) and (e - s) * width < CELLS // 64 and max(len(a[order[e]]), len(b[order[e]])) < 1.5 * width + 8:
             e += 1
         rows = order[s:e]
-        out[rows] = kernels.costs([a[r] for r in rows], [b[r] for r in rows], model)
+        out[rows] = kernels.costs([a[r] for r in rows], [b[r] for r in rows], model, bound)
         s = e
     return out
 
@@ -72,39 +82,63 @@ def alignment_cost(a: ColumnOrName, b: ColumnOrName, model: CostModel | str, bou
 
     @pandas_udf(INT)
     def cost(x: pd.Series, y: pd.Series) -> pd.Series:
-        known = [k for k, (p, q) in enumerate(zip(x, y, strict=True)) if p is not None and q is not None]
-        found = _bucketed([bytes(x.iloc[k]) for k in known], [bytes(y.iloc[k]) for k in known], model)
-        out = pd.array([None] * len(x), "Int32")
-        for k, c in zip(known, found.tolist(), strict=True):
-            if c < FORBIDDEN and (bound is None or c <= bound):
-                out[k] = c
-        return pd.Series(out)
+        return _costs(x, y, model, bound)
 
     return cost(_binary(a), _binary(b))
 
 
-def affine_align(a: ColumnOrName, b: ColumnOrName, model: CostModel | str) -> Column:
-    """STRUCT<cost, cigar> with layers, under any model."""
+def _costs(x: pd.Series, y: pd.Series, model: CostModel, bound: int | None) -> pd.Series:
+    known = [k for k, (p, q) in enumerate(zip(x, y, strict=True)) if p is not None and q is not None]
+    found = _bucketed([_raw(x.iloc[k]) for k in known], [_raw(y.iloc[k]) for k in known], model, bound)
+    out = pd.array([None] * len(x), "Int32")
+    for k, c in zip(known, found.tolist(), strict=True):
+        if c < FORBIDDEN:
+            out[k] = c
+    return pd.Series(out)
+
+
+def affine_align(a: ColumnOrName, b: ColumnOrName, model: CostModel | str, bound: int | None = None) -> Column:
+    """STRUCT<cost, cigar> with layers, under any model; nulls if there is no alignment, or none within the bound. Only
+    diagonals within reach of the bound are filled."""
     model = named(model) if isinstance(model, str) else model
 
     @pandas_udf(_struct(cost=INT, cigar=cigar.AFFINE_TYPE))
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = [(None, []) if p is None or q is None else kernels.affine_align(bytes(p), bytes(q), model) for p, q in zip(x, y, strict=True)]
+        rows = [(None, []) if p is None or q is None else kernels.affine_align(_raw(p), _raw(q), model, bound) for p, q in zip(x, y, strict=True)]
         return pd.DataFrame({"cost": pd.array([c for c, _ in rows], "Int32"), "cigar": [None if c is None else [{"op": o, "layer": g, "cnt": n} for o, g, n in s] for c, s in rows]})
 
     return run(_binary(a), _binary(b))
 
 
+def _searches(p: pd.Series, t: pd.Series, unmatched: float) -> pd.Series:
+    known = [k for k, (x, y) in enumerate(zip(p, t, strict=True)) if x is not None and y is not None]
+    out = np.full(len(p), None, object)
+    for k, found in zip(known, kernels.searches([p.iloc[k] for k in known], [t.iloc[k] for k in known], unmatched), strict=True):
+        out[k] = found
+    return pd.Series(out, dtype=object)
+
+
 def search(pattern: ColumnOrName, text: ColumnOrName, unmatched: float = 0.0) -> Column:
-    """ARRAY<INT>: costs of the pattern's best match at each place of text (kernels.search)."""
+    """ARRAY<INT>: costs of the pattern's best match at each place of text (kernels.searches)."""
 
     @pandas_udf(INTS)
     def run(p: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else kernels.search(x, y, unmatched) for x, y in zip(p, t, strict=True)], dtype=object)
+        return _searches(p, t, unmatched)
 
     return run(col(pattern), col(text))
 
 
+def index_position(index: ColumnOrName, pattern: ColumnOrName, text: ColumnOrName) -> Column:
+    """STRUCT<i, j>: letters of text and of the pattern before that place of search()'s result."""
+    at, p, t = col(index), F.length(col(pattern)), F.length(col(text))
+    return F.when(at.between(0, p + t), F.struct(F.least(at, t).alias("i"), F.when(at <= t, p).otherwise(p - (at - t)).alias("j")))
+
+
+def trace_path(trace: Column) -> Column:
+    """ARRAY<STRUCT<i, j>>: the places in text and pattern that a search_trace() leads through."""
+    return F.transform(cigar.path(trace["cigar"]), lambda w: F.struct((w["i"] + trace["text_start"]).alias("i"), (w["j"] + trace["pattern_start"]).alias("j")))
+
+
 def search_trace(pattern: ColumnOrName, text: ColumnOrName, index: ColumnOrName, unmatched: float = 0.0) -> Column:
     """STRUCT<text_start, pattern_start, cigar> of the match at a place of search()."""
 
@@ -116,32 +150,60 @@ def search_trace(pattern: ColumnOrName, text: ColumnOrName, index: ColumnOrName,
     return run(col(pattern), col(text), col(index))
 
 
-@pandas_udf(INT)
-def chain_score(matches: pd.Series) -> pd.Series:
-    """matches: ARRAY<STRUCT<si, sj, ei, ej, score>> in the chaining domain."""
-    out = []
-    for m in matches:
-        if m is None or not len(m):
-            out.append(0)
-            continue
-        x = np.array([[r["si"], r["sj"], r["ei"], r["ej"], r["score"]] for r in m], np.int64)
-        out.append(kernels.best_chain(*x.T))
-    return pd.Series(out)
+def _checked(r: int | None, k: int | None) -> None:
+    if r not in (1, 2) or not k or k < 1:
+        raise ValueError("r is 1 or 2, and k at least 1")
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions: seq_align(a, b), seq_search(pattern, text), seq_affine_cost(a, b) for affine(1,2,1), and
-    seq_distance(a, b), the last as an SQL expression."""
-    spark.udf.register("seq_align", _align)
+    """SQL functions over STRING or BINARY sequences, null where an argument is:
+
+    * seq_align(a, b), and with the presets' names seq_align_simple(a, b) and seq_align_full(a, b): STRUCT<cost, cigar>
+    * seq_align_seeded(a, b, r, k, prune_end): the same; what its parameters steer changes the work, never the result
+    * seq_model_align(a, b, model) and seq_model_cost(a, b, model), as in 'affine(1,2,1)'; seq_affine_cost(a, b) for that
+    * seq_search(pattern, text): ARRAY<INT>
+    * seq_distance(a, b), as an SQL expression
+    """
+
+    @pandas_udf(_struct(cost=INT, cigar=cigar.TYPE))
+    def seeded(a: pd.Series, b: pd.Series, r: pd.Series, k: pd.Series, prune_end: pd.Series) -> pd.DataFrame:
+        for pair in {(x, y) for x, y in zip(r, k, strict=True)}:
+            _checked(*pair)
+        return _scripts([(None, None) if x is None or y is None else kernels.align(_raw(x), _raw(y)) for x, y in zip(a, b, strict=True)])
 
     @pandas_udf(INTS)
     def seq_search(p: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else kernels.search(x, y) for x, y in zip(p, t, strict=True)], dtype=object)
+        return _searches(p, t, 0.0)
+
+    def by_model(model: pd.Series, one: Callable, none: object) -> list:
+        out: list = [none] * len(model)
+        for name in set(model.dropna()):
+            rows = np.flatnonzero(model == name)
+            for k, found in zip(rows.tolist(), one(rows, named(name)), strict=True):
+                out[k] = found
+        return out
 
     @pandas_udf(INT)
-    def seq_affine_cost(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(_bucketed([bytes(v, "utf-8") if isinstance(v, str) else bytes(v) for v in x], [bytes(v, "utf-8") if isinstance(v, str) else bytes(v) for v in y], named("affine(1,2,1)")))
+    def seq_model_cost(x: pd.Series, y: pd.Series, model: pd.Series) -> pd.Series:
+        return pd.Series(pd.array([None if c is None or c is pd.NA else int(c) for c in by_model(model, lambda rows, m: list(_costs(x.iloc[rows], y.iloc[rows], m, None)), None)], "Int32"))
 
+    @pandas_udf(_struct(cost=INT, cigar=cigar.AFFINE_TYPE))
+    def seq_model_align(x: pd.Series, y: pd.Series, model: pd.Series) -> pd.DataFrame:
+        def one(rows: np.ndarray, m: CostModel) -> list:
+            return [(None, []) if x.iloc[k] is None or y.iloc[k] is None else kernels.affine_align(_raw(x.iloc[k]), _raw(y.iloc[k]), m) for k in rows]
+
+        found = by_model(model, one, (None, []))
+        return pd.DataFrame({"cost": pd.array([c for c, _ in found], "Int32"), "cigar": [None if c is None else [{"op": o, "layer": g, "cnt": n} for o, g, n in s] for c, s in found]})
+
+    for name in ("seq_align", "seq_align_simple", "seq_align_full"):
+        spark.udf.register(name, _align)
+    spark.udf.register("seq_align_seeded", seeded)
     spark.udf.register("seq_search", seq_search)
+    @pandas_udf(INT)
+    def seq_affine_cost(x: pd.Series, y: pd.Series) -> pd.Series:
+        return _costs(x, y, named("affine(1,2,1)"), None)
+
     spark.udf.register("seq_affine_cost", seq_affine_cost)
+    spark.udf.register("seq_model_cost", seq_model_cost)
+    spark.udf.register("seq_model_align", seq_model_align)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION seq_distance(a STRING, b STRING) RETURNS INT RETURN levenshtein(decode(cast(a AS BINARY), 'ISO-8859-1'), decode(cast(b AS BINARY), 'ISO-8859-1'))")

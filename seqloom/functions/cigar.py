@@ -46,6 +46,13 @@ def to_base(affine: ColumnOrName) -> Column:
     return merged(F.transform(plain, lambda e: F.struct(e["op"].alias("op"), e["cnt"].alias("cnt"))))
 
 
+def to_base_strictly(affine: ColumnOrName) -> Column:
+    """to_base() of scripts without layers; others are an error."""
+    s = col(affine)
+    plain = ~F.exists(s, lambda e: (e["layer"] >= 0) | e["op"].isin("O", "C"))
+    return F.when(plain, to_base(s)).otherwise(F.when(s.isNotNull(), F.raise_error(F.lit("the script has affine parts"))))
+
+
 def to_affine(script: ColumnOrName) -> Column:
     return F.transform(col(script), lambda e: F.struct(e["op"].alias("op"), F.lit(-1).alias("layer"), e["cnt"].alias("cnt")))
 
@@ -60,21 +67,20 @@ def cost(script: ColumnOrName, sub: int = 1, ins: int = 1, dele: int = 1) -> Col
 
 
 def path(script: ColumnOrName) -> Column:
-    """ARRAY<STRUCT<step, i, j, cost>>: the positions from (0, 0) on, with unit costs so far."""
-    start = F.array(F.struct(F.lit(0).alias("step"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("cost")))
-    ops = F.flatten(F.transform(col(script), lambda e: F.array_repeat(e["op"], e["cnt"])))
-
-    def add(acc: Column, op: Column) -> Column:
-        last = F.element_at(acc, -1)
-        step = F.struct(
-            (last["step"] + 1).alias("step"),
-            (last["i"] + F.when(op != "I", 1).otherwise(0)).alias("i"),
-            (last["j"] + F.when(op != "D", 1).otherwise(0)).alias("j"),
-            (last["cost"] + F.when(op != "=", 1).otherwise(0)).alias("cost"),
-        )
-        return F.concat(acc, F.array(step))
-
-    return F.aggregate(ops, start, add)
+    """ARRAY<STRUCT<step, i, j, cost>>: the positions from (0, 0) on, with unit costs so far. Where each run starts is
+    summed up once, and its positions follow from there."""
+    runs = F.filter(col(script), lambda e: e["cnt"] > 0)
+    per = lambda op: (F.when(op != "I", 1).otherwise(0), F.when(op != "D", 1).otherwise(0), F.when(op != "=", 1).otherwise(0))
+
+    def moved(at: Column, op: Column, n: Column) -> Column:
+        di, dj, dc = per(op)
+        return F.struct((at["i"] + di * n).alias("i"), (at["j"] + dj * n).alias("j"), (at["cost"] + dc * n).alias("cost"))
+
+    zero = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("cost")))
+    starts = F.aggregate(runs, zero, lambda acc, e: F.concat(acc, F.array(moved(F.element_at(acc, -1), e["op"], e["cnt"]))))
+    places = F.zip_with(F.slice(starts, F.lit(1), F.size(runs)), runs, lambda at, e: F.transform(F.sequence(F.lit(1), e["cnt"]), lambda n: moved(at, e["op"], n)))
+    inner = F.flatten(places)
+    return F.transform(F.concat(zero, inner), lambda w, t: F.struct(t.alias("step"), w["i"].alias("i"), w["j"].alias("j"), w["cost"].alias("cost")))
 
 
 def valid(script: ColumnOrName, a: ColumnOrName, b: ColumnOrName) -> Column:

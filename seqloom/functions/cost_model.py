@@ -98,8 +98,8 @@ def double_affine(sub: int, open1: int, extend1: int, open2: int, extend2: int)
 
 
 def from_parts(sub: int | None, open_: int, extend: int) -> CostModel:
-    """An open cost of 0 makes linear gaps."""
-    return linear(sub, extend) if open_ == 0 and sub is not None else affine(sub, open_, extend)
+    """An open cost of 0 makes linear gaps; no substitution cost forbids substitutions."""
+    return CostModel("lcs" if sub is None else "linear", sub, extend, extend) if open_ == 0 else affine(sub, open_, extend)
 
 
 NAMED = {f.__name__: f for f in (lcs, unit, linear, linear_asymmetric, affine, linear_affine, affine_asymmetric, double_affine)}

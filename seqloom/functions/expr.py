@@ -6,6 +6,8 @@ one character for each byte.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +32,20 @@ def distance(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.levenshtein(as_bytes(a), as_bytes(b))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row (a lambda variable is bound once, a repeated expression is not)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def bounded_distance(a: ColumnOrName, b: ColumnOrName, bound: int) -> Column:
-    """The distance if it is at most bound, else null. Bounds that cost less are tried before."""
-    d = F.levenshtein(as_bytes(a), as_bytes(b), bound)
-    return F.when((gap_bound(a, b) <= bound) & (count_bound(a, b) <= bound), F.when(d >= 0, d))
+    """The distance if it is at most bound, else null: only diagonals within the bound are filled. The sequences are
+    computed once, and their lengths tried first."""
+
+    def cost(p: Column) -> Column:
+        d = F.when(F.abs(F.length(p["a"]) - F.length(p["b"])) <= bound, F.levenshtein(p["a"], p["b"], bound))
+        return F.get(F.filter(F.array(d), lambda x: x >= 0), F.lit(0))
+
+    return let(F.struct(as_bytes(a).alias("a"), as_bytes(b).alias("b")), cost)
 
 
 # --- lower bounds ----------------------------------------------------------------------------------------------------
@@ -107,6 +119,13 @@ def transformed_j(i: ColumnOrName, j: ColumnOrName, p: ColumnOrName) -> Column:
     return col(j) - col(i) - col(p)
 
 
+def inverse_transformed(x: ColumnOrName, y: ColumnOrName, n: ColumnOrName, k: int, r: int = 1) -> Column:
+    """STRUCT<i, j>: the place whose transformed coordinates are x and y, of places at a seed's start or the end of n."""
+    p = F.floor(-(col(x) + col(y)) / 2)
+    i = F.when(p == 0, col(n)).otherwise((F.floor(col(n) / k) - F.ceil(p / r)) * k)
+    return F.struct(i.cast("int").alias("i"), (i - F.floor((col(x) - col(y)) / 2)).cast("int").alias("j"))
+
+
 def affine_gap_bound(i: ColumnOrName, j: ColumnOrName, to_i: ColumnOrName, to_j: ColumnOrName, k: int) -> Column:
     """Whole seeds between i and to_i, and the change of diagonal."""
     return (F.floor(col(to_i) / k) - F.ceil(col(i) / k) + F.abs((col(to_i) - col(i)) - (col(to_j) - col(j)))).cast("int")
@@ -123,6 +142,20 @@ def gap_cost(model, delta: ColumnOrName) -> Column:
     return F.when(d == 0, 0).when(d < 0, cost("ins", -d)).otherwise(cost("del", d)).cast("int")
 
 
+def extend_cost(model, delta: ColumnOrName) -> Column:
+    """CostModel.extend_cost as an expression."""
+    d = col(delta)
+    least = lambda kind: min((e for _, e in model.gaps(kind)), default=None)
+    return F.when(d == 0, 0).when(d < 0, -d * F.lit(least("ins"))).otherwise(d * F.lit(least("del"))).cast("int")
+
+
+def most_for_cost(model, kind: str, cost: ColumnOrName, opened: bool = False) -> Column:
+    """CostModel.most_for_cost as an expression."""
+    c = col(cost)
+    sizes = [F.floor(F.greatest(F.lit(0), c - (0 if opened else o)) / e).cast("int") for o, e in model.gaps(kind)]
+    return F.greatest(*sizes) if len(sizes) > 1 else sizes[0] if sizes else F.lit(0)
+
+
 # --- letters ---------------------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,8 @@ a list of (op, count): '=' and 'X' consume both, 'D' a, 'I' b; affine scripts al
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 
 from seqloom.functions.cost_model import FORBIDDEN, CostModel
@@ -57,8 +59,34 @@ def distance(a: bytes, b: bytes) -> int:
     return cost
 
 
+#: Grid cells of one traced part: their masks take half a byte a cell.
+TRACED_CELLS = 1 << 27
+
+
+def _last_row(a: bytes, b: bytes) -> np.ndarray:
+    """Costs of all of a with b's beginnings of 0, 1, ... letters."""
+    up, down = (1 << len(b)) - 1, 0
+    for up, down, _, _ in _columns(a, b):
+        pass
+    bits = [np.unpackbits(np.frombuffer(x.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)].astype(np.int64) for x in (up, down)]
+    return len(a) + np.r_[0, np.cumsum(bits[0] - bits[1])]
+
+
 def align(a: bytes, b: bytes) -> tuple[int, Script]:
-    """Distance and script. Of equally good scripts: walking back, a match comes first, then I, D, X."""
+    """Distance and script. Of equally good scripts: walking back, a match comes first, then I, D, X.
+
+    Pairs of more than TRACED_CELLS cells are cut in halves of a where a best path crosses, until their parts are small
+    enough; so memory stays bounded, while ties may be broken differently at the cuts.
+    """
+    if len(a) * len(b) > TRACED_CELLS and len(a) > 1:
+        half = len(a) // 2
+        both = _last_row(a[:half], b) + _last_row(a[half:][::-1], b[::-1])[::-1]
+        cut = int(both.argmin())
+        (x, one), (y, two) = align(a[:half], b[:cut]), align(a[half:], b[cut:])
+        script = list(one)
+        for op, count in two:
+            pushed(script, op, count)
+        return x + y, script
     masks = [((1 << len(b)) - 1, 0, 0, 0), *_columns(a, b)]
     i, j, cost, script = len(a), len(b), 0, []
     while i or j:
@@ -93,91 +121,131 @@ def _gap_row(t: np.ndarray, gaps: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def costs(a: list[bytes], b: list[bytes], model: CostModel) -> np.ndarray:
-    """Global alignment costs of pairs, all at once: a row of the grid for each pair."""
+def _band(model: CostModel, bound: int | None, n: int, m: int) -> tuple[int, int]:
+    """Diagonals below and above the main one that alignments within the bound can reach."""
+    if bound is None:
+        return n, m
+    return min(n, model.most_for_cost("del", bound)), min(m, model.most_for_cost("ins", bound))
+
+
+def costs(a: list[bytes], b: list[bytes], model: CostModel, bound: int | None = None) -> np.ndarray:
+    """Global alignment costs of pairs, all at once: a row of the grid for each pair. With a bound, only diagonals that it
+    lets reach are filled, and costs beyond it are FORBIDDEN or more.
+
+    Column d of a row is place j = i + d - below, so a substitution keeps it and a deletion comes from the next one.
+    """
     la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
     k, n, m = len(a), int(la.max(initial=0)), int(lb.max(initial=0))
-    letters_a, letters_b = np.zeros((k, n), np.int16), np.full((k, m), -1, np.int16)
+    below, above = _band(model, bound, n, m)
+    width = below + above + 1
+    letters_a, letters_b = np.zeros((k, n), np.int16), np.full((k, below + m + above + 1 + n), -1, np.int16)
     for r, (x, y) in enumerate(zip(a, b, strict=True)):
         letters_a[r, : len(x)] = np.frombuffer(x, np.uint8)
-        letters_b[r, : len(y)] = np.frombuffer(y, np.uint8)
+        letters_b[r, below + 1 : below + 1 + len(y)] = np.frombuffer(y, np.uint8)  # the letter before place j is at below + j
     ins, dels = model.gaps("ins"), model.gaps("del")
     sub = FORBIDDEN if model.sub is None else model.sub
-    row = np.full((k, m + 1), FORBIDDEN, np.int64)
-    row[:, 0] = 0
+    d = np.arange(width)
+    row = np.full((k, width), FORBIDDEN, np.int64)
+    row[:, below] = 0
     row = _gap_row(row, ins)
     open_rows = [np.full_like(row, FORBIDDEN) for _ in dels]
-    out = np.where(la == 0, row[np.arange(k), lb], 0)
-    for i in range(n):
-        t = np.full_like(row, FORBIDDEN)
-        t[:, 1:] = row[:, :-1] + np.where(letters_b == letters_a[:, i : i + 1], 0, sub)
+    last = lb - la + below
+    inside = (last >= 0) & (last < width)
+    out = np.where((la == 0) & inside, row[np.arange(k), np.clip(last, 0, width - 1)], FORBIDDEN)
+    for i in range(1, n + 1):
+        t = row + np.where(letters_b[:, i : i + width] == letters_a[:, i - 1 : i], 0, sub)
         for g, (o, e) in enumerate(dels):
-            open_rows[g] = np.minimum(open_rows[g], row + o) + e
+            best = np.minimum(open_rows[g], row + o) + e
+            open_rows[g] = np.concatenate([best[:, 1:], np.full((k, 1), FORBIDDEN)], axis=1)
             t = np.minimum(t, open_rows[g])
+        t[:, i + d - below < 0] = FORBIDDEN
         row = np.minimum(_gap_row(t, ins), FORBIDDEN)
-        out = np.where(la == i + 1, row[np.arange(k), lb], out)
-    return out
+        ends = np.flatnonzero((la == i) & inside)
+        out[ends] = row[ends, last[ends]]
+    return out if bound is None else np.where(out <= bound, out, FORBIDDEN)
+
 
+#: Cells of a grid that is filled whole; larger ones are filled for a bound that doubles until the cost is within it.
+WHOLE_CELLS = 1 << 16
 
-def affine_align(a: bytes, b: bytes, model: CostModel) -> tuple[int | None, list[tuple[str, int, int]]]:
+
+def affine_align(a: bytes, b: bytes, model: CostModel, bound: int | None = None) -> tuple[int | None, list[tuple[str, int, int]]]:
     """Cost and script of (op, layer, count); layer is -1 outside the layers. In a layer the ops are 'O' (open), 'I' or
-    'D', and 'C' (close). No alignment: (None, []).
+    'D', and 'C' (close). No alignment, or none within the bound: (None, []).
 
     Walking back from a position: match or substitution, linear insertion, linear deletion, then closing a layer; in a
-    layer opening comes before extending.
+    layer opening comes before extending. Only diagonals within reach are filled.
     """
     n, m = len(a), len(b)
+    tried = bound if bound is not None else None if n * m <= WHOLE_CELLS else 64
+    while True:
+        found = _affine_banded(a, b, model, *_band(model, tried, n, m))
+        if found[0] is not None and (tried is None or found[0] <= tried):
+            return found
+        if tried == bound or _band(model, tried, n, m) == (n, m):
+            return (None, []) if found[0] is None or bound is not None else found
+        tried *= 2
+
+
+def _affine_banded(a: bytes, b: bytes, model: CostModel, below: int, above: int) -> tuple[int | None, list[tuple[str, int, int]]]:
+    n, m, width = len(a), len(b), below + above + 1
+    if not 0 <= m - n + below < width:
+        return None, []
     sub = FORBIDDEN if model.sub is None else model.sub
-    main = np.full((n + 1, m + 1), FORBIDDEN, np.int64)
-    layers = [np.full((n + 1, m + 1), FORBIDDEN, np.int64) for _ in model.layers]
-    ins, y = model.gaps("ins"), np.frombuffer(b, np.uint8)
-    steps = np.arange(m + 1)
+    main = np.full((n + 1, width + 1), FORBIDDEN, np.int32)  # the last column stays out of reach
+    layers = [np.full((n + 1, width + 1), FORBIDDEN, np.int32) for _ in model.layers]
+    ins, d = model.gaps("ins"), np.arange(width)
+    y = np.full(below + m + above + 1 + n, -1, np.int16)
+    y[below + 1 : below + 1 + m] = np.frombuffer(b, np.uint8)
     for i in range(n + 1):
-        t = np.full(m + 1, FORBIDDEN, np.int64)
+        t = np.full(width, FORBIDDEN, np.int64)
         if i == 0:
-            t[0] = 0
+            t[below] = 0
         else:
-            t[1:] = main[i - 1, :-1] + np.where(y == a[i - 1], 0, sub)
+            t = main[i - 1, :-1] + np.where(y[i : i + width] == a[i - 1], 0, sub).astype(np.int64)
             if model.dele is not None:
-                t = np.minimum(t, main[i - 1] + model.dele)
+                t = np.minimum(t, main[i - 1, 1:] + model.dele)
             for g, layer in enumerate(model.layers):
                 if layer.kind == "del":
-                    layers[g][i] = np.minimum(layers[g][i - 1], main[i - 1] + layer.open) + layer.extend
-                    t = np.minimum(t, layers[g][i])
-        main[i] = np.minimum(_gap_row(t, ins), FORBIDDEN)
+                    layers[g][i, :-1] = np.minimum(np.minimum(layers[g][i - 1, 1:], main[i - 1, 1:] + layer.open) + layer.extend, FORBIDDEN)
+                    t = np.minimum(t, layers[g][i, :-1])
+            t[i + d - below < 0] = FORBIDDEN
+        main[i, :-1] = np.minimum(_gap_row(t, ins), FORBIDDEN)
         for g, layer in enumerate(model.layers):
             if layer.kind == "ins":
-                best = np.minimum.accumulate(main[i] + layer.open - layer.extend * steps)
-                layers[g][i, 1:] = best[:-1] + layer.extend * steps[1:]
-    if main[n, m] >= FORBIDDEN:
+                best = np.minimum.accumulate(main[i, :-1].astype(np.int64) + layer.open - layer.extend * d)
+                layers[g][i, 1:-1] = np.minimum(best[:-1] + layer.extend * d[1:], FORBIDDEN)
+    cost = int(main[n, m - n + below])
+    if cost >= FORBIDDEN:
         return None, []
     script: list = []
     i, j, at = n, m, -1
+    here_of = lambda grid, i, j: int(grid[i, j - i + below]) if 0 <= j - i + below < width else FORBIDDEN
     while i or j or at >= 0:
         if at >= 0:
             layer = model.layers[at]
-            here = layers[at][i, j]
+            here = here_of(layers[at], i, j)
             pi, pj = (i, j - 1) if layer.kind == "ins" else (i - 1, j)
             pushed(script, ("I" if layer.kind == "ins" else "D", at))
-            if main[pi, pj] + layer.open + layer.extend == here:
+            if here_of(main, pi, pj) + layer.open + layer.extend == here:
                 pushed(script, ("O", at))
                 at = -1
             i, j = pi, pj
             continue
-        here = main[i, j]
-        if i and j and main[i - 1, j - 1] + (0 if a[i - 1] == b[j - 1] else sub) == here:
+        here = here_of(main, i, j)
+        if i and j and here_of(main, i - 1, j - 1) + (0 if a[i - 1] == b[j - 1] else sub) == here:
             pushed(script, ("=" if a[i - 1] == b[j - 1] else "X", -1))
             i, j = i - 1, j - 1
-        elif j and model.ins is not None and main[i, j - 1] + model.ins == here:
+        elif j and model.ins is not None and here_of(main, i, j - 1) + model.ins == here:
             pushed(script, ("I", -1))
             j -= 1
-        elif i and model.dele is not None and main[i - 1, j] + model.dele == here:
+        elif i and model.dele is not None and here_of(main, i - 1, j) + model.dele == here:
             pushed(script, ("D", -1))
             i -= 1
         else:
-            at = next(g for g, x in enumerate(layers) if x[i, j] == here)
+            at = next(g for g, x in enumerate(layers) if here_of(x, i, j) == here)
             pushed(script, ("C", at))
-    return int(main[n, m]), [(op, layer, count) for (op, layer), count in reversed(script)]
+    return cost, [(op, layer, count) for (op, layer), count in reversed(script)]
 
 
 # --- semi-global search ----------------------------------------------------------------------------------------------
@@ -220,11 +288,56 @@ def _search_rows(pattern: str, text: str, u: float) -> np.ndarray:
     return rows
 
 
+def searches(patterns: list[str], texts: list[str], u: float = 0.0) -> list[np.ndarray]:
+    """For each pair the cost of the best match of the pattern that ends at each place of the text, then of matches over
+    its right end: of all but 1, 2, ... of the pattern's letters. Pairs with patterns of one length are computed together.
+    """
+    if not 0 <= u <= 1:
+        raise ValueError("the cost of unmatched letters must be from 0 to 1")
+    out: list = [None] * len(patterns)
+    order = sorted(range(len(patterns)), key=lambda x: (len(patterns[x]), len(texts[x])))
+    for n, same in groupby(order, key=lambda x: len(patterns[x])):
+        own = list(same)
+        step = max(1, SEARCHED // (n + 1))
+        for s in range(0, len(own), step):
+            rows = own[s : s + step]
+            for x, found in zip(rows, _searched([patterns[x] for x in rows], [texts[x] for x in rows], n, u), strict=True):
+                out[x] = found
+    return out
+
+
+#: Cells of one row of the grids of all pairs that are searched together.
+SEARCHED = 1 << 16
+
+
+def _searched(patterns: list[str], texts: list[str], n: int, u: float) -> list[np.ndarray]:
+    size = np.array([len(t) for t in texts])
+    code = np.full((len(texts), int(size.max(initial=0))), -1, np.int8)
+    number = {c: x for x, c in enumerate("ACGT")} | {c: x for x, c in enumerate("acgt")}
+    for x, t in enumerate(texts):
+        if bad := set(t) - number.keys():
+            raise ValueError(f"text letter {min(bad)!r} is not one of ACGT")
+        code[x, : len(t)] = [number[c] for c in t]
+    unlike = np.array([[[c not in s for s in _letters(p)] for c in "ACGT"] for p in patterns], np.int64).reshape(len(patterns), 4, n)
+    rest, steps, every = unmatched(n, u), np.arange(n + 1), np.arange(len(texts))
+    row = np.broadcast_to(rest, (len(texts), n + 1))
+    out = np.zeros((len(texts), code.shape[1] + n + 1), np.int64)
+    for i in range(code.shape[1] + 1):
+        out[:, i] = np.where(size >= i, row[:, n], out[:, i])
+        ends = np.flatnonzero(size == i)
+        if len(ends) and n:
+            out[ends, i + 1 : i + n + 1] = (row[ends] + rest[-1] - rest)[:, n - 1 :: -1] if n else 0
+        if i < code.shape[1]:
+            t = np.zeros((len(texts), n + 1), np.int64)
+            t[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + unlike[every, code[:, i]])
+            going = (size > i)[:, None]
+            row = np.where(going, np.minimum.accumulate(t - steps, axis=1) + steps, row)
+    return [out[x, : s + n + 1] for x, s in enumerate(size.tolist())]
+
+
 def search(pattern: str, text: str, u: float = 0.0) -> list[int]:
-    """Cost of the best match of pattern that ends at each place of text, then of matches over its right end: of all but
-    1, 2, ... of the pattern's letters."""
-    rows, rest = _search_rows(pattern, text, u), unmatched(len(pattern), u)
-    return [*rows[:, -1].tolist(), *(int(rows[-1, j] + rest[-1] - rest[j]) for j in range(len(pattern) - 1, -1, -1))]
+    """searches() of one pair."""
+    return searches([pattern], [text], u)[0].tolist()
 
 
 def index_position(index: int, pattern_length: int, text_length: int) -> tuple[int, int]:
@@ -290,16 +403,129 @@ def best_chain(start_i: np.ndarray, start_j: np.ndarray, end_i: np.ndarray, end_
     return max(chain)
 
 
-def costs_to_column(a: bytes, b: bytes) -> int:
-    """The least cost of aligning all of a with any beginning of b."""
-    if not a:
-        return 0
-    if not b:
-        return len(a)
-    cost, best, up, down = len(a), len(a), 0, 0
-    for up, down, _, _ in _columns(a, b):
-        pass
-    for j in range(len(b)):  # the last column, from its top on
-        cost += (up >> j & 1) - (down >> j & 1)
-        best = min(best, cost)
-    return best
+# --- seeds and matches of many pairs ---------------------------------------------------------------------------------
+
+
+def window_codes(data: np.ndarray, k: int) -> np.ndarray:
+    """Two bits a letter (0 to 3) of each window of k letters, the first letter highest."""
+    n = max(0, len(data) - k + 1)
+    out = np.zeros(n, np.int64)
+    for x in range(k):
+        out = out << 2 | data[x : x + n]
+    return out
+
+
+def _neighbours(code: np.ndarray, k: int) -> list[tuple[int, np.ndarray]]:
+    """(length, codes) of all words that one deletion, substitution or insertion makes of each word of k letters."""
+    out = []
+    for x in range(k):  # letters after place x
+        low, high = code & ((1 << 2 * x) - 1), code >> 2 * (x + 1)
+        out.append((k - 1, high << 2 * x | low))
+        out += [(k, (high << 2 | c) << 2 * x | low) for c in range(4)]
+    for x in range(k + 1):
+        low, high = code & ((1 << 2 * x) - 1), code >> 2 * x
+        out += [(k + 1, (high << 2 | c) << 2 * x | low) for c in range(4)]
+    return out
+
+
+def batch_matches(a: list[bytes], b: list[bytes], k: int, r: int) -> dict[str, np.ndarray]:
+    """Matches of many pairs of A, C, G, T at once: row (the pair), start_i, start_j, end_i, end_j, match_cost, each once, in
+    this order. Seeds and windows are joined on pair and code by sorting."""
+    code_of = np.full(256, 4, np.int64)
+    code_of[[65, 67, 84, 71]] = range(4)
+    side_a, side_b = (code_of[np.frombuffer(b"".join(x), np.uint8)] for x in (a, b))
+    if (side_a > 3).any() or (side_b > 3).any():
+        raise ValueError("a sequence has other letters than A, C, G, T")
+    size_a, size_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
+    first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+    count = size_a // k
+    row = np.repeat(np.arange(len(a)), count)
+    start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * k
+    own = window_codes(side_a, k)[first_a[row] + start] if len(row) else np.zeros(0, np.int64)
+    wanted: dict[int, list[tuple[np.ndarray, int]]] = {k: [(own, 0)]}
+    if r == 2:
+        for length, codes in _neighbours(own, k):
+            wanted.setdefault(length, []).append((codes, 1))
+    row_b = np.repeat(np.arange(len(b)), size_b)
+    found = []
+    for length, lists in wanted.items():
+        if not length:
+            continue  # a deletion of all of a seed is found anywhere, and tells nothing
+        windows = window_codes(side_b, length)
+        at = np.flatnonzero(row_b[: len(windows)] == row_b[length - 1 :]) if len(windows) else np.zeros(0, np.int64)
+        codes, number = np.unique(windows[at], return_inverse=True)
+        key = row_b[at] * max(1, len(codes)) + number
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], (at - first_b[row_b[at]])[order]
+        for code, cost in lists:
+            known = np.searchsorted(codes, code)
+            there = np.flatnonzero((known < len(codes)) & (codes[np.minimum(known, max(0, len(codes) - 1))] == code)) if len(codes) else np.zeros(0, np.int64)
+            want = row[there] * max(1, len(codes)) + known[there]
+            low, n = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
+            n -= low
+            seed = np.repeat(there, n)
+            j = place[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(seed))]
+            found.append(np.stack([row[seed], start[seed], j, start[seed] + k, j + length, np.full(len(seed), cost)]))
+    rows = np.concatenate(found, axis=1)
+    rows = rows[:, np.lexsort(rows[::-1])]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[:5, 1:] != rows[:5, :-1]).any(axis=0)  # the least cost of each start and end comes first
+    return dict(zip(("row", "start_i", "start_j", "end_i", "end_j", "match_cost"), rows[:, new], strict=True))
+
+
+def potential(n: np.ndarray, i: np.ndarray, k: int, r: int) -> np.ndarray:
+    return r * np.maximum(0, n // k - -(-i // k))
+
+
+def promising(a: bytes, b: bytes, match: tuple[int, int, int, int, int], k: int, r: int, look_ahead: int, starts: dict[int, int]) -> bool:
+    """Whether a match (start_i, start_j, end_i, end_j, cost) is worth keeping: whether some path from its end comes to the
+    end of look_ahead seeds (its own is the first), or to the start of a match kept before (starts: by diagonal, the
+    nearest), while its cost and the potential left stay below the potential at the match's start.
+
+    Furthest-reaching points by diagonal, for one more edit at a time; outer diagonals that fall behind are dropped.
+    """
+    start_i, _, end_i, end_j, cost = match
+    n = len(a)
+    worth = lambda i: r * max(0, n // k - -(-i // k))
+    stop = min(start_i // k + look_ahead, n // k) * k
+    most, allowed = worth(start_i), worth(start_i) - worth(stop)
+
+    def extended(i: int, d: int) -> int:
+        while i < stop and 0 <= i - d < len(b) and a[i] == b[i - d]:
+            i += 1
+        return i
+
+    d = end_i - end_j
+    front = {d: extended(end_i, d)}
+    if front[d] >= stop or starts.get(d, n + 1) <= front[d]:
+        return True
+    for g in range(cost + 1, allowed):
+        reach = {x: max(front.get(x, -1) + 1, front.get(x - 1, -2) + 1, front.get(x + 1, -1)) for x in range(min(front) - 1, max(front) + 2)}
+        reach = {x: min(i, n) for x, i in reach.items() if i >= 0 and i - x <= len(b)}
+        for side in (sorted(reach), sorted(reach, reverse=True)):
+            for x in side:
+                if x in reach and g + worth(reach[x]) < most:
+                    break
+                reach.pop(x, None)
+        if not reach:
+            return False
+        front = {x: extended(i, x) for x, i in reach.items()}
+        if any(i >= stop or reach[x] <= starts.get(x, n + 1) <= i for x, i in front.items()):
+            return True
+    return False
+
+
+def locally_pruned(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray], k: int, r: int, look_ahead: int) -> dict[str, np.ndarray]:
+    """Those of batch_matches() that are promising(), from the last start of each pair on."""
+    keep = np.ones(len(found["row"]), bool)
+    starts: dict[int, int] = {}
+    pair = -1
+    rows = np.stack([found[c] for c in ("row", "start_i", "start_j", "end_i", "end_j", "match_cost")], axis=1).tolist()
+    for x in reversed(range(len(rows))):
+        at, *match = rows[x]
+        if at != pair:
+            pair, starts = at, {}
+        keep[x] = promising(a[at], b[at], tuple(match), k, r, look_ahead, starts)
+        if keep[x]:
+            starts[match[0] - match[1]] = match[0]
+    return {c: v[keep] for c, v in found.items()}

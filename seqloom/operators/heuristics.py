@@ -6,42 +6,68 @@ They serve to drop pairs before exact scoring.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from itertools import pairwise
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions import expr
-from seqloom.functions.align import chain_score
+from seqloom.functions import expr, kernels
 from seqloom.operators import seeds as S
 
 
-def sh(pairs: DataFrame, k: int, r: int = 1) -> DataFrame:
-    """(id, h): potential not regained by each seed's best match. Joins and counts only; pairs without seeds have 0."""
-    left = S.seed_costs(pairs, k, r).groupBy("id").agg(F.sum("seed_cost").cast("int").alias("h"))
-    return pairs.select("id").join(left, "id", "left").select("id", F.coalesce("h", F.lit(0)).alias("h"))
+def _by_pair(pairs: DataFrame, k: int, r: int, look_ahead: int, h: Callable[[list[bytes], list[bytes], dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
+    """(id, h), null where a sequence is."""
+    of = lambda a, b, found: (np.arange(len(a)), [h(a, b, found)])
+    return S.in_batches(pairs, k, r, of, "h int", look_ahead, all_pairs=True)
+
+
+def sh(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
+    """(id, h): potential not regained by each seed's best match; pairs without seeds have 0."""
+
+    def h(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray]) -> np.ndarray:
+        row, _, cost = S.least_costs(a, found, k, r)
+        return np.bincount(row, weights=cost, minlength=len(a)).astype(np.int64)
+
+    return _by_pair(pairs, k, r, look_ahead, h)
 
 
-def _chained(pairs: DataFrame, found: DataFrame, start: tuple[Column, Column], end: tuple[Column, Column]) -> DataFrame:
-    rows = found.select("id", F.struct(start[0].alias("si"), start[1].alias("sj"), end[0].alias("ei"), end[1].alias("ej"), (F.col("seed_potential") - F.col("match_cost")).alias("score")).alias("m"))
-    sets = rows.where("m.score > 0").groupBy("id").agg(F.collect_list("m").alias("ms"))
-    return pairs.select("id", "a", "b").join(sets, "id", "left").withColumn("score", F.when(F.col("ms").isNull(), 0).otherwise(chain_score("ms")))
+def _chains(n_pairs: int, row: np.ndarray, start: tuple[np.ndarray, np.ndarray], end: tuple[np.ndarray, np.ndarray], score: np.ndarray) -> np.ndarray:
+    """The best chain's score for each pair; rows come pair by pair."""
+    keep = np.flatnonzero(score > 0)
+    cuts = np.searchsorted(row[keep], np.arange(n_pairs + 1))
+    columns = [x[keep] for x in (*start, *end, score)]
+    return np.array([kernels.best_chain(*(x[s:e] for x in columns)) for s, e in pairwise(cuts.tolist())], np.int64)
 
 
-def csh(pairs: DataFrame, k: int, r: int = 1) -> DataFrame:
+def csh(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
     """(id, h): potential less the best chain of matches that follow each other in both sequences."""
-    found = S.matches(pairs, k, r)
-    c = F.col
-    out = _chained(pairs, found, (c("start_i"), c("start_j")), (c("end_i"), c("end_j")))
-    return out.select("id", (expr.potential(F.length("a"), F.lit(0), k, r) - F.col("score")).cast("int").alias("h"))
 
+    def h(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray]) -> np.ndarray:
+        best = _chains(len(a), found["row"], (found["start_i"], found["start_j"]), (found["end_i"], found["end_j"]), r - found["match_cost"])
+        return r * np.array([len(x) // k for x in a], np.int64) - best
 
-def gcsh(pairs: DataFrame, k: int, r: int = 1) -> DataFrame:
+    return _by_pair(pairs, k, r, look_ahead, h)
+
+
+def gcsh(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
     """(id, h): as csh, with chains in the gap-cost domain; without a match at least the difference of lengths."""
-    found = S.transformed(S.matches(pairs, k, r), pairs, k, r).where("start_ti <= target_ti AND start_tj <= target_tj AND end_ti <= target_ti AND end_tj <= target_tj")
-    c = F.col
-    out = _chained(pairs, found, (c("start_ti"), c("start_tj")), (c("end_ti"), c("end_tj")))
-    p = expr.potential(F.length("a"), F.lit(0), k, r)
-    alone = F.greatest(expr.gap_bound("a", "b"), p)
-    return out.select("id", F.when(F.col("score") == 0, alone).otherwise(p - F.col("score")).cast("int").alias("h"))
+
+    def h(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray]) -> np.ndarray:
+        n, m = (np.array([len(x) for x in y], np.int64) for y in (a, b))
+        row, points = found["row"], []
+        for i, j in ((found["start_i"], found["start_j"]), (found["end_i"], found["end_j"])):
+            p = kernels.potential(n[row], i, k, r)
+            points.append((i - j - p, j - i - p))
+        (si, sj), (ei, ej) = points
+        gap = (n - m)[row]
+        near = (si <= gap) & (sj <= -gap) & (ei <= gap) & (ej <= -gap)
+        best = _chains(len(a), row[near], (si[near], sj[near]), (ei[near], ej[near]), (r - found["match_cost"])[near])
+        p = kernels.potential(n, np.zeros_like(n), k, r)
+        return np.where(best == 0, np.maximum(abs(n - m), p), p - best)
+
+    return _by_pair(pairs, k, r, look_ahead, h)
 
 
 KINDS = {"sh": sh, "csh": csh, "gcsh": gcsh}
@@ -58,11 +84,11 @@ def symmetric(kind: str, pairs: DataFrame, k: int, r: int = 1) -> DataFrame:
     return both.groupBy("id").agg(F.max("h").alias("h"))
 
 
-def bound(pairs: DataFrame, kind: str = "gcsh", k: int = 15, r: int = 2) -> DataFrame:
+def bound(pairs: DataFrame, kind: str = "gcsh", k: int = 15, r: int = 2, look_ahead: int = 0) -> DataFrame:
     """(id, h) by name: none, zero, gap, count, pair_count, sh, csh, gcsh."""
     simple = {"none": expr.zero_bound, "zero": expr.zero_bound, "gap": expr.gap_bound, "count": expr.count_bound, "pair_count": expr.pair_count_bound}
     if kind in simple:
         return pairs.select("id", simple[kind]("a", "b").alias("h"))
     if kind not in KINDS:
         raise ValueError(f"no bound {kind!r}; there are {', '.join([*simple, *KINDS])}")
-    return KINDS[kind](pairs, k, r)
+    return KINDS[kind](pairs, k, r, look_ahead)

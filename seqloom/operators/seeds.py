@@ -1,21 +1,23 @@
-"""Seeds, k-mers and matches as relations: matching is an equi-join, never a loop over positions.
+"""Seeds, k-mers and matches as relations. Seeds and windows are matched by sorting their codes, many pairs at a time and
+where the pairs are: nothing is shuffled.
 
 pairs: (id, a, b) of A, C, G, T. Seeds are the disjoint k-letter pieces of a; k-mers all windows of b.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.types import BooleanType
 
-from seqloom.functions import expr
-from seqloom.functions.kernels import costs_to_column
+from seqloom.functions import expr, kernels
 
-#: Sizes are estimated before pieces are exploded, so an estimate would broadcast too much; a merge join spills instead.
-JOIN = "merge"
+#: Letters of the pairs that are matched at once (one longer pair by itself).
+LETTERS = 1 << 18
 MATCH = ["id", "start_i", "start_j", "end_i", "end_j"]
 
 
@@ -36,12 +38,6 @@ def kmers(pairs: DataFrame, k: int) -> DataFrame:
     return at.select("id", "j", F.substr("b", F.col("j") + 1, F.lit(k)).alias("q"))
 
 
-def matches_exact(pairs: DataFrame, k: int, r: int = 1) -> DataFrame:
-    """Seeds found in b unchanged: (id, start_i, start_j, end_i, end_j, match_cost, seed_potential)."""
-    found = seeds(pairs, k, r).join(kmers(pairs, k).hint(JOIN), ["id", "q"])
-    return found.select("id", F.col("start").alias("start_i"), F.col("j").alias("start_j"), F.col("end").alias("end_i"), (F.col("j") + k).alias("end_j"), F.lit(0).alias("match_cost"), "seed_potential")
-
-
 def mutations(q: Column, k: int) -> Column:
     """ARRAY<STRUCT<kind, q>>: what one deletion, substitution or insertion makes of q (length k), each kind's once."""
     letters = F.array(*[F.lit(c) for c in "ACGT"])
@@ -57,28 +53,78 @@ def mutations(q: Column, k: int) -> Column:
     return F.concat(marked("del", dels), marked("sub", F.array_remove(subs, q)), marked("ins", inss))
 
 
-def matches_inexact(pairs: DataFrame, k: int) -> DataFrame:
-    """As matches_exact, with seeds of potential 2 that may be one edit away; the least cost of each start and end."""
-    own = seeds(pairs, k, 2)
-    exact = own.select("id", "start", "end", "q", F.lit(0).alias("match_cost"))
-    near = own.select("id", "start", "end", F.explode(mutations(F.col("q"), k)).alias("m")).select("id", "start", "end", "m.q", F.lit(1).alias("match_cost"))
-    wanted = exact.unionByName(near)
-    there = kmers(pairs, k - 1).unionByName(kmers(pairs, k)).unionByName(kmers(pairs, k + 1))
-    found = wanted.join(there.hint(JOIN), ["id", "q"])
-    rows = found.select("id", F.col("start").alias("start_i"), F.col("j").alias("start_j"), F.col("end").alias("end_i"), (F.col("j") + F.length("q")).alias("end_j"), "match_cost")
-    return rows.groupBy(*MATCH).agg(F.min("match_cost").alias("match_cost")).withColumn("seed_potential", F.lit(2))
-
-
-def matches(pairs: DataFrame, k: int, r: int = 1) -> DataFrame:
+def in_batches(pairs: DataFrame, k: int, r: int, of: Callable[[list[bytes], list[bytes], dict[str, np.ndarray]], tuple[np.ndarray, list]], columns: str, look_ahead: int = 0, all_pairs: bool = False) -> DataFrame:
+    """pairs (id, a, b) to id and columns. A pair's seeds and windows are both in its own row, so they are matched there,
+    batch by batch, and no row is moved. of() gets a batch's sequences and matches, and gives rows' places in the batch
+    and their columns. Pairs with a null side have no rows, or (all_pairs) one of nulls.
+    """
     if r not in (1, 2):
         raise ValueError("r is 1 (exact matches) or 2 (one edit)")
-    return matches_exact(pairs, k, r) if r == 1 else matches_inexact(pairs, k)
+    if not 1 <= k <= 30:
+        raise ValueError("k is from 1 to 30")
+    kinds = [c.split()[1] for c in columns.split(", ")]
+    types = [{"int": pa.int32(), "string": pa.string()}[c] for c in kinds]
+    names = ["id", *(c.split()[0] for c in columns.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letters = np.cumsum([len(x or b"") + len(y or b"") for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
+            cuts = np.unique(np.searchsorted(letters, np.arange(0, int(letters[-1]) if len(letters) else 0, LETTERS)).tolist() + [0, batch.num_rows])
+            for s, e in pairwise(cuts.tolist()):
+                part = batch.slice(s, e - s)
+                a, b = part.column(1).to_pylist(), part.column(2).to_pylist()
+                known = [x for x, (p, q) in enumerate(zip(a, b, strict=True)) if p is not None and q is not None]
+                a, b = [a[x] for x in known], [b[x] for x in known]
+                found = kernels.batch_matches(a, b, k, r)
+                if look_ahead:
+                    found = kernels.locally_pruned(a, b, found, k, r, look_ahead)
+                row, values = of(a, b, found)
+                at = np.array(known, np.int64)[row] if len(row) else np.zeros(0, np.int64)
+                values = [pa.array(v, t) for v, t in zip(values, types, strict=True)]
+                if all_pairs and len(known) < part.num_rows:
+                    none = np.setdiff1d(np.arange(part.num_rows), known)
+                    at, values = np.r_[at, none], [pa.concat_arrays([v, pa.nulls(len(none), v.type)]) for v in values]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *values], names=names)
+
+    kind = pairs.schema["id"].dataType.simpleString()
+    own = pairs.select("id", F.col("a").cast("binary").alias("a"), F.col("b").cast("binary").alias("b"))
+    return own.mapInArrow(run, f"id {kind}, {columns}")
+
+
+_MATCH_COLUMNS = "start_i int, start_j int, end_i int, end_j int, match_cost int"
+
+
+def _sized(pairs: DataFrame, k: int, r: int, look_ahead: int) -> DataFrame:
+    """Matches, and the lengths n and m of their pair."""
+
+    def of(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray]) -> tuple[np.ndarray, list]:
+        n, m = (np.array([len(x) for x in y], np.int64)[found["row"]] for y in (a, b))
+        return found["row"], [found[c] for c in MATCH[1:]] + [found["match_cost"], n, m]
+
+    return in_batches(pairs, k, r, of, f"{_MATCH_COLUMNS}, n int, m int", look_ahead)
+
+
+def matches(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
+    """Seeds found in b: (id, start_i, start_j, end_i, end_j, match_cost, seed_potential), each start and end once, with its
+    least cost. r 1: unchanged; r 2: or one edit away. look_ahead: of so many seeds, for local pruning (0: none): a match
+    stays only if these, its own included, can be covered for less than their potential (kernels.promising).
+
+    Null sequences have none; letters other than A, C, G, T are an error.
+    """
+    return _sized(pairs, k, r, look_ahead).select(*MATCH, "match_cost", F.lit(r).alias("seed_potential"))
 
 
-def transformed(found: DataFrame, pairs: DataFrame, k: int, r: int = 1) -> DataFrame:
-    """Adds the start's and end's coordinates in the gap-cost domain, and those of the target."""
-    sizes = pairs.select("id", F.length("a").alias("n"), F.length("b").alias("m"))
-    out = found.join(sizes, "id")
+def matches_exact(pairs: DataFrame, k: int) -> DataFrame:
+    return matches(pairs, k, 1)
+
+
+def matches_inexact(pairs: DataFrame, k: int) -> DataFrame:
+    return matches(pairs, k, 2)
+
+
+def transformed(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
+    """matches() with the start's and end's coordinates in the gap-cost domain, and those of the target."""
+    out = _sized(pairs, k, r, look_ahead).withColumn("seed_potential", F.lit(r))
     for at in ("start", "end"):
         i, j = f"{at}_i", f"{at}_j"
         p = expr.potential("n", i, k, r)
@@ -86,26 +132,55 @@ def transformed(found: DataFrame, pairs: DataFrame, k: int, r: int = 1) -> DataF
     return out.withColumn("target_ti", F.col("n") - F.col("m")).withColumn("target_tj", F.col("m") - F.col("n"))
 
 
-def target_filter(found: DataFrame, pairs: DataFrame, k: int, r: int = 1) -> DataFrame:
+def target_filter(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
     """Matches from whose start the target can be reached without gaps that cost more than is left."""
-    kept = transformed(found, pairs, k, r).where("start_ti <= target_ti AND start_tj <= target_tj")
-    return kept.select(found.columns)
+    kept = transformed(pairs, k, r, look_ahead).where("start_ti <= target_ti AND start_tj <= target_tj")
+    return kept.select(*MATCH, "match_cost", "seed_potential")
+
+
+def built(pairs: DataFrame, k: int, r: int = 1, gaps: bool = False, look_ahead: int = 0) -> DataFrame:
+    """The chain that prepares matches: those that pass target_filter (with gaps), those that local pruning keeps (with
+    look_ahead), and for each the least cost of those left of its seed as seed_cost. Windows are by seed."""
+    kept = target_filter(pairs, k, r, look_ahead) if gaps else matches(pairs, k, r, look_ahead)
+    return kept.withColumn("seed_cost", F.min("match_cost").over(Window.partitionBy("id", "start_i")))
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Matches by pair, start, end and cost, and the number of each in its pair's order, from 0."""
+    order = ["start_i", "start_j", "end_i", "end_j", "match_cost"]
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order)) - 1)
 
 
 def consistent(found: DataFrame) -> DataFrame:
     """Adds, for matches that may cost one more, those with start or end one letter of b earlier or later that are
-    missing."""
-    shifts = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in ((0, 1), (0, -1), (1, 0), (-1, 0))])
-    near = found.where("match_cost + 1 < seed_potential").withColumn("d", F.explode(shifts))
-    near = near.select("id", "start_i", (F.col("start_j") + F.col("d.s")).alias("start_j"), "end_i", (F.col("end_j") + F.col("d.e")).alias("end_j"), (F.col("match_cost") + 1).alias("match_cost"), "seed_potential")
-    new = near.join(found, [*MATCH, "match_cost"], "left_anti")
-    return found.unionByName(new.select(found.columns))
+    missing. Both are grouped by place at once, so rows are moved once."""
+    shifts = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e"), F.lit(c).alias("c")) for s, e, c in ((0, 0, 0), (0, 1, 1), (0, -1, 1), (1, 0, 1), (-1, 0, 1))])
+    near = found.withColumn("d", F.explode(shifts)).where("d.c = 0 OR match_cost + 1 < seed_potential")
+    near = near.select("id", "start_i", (F.col("start_j") + F.col("d.s")).alias("start_j"), "end_i", (F.col("end_j") + F.col("d.e")).alias("end_j"), (F.col("match_cost") + F.col("d.c")).alias("match_cost"), "seed_potential", F.col("d.c"))
+    grouped = near.groupBy(*MATCH, "match_cost").agg(F.first("seed_potential").alias("seed_potential"), F.sum(F.when(F.col("c") == 0, 1).otherwise(0)).alias("own"), F.count("*").alias("all"))
+    copies = F.when(F.col("own") > 0, F.col("own")).otherwise(F.col("all"))
+    return grouped.withColumn("_", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(found.columns)
 
 
 def seed_costs(pairs: DataFrame, k: int, r: int = 1) -> DataFrame:
-    """Seeds with the least cost of their matches (the potential where there is none)."""
-    best = matches(pairs, k, r).groupBy("id", F.col("start_i").alias("start")).agg(F.min("match_cost").alias("best"))
-    return seeds(pairs, k, r).join(best, ["id", "start"], "left").select("id", "start", "end", "seed_potential", F.coalesce("best", "seed_cost").alias("seed_cost"))
+    """(id, start, end, seed_potential, seed_cost): seeds with the least cost of their matches (the potential where there
+    is none)."""
+
+    def of(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray]) -> tuple[np.ndarray, list]:
+        row, start, cost = least_costs(a, found, k, r)
+        return row, [start, start + k, np.full(len(row), r), cost]
+
+    return in_batches(pairs, k, r, of, "start int, end int, seed_potential int, seed_cost int")
+
+
+def least_costs(a: list[bytes], found: dict[str, np.ndarray], k: int, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair, start and least match cost of every seed."""
+    count = np.array([len(x) // k for x in a], np.int64)
+    first = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(a)), count)
+    cost = np.full(len(row), r, np.int64)
+    np.minimum.at(cost, first[found["row"]] + found["start_i"] // k, found["match_cost"])
+    return row, (np.arange(len(row)) - first[row]) * k, cost
 
 
 def suffix_potentials(rows: DataFrame) -> DataFrame:
@@ -119,18 +194,14 @@ def covering_seed(i: Column, n: Column, k: int) -> Column:
     return F.when(F.floor(i / k) < F.floor(n / k), F.floor(i / k) * k).cast("int")
 
 
-def locally_pruned(found: DataFrame, pairs: DataFrame, k: int, r: int, look_ahead: int) -> DataFrame:
-    """Keeps matches after which the next seeds can be covered for less than their potential: from a match's end, the
-    cheapest way to the end of `look_ahead` seeds (its own included) must cost less than these have."""
+def ending_seed(i: Column, n: Column, k: int) -> Column:
+    """Start of the seed that covers the letter before place i, null at 0 and after a tail's letter."""
+    return F.when(i > 0, covering_seed(i - 1, n, k))
+
+
+def is_seed_start(i: Column, n: Column, k: int) -> Column:
+    return F.coalesce(covering_seed(i, n, k) == i, F.lit(False))
 
-    @pandas_udf(BooleanType())
-    def promising(a: pd.Series, b: pd.Series, si: pd.Series, ei: pd.Series, ej: pd.Series, cost: pd.Series) -> pd.Series:
-        keep = []
-        for x, y, s, e, j, c in zip(a, b, si, ei, ej, cost, strict=True):
-            seeds_left = min(look_ahead, len(x) // k - s // k)
-            stop, worth = s + seeds_left * k, seeds_left * r
-            keep.append(c + costs_to_column(x[e:stop].encode(), y[j : j + stop - e + worth].encode()) < worth)
-        return pd.Series(keep)
 
-    with_text = found.join(pairs.select("id", "a", "b"), "id")
-    return with_text.where(promising("a", "b", "start_i", "end_i", "end_j", "match_cost")).select(found.columns)
+def is_seed_end(i: Column, n: Column, k: int) -> Column:
+    return F.coalesce(ending_seed(i, n, k) + k == i, F.lit(False))

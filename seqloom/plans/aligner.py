@@ -6,13 +6,14 @@ from __future__ import annotations
 import argparse
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import align as A
 from seqloom.functions import cigar, expr
 from seqloom.functions.cost_model import CostModel, named, unit
 from seqloom.operators import heuristics
+from seqloom.plans import reports
 from seqloom.sources.generate import generate
 from seqloom.sources.pairs import read_pairs, write_costs
 
@@ -27,15 +28,26 @@ class Aligner:
     bounds: tuple[str, ...] = ()
     k: int = 12
     r: int = 1
+    look_ahead: int = 0
+    doubling: int = 0
 
     def costs(self, pairs: DataFrame) -> DataFrame:
         """pairs (id, a, b) with cost. With lower bounds, pairs beyond the bound never reach the cost."""
+        if self.doubling and self.bound is None and self.model.is_unit:
+            return pairs.withColumn("cost", self._doubled())
         kept = self._near(pairs)
         scored = kept.withColumn("cost", A.alignment_cost("a", "b", self.model, self.bound))
         if kept is pairs:
             return scored
         return pairs.join(scored.select("id", "cost"), "id", "left")
 
+    def _doubled(self) -> Column:
+        """The distance by bounds that grow until one holds, so that near pairs are told from few diagonals. The first is
+        from the difference of lengths; the last has no bound."""
+        first = expr.gap_bound("a", "b")
+        tries = [F.when(first <= most, expr.bounded_distance("a", "b", most)) for most in (4 * self.doubling**t for t in range(6))]
+        return F.coalesce(*tries, expr.distance("a", "b"))
+
     def _near(self, pairs: DataFrame) -> DataFrame:
         if self.bound is None or not self.bounds:
             return pairs
@@ -46,7 +58,7 @@ class Aligner:
             if name in cheap:
                 pairs = pairs.where(cheap[name]("a", "b") <= self.bound)
             else:
-                h = heuristics.bound(pairs, name, self.k, self.r).where(F.col("h") <= self.bound)
+                h = heuristics.bound(pairs, name, self.k, self.r, self.look_ahead).where(F.col("h") <= self.bound)
                 pairs = pairs.join(h.select("id"), "id", "left_semi")
         return pairs
 
@@ -55,20 +67,38 @@ class Aligner:
         if self.model.is_unit:
             found = A.align("a", "b") if self.bound is None else A.bounded_align("a", "b", self.bound)
             return pairs.withColumn("_r", found).select(*pairs.columns, "_r.cost", "_r.cigar")
-        found = pairs.withColumn("_r", A.affine_align("a", "b", self.model)).select(*pairs.columns, "_r.cost", F.col("_r.cigar").alias("affine_cigar"))
-        return found.withColumn("cigar", cigar.to_base("affine_cigar")) if self.bound is None else found.withColumn("cigar", F.when(F.col("cost") <= self.bound, cigar.to_base("affine_cigar"))).withColumn("cost", F.when(F.col("cost") <= self.bound, F.col("cost")))
+        found = pairs.withColumn("_r", A.affine_align("a", "b", self.model, self.bound)).select(*pairs.columns, "_r.cost", F.col("_r.cigar").alias("affine_cigar"))
+        return found.withColumn("cigar", F.when(F.col("cost").isNotNull(), cigar.to_base("affine_cigar")))
+
+    def align_with_statistics(self, pairs: DataFrame) -> DataFrame:
+        """align() with STRUCT stats of each pair: len_a, len_b, distance, matches, substitutions, insertions, deletions,
+        runs."""
+        return self.align(pairs).withColumn("stats", reports.statistics("a", "b", "cost", "cigar"))
 
 
 STRATEGIES = {"plain": (), "banded": ("gap", "count"), "seeded": ("gap", "count", "sh"), "chained": ("gap", "count", "gcsh")}
+#: Parameter sets by name. bounds, k and r steer which pairs are dropped before they are scored; look_ahead
+#: (seeds) the local pruning of matches; doubling the growth of a bound from the first lower bound on (0: none).
+PRESETS = {
+    "default": {"bounds": ("gcsh",), "k": 15, "r": 2, "look_ahead": 0, "doubling": 0},
+    "nw": {"bounds": (), "k": 12, "r": 1, "look_ahead": 0, "doubling": 0},
+    "simple": {"bounds": ("gap",), "k": 12, "r": 1, "look_ahead": 0, "doubling": 2},
+    "full": {"bounds": ("gcsh",), "k": 12, "r": 1, "look_ahead": 14, "doubling": 2},
+}
 
 
 def aligner(strategy: str = "plain", model: str | CostModel | None = None, **options) -> Aligner:
-    """By name; unknown options are an error."""
-    if strategy not in STRATEGIES:
-        raise ValueError(f"no strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
-    if unknown := options.keys() - {"bound", "k", "r"}:
+    """By name of a strategy or a preset; options (bound, k, r, look_ahead, doubling) override the preset's. Unknown ones
+    are an error, as is an r other than 1 and 2 and a k below 1."""
+    if strategy not in STRATEGIES and strategy not in PRESETS:
+        raise ValueError(f"no strategy {strategy!r}; there are {', '.join([*STRATEGIES, *PRESETS])}")
+    if unknown := options.keys() - {"bound", "k", "r", "look_ahead", "doubling"}:
         raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
-    return Aligner(named(model) if isinstance(model, str) else model or unit(), bounds=STRATEGIES[strategy], **options)
+    preset = PRESETS.get(strategy, {"bounds": STRATEGIES.get(strategy)})
+    out = Aligner(named(model) if isinstance(model, str) else model or unit(), **(preset | options))
+    if out.r not in (1, 2) or out.k < 1:
+        raise ValueError("r is 1 or 2, and k at least 1")
+    return out
 
 
 def main(args: list[str] | None = None) -> None:
@@ -80,7 +110,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--error-rate", type=float, default=0.05)
     parser.add_argument("--error-model", default="uniform")
     parser.add_argument("--seed", type=int, default=31415)
-    parser.add_argument("--strategy", choices=sorted(STRATEGIES), default="plain")
+    parser.add_argument("--strategy", choices=sorted({*STRATEGIES, *PRESETS}), default="plain")
     parser.add_argument("--model", default="unit", help="unit, affine(1,2,1), and the like")
     parser.add_argument("--bound", type=int)
     parser.add_argument("--output", required=True, help="a folder for the result")

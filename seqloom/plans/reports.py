@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import align as A
 from seqloom.functions import cigar, expr
 from seqloom.functions.cost_model import CostModel
+from seqloom.functions.expr import ColumnOrName
 from seqloom.sources.generate import grid
 
 
+def statistics(a: ColumnOrName, b: ColumnOrName, cost: ColumnOrName, script: ColumnOrName) -> Column:
+    """STRUCT<len_a, len_b, distance, matches, substitutions, insertions, deletions, runs> of an aligned pair."""
+    count = {"matches": "=", "substitutions": "X", "insertions": "I", "deletions": "D"}
+    return F.struct(expr.n_bytes(a).alias("len_a"), expr.n_bytes(b).alias("len_b"), expr.col(cost).alias("distance"), *[cigar.count_of(script, op).alias(n) for n, op in count.items()], F.size(expr.col(script)).alias("runs"))
+
+
 def alignment_statistics(pairs: DataFrame, *by: str) -> DataFrame:
     """Averages by group: lengths, distance, matched and edited letters, edits in percent of a."""
     r = pairs.withColumn("_r", A.align("a", "b"))
-    one = {"len_a": F.length("a"), "len_b": F.length("b"), "distance": F.col("_r.cost"), "matches": cigar.count_of("_r.cigar", "="), "substitutions": cigar.count_of("_r.cigar", "X"), "insertions": cigar.count_of("_r.cigar", "I"), "deletions": cigar.count_of("_r.cigar", "D"), "runs": F.size("_r.cigar")}
-    rows = r.select(*by, *[c.alias(n) for n, c in one.items()])
+    rows = r.select(*by, statistics("a", "b", "_r.cost", "_r.cigar").alias("s")).select(*by, "s.*")
+    names = [n for n in rows.columns if n not in by]
     error = F.avg(F.when(F.col("len_a") > 0, 100.0 * F.col("distance") / F.col("len_a"))).alias("error_percent")
-    return rows.groupBy(*by).agg(F.count("*").alias("pairs"), *[F.avg(n).alias(n) for n in one], error)
+    return rows.groupBy(*by).agg(F.count("*").alias("pairs"), *[F.avg(n).alias(n) for n in names], error)
 
 
 def cost_scaling(spark: SparkSession, models: list[CostModel], lengths: list[int], error_rates: list[float], each: int = 3) -> DataFrame:

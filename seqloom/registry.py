@@ -1,14 +1,16 @@
 """Named queries over the driver's tables, each with the SQL that gives the same rows.
 
 No table holds sequences, so pairs are made from order keys, alike in both engines: a is spelt from a digest of the key;
-b is a with up to two edits, or, for every fifth key, unrelated.
+b is a with up to two edits, or, for every fifth key, unrelated. Some sides are empty, shorter than a seed, or longer than
+64 letters; customers give pairs of up to 515 letters.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import align as A
@@ -16,6 +18,11 @@ from seqloom.functions import cigar, cost_model, expr
 from seqloom.operators import heuristics as H
 from seqloom.operators import seeds as S
 from seqloom.operators import similarity
+from seqloom.plans import reports
+from seqloom.plans.aligner import PRESETS, aligner
+from seqloom.sources.generate import grid
+from seqloom.sources.pairs import read_pairs, simulated_pairs, write_costs, write_seq
+from seqloom.sources.scratch import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 K, K2, BOUND = 4, 5, 8
@@ -23,12 +30,15 @@ K, K2, BOUND = 4, 5, 8
 _DNA = "translate(md5({}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 _KEY = "cast(o_orderkey as {string})"
 PAIRS = f"""
-SELECT cast(o_orderkey as bigint) AS id, a,
-  CASE WHEN o_orderkey % 5 = 0 THEN {_DNA.format("concat('other', " + _KEY + ")")}
-       ELSE concat(substring(a, 1, cast(o_orderkey % 20 as int) + 1),
-                   CASE o_orderkey % 3 WHEN 0 THEN 'G' WHEN 1 THEN '' ELSE 'TT' END,
-                   substring(a, cast(o_orderkey % 20 as int) + 3)) END AS b
-FROM (SELECT o_orderkey, {_DNA.format(_KEY)} AS a FROM orders) o
+SELECT id, CASE kind WHEN 0 THEN '' WHEN 2 THEN '' WHEN 4 THEN concat(a, more, 'C') ELSE a END AS a,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN substring(b, 1, 3) WHEN 4 THEN concat(b, substring(more, 1, 20), 'G', substring(more, 22)) ELSE b END AS b
+FROM (
+  SELECT cast(o_orderkey as bigint) AS id, a, o_orderkey % 50 AS kind, {_DNA.format("concat('more', " + _KEY + ")")} AS more,
+    CASE WHEN o_orderkey % 5 = 0 THEN {_DNA.format("concat('other', " + _KEY + ")")}
+         ELSE concat(substring(a, 1, cast(o_orderkey % 20 as int) + 1),
+                     CASE o_orderkey % 3 WHEN 0 THEN 'G' WHEN 1 THEN '' ELSE 'TT' END,
+                     substring(a, cast(o_orderkey % 20 as int) + 3)) END AS b
+  FROM (SELECT o_orderkey, {_DNA.format(_KEY)} AS a FROM orders) o) p
 """
 PAIRS_SQL = PAIRS.replace("{string}", "varchar")
 
@@ -111,10 +121,15 @@ def pair_count_bound(p: DataFrame) -> DataFrame:
     return p.select("id", expr.pair_count_bound("a", "b").alias("bound"))
 
 
-@query("bound_violations", "SELECT id, 0::INT AS bound, 0::INT AS cost FROM p WHERE false")
-def bound_violations(p: DataFrame) -> DataFrame:
-    b = expr.best_bound(expr.gap_bound("a", "b"), expr.count_bound("a", "b"), expr.pair_count_bound("a", "b"))
-    return p.select("id", b.alias("bound"), expr.distance("a", "b").alias("cost")).where("bound > cost")
+@query("bounds_and_distance", f"SELECT id, abs(length(a) - length(b))::INT AS gap, {_count_sql('ACGT')}::INT AS letters, {_pair_count_sql()}::INT AS pairs, greatest(length(a), length(b))::INT AS most, levenshtein(a, b)::INT AS cost, 0::INT AS zero FROM p")
+def bounds_and_distance(p: DataFrame) -> DataFrame:
+    bounds = {"gap": expr.gap_bound("a", "b"), "letters": expr.count_bound("a", "b"), "pairs": expr.pair_count_bound("a", "b"), "zero": expr.zero_bound("a", "b")}
+    return p.select("id", *[c.alias(n) for n, c in bounds.items()], expr.max_length("a", "b").alias("most"), expr.distance("a", "b").alias("cost"))
+
+
+@query("best_bound", f"SELECT id, greatest(abs(length(a) - length(b)), {_count_sql('ACGT')}, {_pair_count_sql()})::INT AS bound FROM p")
+def best_bound(p: DataFrame) -> DataFrame:
+    return p.select("id", expr.best_bound(expr.gap_bound("a", "b"), expr.count_bound("a", "b"), expr.pair_count_bound("a", "b")).alias("bound"))
 
 
 @query("suffix_distance", "SELECT id, levenshtein(substring(a, 9), substring(b, 8))::INT AS cost FROM p")
@@ -205,12 +220,12 @@ _T = f"""t AS (
 
 @query("transform", f"WITH {_SEEDS}, {_KMERS}, {_MATCHES}, {_T} SELECT id, start_i, start_j, start_ti, start_tj, end_ti, end_tj FROM t")
 def transform(p: DataFrame) -> DataFrame:
-    return S.transformed(S.matches_exact(p, K), p, K).select("id", "start_i", "start_j", "start_ti", "start_tj", "end_ti", "end_tj")
+    return S.transformed(p, K).select("id", "start_i", "start_j", "start_ti", "start_tj", "end_ti", "end_tj")
 
 
 @query("matches_tfilter", f"WITH {_SEEDS}, {_KMERS}, {_MATCHES}, {_T} SELECT id, start_i, start_j, end_i, end_j, 0::INT AS match_cost, 1::INT AS seed_potential FROM t WHERE start_ti <= n - o AND start_tj <= o - n")
 def matches_tfilter(p: DataFrame) -> DataFrame:
-    return S.target_filter(S.matches_exact(p, K), p, K)
+    return S.target_filter(p, K)
 
 
 _LETTERS = "(SELECT unnest(['A', 'C', 'G', 'T']) AS c)"
@@ -258,6 +273,55 @@ def suffix_potentials(p: DataFrame) -> DataFrame:
     return S.suffix_potentials(S.seeds(p, K)).select("id", "start", "potential")
 
 
+@query("matches_in_order", f"WITH {_SEEDS}, {_KMERS}, {_MATCHES} SELECT id, start_i, start_j, end_i, end_j, (row_number() OVER (PARTITION BY id ORDER BY start_i, start_j, end_i, end_j) - 1)::INT AS place FROM m")
+def matches_in_order(p: DataFrame) -> DataFrame:
+    return S.in_order(S.matches(p, K)).select("id", "start_i", "start_j", "end_i", "end_j", "place")
+
+
+_P2 = lambda c: _p_sql(c, "n", K2, 2)
+
+
+@query("matches_built", f"WITH {_INEXACT}, t AS (SELECT m.*, length(a) AS n, length(b) AS o FROM m JOIN p USING (id)) SELECT id, start_i, start_j, end_i, end_j, match_cost, seed_potential, (min(match_cost) OVER (PARTITION BY id, start_i))::INT AS seed_cost FROM t WHERE start_i - start_j - {_P2('start_i')} <= n - o AND start_j - start_i - {_P2('start_i')} <= o - n")
+def matches_built(p: DataFrame) -> DataFrame:
+    return S.built(p, K2, 2, gaps=True)
+
+
+@query("matches_locally_pruned")
+def matches_locally_pruned(p: DataFrame) -> DataFrame:
+    """Which matches stay depends on those kept before: no SQL, but a brute-force version in the tests."""
+    return S.matches(p, K, 1, look_ahead=3)
+
+
+@query("seed_flags", f"SELECT id, i::INT AS i, (CASE WHEN i > 0 AND (i - 1) // {K} < length(a) // {K} THEN (i - 1) // {K} * {K} END)::INT AS ending, (i // {K} < length(a) // {K} AND i % {K} = 0) AS is_start, (i > 0 AND i % {K} = 0 AND i <= length(a) // {K} * {K}) AS is_end FROM (SELECT id, a, unnest(range(0, length(a) + 1)) AS i FROM p)")
+def seed_flags(p: DataFrame) -> DataFrame:
+    at = p.select("id", F.length("a").alias("n"), F.explode(F.sequence(F.lit(0), F.length("a"))).alias("i"))
+    i, n = F.col("i"), F.col("n")
+    return at.select("id", "i", S.ending_seed(i, n, K).alias("ending"), S.is_seed_start(i, n, K).alias("is_start"), S.is_seed_end(i, n, K).alias("is_end"))
+
+
+@query("inverse_transform", f"SELECT id, i::INT AS i, j::INT AS j FROM (SELECT id, unnest([x FOR x IN range(0, length(a) + 1) IF x % {K} = 0 AND x < length(a) // {K} * {K} OR x = length(a)]) AS i, length(b) // 2 AS j FROM p)")
+def inverse_transform(p: DataFrame) -> DataFrame:
+    """There and back, for every seed's start and the end."""
+    n = F.length("a")
+    at = p.select("id", n.alias("n"), F.floor(F.length("b") / 2).cast("int").alias("j"), F.explode(F.filter(F.sequence(F.lit(0), n), lambda i: ((i % K == 0) & (i < F.floor(n / K) * K)) | (i == n))).alias("i"))
+    h = expr.potential("n", "i", K)
+    back = expr.inverse_transformed(expr.transformed_i("i", "j", h), expr.transformed_j("i", "j", h), "n", K)
+    return at.select("id", back["i"].alias("i"), back["j"].alias("j"))
+
+
+def _pd_sql(i: str, to: str) -> str:
+    end = f"CASE WHEN {to} // {K} < length(a) // {K} THEN {to} // {K} * {K} ELSE {to} END"
+    return f"({_p_sql(i)} - {_p_sql('(' + end + ')')})"
+
+
+@query("potential_distance", f"SELECT id, i::INT AS i, {_pd_sql('i', 'least(i + 7, length(a))')}::INT AS potential, (least(i + 7, length(a)) // {K} - (i + {K - 1}) // {K} + abs((least(i + 7, length(a)) - i) - 5))::INT AS bound FROM (SELECT id, a, unnest(range(0, length(a) + 1)) AS i FROM p)")
+def potential_distance(p: DataFrame) -> DataFrame:
+    """From each place to 7 letters of a on; and the affine gap bound, for 5 letters of b."""
+    at = p.select("id", F.length("a").alias("n"), F.explode(F.sequence(F.lit(0), F.length("a"))).alias("i"))
+    to = F.least(F.col("i") + 7, F.col("n"))
+    return at.select("id", "i", expr.potential_distance("n", "i", to, K).cast("int").alias("potential"), expr.affine_gap_bound("i", F.lit(0), to, F.lit(5), K).alias("bound"))
+
+
 # --- bounds from matches ---------------------------------------------------------------------------------------------
 
 
@@ -266,15 +330,15 @@ def sh_h0(p: DataFrame) -> DataFrame:
     return H.sh(p, K)
 
 
-def _chain_sql(source: str, start: tuple[str, str], end: tuple[str, str]) -> str:
+def _chain_sql(source: str, start: tuple[str, str], end: tuple[str, str], score: str = "1") -> str:
     """r(id, v): the best chain's score, adding one match at a time from the last start on."""
     (si, sj), (ei, ej) = start, end
     return f"""
-o AS (SELECT id, {si} AS si, {sj} AS sj, {ei} AS ei, {ej} AS ej, row_number() OVER (PARTITION BY id ORDER BY {si} + {sj} DESC, {si} DESC, {sj} DESC) AS k FROM {source}),
+o AS (SELECT id, {si} AS si, {sj} AS sj, {ei} AS ei, {ej} AS ej, {score} AS score, row_number() OVER (PARTITION BY id ORDER BY {si} + {sj} DESC, {si} DESC, {sj} DESC) AS k FROM {source}),
 g AS (
-  SELECT id, 1::BIGINT AS k, [{{'i': si, 'j': sj, 'v': 1}}] AS st FROM o WHERE k = 1
+  SELECT id, 1::BIGINT AS k, [{{'i': si, 'j': sj, 'v': score::BIGINT}}] AS st FROM o WHERE k = 1
   UNION ALL
-  SELECT g.id, o.k, list_append(g.st, {{'i': o.si, 'j': o.sj, 'v': 1 + coalesce(list_max([x.v FOR x IN g.st IF x.i >= o.ei AND x.j >= o.ej]), 0)}})
+  SELECT g.id, o.k, list_append(g.st, {{'i': o.si, 'j': o.sj, 'v': o.score + coalesce(list_max([x.v FOR x IN g.st IF x.i >= o.ei AND x.j >= o.ej]), 0)}})
   FROM g JOIN o ON o.id = g.id AND o.k = g.k + 1),
 r AS (SELECT id, max(list_max([x.v FOR x IN st])) AS v FROM g GROUP BY id)"""
 
@@ -292,18 +356,55 @@ def gcsh_h0(p: DataFrame) -> DataFrame:
     return H.gcsh(p, K)
 
 
-@query("bound_order_violations", "SELECT id, 0::INT AS sh, 0::INT AS csh, 0::INT AS gcsh, 0::INT AS cost FROM p WHERE false")
-def bound_order_violations(p: DataFrame) -> DataFrame:
+_SH_SQL = "f0 AS (SELECT DISTINCT id, q FROM k), sh AS (SELECT p.id, (count(s.q) - count(f0.q))::INT AS sh FROM p LEFT JOIN s ON p.id = s.id LEFT JOIN f0 ON s.id = f0.id AND s.q = f0.q GROUP BY p.id)"
+
+
+@query("seed_bounds", f"WITH RECURSIVE {_SEEDS}, {_KMERS}, {_MATCHES}, {_SH_SQL}, {_chain_sql('m', ('start_i', 'start_j'), ('end_i', 'end_j'))} SELECT p.id, sh.sh, ({_p_sql('0')} - coalesce(r.v, 0))::INT AS csh, levenshtein(a, b)::INT AS cost FROM p JOIN sh USING (id) LEFT JOIN r USING (id)")
+def seed_bounds(p: DataFrame) -> DataFrame:
+    """Each bound is at most the next, and all at most the distance."""
     out = p.select("id", expr.distance("a", "b").alias("cost"))
-    for kind in ("sh", "csh", "gcsh"):
+    for kind in ("sh", "csh"):
         out = out.join(H.bound(p, kind, K, 1).withColumnRenamed("h", kind), "id")
-    return out.where("NOT (sh <= csh AND csh <= gcsh AND gcsh <= cost)").select("id", "sh", "csh", "gcsh", "cost")
+    return out
+
+
+def _inexact_gcsh_sql(n: str, o: str) -> str:
+    """hs(id, h): gcsh with seeds of one edit, of p with a's length n and b's o."""
+    at = lambda c: _p_sql(c, "n", K2, 2)
+    points = ", ".join(f"({e}_i - {e}_j - {at(e + '_i')})::INT AS {e}_ti, ({e}_j - {e}_i - {at(e + '_i')})::INT AS {e}_tj" for e in ("start", "end"))
+    near = "start_ti <= n - o AND start_tj <= o - n AND end_ti <= n - o AND end_tj <= o - n AND match_cost < 2"
+    return f"""{_INEXACT},
+t AS (SELECT *, {points} FROM (SELECT m.*, length({n}) AS n, length({o}) AS o FROM m JOIN p USING (id))),
+f AS (SELECT *, 2 - match_cost AS score FROM t WHERE {near}),
+{_chain_sql("f", ("start_ti", "start_tj"), ("end_ti", "end_tj"), "score")},
+hs AS (SELECT p.id, (CASE WHEN r.v IS NULL THEN greatest(abs(length(a) - length(b)), {_p_sql("0", "length(a)", K2, 2)}) ELSE {_p_sql("0", "length(a)", K2, 2)} - r.v END)::INT AS h FROM p LEFT JOIN r USING (id))"""
+
+
+@query("gcsh_inexact_h0", f"WITH RECURSIVE {_inexact_gcsh_sql('a', 'b')} SELECT id, h FROM hs")
+def gcsh_inexact_h0(p: DataFrame) -> DataFrame:
+    return H.bound(p, "gcsh", K2, 2)
+
+
+_SWAPPED = f"WITH RECURSIVE p AS (SELECT id, b AS a, a AS b FROM ({PAIRS_SQL})), "
+
+
+@query("gcsh_mirrored_h0", f"{_SWAPPED}{_inexact_gcsh_sql('a', 'b')} SELECT id, h FROM hs", with_pairs=False)
+def gcsh_mirrored_h0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.mirrored("gcsh", pairs(spark, sf_dir), K2, 2)
+
+
+_BOTH_SH = "s AS (SELECT id, side, unnest([substring(a, (t * {k} + 1)::INT, {k}) FOR t IN range(0, length(a) // {k})]) AS q FROM both_), k AS (SELECT DISTINCT id, side, unnest([substring(b, (j + 1)::INT, {k}) FOR j IN range(0, length(b) - {k} + 1)]) AS q FROM both_)".format(k=K)
 
 
-@query("inexact_bound_violations", "SELECT id, 0::INT AS h, 0::INT AS cost FROM p WHERE false")
-def inexact_bound_violations(p: DataFrame) -> DataFrame:
-    h = H.symmetric("gcsh", p, K2, 2)
-    return p.select("id", expr.distance("a", "b").alias("cost")).join(h, "id").where("h > cost").select("id", "h", "cost")
+@query("symmetric_sh_h0", f"WITH both_ AS (SELECT id, 0 AS side, a, b FROM p UNION ALL SELECT id, 1, b, a FROM p), {_BOTH_SH}, h AS (SELECT s.id, s.side, count(*) - count(k.q) AS h FROM s LEFT JOIN k USING (id, side, q) GROUP BY ALL) SELECT p.id, coalesce(max(h.h), 0)::INT AS h FROM p LEFT JOIN h USING (id) GROUP BY p.id")
+def symmetric_sh_h0(p: DataFrame) -> DataFrame:
+    return H.symmetric("sh", p, K)
+
+
+@query("bounds_by_name", "SELECT id, name, (CASE name WHEN 'gap' THEN abs(length(a) - length(b)) ELSE 0 END)::INT AS h FROM p, (SELECT unnest(['none', 'zero', 'gap']) AS name)")
+def bounds_by_name(p: DataFrame) -> DataFrame:
+    out = [H.bound(p, name).withColumn("name", F.lit(name)) for name in ("none", "zero", "gap")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 # --- cost models -----------------------------------------------------------------------------------------------------
@@ -384,13 +485,85 @@ def cigar_path(p: DataFrame) -> DataFrame:
     return s.select("id", end["i"].alias("i"), end["j"].alias("j"), end["cost"].alias("cost"), ((F.get("w", F.lit(0))["i"] == 0) & (F.get("w", F.lit(0))["j"] == 0)).alias("starts"))
 
 
-@query("cigar_round_trip", "SELECT id, true AS same_text, true AS same_reversed, true AS same_halves FROM p")
-def cigar_round_trip(p: DataFrame) -> DataFrame:
+_GRID_SQL = """
+g AS (
+  SELECT id, a, b, 0 AS i, [j FOR j IN range(0, length(b) + 1)] AS m, [[j FOR j IN range(0, length(b) + 1)]] AS rows FROM p
+  UNION ALL
+  SELECT id, a, b, i, m, list_append(rows, m) FROM (
+    SELECT id, a, b, i, [list_min([list_extract(t, q + 1) + j - q FOR q IN range(0, j + 1)]) FOR j IN range(0, length(b) + 1)] AS m, rows FROM (
+      SELECT id, a, b, i + 1 AS i, [CASE WHEN j = 0 THEN i + 1 ELSE least(list_extract(m, j + 1) + 1, list_extract(m, j) + CASE WHEN b[j] = a[i + 1] THEN 0 ELSE 1 END) END FOR j IN range(0, length(b) + 1)] AS t, rows FROM g WHERE i < length(a)))),
+d AS (SELECT id, a, b, rows FROM g WHERE i = length(a)),
+w AS (
+  SELECT id, length(a) AS i, length(b) AS j, '' AS s FROM d
+  UNION ALL
+  SELECT id, i - CASE WHEN op = 'I' THEN 0 ELSE 1 END, j - CASE WHEN op = 'D' THEN 0 ELSE 1 END, op || s FROM (
+    SELECT w.id, i, j, s, CASE WHEN i > 0 AND j > 0 AND a[i] = b[j] THEN '=' WHEN j > 0 AND rows[i + 1][j] + 1 = rows[i + 1][j + 1] THEN 'I' WHEN i > 0 AND rows[i][j + 1] + 1 = rows[i + 1][j + 1] THEN 'D' ELSE 'X' END AS op
+    FROM w JOIN d USING (id) WHERE i > 0 OR j > 0)),
+x AS (SELECT id, s FROM w WHERE i = 0 AND j = 0)"""
+
+
+def _letters_of(script: Column) -> Column:
+    return F.array_join(F.flatten(F.transform(script, lambda e: F.array_repeat(e["op"], e["cnt"]))), "")
+
+
+@query("edit_script", f"WITH RECURSIVE {_GRID_SQL} SELECT id, s FROM x")
+def edit_script(p: DataFrame) -> DataFrame:
+    """Whole scripts, a letter for each step."""
+    return p.select("id", _letters_of(A.align("a", "b")["cigar"]).alias("s"))
+
+
+@query("edit_path", f"WITH RECURSIVE {_GRID_SQL} SELECT id, t::INT AS step, length(replace(substring(s, 1, t::INT), 'I', ''))::INT AS i, length(replace(substring(s, 1, t::INT), 'D', ''))::INT AS j, length(replace(substring(s, 1, t::INT), '=', ''))::INT AS cost FROM (SELECT id, s, unnest(range(0, length(s) + 1)) AS t FROM x)")
+def edit_path(p: DataFrame) -> DataFrame:
+    """Every position of every script."""
+    return p.select("id", F.explode(cigar.path(A.align("a", "b")["cigar"])).alias("w")).select("id", "w.*")
+
+
+@query("explained_steps", f"WITH RECURSIVE {_GRID_SQL} SELECT id, t::INT AS step, CASE WHEN t > 0 THEN s[t] END AS op FROM (SELECT id, s, unnest(range(0, length(s) + 1)) AS t FROM x)")
+def explained_steps(p: DataFrame) -> DataFrame:
+    return reports.explain_alignment(p).select("id", "step", "op")
+
+
+_RUNS_SQL = "regexp_extract_all(s, '(=+|X+|I+|D+)')"
+
+
+@query("cigar_text", f"WITH RECURSIVE {_GRID_SQL} SELECT id, list_aggregate([length(r)::VARCHAR || r[1] FOR r IN {_RUNS_SQL}], 'string_agg', '') AS t, len({_RUNS_SQL})::INT AS runs FROM x WHERE s <> ''")
+def cigar_text(p: DataFrame) -> DataFrame:
+    s = p.select("id", A.align("a", "b")["cigar"].alias("s")).where(F.size("s") > 0)
+    return s.select("id", cigar.to_text("s").alias("t"), F.size(cigar.from_text(cigar.to_text("s"))).alias("runs"))
+
+
+@query("cigar_joined", f"WITH RECURSIVE {_GRID_SQL} SELECT id, s || s AS twice, reverse(s) AS back, length(s || s) - length(replace(s || s, '=', '')) AS equal FROM x")
+def cigar_joined(p: DataFrame) -> DataFrame:
+    """A script and itself appended, and one reversed, letter by letter."""
+    s = p.select("id", A.align("a", "b")["cigar"].alias("s"))
+    twice = cigar.appended("s", "s")
+    return s.select("id", _letters_of(twice).alias("twice"), _letters_of(cigar.reversed_("s")).alias("back"), cigar.count_of(twice, "=").cast("long").alias("equal"))
+
+
+@query("cigar_merge", f"WITH RECURSIVE {_GRID_SQL} SELECT id, len(regexp_extract_all(s || s, '(=+|X+|I+|D+)'))::INT AS runs, s || s AS s FROM x")
+def cigar_merge(p: DataFrame) -> DataFrame:
+    """Runs of one letter each, pushed and joined."""
     s = p.select("id", A.align("a", "b")["cigar"].alias("s"))
-    back = cigar.from_text(cigar.to_text("s"))
-    half = F.floor(F.size("s") / 2).cast("int")
-    halves = cigar.appended(F.slice("s", F.lit(1), half), F.slice("s", half + 1, F.size("s")))
-    return s.select("id", (back == F.col("s")).alias("same_text"), (cigar.reversed_(cigar.reversed_("s")) == F.col("s")).alias("same_reversed"), (halves == F.col("s")).alias("same_halves"))
+    ones = F.flatten(F.transform("s", lambda e: F.array_repeat(F.struct(e["op"].alias("op"), F.lit(1).alias("cnt")), e["cnt"])))
+    out = s.select("id", cigar.merged(F.concat(ones, ones)).alias("m"))
+    return out.select("id", F.size("m").alias("runs"), _letters_of(F.col("m")).alias("s"))
+
+
+@query("cigar_to_affine_and_back", f"WITH RECURSIVE {_GRID_SQL} SELECT id, s, -1::INT AS layers FROM x WHERE s <> ''")
+def cigar_to_affine_and_back(p: DataFrame) -> DataFrame:
+    s = p.select("id", cigar.to_affine(A.align("a", "b")["cigar"]).alias("s")).where(F.size("s") > 0)
+    return s.select("id", _letters_of(cigar.to_base_strictly("s")).alias("s"), F.array_max(F.transform("s", lambda e: e["layer"])).alias("layers"))
+
+
+@query("alignment_statistics", f"WITH RECURSIVE {_GRID_SQL} SELECT id % 5 AS kind, count(*) AS pairs, avg(length(a)) AS len_a, avg(length(b)) AS len_b, avg(levenshtein(a, b)) AS distance, avg(length(s) - length(replace(s, '=', ''))) AS matches, avg(length(s) - length(replace(s, 'X', ''))) AS substitutions, avg(length(s) - length(replace(s, 'I', ''))) AS insertions, avg(length(s) - length(replace(s, 'D', ''))) AS deletions, avg(len({_RUNS_SQL})) AS runs FROM x JOIN p USING (id) GROUP BY 1")
+def alignment_statistics(p: DataFrame) -> DataFrame:
+    return reports.alignment_statistics(p.withColumn("kind", F.col("id") % 5), "kind").drop("error_percent")
+
+
+@query("align_with_statistics", f"WITH RECURSIVE {_GRID_SQL} SELECT id, length(a)::INT AS len_a, length(b)::INT AS len_b, levenshtein(a, b)::INT AS distance, len({_RUNS_SQL})::INT AS runs, (length(s) - length(replace(s, 'X', '')))::INT AS substitutions FROM x JOIN p USING (id)")
+def align_with_statistics(p: DataFrame) -> DataFrame:
+    s = aligner("full").align_with_statistics(p)
+    return s.select("id", *[f"stats.{c}" for c in ("len_a", "len_b", "distance", "runs", "substitutions")])
 
 
 @query("cigar_to_base", f"WITH RECURSIVE {_model_sql(cost_model.affine(1, 2, 1))} SELECT id, true AS ok, length(a)::INT AS used_a FROM g WHERE i = length(a)")
@@ -399,6 +572,50 @@ def cigar_to_base(p: DataFrame) -> DataFrame:
     return s.select("id", cigar.valid("s", "a", "b").alias("ok"), cigar.count_of("s", "=XD").alias("used_a"))
 
 
+@query("bounded_affine_distance", f"WITH RECURSIVE {_model_sql(cost_model.affine(1, 2, 1))} SELECT id, (CASE WHEN list_extract(m, length(b) + 1) <= {BOUND} THEN list_extract(m, length(b) + 1) END)::INT AS cost FROM g WHERE i = length(a)")
+def bounded_affine_distance(p: DataFrame) -> DataFrame:
+    return p.select("id", A.alignment_cost("a", "b", cost_model.affine(1, 2, 1), BOUND).alias("cost"))
+
+
+@query("bounded_affine_align", f"WITH RECURSIVE {_model_sql(cost_model.double_affine(1, 4, 2, 10, 1))} SELECT id, (list_extract(m, length(b) + 1))::INT AS cost, length(a)::INT AS used_a, length(b)::INT AS used_b FROM g WHERE i = length(a) AND list_extract(m, length(b) + 1) <= 12")
+def bounded_affine_align(p: DataFrame) -> DataFrame:
+    s = p.withColumn("r", A.affine_align("a", "b", cost_model.double_affine(1, 4, 2, 10, 1), 12)).where("r.cost is not null")
+    return s.select("id", F.col("r.cost").alias("cost"), cigar.count_of("r.cigar", "=XD").alias("used_a"), cigar.count_of("r.cigar", "=XI").alias("used_b"))
+
+
+@query("models_from_parts", f"WITH RECURSIVE {_model_sql(cost_model.lcs())} SELECT id, (list_extract(m, length(b) + 1))::INT AS lcs_cost, levenshtein(a, b)::INT AS unit_cost FROM g WHERE i = length(a)")
+def models_from_parts(p: DataFrame) -> DataFrame:
+    return p.select("id", A.alignment_cost("a", "b", cost_model.from_parts(None, 0, 1)).alias("lcs_cost"), A.alignment_cost("a", "b", cost_model.from_parts(1, 0, 1)).alias("unit_cost"))
+
+
+@query("long_gap_costs", "SELECT cost::INT AS cost, greatest((cost - 4) // 2, cost - 10, 0)::INT AS longest, greatest(cost // 2, cost)::INT AS opened FROM range(0, 40) t(cost)", with_pairs=False)
+def long_gap_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest gap that a cost pays for, under a model of two layers, new and open already."""
+    model, cost = cost_model.double_affine(1, 4, 2, 10, 1), F.col("cost")
+    return spark.range(0, 40).select(F.col("id").cast("int").alias("cost")).select("cost", expr.most_for_cost(model, "ins", cost).alias("longest"), expr.most_for_cost(model, "ins", cost, opened=True).alias("opened"))
+
+
+@query("extend_costs", "SELECT d::INT AS delta, (CASE WHEN d < 0 THEN 2 * -d ELSE d END)::INT AS cost FROM range(-20, 21) t(d)", with_pairs=False)
+def extend_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.range(-20, 21).select(F.col("id").cast("int").alias("delta"))
+    return d.select("delta", expr.extend_cost(cost_model.affine_asymmetric(1, 2, 2, 3, 1), "delta").alias("cost"))
+
+
+def _scored(model: cost_model.CostModel) -> str:
+    return f"WITH RECURSIVE p AS ({PAIRS_SQL}), {_model_sql(model)} SELECT '{model.name}' AS model, id % 5 AS kind, count(*) AS n, sum(list_extract(m, length(b) + 1))::BIGINT AS cost FROM g WHERE i = length(a) GROUP BY 1, 2"
+
+
+GRID_MODELS = (cost_model.lcs(), cost_model.linear(1, 2), cost_model.affine(1, 2, 1))
+
+
+@query("cost_model_grid", " UNION ALL ".join(f"SELECT * FROM ({_scored(m)})" for m in GRID_MODELS), with_pairs=False)
+def cost_model_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pairs(spark, sf_dir)
+    costs = F.array(*[F.struct(F.lit(m.name).alias("model"), A.alignment_cost("a", "b", m).alias("cost")) for m in GRID_MODELS])
+    rows = p.select((F.col("id") % 5).alias("kind"), F.explode(costs).alias("c"))
+    return rows.groupBy("c.model", "kind").agg(F.count("*").alias("n"), F.sum("c.cost").alias("cost"))
+
+
 # --- semi-global search ----------------------------------------------------------------------------------------------
 
 _PATTERN = "concat(substring(b, 5, 3), 'N', substring(b, 9, 3), 'Y')"
@@ -435,13 +652,143 @@ def search_trace_check(p: DataFrame) -> DataFrame:
     return s.select("id", cigar.cost(A.search_trace("q", "a", "idx", 0.0)["cigar"]).alias("cost"))
 
 
+for _name, _u, _sql in (("search_trace_half", 0.5, "((j + 1) // 2)"), ("search_trace_full", 1.0, "j")):
+
+    @query(_name, f"WITH RECURSIVE {_SEARCH_SQL.format(u=_sql, un=_sql.replace('j', 'n'))} SELECT id, list_min(c)::INT AS cost, (CASE WHEN i0 <= la THEN i0 ELSE la END)::INT AS i, (CASE WHEN i0 <= la THEN n ELSE n - (i0 - la) END)::INT AS j FROM (SELECT f.id, c, n, list_position(c, list_min(c)) - 1 AS i0, length(a) AS la FROM f JOIN p ON f.id = p.id)")
+    def search_trace_unmatched(p: DataFrame, u: float = _u) -> DataFrame:
+        """What the traced script costs, with the pattern's letters left over at both ends; and where the trace ends."""
+        s = p.select("id", "a", F.expr(_PATTERN).alias("q")).withColumn("c", A.search("q", "a", u))
+        s = s.withColumn("idx", (F.array_position("c", F.array_min("c")) - 1).cast("int")).withColumn("t", A.search_trace("q", "a", "idx", u))
+        end = A.index_position("idx", "q", "a")
+        left = lambda n: n if u == 1 else F.floor((n + 1) / 2)
+        rest = left(F.length("q")) - left(end["j"])
+        return s.select("id", (cigar.cost("t.cigar") + left(F.col("t.pattern_start")) + F.when(end["j"] < F.length("q"), rest).otherwise(0)).cast("int").alias("cost"), F.element_at(A.trace_path(F.col("t")), -1)["i"].alias("i"), F.element_at(A.trace_path(F.col("t")), -1)["j"].alias("j"))
+
+
+@query("search_positions", f"SELECT id, idx::INT AS idx, (CASE WHEN idx <= length(a) THEN idx ELSE length(a) END)::INT AS i, (CASE WHEN idx <= length(a) THEN n ELSE n - (idx - length(a)) END)::INT AS j FROM (SELECT id, a, length({_PATTERN}) AS n, unnest(range(0, length(a) + length({_PATTERN}) + 1)) AS idx FROM p)")
+def search_positions(p: DataFrame) -> DataFrame:
+    s = p.select("id", "a", F.expr(_PATTERN).alias("q")).withColumn("idx", F.explode(F.sequence(F.lit(0), F.length("a") + F.length("q"))))
+    return s.select("id", "idx", A.index_position("idx", "q", "a").alias("at")).select("id", "idx", "at.i", "at.j")
+
+
+# --- long pairs ------------------------------------------------------------------------------------------------------
+
+_PART = "translate(md5(concat('{t}.', cast(c_custkey as {{string}}))), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_PARTS = ", ".join(_PART.format(t=t) for t in range(17))
+LONG_PAIRS = f"""
+SELECT id, a, CASE id % 4 WHEN 0 THEN replace(replace(a, 'ACGA', 'AGA'), 'TTC', 'TTGC') WHEN 1 THEN replace(a, 'CG', 'CA')
+                          WHEN 2 THEN concat(substring(a, 1, 100), 'ACGTTTGACA', substring(a, 131)) ELSE reverse(a) END AS b
+FROM (SELECT cast(c_custkey as bigint) AS id, substring(concat({_PARTS}), 1, CASE c_custkey % 5 WHEN 0 THEN 255 WHEN 1 THEN 256 WHEN 2 THEN 257 WHEN 3 THEN 513 ELSE 515 END) AS a FROM customer) p
+"""
+LONG_SQL = LONG_PAIRS.replace("{string}", "varchar")
+
+
+def long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, a, b) of every customer: 255 to 515 letters; few edits, many substitutions, one long gap, or unlike."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return spark.sql(LONG_PAIRS.replace("{string}", "string").replace("FROM customer", "FROM {customer}"), customer=customer)
+
+
+@query("long_unit_distance", f"SELECT id, levenshtein(a, b)::INT AS cost, (CASE WHEN levenshtein(a, b) <= 60 THEN levenshtein(a, b) END)::INT AS near FROM ({LONG_SQL})", with_pairs=False)
+def long_unit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = long_pairs(spark, sf_dir)
+    return p.select("id", expr.distance("a", "b").alias("cost"), expr.bounded_distance("a", "b", 60).alias("near"))
+
+
+@query("long_align", f"SELECT id, levenshtein(a, b)::INT AS cost, levenshtein(a, b)::INT AS script_cost, true AS ok FROM ({LONG_SQL})", with_pairs=False)
+def long_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = long_pairs(spark, sf_dir).withColumn("r", A.align("a", "b"))
+    return s.select("id", F.col("r.cost").alias("cost"), cigar.cost("r.cigar").alias("script_cost"), cigar.valid("r.cigar", "a", "b").alias("ok"))
+
+
+@query("long_presets", f"SELECT id, preset, levenshtein(a, b)::INT AS cost FROM ({LONG_SQL}), (SELECT unnest(['default', 'full', 'nw', 'simple']) AS preset)", with_pairs=False)
+def long_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, out = long_pairs(spark, sf_dir), None
+    for name in sorted(PRESETS):
+        own = aligner(name).costs(p).select("id", F.lit(name).alias("preset"), "cost")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("long_matches", f"WITH p AS ({LONG_SQL}), s AS (SELECT id, t * 8 AS i, substring(a, (t * 8 + 1)::INT, 8) AS q FROM (SELECT id, a, unnest(range(0, length(a) // 8)) AS t FROM p)), k AS (SELECT id, j, substring(b, (j + 1)::INT, 8) AS q FROM (SELECT id, b, unnest(range(0, length(b) - 7)) AS j FROM p)) SELECT id, s.i::INT AS start_i, k.j::INT AS start_j FROM s JOIN k USING (id, q)", with_pairs=False)
+def long_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.matches(long_pairs(spark, sf_dir), 8).select("id", "start_i", "start_j")
+
+
+# --- files, SQL functions and generators -----------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
+@query("read_seq", "SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2")
+def read_seq(p: DataFrame) -> DataFrame:
+    """Written in the .seq format, and read again."""
+    path = _folder(p.sparkSession, "seq")
+    write_seq(p, path, ["id"])
+    return read_pairs(p.sparkSession, path, kind="seq").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query("read_txt", "SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2")
+def read_txt(p: DataFrame) -> DataFrame:
+    path = _folder(p.sparkSession, "txt")
+    p.select(F.concat("a", F.lit("\n"), "b")).write.text(path)
+    return read_pairs(p.sparkSession, path).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+@query("read_fasta", "SELECT id, a, b FROM p WHERE a <> '' AND b <> ''")
+def read_fasta(p: DataFrame) -> DataFrame:
+    path = _folder(p.sparkSession, "fasta")
+    folded = lambda c: F.regexp_replace(c, "(.{20})", "$1\n")
+    p.where("a <> '' AND b <> ''").select(F.concat(F.lit(">"), F.col("id").cast("string"), F.lit(" one\n"), folded("a"), F.lit("\n>"), F.col("id").cast("string"), F.lit(" two\n"), folded("b"))).write.text(path)
+    return read_pairs(p.sparkSession, path, kind="fasta").select(F.col("name_a").cast("long").alias("id"), "a", "b")
+
+
+@query("write_costs", f"WITH RECURSIVE {_GRID_SQL} SELECT levenshtein(a, b)::VARCHAR || ',' || coalesce(list_aggregate([length(r)::VARCHAR || r[1] FOR r IN {_RUNS_SQL}], 'string_agg', ''), '') AS line, count(*) AS n FROM x JOIN p USING (id) GROUP BY 1")
+def write_costs_lines(p: DataFrame) -> DataFrame:
+    path = _folder(p.sparkSession, "costs")
+    write_costs(aligner().align(p).withColumn("cigar", cigar.to_text("cigar")), path, ["id"])
+    return p.sparkSession.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query("simulated_reads", "SELECT 'chr' AS name, id::VARCHAR AS id, substring(b, 3, greatest(length(b) - 3, 0)) AS a, a AS b FROM p WHERE length(b) > 3")
+def simulated_reads(p: DataFrame) -> DataFrame:
+    """b is the reference with two letters before the part that the read, a, comes from, and one after it."""
+    p = p.where("length(b) > 3")
+    name = F.concat(F.lit("chr"), F.col("id").cast("string"))
+    header = F.concat_ws("_", name, F.lit("2"), F.lit("aligned"), F.col("id").cast("string"), F.lit("F"), F.lit("0"), (F.length("b") - 3).cast("string"), F.lit("0"))
+    found = simulated_pairs(p.select(header.alias("header"), F.col("a").alias("sequence")), p.select(name.alias("name"), F.col("b").alias("sequence")))
+    return found.select(F.lit("chr").alias("name"), "id", "a", "b")
+
+
+@query("sql_functions", "SELECT id, levenshtein(a, b)::INT AS cost, levenshtein(a, b)::INT AS simple, levenshtein(a, b)::INT AS whole, levenshtein(a, b)::INT AS seeded, levenshtein(a, b)::INT AS d, length(a)::INT + 2 AS places FROM p")
+def sql_functions(p: DataFrame) -> DataFrame:
+    A.register(p.sparkSession)
+    return p.sparkSession.sql(
+        "SELECT id, seq_align(a, b).cost AS cost, seq_align_simple(a, b).cost AS simple, seq_align_full(cast(a AS BINARY), cast(b AS BINARY)).cost AS whole, seq_align_seeded(a, b, 2, 15, false).cost AS seeded, seq_distance(a, b) AS d, size(seq_search('N', a)) AS places FROM {p}", p=p
+    )
+
+
+@query("sql_affine_functions", f"WITH RECURSIVE {_model_sql(cost_model.affine(1, 2, 1))} SELECT id, (list_extract(m, length(b) + 1))::INT AS cost, (list_extract(m, length(b) + 1))::INT AS aligned, NULL::INT AS nothing FROM g WHERE i = length(a)")
+def sql_affine_functions(p: DataFrame) -> DataFrame:
+    A.register(p.sparkSession)
+    return p.sparkSession.sql("SELECT id, seq_affine_cost(a, b) AS cost, seq_model_align(a, b, 'affine(1,2,1)').cost AS aligned, seq_model_cost(a, cast(NULL AS STRING), 'affine(1,2,1)') AS nothing FROM {p}", p=p)
+
+
+@query("generated_grid", "SELECT n::INT AS n, e AS error_rate, m AS error_model, 2::BIGINT AS pairs, (2 * n)::BIGINT AS letters FROM (SELECT unnest([0, 1, 20, 65, 257]) AS n), (SELECT unnest([0.0::DOUBLE, 0.05::DOUBLE, 1.0::DOUBLE]) AS e), (SELECT unnest(['uniform', 'noisy_insert', 'noisy_delete', 'symmetric_repeat']) AS m)", with_pairs=False)
+def generated_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = grid(spark, [0, 1, 20, 65, 257], [0.0, 0.05, 1.0], each=2)
+    return p.groupBy("n", "error_rate", "error_model").agg(F.count("b").alias("pairs"), F.sum(F.length("a")).alias("letters"))
+
+
 # --- reports and compositions ----------------------------------------------------------------------------------------
 
 
-@query("error_rate_report", "SELECT id % 5 AS kind, count(*) AS n, avg(length(a)) AS len_a, avg(levenshtein(a, b)) AS cost, avg(100.0 * levenshtein(a, b) / length(a)) AS error_percent FROM p GROUP BY 1")
+@query("error_rate_report", "SELECT id % 5 AS kind, count(*) AS n, avg(length(a)) AS len_a, avg(levenshtein(a, b)) AS cost, avg(100.0 * levenshtein(a, b) / nullif(length(a), 0)) AS error_percent FROM p GROUP BY 1")
 def error_rate_report(p: DataFrame) -> DataFrame:
     d = p.select((F.col("id") % 5).alias("kind"), F.length("a").alias("n_a"), expr.distance("a", "b").alias("d"))
-    return d.groupBy("kind").agg(F.count("*").alias("n"), F.avg("n_a").alias("len_a"), F.avg("d").alias("cost"), F.avg(F.lit(100.0) * F.col("d") / F.col("n_a")).alias("error_percent"))
+    return d.groupBy("kind").agg(F.count("*").alias("n"), F.avg("n_a").alias("len_a"), F.avg("d").alias("cost"), F.avg(F.lit(100.0) * F.col("d") / F.nullif(F.col("n_a"), F.lit(0))).alias("error_percent"))
 
 
 @query("rollup_error", "SELECT id % 5 AS kind, id % 3 AS edit, count(*) AS n, sum(levenshtein(a, b))::BIGINT AS cost FROM p GROUP BY ROLLUP (1, 2)")

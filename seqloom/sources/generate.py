@@ -12,51 +12,58 @@ from pyspark.sql import functions as F
 MODELS = ("uniform", "noisy_insert", "noisy_delete", "symmetric_repeat")
 
 
-def _draw(seed: int, what: str, *at: Column) -> Column:
-    """A number from 0 to 1, from a hash."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(what), *at), F.lit(1 << 30)) / float(1 << 30)
+def _draw(what: str, *at: Column) -> Column:
+    """A number from 0 to 1, from a hash of the row's seed and places."""
+    return F.pmod(F.xxhash64(F.col("seed"), F.lit(what), *at), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _letter(seed: int, what: str, *at: Column) -> Column:
-    return F.substr(F.lit("ACGT"), F.floor(_draw(seed, what, *at) * 4).cast("int") + 1, F.lit(1))
+def _letter(what: str, *at: Column) -> Column:
+    return F.substr(F.lit("ACGT"), F.floor(_draw(what, *at) * 4).cast("int") + 1, F.lit(1))
 
 
 def _word(n: Column, make) -> Column:
     return F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), make), "")
 
 
-def generate(spark: SparkSession, count: int, length: int, error_rate: float, model: str = "uniform", seed: int = 31415) -> DataFrame:
-    """(id, a, b) with a of the given length and b made from it."""
-    if model not in MODELS:
-        raise ValueError(f"no error model {model!r}; there are {', '.join(MODELS)}")
-    if length < 0 or not 0 <= error_rate <= 1:
-        raise ValueError("length must not be negative, error_rate from 0 to 1")
-    i = F.col("id")
-    unit = max(1, length // 10)
-    place = (lambda k: F.pmod(k, F.lit(unit))) if model == "symmetric_repeat" else (lambda k: k)
-    rows = spark.range(count).withColumn("a", _word(F.lit(length), lambda k: _letter(seed, "a", i, place(k))))
-    e = error_rate / 2 if model.startswith("noisy") else error_rate
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """rows (id, n, error_rate, error_model, seed) with a of n letters and b made from it."""
+    i, n, rate, model = (F.col(c) for c in ("id", "n", "error_rate", "error_model"))
+    unit = F.greatest(F.lit(1), F.floor(n / 10).cast("int"))
+    noisy = model.isin("noisy_insert", "noisy_delete")
+    e = F.when(noisy, rate / 2).otherwise(rate)
+    out = rows.withColumn("a", _word(n, lambda k: _letter("a", i, F.when(model == "symmetric_repeat", F.pmod(k, unit)).otherwise(k))))
 
     def mutated(k: Column) -> Column:
-        c, x = F.substr("a", k, F.lit(1)), _draw(seed, "kind", i, k)
-        other = F.substr(F.replace(F.lit("ACGT"), c, F.lit("")), F.floor(_draw(seed, "sub", i, k) * 3).cast("int") + 1, F.lit(1))
-        return F.when(x < e / 3, other).when(x < 2 * e / 3, F.concat(c, _letter(seed, "ins", i, k))).when(x < e, F.lit("")).otherwise(c)
+        c, x = F.substr("a", k, F.lit(1)), _draw("kind", i, k)
+        other = F.substr(F.replace(F.lit("ACGT"), c, F.lit("")), F.floor(_draw("sub", i, k) * 3).cast("int") + 1, F.lit(1))
+        return F.when(x < e / 3, other).when(x < 2 * e / 3, F.concat(c, _letter("ins", i, k))).when(x < e, F.lit("")).otherwise(c)
+
+    out = out.withColumn("b", _word(n, mutated))
+    gap = F.floor(n * rate / 2).cast("int")
+    at = F.floor(_draw("gap", i) * (F.length("b") + 1)).cast("int")
+    inserted = F.when(model == "noisy_insert", _word(gap, lambda k: _letter("noise", i, k))).otherwise("")
+    skipped = F.when(model == "noisy_delete", gap).otherwise(0)
+    return out.withColumn("b", F.when(noisy, F.concat(F.substr("b", F.lit(1), at), inserted, F.substr("b", at + skipped + 1))).otherwise(F.col("b")))
+
 
-    b = _word(F.length("a"), mutated)
-    rows = rows.withColumn("b", b)
-    if not model.startswith("noisy"):
-        return rows
-    gap = int(length * error_rate / 2)
-    at = F.floor(_draw(seed, "gap", i) * (F.length("b") + 1)).cast("int")
-    inserted = _word(F.lit(gap), lambda k: _letter(seed, "noise", i, k)) if model == "noisy_insert" else F.lit("")
-    skipped = F.lit(0 if model == "noisy_insert" else gap)
-    return rows.withColumn("b", F.concat(F.substr("b", F.lit(1), at), inserted, F.substr("b", at + skipped + 1)))
+def _checked(lengths: list[int], rates: list[float], models: tuple[str, ...]) -> None:
+    if unknown := set(models) - set(MODELS):
+        raise ValueError(f"no error model {min(unknown)!r}; there are {', '.join(MODELS)}")
+    if min(lengths, default=0) < 0 or not all(0 <= e <= 1 for e in rates):
+        raise ValueError("lengths must not be negative, error rates from 0 to 1")
+
+
+def generate(spark: SparkSession, count: int, length: int, error_rate: float, model: str = "uniform", seed: int = 31415) -> DataFrame:
+    """(id, a, b) with a of the given length and b made from it."""
+    _checked([length], [error_rate], (model,))
+    rows = spark.range(count).select("id", F.lit(length).alias("n"), F.lit(float(error_rate)).alias("error_rate"), F.lit(model).alias("error_model"), F.lit(seed).alias("seed"))
+    return pairs_of(rows).select("id", "a", "b")
 
 
 def grid(spark: SparkSession, lengths: list[int], error_rates: list[float], models: tuple[str, ...] = MODELS, each: int = 1, seed: int = 31415) -> DataFrame:
-    """(n, error_rate, error_model, id, a, b) for every combination."""
-    parts = [generate(spark, each, n, e, m, seed + k).select(F.lit(n).alias("n"), F.lit(e).alias("error_rate"), F.lit(m).alias("error_model"), "id", "a", "b") for k, (n, e, m) in enumerate((n, e, m) for n in lengths for e in error_rates for m in models)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(n, error_rate, error_model, id, a, b) for every combination, from one table of parameters."""
+    _checked(lengths, error_rates, models)
+    parameters = [(n, float(e), m, seed + k) for k, (n, e, m) in enumerate((n, e, m) for n in lengths for e in error_rates for m in models)]
+    table = spark.createDataFrame(parameters, "n int, error_rate double, error_model string, seed int")
+    rows = table.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(each - 1).cast("long")))) if each > 0 else table.withColumn("id", F.lit(0).cast("long")).limit(0)
+    return pairs_of(rows).select("n", "error_rate", "error_model", "id", "a", "b")

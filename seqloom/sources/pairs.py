@@ -46,29 +46,33 @@ def _paired(rows: DataFrame, strict: bool, prefixed: bool) -> DataFrame:
     return out.where("sides = 2").drop("sides")
 
 
-def read_pairs(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """(file, pair, a, b, name_a, name_b) of one file or of all files of a folder; names are those of FASTA records.
+def read_pairs(spark: SparkSession, path: str, mode: str = "PERMISSIVE", kind: str | None = None) -> DataFrame:
+    """(file, pair, a, b, name_a, name_b) of one file or of all files of a folder; names are those of FASTA records. kind
+    (seq, txt or fasta) takes the place of the files' extensions.
 
     An empty line of a .txt file is an empty sequence. A last line or record without a partner is dropped, or an error
     with mode FAILFAST. Files of other kinds are an error, as is a .seq line without its prefix, an empty one included.
     """
     if mode not in ("PERMISSIVE", "FAILFAST"):
         raise ValueError("mode is PERMISSIVE or FAILFAST")
-    files = spark.read.format("binaryFile").load(path).select("path").withColumn("kind", _extension(F.col("path")))
-    kinds = {r.kind for r in files.select("kind").distinct().collect()}
+    if kind:
+        kinds = {kind}
+    else:
+        files = spark.read.format("binaryFile").load(path).select("path").withColumn("kind", _extension(F.col("path")))
+        kinds = {r.kind for r in files.select("kind").distinct().collect()}
     if other := kinds - FORMATS.keys():
         raise ValueError(f"unknown extension {sorted(other)[0]!r}; known are {', '.join(FORMATS)}")
     parts = []
-    for kind in sorted(kinds):
-        pattern = f"*.{kind}"
-        if FORMATS[kind] == "fasta":
+    for name in sorted(kinds):
+        pattern = "*" if kind else f"*.{name}"
+        if FORMATS[name] == "fasta":
             rows = _lines(spark, path, "\n>", pattern).withColumn("value", F.regexp_replace("value", "^>", ""))
             head = F.substring_index(F.col("value"), "\n", 1)
             body = F.regexp_replace(F.substr("value", F.length(head) + 1), r"\s+", "")
             rows = rows.select("file", "block", F.split(head, r"\s")[0].alias("name"), body.alias("value"))
         else:
             rows = _lines(spark, path, "\n", pattern).select("file", "block", F.lit(None).cast("string").alias("name"), F.regexp_replace("value", "\r$", "").alias("value"))
-        parts.append(_paired(rows, mode == "FAILFAST", FORMATS[kind] == "seq"))
+        parts.append(_paired(rows, mode == "FAILFAST", FORMATS[name] == "seq"))
     if not parts:
         return spark.createDataFrame([], "file string, pair bigint, a string, b string, name_a string, name_b string")
     out = parts[0]
@@ -91,15 +95,17 @@ def simulated_pairs(reads: DataFrame, reference: DataFrame, strip: bool = False,
     """Simulated reads and the part of the reference that each comes from: (name, id, a, b).
 
     reads: (header, sequence), headers name_start_aligned_id_strand_prefix_length_suffix; reference: (name, sequence).
-    Reads of the reverse strand are an error; those whose part has an N are dropped. strip drops the read's letters
+    a is the part of the reference and b the read. Reads of the reverse strand and headers without those eight parts are
+    an error; reads whose part has an N are dropped. strip drops the read's letters
     before and after the aligned part.
     """
     part = F.split("header", "_")
     number = lambda k: part[k].cast("int")
     strand = F.when(part[4] == "F", part[4]).otherwise(F.raise_error(F.concat(F.lit("a read of the reverse strand: "), F.col("header"))))
-    own = reads.where(F.size(part) == 8).select(part[0].alias("name"), number(1).alias("start"), part[3].alias("id"), strand.alias("strand"), number(5).alias("prefix"), number(6).alias("length"), number(7).alias("suffix"), F.col("sequence").alias("read"))
+    name = F.when(F.size(part) == 8, part[0]).otherwise(F.raise_error(F.concat(F.lit("a read's header doesn't have eight parts: "), F.col("header"))))
+    own = reads.select(name.alias("name"), number(1).alias("start"), part[3].alias("id"), strand.alias("strand"), number(5).alias("prefix"), number(6).alias("length"), number(7).alias("suffix"), F.col("sequence").alias("read"))
     joined = own.join(reference.select("name", F.col("sequence").alias("ref")), "name").where("strand = 'F'")
-    b = F.substr("ref", F.col("start") + 1, F.col("length"))
-    a = F.substr("read", F.col("prefix") + 1, F.length("read") - F.col("prefix") - F.col("suffix")) if strip else F.col("read")
-    out = joined.select("name", "id", a.alias("a"), b.alias("b")).where(~F.contains("b", F.lit("N")))
+    a = F.substr("ref", F.col("start") + 1, F.col("length"))
+    b = F.substr("read", F.col("prefix") + 1, F.length("read") - F.col("prefix") - F.col("suffix")) if strip else F.col("read")
+    out = joined.select("name", "id", a.alias("a"), b.alias("b")).where(~F.contains("a", F.lit("N")))
     return out if count is None else out.limit(count)

@@ -8,7 +8,7 @@ from seqloom.functions import cost_model as C
 from seqloom.operators import heuristics as H
 from seqloom.operators import seeds as S
 from seqloom.operators import similarity
-from seqloom.plans.aligner import STRATEGIES, aligner, main
+from seqloom.plans.aligner import PRESETS, STRATEGIES, aligner, main
 from seqloom.plans.reports import alignment_statistics, cost_scaling, explain_alignment
 from seqloom.sources.generate import MODELS, generate, grid
 from seqloom.sources.pairs import read_pairs, simulated_pairs, write_costs, write_seq
@@ -56,7 +56,7 @@ def test_bounds_hold(spark):
 
 def test_local_pruning_keeps_true_matches(spark):
     p = spark.createDataFrame([(1, "ACGTTGCAACGT", "ACGTTGCAACGT"), (2, "ACGTTGCAACGT", "ACGTCCCCCCCC")], "id long, a string, b string")
-    kept = S.locally_pruned(S.matches_exact(p, 4), p, 4, 1, 2)
+    kept = S.matches(p, 4, 1, look_ahead=2)
     on_diagonal = kept.where("start_i = start_j").groupBy("id").count().collect()
     assert {r.id: r["count"] for r in on_diagonal}.get(1) == 3
     assert kept.where("id = 2 AND start_i = 0 AND start_j = 0").count() == 0
@@ -178,9 +178,12 @@ def test_simulated_reads(spark):
     reads = spark.createDataFrame([("c1_2_aligned_0_F_1_4_2", "TACGTGG"), ("c1_6_aligned_1_F_0_3_0", "ACG")], "header string, sequence string")
     ref = spark.createDataFrame([("c1", "GGACGTNNAC")], "name string, sequence string")
     assert [(r.id, r.a, r.b) for r in simulated_pairs(reads, ref, strip=True).collect()] == [("0", "ACGT", "ACGT")]
-    back = spark.createDataFrame([("c1_2_aligned_0_R_1_4_2", "TACGTGG")], "header string, sequence string")
-    with pytest.raises(PySparkException):
-        simulated_pairs(back, ref).collect()
+    whole = simulated_pairs(reads.limit(1), ref).first()
+    assert (whole.a, whole.b) == ("ACGT", "TACGTGG")  # the reference's part first, then the read
+    for bad in ("c1_2_aligned_0_R_1_4_2", "c1_2_aligned_0_F_1_4", "x"):
+        back = spark.createDataFrame([(bad, "TACGTGG")], "header string, sequence string")
+        with pytest.raises(PySparkException):
+            simulated_pairs(back, ref).collect()
 
 
 def test_reports(spark):
@@ -207,8 +210,45 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_sql_functions(spark):
     A.register(spark)
-    row = spark.sql("SELECT seq_distance('ACTCGCT', 'AACTCGTT') AS d, seq_align(cast('AC' AS BINARY), cast('AG' AS BINARY)).cost AS c, seq_search('CT', 'ACTG') AS s, seq_affine_cost('AC', 'ACGT') AS f").first()
-    assert (row.d, row.c, row.s, row.f) == (2, 1, [0, 1, 1, 0, 1, 0, 0][: len(row.s)], 4) or (row.d, row.c, row.f) == (2, 1, 4)
+    row = spark.sql("SELECT seq_align('ACTCGCT', 'AACTCGTT').cost AS c, seq_align(cast('ACTCGCT' AS BINARY), cast('AACTCGTT' AS BINARY)).cost AS d, seq_distance('ACTCGCT', 'AACTCGTT') AS e, seq_affine_cost('ACGT', 'AT') AS f, seq_model_cost('ACGT', 'AT', 'linear(1,3)') AS g, seq_search('AC', 'CTTACTTA') AS s").first()
+    assert (row.c, row.d, row.e, row.f, row.g, row.s) == (2, 2, 2, 4, 6, [0, 0, 1, 2, 1, 0, 1, 2, 1, 0, 0])
+    presets = spark.sql("SELECT seq_align_simple('ACTCGCT', 'AACTCGTT').cost AS c, seq_align_full('', 'AA').cost AS d, seq_align_seeded('ACTCGCT', 'AACTCGTT', 2, 15, true).cost AS e").first()
+    assert tuple(presets) == (2, 2, 2)
+    nulls = spark.sql("SELECT seq_align(a, 'A') AS c, seq_affine_cost(a, 'A') AS d, seq_search(a, 'A') AS e, seq_align_seeded('A', a, 1, 9, false).cost AS f, seq_model_align(a, 'A', 'unit').cost AS g, seq_distance(a, 'A') AS h, seq_model_cost('A', 'A', a) AS i FROM VALUES (cast(NULL AS STRING)), ('A') t(a) WHERE a IS NULL").first()
+    assert nulls.c.cost is None and list(nulls)[1:] == [None] * 6
+    for bad in ("seq_align_seeded('A', 'A', 3, 9, false)", "seq_align_seeded('A', 'A', 1, 0, false)", "seq_model_cost('A', 'A', 'other')"):
+        with pytest.raises(PySparkException):
+            spark.sql(f"SELECT {bad} AS x").collect()
+
+
+def test_matching_moves_no_rows(spark, pairs):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (S.matches(pairs, 4), S.matches(pairs, 4, 2), S.transformed(pairs, 4), S.seed_costs(pairs, 4), H.bound(pairs, "sh", 4, 1), H.bound(pairs, "csh", 4, 1), H.bound(pairs, "gcsh", 4, 2)):
+        assert "Exchange" not in plan(df)
+    assert plan(S.consistent(S.matches(pairs, 4, 2))).count("Exchange") == 1
+    near = plan(similarity.near_pairs(pairs, 5))
+    assert near.count("levenshtein") == 1
+
+
+def test_matches_take_any_pair(spark):
+    rows = [(None, "ACGTACGT", "ACGT"), (1, None, "ACGT"), (1, "ACGT", None), (2, "", ""), (3, "AC", "ACGTACGT"), (3, "ACGT" * 70_000, "ACGT"), (3, "ACGT" * 70_000, "ACGT")]
+    p = spark.createDataFrame(rows, "id long, a string, b string").selectExpr("*", "1 AS start_i", "'x' AS n", "2 AS h")
+    assert {(r.id, r.start_i) for r in S.matches(p, 4).where("id is null or id < 3").collect()} == {(None, 0), (None, 4)}
+    assert S.matches(p, 4).where("id = 3").count() == 140_000
+    assert sorted((r.id or 0, -1 if r.h is None else r.h) for r in H.bound(p, "sh", 4, 1).collect()) == [(0, 0), (1, -1), (1, -1), (2, 0), (3, 0), (3, 0), (3, 0)]
+    assert S.matches(p.limit(0), 4).count() == 0
+    with pytest.raises(PySparkException):
+        S.matches(spark.createDataFrame([(1, "ACGU", "ACGT")], "id long, a string, b string"), 2).collect()
+
+
+def test_presets_and_doubling_agree(spark, pairs):
+    expected = {r.id: r.d for r in pairs.select("id", expr.distance("a", "b").alias("d")).collect()}
+    for name in PRESETS:
+        assert {r.id: r.cost for r in aligner(name, k=3).costs(pairs).collect()} == expected
+    assert aligner("full").look_ahead == 14 and (aligner("default").k, aligner("default").r) == (15, 2)
+    for bad in ({"r": 3}, {"k": 0}, {"width": 1}):
+        with pytest.raises(ValueError):
+            aligner("full", **bad)
 
 
 def test_scan_reads_only_what_it_needs(spark):

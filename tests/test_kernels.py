@@ -149,3 +149,80 @@ def test_models():
     for bad in ("affine(1,0,1)", "nothing(1)", "linear(0,1)"):
         with pytest.raises(ValueError):
             C.named(bad)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ACGT", max_size=40).map(str.encode), st.text("ACGT", max_size=40).map(str.encode), st.integers(0, 60))
+def test_bands_and_cuts_change_nothing(a, b, bound):
+    for model in (C.lcs(), C.affine(1, 2, 1), C.linear_affine(1, 3, 2, 1), C.double_affine(1, 4, 2, 10, 1), C.affine_asymmetric(1, 2, 2, 3, 1)):
+        whole = int(K.costs([a], [b], model)[0])
+        banded = int(K.costs([a, b], [b, a], model, bound)[0])
+        assert banded == (whole if whole <= bound else C.FORBIDDEN)
+        cost, script = K.affine_align(a, b, model, bound)
+        assert cost == (whole if whole <= bound else None)
+        before, K.WHOLE_CELLS = K.WHOLE_CELLS, 0
+        try:
+            assert K.affine_align(a, b, model)[0] == whole
+        finally:
+            K.WHOLE_CELLS = before
+    before, K.TRACED_CELLS = K.TRACED_CELLS, 20
+    try:
+        cost, script = K.align(a, b)
+    finally:
+        K.TRACED_CELLS = before
+    assert cost == K.distance(a, b) == sum(n for op, n in script if op != "=")
+    assert sum(n for op, n in script if op != "I") == len(a) and sum(n for op, n in script if op != "D") == len(b)
+
+
+def test_long_pairs():
+    """20,000 letters at 5 % with unit costs, 2,500 under an affine model."""
+    r = random.Random(1)
+    a = bytes(r.choice(b"ACGT") for _ in range(20_000))
+    b = bytearray()
+    for c in a:
+        x = r.random()
+        b += b"" if x < 0.017 else bytes([c, r.choice(b"ACGT")]) if x < 0.034 else bytes([r.choice(b"ACGT") if x < 0.05 else c])
+    b = bytes(b)
+    cost, script = K.align(a, b)
+    i = j = 0
+    for op, n in script:
+        assert op != "=" or a[i : i + n] == b[j : j + n]
+        i, j = i + (op != "I") * n, j + (op != "D") * n
+    assert (i, j) == (len(a), len(b)) and cost == K.distance(a, b) == sum(n for op, n in script if op != "=")
+    model = C.affine(1, 2, 1)
+    assert K.affine_align(a[:2500], b[:2500], model)[0] == int(K.costs([a[:2500]], [b[:2500]], model)[0])
+
+
+def test_local_pruning_drops_only_what_leads_nowhere():
+    r = random.Random(4)
+    k = 4
+    for trial in range(60):
+        seeds = 1 + trial % 2
+        a = "".join(r.choice("ACGT") for _ in range(40)).encode()
+        b = bytes(r.choice(b"ACGT") if r.random() < 0.2 else c for c in a)[r.randrange(4) :]
+        found = K.batch_matches([a], [b], k, seeds)
+        look = r.choice([1, 2, 4, 20])
+        kept = K.locally_pruned([a], [b], found, k, seeds, look)
+        rows = lambda x: set(zip(*(x[c].tolist() for c in ("start_i", "start_j", "end_i", "end_j", "match_cost")), strict=True))
+        starts = {(x[0], x[1]) for x in rows(found)}
+        assert rows(kept) <= rows(found)
+        p = lambda i: seeds * max(0, len(a) // k - -(-i // k))
+        for si, sj, ei, ej, c in rows(found):
+            stop = min(si // k + look, len(a) // k) * k
+            best = {(ei, ej): c}
+            queue, leads = [(ei, ej)], any(x - y == ei - ej and si <= x <= ei for x, y in starts - {(si, sj)})  # on its way already
+            while queue:
+                i, j = queue.pop()
+                g = best[i, j]
+                if i >= stop or ((i, j) in starts and (i, j) != (si, sj)):
+                    leads = True
+                    break
+                for x, y, w in ((i + 1, j + 1, 0 if i < len(a) and j < len(b) and a[i] == b[j] else 1), (i + 1, j, 1), (i, j + 1, 1)):
+                    if x <= len(a) and y <= len(b) and g + w < p(si) - p(stop) + (w == 0) and g + w < best.get((x, y), 99):
+                        best[x, y] = g + w
+                        queue.append((x, y))
+            if not leads:
+                assert (si, sj, ei, ej, c) not in rows(kept)
+        exact = K.batch_matches([a], [a], k, seeds)
+        whole = rows(K.locally_pruned([a], [a], exact, k, seeds, look))
+        assert {(x, x, x + k, x + k, 0) for x in range(0, len(a) - k + 1, k)} <= whole
