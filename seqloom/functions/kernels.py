@@ -497,7 +497,7 @@ def promising(a: bytes, b: bytes, match: tuple[int, int, int, int, int], k: int,
 
     d = end_i - end_j
     front = {d: extended(end_i, d)}
-    if front[d] >= stop or starts.get(d, n + 1) <= front[d]:
+    if front[d] >= stop or end_i <= starts.get(d, n + 1) <= front[d]:
         return True
     for g in range(cost + 1, allowed):
         reach = {x: max(front.get(x, -1) + 1, front.get(x - 1, -2) + 1, front.get(x + 1, -1)) for x in range(min(front) - 1, max(front) + 2)}
