@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,21 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.functions.expr import let
+from seqloom.sources.scratch import shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["Remembered", "free_name", "least_hashed", "let", "rows_of", "saved", "shared_dir", "table"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints that the cluster names; one of our own only where it names none."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="seqloom-checkpoint-")
-        sc.setCheckpointDir(named)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -46,11 +38,6 @@ def forget(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once per row (a lambda variable is bound once, a repeated expression is not)."""
-    return F.transform(F.array(value), body)[0]
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df has it."""
     taken = {c.lower() for c in df.columns}

@@ -7,10 +7,12 @@ documents are looked up, and each of their lines as a text of its own, since not
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import table
+from seqloom.llm.common import let, table
 
 #: Spellings that count as equal, from the left one to the right one.
 SPELLINGS = (
@@ -49,7 +51,8 @@ _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you
 http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
-#: Known texts by licence. Full texts with and without a title, and notices of one line.
+#: Known texts by licence. Full texts with and without a title, and notices of one line; longer ones are
+#: files by licence in licence_texts, as published.
 KNOWN = (
     ("MIT", _MIT),
     ("MIT", "MIT License\n" + _MIT),
@@ -81,7 +84,7 @@ KNOWN = (
     ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
-)
+) + tuple((path.stem.removesuffix("-UC"), path.read_text("utf-8")) for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
 
 
 def canonical(text: Column) -> Column:
@@ -93,7 +96,7 @@ def canonical(text: Column) -> Column:
 
 def digest(text: Column) -> Column:
     """Null for texts of which nothing is left, as these would all be equal."""
-    return F.when(canonical(text) != "", F.sha2(canonical(text), 256))
+    return let(canonical(text), lambda c: F.when(c != "", F.sha2(c, 256)))
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
@@ -107,13 +110,14 @@ def licence_scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     licences, each once, in order, joined by commas; null if none).
 
     Null and empty texts, and texts of punctuation or copyright lines alone, have no digest. Rows that repeat a doc_id
-    share what is found in lines of any of them. known must have a bounded size, as it is sent to all executors.
+    share what is found in lines of any of them; each row is looked up whole, however long its text is. No rows: no rows.
+    Other columns aren't read. Whether known is sent to all executors or shuffled is left to its size.
     """
     own = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     line = own.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 0)
-    found = line.select("doc_id", digest(F.col("line")).alias("digest")).join(F.broadcast(known), "digest").groupBy("doc_id")
+    found = line.select("doc_id", digest(F.col("line")).alias("digest")).join(known, "digest").groupBy("doc_id")
     lines = found.agg(F.count("*").alias("n_licence_lines"), F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"))
-    whole = own.select("doc_id", digest(F.col("text")).alias("digest")).join(F.broadcast(known), "digest", "left")
+    whole = own.select("doc_id", digest(F.col("text")).alias("digest")).join(known, "digest", "left")
     lines = lines.withColumnRenamed("doc_id", "_id")
     out = whole.join(lines, whole.doc_id.eqNullSafe(lines._id), "left")
     return out.select("doc_id", "digest", "licence", F.coalesce("n_licence_lines", F.lit(0)).alias("n_licence_lines"), "line_licences")

@@ -203,6 +203,9 @@ def test_licences(spark):
     assert got[0].digest is got[1].digest is got[2].digest is None and got[8].digest
     assert (got[6].n_licence_lines, got[6].line_licences) == (3, "CC-BY-NC-4.0,MIT") and got[None].licence == "CC-BY-4.0"
     assert L.licence_scan(df.limit(0), L.known_digests(spark)).count() == 0
+    full = [(k, "Copyright 2020 X\n\n" + t.upper().replace(",", "").replace("\n", " \n ")) for k, (n, t) in enumerate(L.KNOWN) if len(t) > 1000]
+    found = {r.doc_id: r.licence for r in L.licence_scan(spark.createDataFrame(full, "doc_id long, text string"), L.known_digests(spark)).collect()}
+    assert found == {k: n for k, (n, t) in enumerate(L.KNOWN) if len(t) > 1000} and len(found) > 15
 
 
 # --- decontamination -------------------------------------------------------------------------------------------------
