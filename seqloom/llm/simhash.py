@@ -146,7 +146,8 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     keyed = prints.select(F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)])).alias("k"), "fp").select("k.mask", "k.key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, [("mask", np.int32), ("key", np.int64), ("fp", np.uint64)])
+        kinds = [("mask", np.int32), ("key", np.int64), ("fp", np.uint64)]
+        held: list[np.ndarray] = []  # of one mask and key, but for the last batch
 
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             if not len(rows):
@@ -161,16 +162,18 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
         for batch in batches:
-            rows = np.empty(batch.num_rows, held.dtype)
-            rows["mask"], rows["key"], rows["fp"] = batch.column(0), batch.column(1), np.asarray(batch.column(2)).view(np.uint64)
-            held = np.concatenate([held, rows])
-            if not len(held):
+            rows = np.empty(batch.num_rows, kinds)
+            if not len(rows):
                 continue
-            last = np.flatnonzero((held["mask"] != held["mask"][-1]) | (held["key"] != held["key"][-1]))
+            rows["mask"], rows["key"], rows["fp"] = batch.column(0), batch.column(1), np.asarray(batch.column(2)).view(np.uint64)
+            last = np.flatnonzero((rows["mask"] != rows["mask"][-1]) | (rows["key"] != rows["key"][-1]))
             cut = last[-1] + 1 if last.size else 0
-            yield from out(held[:cut])
-            held = held[cut:]
-        yield from out(held)
+            if cut or held and (held[-1]["mask"][-1], held[-1]["key"][-1]) != (rows["mask"][0], rows["key"][0]):
+                yield from out(np.concatenate([*held, rows[:cut]]))
+                held = []
+            held.append(rows[cut:])
+        if held:
+            yield from out(np.concatenate(held))
 
     return keyed.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, "u bigint, v bigint")
 
@@ -178,14 +181,16 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id, the smallest doc_id reachable by links, its own included.
 
-    Null and wordless texts have fingerprint zero and link like any other. Repeated rows share a class. Null ids are no
+    Null and wordless texts have fingerprint zero and link like any other; texts of any length are taken whole, shingle by
+    shingle. Repeated rows share a class. No rows: no rows. Null ids are no
     candidates for component_id; a class of null ids alone has a null one. Other columns are not read.
     """
     own = saved(fingerprints(docs, width, seed, id_col, text_col))
     prints = saved(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = components(links(prints.select("fp"), radius))
-    rooted = prints.join(found, prints.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = saved(prints.join(found, prints.fp == found.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
+    # Saved, so that the join deals rooted out by itself: Spark then splits a root that very many fingerprints share.
+    classes = saved(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     return own.join(rooted.join(classes, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -330,22 +335,26 @@ def _runs(keyed: DataFrame, of_runs: Callable[[np.ndarray], Iterator[tuple]], sc
     kinds = [("shingle", np.int64), ("node", np.int64), ("size", np.int32), ("fp", np.uint64), ("root", np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, kinds)
+        held: list[np.ndarray] = []
 
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             for columns in of_runs(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "crowded"][: len(columns)])
 
         for batch in batches:
-            rows = np.empty(batch.num_rows, held.dtype)
+            rows = np.empty(batch.num_rows, kinds)
             for k, (name, kind) in enumerate(kinds):
                 rows[name] = np.asarray(batch.column(k)).view(kind)
-            held = np.concatenate([held, rows])
-            last = np.flatnonzero(held["shingle"] != held["shingle"][-1]) if len(held) else held
-            if len(last):
-                yield from out(held[: last[-1] + 1])
-                held = held[last[-1] + 1 :].copy()
-        yield from out(held)
+            if not len(rows):
+                continue
+            last = np.flatnonzero(rows["shingle"] != rows["shingle"][-1])
+            cut = last[-1] + 1 if len(last) else 0
+            if cut or held and held[-1]["shingle"][-1] != rows["shingle"][0]:
+                yield from out(np.concatenate([*held, rows[:cut]]))
+                held = []
+            held.append(rows[cut:].copy())
+        if held:
+            yield from out(np.concatenate(held))
 
     return keyed.select("shingle", "node", "size", "fp", "root").repartition("shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(run, schema)
 

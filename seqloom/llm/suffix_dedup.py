@@ -31,6 +31,8 @@ CHUNK, PLACE_BITS = 1 << 18, 20
 #: Anchors with more surroundings than this are split by 34 more bytes to either side.
 CROWD = 2000
 SHALLOW = 16
+#: Bytes of text for each partition of anchors: their number grows with the input, so no task does.
+PART_BYTES = 32 << 20
 #: Anchors that a task holds before it sends them on.
 HELD = 400_000
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
@@ -335,33 +337,41 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _second_pass(least: int):
-    """Within a bucket: spans of occurrences that aren't their surroundings' first, and firsts that are to be compared."""
+    """Within a bucket: spans of occurrences that aren't their surroundings' first, and firsts that are to be compared.
+    Rows come by bucket, and one bucket is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[np.ndarray]] = {}
+        held: list[np.ndarray] = []
+        bucket = None
         for batch in batches:
-            rows = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
-            passed = [r for r in rows if r[1] is not None]
-            if passed:
-                yield _requests([(d, m, None, 0, s) for _, d, m, s in passed])
-            for b, d, _, data in rows:
-                if d is None:
-                    found.setdefault(b, []).append(_unpacked(data))
-        for b in list(found):
-            rows = np.concatenate(found.pop(b))
-            rows = rows[np.lexsort([rows["place"], rows["mark"], rows["doc"], rows["c"], rows["h"]])]
-            rows = rows[np.r_[True, rows[1:] != rows[:-1]]]  # rows that repeat a document
-            same_h = np.r_[False, rows["h"][1:] == rows["h"][:-1]]
-            same_c = same_h & np.r_[False, rows["c"][1:] == rows["c"][:-1]]
-            for part in _blocks(rows[same_c]):
-                spans = np.stack([part["place"] - (least - ANCHOR), part["place"] + least], axis=1).astype("<i4")
-                yield _requests([(d, m, None, 0, s.tobytes()) for d, m, s in zip(part["doc"].tolist(), part["mark"].tolist(), spans, strict=True)])
-            first, same_h = rows[~same_c], same_h[~same_c]
-            group = np.cumsum(~same_h) - 1
-            size = np.bincount(group)[group] if len(group) else group
-            many = size > 1
-            for part, n in zip(_blocks(first[many]), _blocks(size[many]), strict=True):
-                yield _requests([(d, m, h, n_, np.asarray([p], "<i4").tobytes()) for d, m, h, n_, p in zip(part["doc"].tolist(), part["mark"].tolist(), part["h"].view(np.int64).tolist(), n.tolist(), part["place"].tolist(), strict=True)])
+            passed = batch.filter(batch.column(1).is_valid())
+            if passed.num_rows:
+                yield _requests([(d, m, None, 0, data) for d, m, data in zip(*(passed.column(c).to_pylist() for c in (1, 2, 3)), strict=True)])
+            rest = batch.filter(batch.column(1).is_null())
+            for b, data in zip(rest.column(0).to_pylist(), (x.as_py() for x in rest.column(3)), strict=True):
+                if b != bucket and held:
+                    yield from of_bucket(held)
+                    held = []
+                bucket = b
+                held.append(_unpacked(data))
+        if held:
+            yield from of_bucket(held)
+
+    def of_bucket(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort([rows["place"], rows["mark"], rows["doc"], rows["c"], rows["h"]])]
+        rows = rows[np.r_[True, rows[1:] != rows[:-1]]]  # rows that repeat a document
+        same_h = np.r_[False, rows["h"][1:] == rows["h"][:-1]]
+        same_c = same_h & np.r_[False, rows["c"][1:] == rows["c"][:-1]]
+        for part in _blocks(rows[same_c]):
+            spans = np.stack([part["place"] - (least - ANCHOR), part["place"] + least], axis=1).astype("<i4")
+            yield _requests([(d, m, None, 0, s.tobytes()) for d, m, s in zip(part["doc"].tolist(), part["mark"].tolist(), spans, strict=True)])
+        first, same_h = rows[~same_c], same_h[~same_c]
+        group = np.cumsum(~same_h) - 1
+        size = np.bincount(group)[group] if len(group) else group
+        many = size > 1
+        for part, n in zip(_blocks(first[many]), _blocks(size[many]), strict=True):
+            yield _requests([(d, m, h, n_, np.asarray([p], "<i4").tobytes()) for d, m, h, n_, p in zip(part["doc"].tolist(), part["mark"].tolist(), part["h"].view(np.int64).tolist(), n.tolist(), part["place"].tolist(), strict=True)])
 
     return run
 
@@ -448,16 +458,18 @@ def repeated(docs: DataFrame, least: int = 100, crowd: int = CROWD) -> DataFrame
     """(doc_id, mark, spans): for each document with some, the bytes' spans to remove, packed and not yet merged."""
     own = _documents(docs)
     spark = docs.sparkSession
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    buckets = max(64, 4 * parts)
     request = "doc_id bigint, mark bigint, anchor bigint, crowd bigint, data binary"
     packed = own.where(F.length("text") >= least).mapInArrow(_first_pass(least, buckets), "bucket bigint, doc_id bigint, mark bigint, data binary")
-    found = saved(packed.repartition("bucket").mapInArrow(_second_pass(least), request))
+    found = saved(packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_second_pass(least), request))
     forget(spark)  # the shuffled anchors are not read again
     asked = found.where("anchor is not null").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("anchor", "crowd", "data")).alias("wanted"))
     # One row for each document: rows that repeat one are dropped before their texts are read.
     texts = own.where(F.length("text") >= least).join(asked, ["doc_id", "mark"]).select("doc_id", "mark", "text", "wanted")
     cut = texts.mapInArrow(_cut_out(least, crowd), "anchor bigint, doc_id bigint, mark bigint, place bigint, before bigint, data binary")
-    compared = cut.repartition("anchor").dropDuplicates(["anchor", "doc_id", "mark", "place"]).sortWithinPartitions("anchor", "doc_id", "mark", "place").mapInArrow(_compare(least), request)
+    compared = cut.repartition(parts, "anchor").dropDuplicates(["anchor", "doc_id", "mark", "place"]).sortWithinPartitions("anchor", "doc_id", "mark", "place").mapInArrow(_compare(least), request)
     spans = found.where("anchor is null").unionByName(compared).select("doc_id", "mark", "data")
     out = saved(spans.groupBy("doc_id", "mark").agg(F.collect_list("data").alias("spans")))
     forget(spark)
