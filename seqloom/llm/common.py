@@ -6,14 +6,16 @@ import gc
 import time
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions.expr import let
 from seqloom.sources.scratch import shared_dir
 
-__all__ = ["Remembered", "free_name", "least_hashed", "let", "rows_of", "saved", "shared_dir", "table"]
+__all__ = ["Remembered", "free_name", "least_hashed", "let", "rows_of", "saved", "shared_dir", "table", "words_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,19 @@ def rows_of(batch: pa.RecordBatch, rows: int = 2000, most_bytes: int = 4 << 20)
             yield part
 
 
+def words_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """texts have their words parted by single blanks. The distinct words of all texts (two blanks part an empty one), the
+    place among them of each text's each word, and where the texts' words end (the first end is 0). Arrow's hash table
+    tells the words apart, each with the blank after it, so Python sees the distinct ones alone."""
+    data = b"".join([x for t in texts for x in (t, b" ")])
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    places = pa.array(np.r_[0, ends + 1], pa.int64())
+    found = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, places.buffers()[1], pa.py_buffer(data)]).dictionary_encode()
+    words = pc.binary_slice(found.dictionary, 0, -1).to_numpy(zero_copy_only=False).tolist()
+    last = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1) + 1
+    return words, found.indices.to_numpy(), np.r_[0, last]
+
+
 class Remembered(dict):
     """A dictionary of bounded size: when full, its entries become the previous generation, and those of it that are
     asked for again move back. So what is frequent stays, whatever order the keys come in."""

@@ -15,12 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Remembered, rows_of, saved, table
+from seqloom.llm.common import Remembered, rows_of, saved, table, words_of
 
 STRETCH, SIMILARITY = 13, 0.8
 #: Picked (1) and ignored (0) words, by the least number of words of the items that they are for. Each family leaves no
@@ -49,18 +48,12 @@ class WordHashes(Remembered):
         return self[word]
 
     def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The words of all texts, and where each text's end (the first is 0). Arrow tells words apart, so only the
-        distinct ones are hashed."""
-        data = b"".join([x for t in texts for x in ((t or b"").translate(_SAME), b" ")])
-        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-        places = pa.array(np.r_[0, ends + 1], pa.int64())
-        found = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, places.buffers()[1], pa.py_buffer(data)]).dictionary_encode()
+        """The words of all texts, and where each text's end (the first is 0)."""
         self.make_room()
-        words = pc.binary_slice(found.dictionary, 0, -1).to_numpy(zero_copy_only=False).tolist()
-        hashes = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))[found.indices.to_numpy()]
+        words, place, ends = words_of([(t or b"").translate(_SAME) for t in texts])
+        hashes = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))[place]
         kept = hashes != 0
-        last = np.searchsorted(ends, np.cumsum([len(t or b"") + 1 for t in texts]) - 1) + 1
-        return hashes[kept], np.r_[0, np.cumsum(kept)[last - 1]] if len(texts) else np.zeros(1, np.int64)
+        return hashes[kept], np.r_[0, np.cumsum(kept)][ends]
 
 
 def family_of(n_words: int) -> int:

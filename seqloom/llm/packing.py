@@ -16,11 +16,10 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Remembered, free_name, rows_of, saved, table
+from seqloom.llm.common import Remembered, free_name, rows_of, saved, table, words_of
 
 #: Words that a worker remembers with their ids before it starts afresh; examples that are packed together.
 REMEMBERED_WORDS, GROUP = 600_000, 8_192
@@ -99,20 +98,14 @@ class WordIds:
         return left
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Words are told apart by Arrow's hash table, each with the blank after it, so that only the distinct ones of
-        these texts are looked up, and their ids are put in place of the words by Arrow too."""
-        data = b"".join([x for t in texts for x in (t.translate(_BLANK if b"<|" in t else _SAME), b" ")])
-        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-        places = pa.array(np.r_[0, ends + 1], pa.int64())
-        found = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, places.buffers()[1], pa.py_buffer(data)]).dictionary_encode()
-        words = pc.binary_slice(found.dictionary, 0, -1).to_numpy(zero_copy_only=False).tolist()
+        """Only the distinct words of these texts are looked up; Arrow puts their ids in place of the words."""
+        words, place, ends = words_of([t.translate(_BLANK if b"<|" in t else _SAME) for t in texts])
         self.known.make_room()
         if new := self.known.unknown(words):
             self._learn(new)
-        ids = pa.array(list(map(self.known.__getitem__, words)), pa.large_binary()).take(found.indices)
+        ids = pa.array(list(map(self.known.__getitem__, words)), pa.large_binary()).take(pa.array(place))
         _, at, raw = ids.buffers()
-        last = np.searchsorted(ends, np.cumsum([len(t) + 1 for t in texts]) - 1) + 1
-        cuts = np.frombuffer(at, np.int64)[ids.offset : ids.offset + len(ids) + 1][np.r_[0, last]].tolist()
+        cuts = np.frombuffer(at, np.int64)[ids.offset : ids.offset + len(ids) + 1][ends].tolist()
         view = memoryview(raw) if raw is not None else memoryview(b"")
         return [bytes(view[s:e]) for s, e in pairwise(cuts)]
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Remembered, least_hashed, rows_of, saved, table
+from seqloom.llm.common import Remembered, least_hashed, rows_of, saved, table, words_of
 
 BUCKETS = 1 << 18
 #: Bounds of what is fitted on: labelled rows for stems, stems, rows of each class for a scorer.
@@ -44,17 +44,19 @@ STYLE_WEIGHT = 1.0
 LENGTH_POWER = 0.25
 #: Upper bound of how often an annotator calls a good text bad.
 ANNOTATOR_ERROR = 0.002
+#: Letters of a word's stems.
+STEM_LETTERS = (4, 5, 6, 7, 8)
 #: Rows that must have a feature for it to have a weight.
 MIN_ROWS = 5
 
 
 def distinct_words(text: str) -> set[str]:
-    """In lower case, with their marks."""
-    return set(text.lower().split())
+    """In lower case, with their marks; parted by ASCII white space."""
+    return {w.decode("utf-8", "surrogatepass") for w in text.lower().encode("utf-8", "surrogatepass").split()}
 
 
 def stems(word: str) -> list[str]:
-    return [word[:n] + "*" for n in (4, 5, 6) if len(word) > n]
+    return [word[:n] + "*" for n in STEM_LETTERS if len(word) > n]
 
 
 def style(text: str) -> tuple[float, ...]:
@@ -83,6 +85,66 @@ def quality_votes(shares: tuple[float, ...]) -> list[int]:
     return [BAD if s > high else NOTHING for s, (_, high) in pairs] + [GOOD if all(s <= low for s, (low, _) in pairs) else NOTHING]
 
 
+_BLANKS = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
+
+
+class Texts:
+    """Many texts at once: their distinct words in lower case, which text has which, and each text's style().
+
+    row and word: pairs of a text and one of its distinct words; n_words: of these for each text.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        raw = [(t or "").encode("utf-8", "surrogatepass").translate(_BLANKS) for t in texts]
+        words, place, ends = words_of(raw)
+        full = np.fromiter(map(len, words), np.int64, len(words))[place] > 0
+        place, ends = place[full].astype(np.int64), np.r_[0, np.cumsum(full)][ends]
+        row = np.repeat(np.arange(len(texts)), np.diff(ends))
+        number: dict[str, int] = {}
+        lower = np.fromiter((number.setdefault(w.decode("utf-8", "surrogatepass").lower(), len(number)) for w in words), np.int64, len(words))
+        self.words = list(number)
+        count = max(1, len(words))
+        own = np.unique(row * count + lower[place])
+        self.row, self.word = own // count, own % count
+        self.n_words = np.bincount(self.row, minlength=len(texts))
+        n = np.maximum(1, np.diff(ends))
+        distinct = np.bincount(np.unique(row * count + place) // count, minlength=len(texts))
+        again = np.bincount(row[1:][(row[1:] == row[:-1]) & (place[1:] == place[:-1])], minlength=len(texts))
+        of = lambda f: np.fromiter(map(f, raw), np.int64, len(raw))
+        size = np.maximum(1, of(len))
+        self.shares = np.stack(
+            [
+                of(lambda x: len(x) - len(x.translate(None, SYMBOLS))) / size,
+                of(lambda x: len(x) - len(x.translate(None, CAPITALS))) / size,
+                of(lambda x: x.count(b"!") + x.count(b"?")) / n,
+                of(lambda x: x.count(b"|")) / n,
+                again / n,
+                np.where(n >= 20, 1.0 - distinct / n, 0.0),
+            ],
+            axis=1,
+        )
+
+    def sums(self, of_word: np.ndarray) -> np.ndarray:
+        """For each text the sum over its distinct words."""
+        return np.bincount(self.row, weights=of_word[self.word], minlength=len(self.n_words))
+
+    def quality_votes(self) -> np.ndarray:
+        low, high = np.array(QUALITY_LABELLERS).T
+        bad = np.where(self.shares > high, BAD, NOTHING)
+        return np.concatenate([bad, np.where((self.shares <= low).all(axis=1), GOOD, NOTHING)[:, None]], axis=1)
+
+    def toxic_votes(self, marks: WordMarks) -> np.ndarray:
+        found = np.fromiter(map(marks.__getitem__, self.words), np.int64, len(self.words))
+        hits = self.sums(found >> 40)
+        return np.stack([np.where(self.sums(found % (1 << 40)) > 0, BAD, NOTHING), np.where(hits >= 2, BAD, np.where(hits > 0, NOTHING, GOOD))], axis=1)
+
+
+def _digits(votes_: np.ndarray) -> pa.Array:
+    text = (votes_ + 48).astype(np.uint8).tobytes().decode()
+    n = votes_.shape[1]
+    return pa.array([text[k : k + n] for k in range(0, len(text), n)], pa.string())
+
+
 class WordMarks(Remembered):
     """For each word, as one number: whether it is an insult, and whether it or a stem of it is in the toxic list."""
 
@@ -252,12 +314,8 @@ def votes(docs: DataFrame, labels: DataFrame, found: frozenset[str]) -> DataFram
         known = WordMarks(found)
         for batch in batches:
             for part in rows_of(batch):
-                q, x = [], []
-                for t in part.column(1).to_pylist():
-                    t = t or ""
-                    q.append("".join(map(str, quality_votes(style(t)))))
-                    x.append("".join(map(str, toxic_votes(distinct_words(t), known))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(q, pa.string()), pa.array(x, pa.string())], names=["doc_id", "q", "x"])
+                texts = Texts(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), _digits(texts.quality_votes()), _digits(texts.toxic_votes(known))], names=["doc_id", "q", "x"])
 
     own = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, q string, x string")
     said = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
@@ -346,14 +404,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_of, known = WordScores(weights.value), WordMarks(found)
+        of_steps = np.array([[score_of.of([bucket(f"style {k} {n}")]) for n in range(len(STYLE_STEPS) + 1)] for k in range(6)])
+        of_votes = np.array([[score_of.of([bucket(f"vote {k} {v}")]) for v in (NOTHING, GOOD, BAD)] for k in range(2)])
         for batch in batches:
             for part in rows_of(batch):
-                score = np.empty((part.num_rows, 2))
-                for k, t in enumerate(part.column(1).to_pylist()):
-                    words = distinct_words(t or "")
-                    own = sum(map(score_of.__getitem__, words), 0j) * max(1, len(words)) ** -LENGTH_POWER
-                    own += STYLE_WEIGHT * score_of.of(style_features(style(t or ""), toxic_votes(words, known)))
-                    score[k] = own.real, own.imag
+                texts = Texts(part.column(1).to_pylist())
+                of_word = np.array(list(map(score_of.__getitem__, texts.words)), np.complex128)
+                own = (texts.sums(of_word.real) + 1j * texts.sums(of_word.imag)) * np.maximum(1, texts.n_words) ** -LENGTH_POWER
+                steps = np.searchsorted(STYLE_STEPS, texts.shares, "left")  # how many steps each share exceeds
+                own = own + STYLE_WEIGHT * (of_steps[np.arange(6), steps].sum(axis=1) + of_votes[np.arange(2), texts.toxic_votes(known)].sum(axis=1))
+                score = np.stack([own.real, own.imag], axis=1)
                 score += bias
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score[:, 0].copy()), pa.array(score[:, 1].copy()), pa.array((score <= most).all(axis=1))], names=["doc_id", "quality_score", "toxic_score", "accepted"])
 

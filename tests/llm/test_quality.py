@@ -150,18 +150,31 @@ def test_scores_equal_brute_force(spark, judged):
     got = {r.doc_id: r for r in Q.scored(df, model).collect()}
     assert got.keys() == texts.keys()
     for k, t in texts.items():
-        words = set((t or "").lower().split())
+        words = set(re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()))
         bare = [w.strip(Q.ENDS) for w in words]
-        hits = sum(any(s in model.toxic_stems for s in [b, *(b[:n] + "*" for n in (4, 5, 6) if len(b) > n)]) for b in bare)
+        hits = sum(any(s in model.toxic_stems for s in [b, *(b[:n] + "*" for n in Q.STEM_LETTERS if len(b) > n)]) for b in bare)
         votes = [Q.BAD if any(b in Q.INSULTS for b in bare) else Q.NOTHING, Q.BAD if hits >= 2 else Q.NOTHING if hits else Q.GOOD]
         marks = [f"style {n} {sum(s > x for x in Q.STYLE_STEPS)}" for n, s in enumerate(Q.style(t or ""))] + [f"vote {n} {v}" for n, v in enumerate(votes)]
         for head, score in ((model.quality, got[k].quality_score), (model.toxic, got[k].toxic_score)):
             of = lambda name: float(head.weights[zlib.crc32(name.encode()) % Q.BUCKETS])  # noqa: E731, B023
-            sums = sum(of(b) + sum(of(b[:n] + "*") for n in (4, 5, 6) if len(b) > n) for b in bare)
+            sums = sum(of(b) + sum(of(b[:n] + "*") for n in Q.STEM_LETTERS if len(b) > n) for b in bare)
             assert abs(sums / max(1, len(words)) ** Q.LENGTH_POWER + sum(map(of, marks)) + head.bias - score) < 1e-6
         assert got[k].accepted == (got[k].quality_score <= model.quality.threshold and got[k].toxic_score <= model.toxic.threshold)
 
 
+def test_many_texts_at_once_equal_one_by_one():
+    r = random.Random(8)
+    texts = [None, "", "  ", "a", "A a\x0ba\n\nB", "Ünï ÜNÏ ünï", "x | x || $$ !? ??"] + ["".join(r.choice(["idiot ", "Loser! ", "Σας ", "ΣΑΣ\t", "a b ", "|", "\n", "é", "TRASH", " "]) for _ in range(r.randint(0, 80))) for _ in range(60)]
+    marks = Q.WordMarks(frozenset(["tras*", "σας"]))
+    both = Q.Texts(texts)
+    for k, t in enumerate(texts):
+        words = Q.distinct_words(t or "")
+        assert {both.words[w] for w in both.word[both.row == k]} == words and both.n_words[k] == len(words)
+        assert both.shares[k].tolist() == pytest.approx(list(Q.style(t or "")))
+        assert both.quality_votes()[k].tolist() == Q.quality_votes(Q.style(t or ""))
+        assert both.toxic_votes(marks)[k].tolist() == Q.toxic_votes(words, marks)
+
+
 def test_few_bytes_of_features_still_fit(spark, monkeypatch):
     monkeypatch.setattr(Q, "FEATURE_BYTES", 20_000)
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
