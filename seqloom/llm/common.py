@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.expr import let
 from seqloom.sources.scratch import shared_dir
 
-__all__ = ["Remembered", "free_name", "least_hashed", "let", "rows_of", "saved", "shared_dir", "table", "words_of"]
+__all__ = ["Remembered", "forget", "free_name", "least_hashed", "let", "rows_of", "saved", "shared_dir", "table", "words_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

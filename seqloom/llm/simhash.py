@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import least_hashed, rows_of, saved, table
+from seqloom.llm.common import forget, least_hashed, rows_of, saved, table
 from seqloom.llm.components import components
 
 BITS = 64
@@ -215,12 +215,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 #: Near copies of the stage: texts whose sets of 5-word shingles have a Jaccard similarity of 4/5 or more.
 WORDS, SIMILAR = 5, (4, 5)
 #: At similarity 4/5 fingerprints of such sets differ in 9.7 bits of 64 on average, with a deviation of 2.9: WIDE is over
-#: six deviations beyond. Pairs within TIGHT are verified first, as what they join needs no further comparisons.
-WIDE, TIGHT = 28, 6
+#: five deviations beyond. Pairs within TIGHT are verified first, as what they join needs no further comparisons.
+WIDE, TIGHT = 25, 6
 #: Documents in which shingles are counted, and the count from which on one is common; at most so many are common.
 COUNTED, COMMON, COMMON_MOST = 20_000, 20, 200_000
-#: Up to so many sets with the same rare shingle, all their pairs are verified.
-FEW = 32
+#: Bytes of rows of rare shingles for each partition: their number grows with the input.
+PART_BYTES = 16 << 20
 
 
 def shingles(text: str | None, width: int = WORDS, seed: int = 42) -> np.ndarray:
@@ -276,7 +276,8 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """For each row of texts: doc_id, key, node (a digest of its set), size (of the set), fp and its rare shingles."""
+    """For each row of texts: doc_id, key, node (a digest of its set), size (of the set), fp and its rare shingles (32 bits of
+    each, packed: what they have in common by chance is told by verifying)."""
     sent = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,17 +286,12 @@ def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 found = [shingles(t) for t in part.column(2).to_pylist()]
                 node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), 7) for s in found), np.uint64, len(found)).view(np.int64)
                 first = [rare(s, sent.value).view(np.int64) for s in found]
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in first])], pa.int32()), pa.array(np.concatenate(first)))
+                lists = pa.array([x.astype("<i8").astype("<u4").tobytes() for x in first], pa.binary())
                 columns = [part.column(0), part.column(1), pa.array(node), pa.array([len(s) for s in found], pa.int32()), pa.array(map(set_fingerprint, found), pa.int64()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "size", "fp", "rare"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key bigint, node bigint, size int, fp bigint, rare array<bigint>")
-
-
-def _fit(rows: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
-    low, high = np.minimum(rows["size"][x], rows["size"][y]), np.maximum(rows["size"][x], rows["size"][y])
-    return (SIMILAR[1] * low >= SIMILAR[0] * high) & (np.bitwise_count(rows["fp"][x] ^ rows["fp"][y]) <= radius)
+    return texts.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key bigint, node bigint, size int, fp bigint, rare binary")
 
 
 def close_pairs(rows: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -330,66 +326,79 @@ def forest(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (label[:0], label[:0])
 
 
-def _runs(keyed: DataFrame, of_runs: Callable[[np.ndarray], Iterator[tuple]], schema: str) -> DataFrame:
-    """keyed: shingle, node, size, fp, root. of_runs gets rows in order of shingle and size, a shingle's rows together."""
-    kinds = [("shingle", np.int64), ("node", np.int64), ("size", np.int32), ("fp", np.uint64), ("root", np.int64)]
+_KEYED = [("shingle", "<u4"), ("size", "<i4"), ("node", "<i8"), ("fp", "<u8"), ("root", "<i8")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
 
-        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for columns in of_runs(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "crowded"][: len(columns)])
+def _runs(nodes: DataFrame, parts: int, of_run: Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """nodes: node, size, fp, rare, root. Pairs (u, v) of what of_run gives for each shingle with more than one set: its
+    rows, in order of size. Rows cross the shuffle packed, by bucket of shingles, and one bucket is held at a time."""
+    buckets = 16 * parts
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.empty(batch.num_rows, kinds)
-            for k, (name, kind) in enumerate(kinds):
-                rows[name] = np.asarray(batch.column(k)).view(kind)
-            if not len(rows):
-                continue
-            last = np.flatnonzero(rows["shingle"] != rows["shingle"][-1])
-            cut = last[-1] + 1 if len(last) else 0
-            if cut or held and held[-1]["shingle"][-1] != rows["shingle"][0]:
-                yield from out(np.concatenate([*held, rows[:cut]]))
-                held = []
-            held.append(rows[cut:].copy())
-        if held:
-            yield from out(np.concatenate(held))
-
-    return keyed.select("shingle", "node", "size", "fp", "root").repartition("shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(run, schema)
+            for part in rows_of(batch):
+                lists = [np.frombuffer(x, "<u4") for x in part.column(3).to_pylist()]
+                number = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                rows = np.empty(len(number), _KEYED)
+                rows["shingle"] = np.concatenate(lists) if lists else 0
+                for name, k in (("node", 0), ("size", 1), ("fp", 2), ("root", 4)):
+                    rows[name] = np.asarray(part.column(k)).astype(np.int64).view(np.uint64 if name == "fp" else np.int64)[number]
+                to = rows["shingle"] % buckets
+                order = np.argsort(to, kind="stable")
+                rows, to = rows[order], to[order]
+                cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+                data = [rows[s:e].tobytes() for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(to[cuts].astype(np.int64)), pa.array(data, pa.binary())], names=["bucket", "data"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+            rows = np.frombuffer(b"".join(held), _KEYED)
+            rows = rows[np.lexsort([rows["node"], rows["size"], rows["shingle"]])]
+            new = np.flatnonzero(np.r_[True, rows["shingle"][1:] != rows["shingle"][:-1]])
+            size = np.diff(np.r_[new, len(rows)])
+            seen: set[tuple[int, int]] = set()
+            for k in np.flatnonzero(size > 1).tolist():
+                own = rows[new[k] : new[k] + size[k]]
+                for x, y in of_run(own):
+                    seen.update(zip(own["node"][x].tolist(), own["node"][y].tolist(), strict=True))
+                if len(seen) > 100_000:
+                    yield pairs(seen)
+                    seen = set()
+            if seen:
+                yield pairs(seen)
+
+        def pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:
+            both = np.array(sorted(seen), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["u", "v"])
+
+        held, bucket = [], None
+        for batch in batches:
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if b != bucket and held:
+                    yield from out(held)
+                    held = []
+                bucket = b
+                held.append(data.as_py())
+        if held:
+            yield from out(held)
 
-def _bounds(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    new = np.flatnonzero(np.r_[True, rows["shingle"][1:] != rows["shingle"][:-1]]) if len(rows) else np.zeros(0, np.int64)
-    return new, np.diff(np.r_[new, len(rows)])
+    dealt = nodes.select("node", "size", "fp", "rare", "root").mapInArrow(deal, "bucket bigint, data binary")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _first_pairs(rows: np.ndarray) -> Iterator[tuple]:
-    """Pairs to verify first: all close ones of few rows, a forest of many; and the rows of crowded shingles."""
-    new, size = _bounds(rows)
-    few = rows[np.repeat(size <= FEW, size) & np.repeat(size > 1, size)]
-    for d in range(1, FEW):
-        x = np.flatnonzero(few["shingle"][:-d] == few["shingle"][d:])
-        if not len(x):
-            break
-        x = x[_fit(few, x, x + d, WIDE)]
-        yield few["node"][x], few["node"][x + d], np.zeros(len(x), bool)
-    for k in np.flatnonzero(size > FEW):
-        own = rows[new[k] : new[k] + size[k]]
-        for radius in (TIGHT, WIDE):
-            x, y = forest(own, radius)
-            yield own["node"][x], own["node"][y], np.zeros(len(x), bool)
-        yield own["shingle"], own["node"], np.ones(len(own), bool)
+def _first_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As many close pairs as join what all of them join: of the closest ones alone, and of all."""
+    for radius in (TIGHT, WIDE):
+        yield forest(rows, radius)
 
 
-def _other_pairs(rows: np.ndarray) -> Iterator[tuple]:
+def _other_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All close pairs that aren't joined yet."""
-    new, size = _bounds(rows)
-    for k in range(len(new)):
-        own = rows[new[k] : new[k] + size[k]]
-        for x, y in close_pairs(own, WIDE):
-            apart = own["root"][x] != own["root"][y]
-            yield own["node"][x[apart]], own["node"][y[apart]]
+    if (rows["root"] == rows["root"][0]).all():
+        return
+    for x, y in close_pairs(rows, WIDE):
+        apart = rows["root"][x] != rows["root"][y]
+        yield x[apart], y[apart]
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -402,7 +411,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     one, two = (sets.select(F.col("node").alias(n), F.col("words").alias(f"words_{n}")) for n in ("u", "v"))
-    both = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(one, "u").join(two, "v")
+    both = pairs.join(one, "u").join(two, "v")
     return both.select("u", "v", "words_u", "words_v").mapInArrow(run, "u bigint, v bigint")
 
 
@@ -411,32 +420,47 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     texts that links of similar sets join.
 
     Similar sets have a rare shingle in common. Fingerprints of the sets that have it are compared in tiles, and pairs
-    that are close enough are verified by their sets. Of a crowd first those pairs are verified that join it if all are
-    similar, then all pairs that are not joined yet.
+    that are close enough are verified by their sets: first pairs that join what all of them would, then those of the
+    others that are not joined yet. Shuffle files are given up after each step, so that few take room at once.
     """
+    spark = docs.sparkSession
     texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     own = saved(sketches(texts, common_shingles(texts)))
     nodes = saved(own.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("rare").alias("rare"), F.min(F.struct("doc_id", "key")).alias("who")))
-    keyed = nodes.select(F.explode("rare").alias("shingle"), "node", "size", "fp", F.col("node").alias("root"))
-    found = saved(_runs(keyed, _first_pairs, "u bigint, v bigint, crowded boolean"))
-    pairs = found.where("NOT crowded").select("u", "v")
+    forget(spark)
+    size = nodes.agg(F.sum(F.octet_length("rare"))).first()[0] or 0  # a rare shingle takes four bytes here, a row 32
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-8 * size // PART_BYTES))
+    pairs = saved(_runs(nodes.withColumn("root", F.col("node")), parts, _first_pairs))
+    forget(spark)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in rows_of(batch, 500):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).astype("<u8").tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["node", "words"])
 
-    paired = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    who = nodes.join(paired, "node").select("node", F.col("who.doc_id").alias("_id"), F.col("who.key").alias("_key"))
-    sets = saved(texts.join(who, texts.doc_id.eqNullSafe(who._id) & (texts.key == who._key)).select("node", "text").mapInArrow(packed, "node bigint, words binary").dropDuplicates(["node"]))
-    links = saved(verified(pairs, sets))
+    def sets(pairs: DataFrame) -> DataFrame:
+        paired = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        who = nodes.join(paired, "node").select("node", F.col("who.doc_id").alias("_id"), F.col("who.key").alias("_key"))
+        found = texts.join(who, texts.doc_id.eqNullSafe(who._id) & (texts.key == who._key)).select("node", "text")
+        return saved(found.mapInArrow(packed, "node bigint, words binary").dropDuplicates(["node"]))
+
+    def similar_pairs(pairs: DataFrame) -> DataFrame:
+        held = sets(pairs)
+        forget(spark)
+        out = saved(verified(pairs, held))
+        forget(spark)
+        return out
+
+    links = similar_pairs(pairs)
     roots = components(links)
-    crowded = found.where("crowded").select(F.col("u").alias("shingle"), F.col("v").alias("node"))
-    if not crowded.isEmpty():
-        labelled = crowded.join(nodes.select("node", "size", "fp"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more = saved(verified(_runs(labelled, _other_pairs, "u bigint, v bigint"), sets))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    others = saved(_runs(rooted, parts, _other_pairs).join(pairs, ["u", "v"], "left_anti"))
+    forget(spark)
+    if not others.isEmpty():
+        more = similar_pairs(others)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
+    forget(spark)
     return own.join(roots, "node", "left").select("doc_id", "key", "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -157,8 +157,7 @@ def test_stage_keeps_one_of_near_copies_by_brute_force_jaccard(spark, monkeypatc
     assert sorted(set(classes(all_pairs(fp), range(len(texts))).values())) != sorted(set(own.values()))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' AS key", "2 AS node").repartition(3)
     stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
-    for few, common in ((32, 20), (2, 4)):  # the second: crowds and common shingles
-        monkeypatch.setattr(S, "FEW", few)
+    for common in (20, 4):  # the second: more shingles are common
         monkeypatch.setattr(S, "COMMON", common)
         kept = stage(spark, df, "")
         assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(own.values()))
