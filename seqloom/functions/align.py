@@ -104,7 +104,8 @@ def affine_align(a: ColumnOrName, b: ColumnOrName, model: CostModel | str, bound
 
     @pandas_udf(_struct(cost=INT, cigar=cigar.AFFINE_TYPE))
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = [(None, []) if p is None or q is None else kernels.affine_align(_raw(p), _raw(q), model, bound) for p, q in zip(x, y, strict=True)]
+        near = [True] * len(x) if bound is None else _costs(x, y, model, bound).notna()  # many pairs at once; few are left to trace
+        rows = [(None, []) if p is None or q is None or not n else kernels.affine_align(_raw(p), _raw(q), model, bound) for p, q, n in zip(x, y, near, strict=True)]
         return pd.DataFrame({"cost": pd.array([c for c, _ in rows], "Int32"), "cigar": [None if c is None else [{"op": o, "layer": g, "cnt": n} for o, g, n in s] for c, s in rows]})
 
     return run(_binary(a), _binary(b))
