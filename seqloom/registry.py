@@ -577,9 +577,12 @@ def bounded_affine_distance(p: DataFrame) -> DataFrame:
     return p.select("id", A.alignment_cost("a", "b", cost_model.affine(1, 2, 1), BOUND).alias("cost"))
 
 
-@query("bounded_affine_align", f"WITH RECURSIVE {_model_sql(cost_model.affine(1, 2, 1))} SELECT id, (list_extract(m, length(b) + 1))::INT AS cost, length(a)::INT AS used_a, length(b)::INT AS used_b FROM g WHERE i = length(a) AND list_extract(m, length(b) + 1) <= {BOUND}")
+_NEAR = f"list_extract(m, length(b) + 1) <= {BOUND}"
+
+
+@query("bounded_affine_align", f"WITH RECURSIVE {_model_sql(cost_model.affine(1, 2, 1))} SELECT id, (CASE WHEN {_NEAR} THEN list_extract(m, length(b) + 1) END)::INT AS cost, (CASE WHEN {_NEAR} THEN length(a) END)::INT AS used_a, (CASE WHEN {_NEAR} THEN length(b) END)::INT AS used_b FROM g WHERE i = length(a)")
 def bounded_affine_align(p: DataFrame) -> DataFrame:
-    s = p.withColumn("r", A.affine_align("a", "b", cost_model.affine(1, 2, 1), BOUND)).where("r.cost is not null")
+    s = p.select("id", A.affine_align("a", "b", cost_model.affine(1, 2, 1), BOUND).alias("r"))
     return s.select("id", F.col("r.cost").alias("cost"), cigar.count_of("r.cigar", "=XD").alias("used_a"), cigar.count_of("r.cigar", "=XI").alias("used_b"))
 
 
