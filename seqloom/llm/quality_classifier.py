@@ -333,7 +333,12 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Vote patterns are counted over all documents; the scorers are trained on at most PER_CLASS rows of each class.
-    Thresholds are from all documents that annotators call clean."""
+    Thresholds are from all documents that annotators call clean.
+
+    Null and empty texts vote like any other; texts of any length are taken whole. Rows that repeat a doc_id share its
+    labels, and copies count once in training. A doc_id labelled twice is bad, or toxic, if any of its labels says so;
+    null labels say nothing. Without labels the heuristics alone are fitted; without documents the model accepts all.
+    Other columns aren't read."""
     model, clean = _fitted(docs, labels)
     return calibrated(model, scored(docs.join(clean, "doc_id", "left_semi"), model))
 

@@ -43,7 +43,8 @@ def _repeat_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id and counts of the whole text (null: no words); other columns aren't read.
+    """One row per row of docs: doc_id and counts of the whole text (null: no words); other columns aren't read. Texts of
+    any length are counted whole; rows that repeat a doc_id give a row each; no rows give none.
 
     n_words, word_chars (code points in words), n_symbols (of #*$%&|<>), n_dup_lines (lines with a word that equal an
     earlier line), n_repeat_words (see above), and for rules: n_lines (with a word), n_upper (capital letters), n_marks
@@ -179,7 +180,8 @@ def rule_number(rules: list[Rule]) -> Column:
 
 def train(stats: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -> list[Rule]:
     """Learns from at most `sample` labelled rows (those with the least hash of their id), which go to the driver as
-    numbers. A doc_id labelled twice counts as bad if any of its labels is. Null labels and ids don't count."""
+    numbers. A doc_id labelled twice counts as bad if any of its labels is. Null labels and ids don't count. Documents that
+    repeat a doc_id are rows of their own. Without labelled rows there are no rules."""
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     joined = stats.where(~base_failed()).join(known, "doc_id").select("doc_id", *[f().alias(n) for n, f in FEATURES.items()], (F.col("_quality") == 0).alias("bad"))
     rows = least_hashed(joined, sample, "doc_id", "n_words").collect()

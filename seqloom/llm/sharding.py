@@ -16,6 +16,8 @@ from seqloom.llm.common import saved, table
 
 BITS = 60
 LIMIT = 16 * 2**20
+#: Of the query: small enough that tables of a few megabytes are split.
+QUERY_LIMIT = 2**20
 
 
 def key_hash(key: Column) -> Column:
@@ -44,8 +46,9 @@ def shards(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """rows: key and n_bytes (null: 0). Adds shard, depth (bits of its hash prefix), shard_bytes and shard_rows.
 
     shard is 's' and the prefix's bits. Rows that repeat one key past the limit are not told apart by any bit; these are
-    parted by their places, as -0, -1, ... after the bits. A single row over the limit is a shard by itself. No rows: no
-    rows.
+    parted by their places, as -0, -1, ... after the bits, so which row of a hot key is in which part depends on how the
+    rows lie. A single row over the limit is a shard by itself. Null keys share the empty key's hash. No rows: no rows.
+    Other columns of rows aren't read, whatever their names.
     """
     own = saved(rows.select("key", F.coalesce(F.col("n_bytes"), F.lit(0)).cast("bigint").alias("n_bytes"), key_hash(F.col("key")).alias("h")))
     total, n = own.agg(F.sum("n_bytes"), F.count("*")).first()
@@ -93,7 +96,7 @@ def _parted(rows: DataFrame, limit: int) -> DataFrame:
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = shards(docs.select(F.col("doc_id").alias("key"), F.octet_length(F.coalesce(F.col("text"), F.lit(""))).alias("n_bytes")))
+    found = shards(docs.select(F.col("doc_id").alias("key"), F.octet_length(F.coalesce(F.col("text"), F.lit(""))).alias("n_bytes")), QUERY_LIMIT)
     return found.withColumnRenamed("key", "doc_id")
 
 
@@ -104,7 +107,7 @@ WITH d AS (
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
   FROM documents),
 l AS (SELECT d.*, v.level::INT AS level, h >> ({BITS} - v.level)::INT AS node FROM d, (SELECT unnest(range(0, {BITS} + 1)) AS level) v),
-n AS (SELECT level, node FROM l GROUP BY level, node HAVING sum(n_bytes) > {LIMIT} AND min(h) < max(h)),
+n AS (SELECT level, node FROM l GROUP BY level, node HAVING sum(n_bytes) > {QUERY_LIMIT} AND min(h) < max(h)),
 p AS (
   SELECT l.doc_id, l.n_bytes, l.h, count(n.level)::INT AS depth
   FROM l LEFT JOIN n ON l.level = n.level AND l.node = n.node GROUP BY l.doc_id, l.n_bytes, l.h),

@@ -498,7 +498,8 @@ def _with_spans(docs: DataFrame, least: int, crowd: int = CROWD) -> DataFrame:
 def removals(docs: DataFrame, least: int = 100, crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans (maximal runs removed), kept_sha256.
 
-    Texts are UTF-8 bytes, null is empty; matches don't cross documents. The order is by doc_id (null first), then
+    Texts are UTF-8 bytes, null is empty; matches don't cross documents. Texts shorter than `least` bytes lose nothing, and
+    texts of any length are searched whole, a chunk at a time. The order is by doc_id (null first), then
     start; documents that share an id are in the order of a hash of their texts, and rows that repeat id and text are
     one document, each with its result. Other columns aren't read.
     """

@@ -182,6 +182,13 @@ def test_a_hot_key_is_parted(spark):
     assert S.shards(df.limit(0)).count() == 0
 
 
+def test_shards_of_rows_with_other_columns(spark):
+    df = spark.createDataFrame([(k % 7, 10, "x", 1, "y") for k in range(50)] + [(None, None, "x", 1, "y")], "key long, n_bytes long, shard string, depth int, h string")
+    got = S.shards(df, 60).collect()
+    assert len(got) == 51 and {r.key for r in got} == {*range(7), None}
+    assert all(r.shard_bytes <= 60 for r in got) and S.shards(df.limit(0), 60).count() == 0
+
+
 def test_shards_equal_their_sql(spark):
     same(S.op2(spark, SF), S.OP2_SQL, SF)
 

@@ -181,3 +181,16 @@ def test_stage_decides_by_row_not_by_id(spark):
     for stage in (S.near_copy_stage, S.stage):
         got = sorted(map(tuple, stage(spark, df, "").collect()), key=str)
         assert got == sorted([(None, say(0)), (4, say(1)), (1, say(2)), (1, say(3)), (5, None)], key=str)
+
+
+def test_long_texts_null_ids_and_ties(spark):
+    r = random.Random(9)
+    long = " ".join(f"W{r.randrange(5000)}" for _ in range(20_000))
+    rows = [(None, "a b c d"), (None, "a b c d"), (None, long), (7, long), (9, long + " tail"), (3, None), (4, ""), (4, "  ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "'x' AS component_id").repartition(3)
+    got = sorted((-1 if x.doc_id is None else x.doc_id, x.fp, -1 if x.component_id is None else x.component_id) for x in S.near_duplicates(df).collect())
+    signed = lambda t: int(np.array([plain(t)], np.uint64).view(np.int64)[0])
+    assert signed(long) == signed(long + " tail") or bin(plain(long) ^ plain(long + " tail")).count("1") <= 3
+    expected = [(-1, signed("a b c d"), -1)] * 2 + [(-1, signed(long), 7), (7, signed(long), 7), (9, signed(long + " tail"), 7), (3, 0, 3), (4, 0, 3), (4, 0, 3)]
+    assert got == sorted(expected)
+    assert S.near_duplicates(df.limit(0)).count() == 0

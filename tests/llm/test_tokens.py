@@ -63,6 +63,15 @@ def test_counts(spark, library):
         assert n == max([0, *(m for m, c in enumerate(counts, 1) if c <= 3)]) == C.counter(BYTES).longest_fit(texts[k], 3)
 
 
+def test_counts_of_very_long_texts(spark, library):
+    texts = ["word, " * 200_000, "é\n" * 100_000, "a" * 5_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in C.token_counts(df, BYTES).collect()}
+    for k, t in enumerate(texts):
+        n = len(library[0].encode(t, add_special_tokens=False).ids)
+        assert got[k] == (len(t.encode()), n, n > 1024)
+
+
 def test_counts_of_a_table(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
