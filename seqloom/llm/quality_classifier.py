@@ -85,9 +85,16 @@ def quality_votes(shares: tuple[float, ...]) -> list[int]:
     return [BAD if s > high else NOTHING for s, (_, high) in pairs] + [GOOD if all(s <= low for s, (low, _) in pairs) else NOTHING]
 
 
+_ENDS, _INSULTS = ENDS.encode(), frozenset(w.encode() for w in INSULTS)
 _BLANKS = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique, which for many different numbers is faster by sorting."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 class Texts:
     """Many texts at once: their distinct words in lower case, which text has which, and each text's style().
 
@@ -100,15 +107,16 @@ class Texts:
         full = np.fromiter(map(len, words), np.int64, len(words))[place] > 0
         place, ends = place[full].astype(np.int64), np.r_[0, np.cumsum(full)][ends]
         row = np.repeat(np.arange(len(texts)), np.diff(ends))
-        number: dict[str, int] = {}
-        lower = np.fromiter((number.setdefault(w.decode("utf-8", "surrogatepass").lower(), len(number)) for w in words), np.int64, len(words))
+        small = [w.lower() if w.isascii() else w.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass") for w in words]
+        number = {w: k for k, w in enumerate(dict.fromkeys(small))}
+        lower = np.fromiter(map(number.__getitem__, small), np.int64, len(words))
         self.words = list(number)
         count = max(1, len(words))
-        own = np.unique(row * count + lower[place])
+        own = _distinct(row * count + lower[place])
         self.row, self.word = own // count, own % count
         self.n_words = np.bincount(self.row, minlength=len(texts))
         n = np.maximum(1, np.diff(ends))
-        distinct = np.bincount(np.unique(row * count + place) // count, minlength=len(texts))
+        distinct = np.bincount(_distinct(row * count + place) // count, minlength=len(texts))
         again = np.bincount(row[1:][(row[1:] == row[:-1]) & (place[1:] == place[:-1])], minlength=len(texts))
         of = lambda f: np.fromiter(map(f, raw), np.int64, len(raw))
         size = np.maximum(1, of(len))
@@ -146,22 +154,27 @@ def _digits(votes_: np.ndarray) -> pa.Array:
 
 
 class WordMarks(Remembered):
-    """For each word, as one number: whether it is an insult, and whether it or a stem of it is in the toxic list."""
+    """For each word in lower case (as bytes), as one number: whether it is an insult, and whether it or a stem of it is in the toxic list."""
 
     def __init__(self, toxic_stems: frozenset[str]):
         super().__init__(REMEMBERED_WORDS)
-        self.toxic_stems = toxic_stems
+        self.toxic_stems, self.stems = toxic_stems, {s.encode("utf-8", "surrogatepass") for s in toxic_stems}
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if not self.known(word):
             self.make_room()
-            bare = word.strip(ENDS)
+            if word.isascii():
+                bare = word.strip(_ENDS)
+                marked = bare in self.stems or not self.stems.isdisjoint([bare[:n] + b"*" for n in STEM_LETTERS if len(bare) > n])
+                self[word] = (bare in _INSULTS) + (marked << 40)
+                return self[word]
+            bare = word.decode("utf-8", "surrogatepass").strip(ENDS)
             self[word] = (bare in INSULTS) + ((not self.toxic_stems.isdisjoint([bare, *stems(bare)])) << 40)
         return self[word]
 
 
 def toxic_votes(words: set[str], marks: WordMarks) -> list[int]:
-    n = sum(map(marks.__getitem__, words))
+    n = sum([marks[w.encode("utf-8", "surrogatepass")] for w in words])
     hits = n >> 40
     return [BAD if n % (1 << 40) else NOTHING, BAD if hits >= 2 else NOTHING if hits else GOOD]
 
@@ -188,17 +201,21 @@ def style_features(shares: tuple[float, ...], votes: list[int]) -> list[int]:
 
 
 class WordScores(Remembered):
-    """For each word the sums of its features' weights of both models, as one complex number."""
+    """For each word in lower case (as bytes) the sums of its features' weights of both models, as one complex number."""
 
     def __init__(self, weights: np.ndarray):
         super().__init__(REMEMBERED_WORDS)
         self.weights = [complex(q, t) for q, t in weights.tolist()]
 
-    def __missing__(self, word: str) -> complex:
+    def __missing__(self, word: bytes) -> complex:
         if not self.known(word):
             self.make_room()
             w = self.weights
-            self[word] = sum([w[b] for b in word_features(word)], 0j)
+            if word.isascii():  # word_features() of letters of one byte
+                bare = word.strip(_ENDS)
+                self[word] = sum([w[crc32(bare[:n] + b"*") % BUCKETS] for n in STEM_LETTERS if len(bare) > n], w[crc32(bare) % BUCKETS])
+            else:
+                self[word] = sum([w[b] for b in word_features(word.decode("utf-8", "surrogatepass"))], 0j)
         return self[word]
 
     def of(self, buckets: list[int]) -> complex:

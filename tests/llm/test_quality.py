@@ -169,7 +169,7 @@ def test_many_texts_at_once_equal_one_by_one():
     both = Q.Texts(texts)
     for k, t in enumerate(texts):
         words = Q.distinct_words(t or "")
-        assert {both.words[w] for w in both.word[both.row == k]} == words and both.n_words[k] == len(words)
+        assert {both.words[w].decode() for w in both.word[both.row == k]} == words and both.n_words[k] == len(words)
         assert both.shares[k].tolist() == pytest.approx(list(Q.style(t or "")))
         assert both.quality_votes()[k].tolist() == Q.quality_votes(Q.style(t or ""))
         assert both.toxic_votes(marks)[k].tolist() == Q.toxic_votes(words, marks)
