@@ -356,8 +356,11 @@ def _runs(nodes: DataFrame, parts: int, of_run: Callable[[np.ndarray], Iterator[
             rows = rows[np.lexsort([rows["node"], rows["size"], rows["shingle"]])]
             new = np.flatnonzero(np.r_[True, rows["shingle"][1:] != rows["shingle"][:-1]])
             size = np.diff(np.r_[new, len(rows)])
-            seen: set[tuple[int, int]] = set()
-            for k in np.flatnonzero(size > 1).tolist():
+            x = new[size == 2]  # most runs: told at once
+            near = (np.bitwise_count(rows["fp"][x] ^ rows["fp"][x + 1]) <= WIDE) & (SIMILAR[1] * rows["size"][x].astype(np.int64) >= SIMILAR[0] * rows["size"][x + 1].astype(np.int64))
+            x = x[near & (rows["root"][x] != rows["root"][x + 1])]
+            seen: set[tuple[int, int]] = set(zip(rows["node"][x].tolist(), rows["node"][x + 1].tolist(), strict=True))
+            for k in np.flatnonzero(size > 2).tolist():
                 own = rows[new[k] : new[k] + size[k]]
                 for x, y in of_run(own):
                     seen.update(zip(own["node"][x].tolist(), own["node"][y].tolist(), strict=True))
