@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import decontamination, licenses, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_alignment, token_counts, warc
+from seqloom.llm import chat_format, decontamination, licenses, packing, prefix_trie, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_alignment, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,8 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": token_counts.op8,
         "op9_simhash_near_dedup": simhash.op9,
         "op10_suffix_dedup": suffix_dedup.op10,
+        "op11_prefix_trie": prefix_trie.op11,
+        "op12_chat_format": chat_format.op12,
         "op13_token_alignment": token_alignment.op13,
         "pipeline": pipeline,
     }
