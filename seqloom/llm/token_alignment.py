@@ -28,7 +28,7 @@ from seqloom.llm.common import rows_of, shared_dir, table
 from seqloom.llm.token_counts import SPLIT, byte_letters
 
 #: Bytes of text that are aligned at once (one longer text by itself).
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of distinct parts of texts that are encoded as one text.
 JOINED_BYTES = 1 << 16
 #: White space beyond ASCII, and the sign that stands for a blank in B's vocabulary: texts with these aren't cut.
