@@ -9,19 +9,17 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.pandas.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StructField, StructType
 
-from seqloom.functions import cigar, kernels
+from seqloom.functions import cigar, kernels, wavefront
 from seqloom.functions.cost_model import FORBIDDEN, CostModel, named
 from seqloom.functions.expr import ColumnOrName, bounded_distance, col, distance
 
-#: Grid cells of all pairs that a batch of equal lengths is computed for at once.
-CELLS = 1 << 22
-
-
 INT, INTS = IntegerType(), ArrayType(IntegerType())
 
 
@@ -33,18 +31,46 @@ def _binary(x: ColumnOrName) -> Column:
     return col(x).cast("binary")
 
 
-def _raw(x: str | bytes) -> bytes:
-    return x.encode() if isinstance(x, str) else bytes(x)
+def _known(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """Places of pairs without a null, and their sequences as bytes."""
+    there = pc.and_(pc.is_valid(a), pc.is_valid(b))
+    return np.flatnonzero(there.to_numpy(zero_copy_only=False)), *(x.filter(there).cast(pa.binary()).to_pylist() for x in (a, b))
+
+
+def _spread(values: pa.Array, places: np.ndarray, rows: int) -> pa.Array:
+    """values at their places among so many rows, which else are null."""
+    at = np.full(rows, -1)
+    at[places] = np.arange(len(places))
+    return values.take(pa.array(at, pa.int64(), mask=at < 0))
+
+
+def _results(cost: pa.Array, scripts: pa.Array, places: np.ndarray, rows: int) -> pa.Array:
+    return pa.StructArray.from_arrays([_spread(x, places, rows) for x in (cost, scripts)], ["cost", "cigar"])
 
 
-def _scripts(rows: list) -> pd.DataFrame:
-    """rows: (cost, script) or (None, None)."""
-    return pd.DataFrame({"cost": pd.array([c for c, _ in rows], "Int32"), "cigar": [None if c is None else [{"op": o, "cnt": n} for o, n in s] for c, s in rows]})
+def _scripts(a: pa.Array, b: pa.Array) -> pa.Array:
+    """STRUCT<cost, cigar> of all pairs, as Arrow arrays from the start: no run becomes a Python object."""
+    places, x, y = _known(a, b)
+    found = kernels.aligns(x, y)
+    ops = pa.DictionaryArray.from_arrays(pa.array(found.op, pa.int8()), pa.array(list(kernels.OPS))).cast(pa.string())
+    runs = pa.StructArray.from_arrays([ops, pa.array(found.count, pa.int32())], ["op", "cnt"])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, found.end].astype(np.int32)), runs)
+    return _results(pa.array(found.cost, pa.int32()), lists, places, len(a))
 
 
-@pandas_udf(_struct(cost=INT, cigar=cigar.TYPE))
-def _align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return _scripts([(None, None) if x is None or y is None else kernels.align(_raw(x), _raw(y)) for x, y in zip(a, b, strict=True)])
+def _layered(rows: list[tuple[int | None, list]], places: np.ndarray, n: int) -> pa.Array:
+    """STRUCT<cost, cigar> with layers of rows (cost, script), with nulls for (None, [])."""
+    flat = [run for _, script in rows for run in script]
+    op, layer, count = zip(*flat, strict=True) if flat else ((), (), ())
+    runs = pa.StructArray.from_arrays([pa.array(op, pa.string()), pa.array(layer, pa.int32()), pa.array(count, pa.int32())], ["op", "layer", "cnt"])
+    none = np.array([c is None for c, _ in rows], bool)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(s) for _, s in rows])].astype(np.int32), mask=np.r_[none, False]), runs)
+    return _results(pa.array([c for c, _ in rows], pa.int32()), lists, places, n)
+
+
+@arrow_udf(_struct(cost=INT, cigar=cigar.TYPE))
+def _align(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _scripts(a, b)
 
 
 def align(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -59,54 +85,35 @@ def bounded_align(a: ColumnOrName, b: ColumnOrName, bound: int) -> Column:
     return F.when(found["cost"].isNotNull(), found)
 
 
-def _bucketed(a: list[bytes], b: list[bytes], model: CostModel, bound: int | None = None) -> np.ndarray:
-    order = np.argsort([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], kind="stable")
-    out, s = np.zeros(len(a), np.int64), 0
-    while s < len(order):
-        e = s + 1
-        width = max(len(a[order[s]]), len(b[order[s]])) + 1
-        while e < len(order) and (e - s) * width < CELLS // 64 and max(len(a[order[e]]), len(b[order[e]])) < 1.5 * width + 8:
-            e += 1
-        rows = order[s:e]
-        out[rows] = kernels.costs([a[r] for r in rows], [b[r] for r in rows], model, bound)
-        s = e
-    return out
-
-
 def alignment_cost(a: ColumnOrName, b: ColumnOrName, model: CostModel | str, bound: int | None = None) -> Column:
     """Cost under any model; null if there is no alignment, or it costs more than bound. Pairs are computed together,
-    those of like lengths at a time."""
+    those of like lengths at a time; the work grows with the cost."""
     model = named(model) if isinstance(model, str) else model
     if model.is_unit:
         return distance(a, b) if bound is None else bounded_distance(a, b, bound)
 
-    @pandas_udf(INT)
-    def cost(x: pd.Series, y: pd.Series) -> pd.Series:
+    @arrow_udf(INT)
+    def cost(x: pa.Array, y: pa.Array) -> pa.Array:
         return _costs(x, y, model, bound)
 
     return cost(_binary(a), _binary(b))
 
 
-def _costs(x: pd.Series, y: pd.Series, model: CostModel, bound: int | None) -> pd.Series:
-    known = [k for k, (p, q) in enumerate(zip(x, y, strict=True)) if p is not None and q is not None]
-    found = _bucketed([_raw(x.iloc[k]) for k in known], [_raw(y.iloc[k]) for k in known], model, bound)
-    out = pd.array([None] * len(x), "Int32")
-    for k, c in zip(known, found.tolist(), strict=True):
-        if c < FORBIDDEN:
-            out[k] = c
-    return pd.Series(out)
+def _costs(x: pa.Array, y: pa.Array, model: CostModel, bound: int | None) -> pa.Array:
+    places, a, b = _known(x, y)
+    found = wavefront.distances(a, b, model, bound)
+    return _spread(pa.array(found, pa.int32(), mask=found >= FORBIDDEN), places, len(x))
 
 
 def affine_align(a: ColumnOrName, b: ColumnOrName, model: CostModel | str, bound: int | None = None) -> Column:
-    """STRUCT<cost, cigar> with layers, under any model; nulls if there is no alignment, or none within the bound. Only
-    diagonals within reach of the bound are filled."""
+    """STRUCT<cost, cigar> with layers, under any model; nulls if there is no alignment, or none within the bound. The
+    work grows with the cost, and so does the memory of one pair (see wavefront)."""
     model = named(model) if isinstance(model, str) else model
 
-    @pandas_udf(_struct(cost=INT, cigar=cigar.AFFINE_TYPE))
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        near = [True] * len(x) if bound is None else _costs(x, y, model, bound).notna()  # many pairs at once; few are left to trace
-        rows = [(None, []) if p is None or q is None or not n else kernels.affine_align(_raw(p), _raw(q), model, bound) for p, q, n in zip(x, y, near, strict=True)]
-        return pd.DataFrame({"cost": pd.array([c for c, _ in rows], "Int32"), "cigar": [None if c is None else [{"op": o, "layer": g, "cnt": n} for o, g, n in s] for c, s in rows]})
+    @arrow_udf(_struct(cost=INT, cigar=cigar.AFFINE_TYPE))
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        places, p, q = _known(x, y)
+        return _layered(wavefront.affine_aligns(p, q, model, bound), places, len(x))
 
     return run(_binary(a), _binary(b))
 
@@ -166,42 +173,45 @@ def register(spark: SparkSession) -> None:
     * seq_distance(a, b), as an SQL expression
     """
 
-    @pandas_udf(_struct(cost=INT, cigar=cigar.TYPE))
-    def seeded(a: pd.Series, b: pd.Series, r: pd.Series, k: pd.Series, prune_end: pd.Series) -> pd.DataFrame:
-        for pair in {(x, y) for x, y in zip(r, k, strict=True)}:
+    @arrow_udf(_struct(cost=INT, cigar=cigar.TYPE))
+    def seeded(a: pa.Array, b: pa.Array, r: pa.Array, k: pa.Array, prune_end: pa.Array) -> pa.Array:
+        for pair in set(zip(r.to_pylist(), k.to_pylist(), strict=True)):
             _checked(*pair)
-        return _scripts([(None, None) if x is None or y is None else kernels.align(_raw(x), _raw(y)) for x, y in zip(a, b, strict=True)])
+        return _scripts(a, b)
 
     @pandas_udf(INTS)
     def seq_search(p: pd.Series, t: pd.Series) -> pd.Series:
         return _searches(p, t, 0.0)
 
-    def by_model(model: pd.Series, one: Callable, none: object) -> list:
-        out: list = [none] * len(model)
-        for name in set(model.dropna()):
-            rows = np.flatnonzero(model == name)
-            for k, found in zip(rows.tolist(), one(rows, named(name)), strict=True):
-                out[k] = found
-        return out
+    def by_model(x: pa.Array, y: pa.Array, model: pa.Array, of: Callable, kind: pa.DataType) -> pa.Array:
+        """of() pairs and a model, for each model's rows."""
+        parts, places = [pa.nulls(len(x), kind)], np.arange(len(x))
+        names = np.array(model.to_pylist(), object)
+        for name in set(names.tolist()) - {None}:
+            rows = np.flatnonzero(names == name)
+            places[rows] = sum(map(len, parts)) + np.arange(len(rows))
+            parts.append(of(x.take(pa.array(rows)), y.take(pa.array(rows)), named(name)))
+        return pa.concat_arrays(parts).take(pa.array(places))
 
-    @pandas_udf(INT)
-    def seq_model_cost(x: pd.Series, y: pd.Series, model: pd.Series) -> pd.Series:
-        return pd.Series(pd.array([None if c is None or c is pd.NA else int(c) for c in by_model(model, lambda rows, m: list(_costs(x.iloc[rows], y.iloc[rows], m, None)), None)], "Int32"))
+    @arrow_udf(INT)
+    def seq_model_cost(x: pa.Array, y: pa.Array, model: pa.Array) -> pa.Array:
+        return by_model(x, y, model, lambda p, q, m: _costs(p, q, m, None), pa.int32())
 
-    @pandas_udf(_struct(cost=INT, cigar=cigar.AFFINE_TYPE))
-    def seq_model_align(x: pd.Series, y: pd.Series, model: pd.Series) -> pd.DataFrame:
-        def one(rows: np.ndarray, m: CostModel) -> list:
-            return [(None, []) if x.iloc[k] is None or y.iloc[k] is None else kernels.affine_align(_raw(x.iloc[k]), _raw(y.iloc[k]), m) for k in rows]
+    @arrow_udf(_struct(cost=INT, cigar=cigar.AFFINE_TYPE))
+    def seq_model_align(x: pa.Array, y: pa.Array, model: pa.Array) -> pa.Array:
+        def of(p: pa.Array, q: pa.Array, m: CostModel) -> pa.Array:
+            places, a, b = _known(p, q)
+            return _layered(wavefront.affine_aligns(a, b, m), places, len(p))
 
-        found = by_model(model, one, (None, []))
-        return pd.DataFrame({"cost": pd.array([c for c, _ in found], "Int32"), "cigar": [None if c is None else [{"op": o, "layer": g, "cnt": n} for o, g, n in s] for c, s in found]})
+        return by_model(x, y, model, of, _layered([], np.zeros(0, np.int64), 0).type)
 
     for name in ("seq_align", "seq_align_simple", "seq_align_full"):
         spark.udf.register(name, _align)
     spark.udf.register("seq_align_seeded", seeded)
     spark.udf.register("seq_search", seq_search)
-    @pandas_udf(INT)
-    def seq_affine_cost(x: pd.Series, y: pd.Series) -> pd.Series:
+
+    @arrow_udf(INT)
+    def seq_affine_cost(x: pa.Array, y: pa.Array) -> pa.Array:
         return _costs(x, y, named("affine(1,2,1)"), None)
 
     spark.udf.register("seq_affine_cost", seq_affine_cost)

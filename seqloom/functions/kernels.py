@@ -1,17 +1,17 @@
-"""NumPy and integer kernels for what SQL expressions can't give: edit scripts, affine costs, search and chains.
+"""NumPy and integer kernels for what SQL expressions can't give: edit scripts, search, seed matches and chains.
 
 Sequences are bytes. In the grid, i counts characters of a and j of b; a deletion consumes a, an insertion b. A script is
-a list of (op, count): '=' and 'X' consume both, 'D' a, 'I' b; affine scripts also have a layer, and its open and close.
+a list of (op, count): '=' and 'X' consume both, 'D' a, 'I' b. Other cost models are in wavefront.py.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import groupby
+from math import isqrt
 
 import numpy as np
 
-from seqloom.functions.cost_model import FORBIDDEN, CostModel
-
 Script = list[tuple[str, int]]
 
 
@@ -27,19 +27,22 @@ def pushed(script: list, op, count: int = 1) -> None:
 # --- unit costs ------------------------------------------------------------------------------------------------------
 
 
-def _columns(a: bytes, b: bytes):
-    """For each i in 1..len(a): bit masks over j of where the cost rises or falls from j-1 to j, and from i-1 to i.
+def _letter_masks(b: bytes) -> dict[int, int]:
+    found: dict[int, int] = {}
+    for j, c in enumerate(b):
+        found[c] = found.get(c, 0) | 1 << j
+    return found
+
+
+def _columns(a: bytes, masks: dict[int, int], n: int, up: int, down: int):
+    """For each letter of a: bit masks over j of where the cost rises or falls from j-1 to j, and from i-1 to i; up and down
+    are those of the column before.
 
-    Bit-parallel, with integers of len(b) bits: a column takes a fixed number of integer operations.
+    Bit-parallel, with integers of n bits, the other side's length: a column takes a fixed number of integer operations.
     """
-    n = len(b)
     full = (1 << n) - 1
-    peq: dict[int, int] = {}
-    for j, c in enumerate(b):
-        peq[c] = peq.get(c, 0) | 1 << j
-    up, down = full, 0
     for c in a:
-        eq = peq.get(c, 0)
+        eq = masks.get(c, 0)
         same = eq | down
         zero = (((same & up) + up) ^ up) | same
         right = down | (full & ~(zero | up))
@@ -54,198 +57,149 @@ def distance(a: bytes, b: bytes) -> int:
     cost, top = len(b), 1 << len(b) >> 1
     if not b:
         return len(a)
-    for _, _, right, left in _columns(a, b):
+    for _, _, right, left in _columns(a, _letter_masks(b), len(b), (1 << len(b)) - 1, 0):
         cost += bool(right & top) - bool(left & top)
     return cost
 
 
-#: Grid cells of one traced part: their masks take half a byte a cell.
-TRACED_CELLS = 1 << 27
+#: Letters of b up to which pairs are traced many at a time, and bytes of their masks.
+TOGETHER, MASK_BYTES = 512, 1 << 25
+#: Ops as numbers.
+OPS = "=IDX"
 
 
-def _last_row(a: bytes, b: bytes) -> np.ndarray:
-    """Costs of all of a with b's beginnings of 0, 1, ... letters."""
-    up, down = (1 << len(b)) - 1, 0
-    for up, down, _, _ in _columns(a, b):
-        pass
-    bits = [np.unpackbits(np.frombuffer(x.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)].astype(np.int64) for x in (up, down)]
-    return len(a) + np.r_[0, np.cumsum(bits[0] - bits[1])]
+@dataclass
+class Scripts:
+    """Edit scripts of many pairs: the cost of each, and its runs (ops as places in OPS, and counts) up to its end."""
 
+    cost: np.ndarray
+    op: np.ndarray
+    count: np.ndarray
+    end: np.ndarray
+
+    def script(self, k: int) -> Script:
+        s, e = self.end[k - 1] if k else 0, self.end[k]
+        return [(OPS[o], c) for o, c in zip(self.op[s:e].tolist(), self.count[s:e].tolist(), strict=True)]
 
-def align(a: bytes, b: bytes) -> tuple[int, Script]:
-    """Distance and script. Of equally good scripts: walking back, a match comes first, then I, D, X.
 
-    Pairs of more than TRACED_CELLS cells are cut in halves of a where a best path crosses, until their parts are small
-    enough; so memory stays bounded, while ties may be broken differently at the cuts.
+def aligns(a: list[bytes], b: list[bytes]) -> Scripts:
+    """Distances and scripts. Of equally good scripts: walking back, a match comes first, then I, D, X; so for pairs of any
+    length. Pairs of up to TOGETHER letters of b are traced many at a time; of longer ones every so many columns are kept,
+    and those between are filled again on the way back, so memory grows with a length's root times the other length.
     """
-    if len(a) * len(b) > TRACED_CELLS and len(a) > 1:
-        half = len(a) // 2
-        both = _last_row(a[:half], b) + _last_row(a[half:][::-1], b[::-1])[::-1]
-        cut = int(both.argmin())
-        (x, one), (y, two) = align(a[:half], b[:cut]), align(a[half:], b[cut:])
-        script = list(one)
-        for op, count in two:
-            pushed(script, op, count)
-        return x + y, script
-    masks = [((1 << len(b)) - 1, 0, 0, 0), *_columns(a, b)]
-    i, j, cost, script = len(a), len(b), 0, []
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1]:
-            pushed(script, "=")
-            i, j = i - 1, j - 1
+    order = sorted(range(len(a)), key=lambda x: (-(-len(b[x]) // 64), len(a[x])))
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    e = 0
+    while e < len(order):
+        s, e = e, e + 1
+        words = -(-len(b[order[s]]) // 64)
+        if len(b[order[s]]) > TOGETHER:
+            op, count = _traced_long(a[order[s]], b[order[s]])
+            parts.append((np.zeros(len(op), np.int64) + order[s], op, count))
             continue
-        cost += 1
-        if j and masks[i][0] >> (j - 1) & 1:
-            pushed(script, "I")
-            j -= 1
-        elif i and (not j or masks[i][2] >> (j - 1) & 1):
-            pushed(script, "D")
-            i -= 1
-        else:
-            pushed(script, "X")
-            i, j = i - 1, j - 1
-    return cost, script[::-1]
-
-
-# --- any cost model --------------------------------------------------------------------------------------------------
-
+        while e < len(order) and -(-len(b[order[e]]) // 64) == words and (e - s + 1) * 16 * max(1, words) * (len(a[order[e]]) + 1) < MASK_BYTES:
+            e += 1
+        rows = np.array(order[s:e])
+        row, op, count = _traced([a[x] for x in rows], [b[x] for x in rows], max(1, words))
+        parts.append((rows[row], op, count))
+    row, op, count = (np.concatenate([p[c] for p in parts]) for c in range(3)) if parts else (np.zeros(0, np.int64),) * 3
+    by_row = np.argsort(row, kind="stable")
+    row, op, count = row[by_row], op[by_row], count[by_row]
+    return Scripts(np.bincount(row, weights=np.where(op > 0, count, 0), minlength=len(a)).astype(np.int64), op, count, np.cumsum(np.bincount(row, minlength=len(a))))
+
+
+def _traced(a: list[bytes], b: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of all pairs' scripts: pair, op, count. Every number holds 64 places of one pair's column; all pairs' columns
+    are filled, and their paths walked back, a step at a time."""
+    k, n = len(a), max(map(len, a))
+    size_a, size_b = (np.array([len(x) for x in y]) for y in (a, b))
+    text_a, text_b = np.zeros((k, n + 1), np.uint8), np.zeros((k, 64 * words), np.uint8)
+    for r in range(k):
+        text_a[r, : len(a[r])] = np.frombuffer(a[r], np.uint8)
+        text_b[r, : len(b[r])] = np.frombuffer(b[r], np.uint8)
+    there = np.arange(64 * words) < size_b[:, None]
+    letters = np.unique(text_b[there])
+    masks = np.zeros((len(letters) + 1, k, words), "<u8")  # the last: letters that b lacks
+    for x, c in enumerate(letters):
+        masks[x] = np.packbits((text_b == c) & there, axis=1, bitorder="little").view("<u8")
+    code = np.full(256, len(letters))
+    code[letters] = np.arange(len(letters))
+    code, every, one, top = code[text_a], np.arange(k), np.uint64(1), np.uint64(63)
+    rises, grows = np.empty((n + 1, k, words), np.uint64), np.empty((n + 1, k, words), np.uint64)
+    up, down = np.full((k, words), ~np.uint64(0)), np.zeros((k, words), np.uint64)
+    rises[0] = up
+    for i in range(n):
+        found = masks[code[:, i], every]
+        plus, minus = np.ones(k, np.uint64), np.zeros(k, np.uint64)  # what the row below a word's first rises or falls by
+        for w in range(words):
+            p, m, eq = up[:, w], down[:, w], found[:, w]
+            vertical = eq | m
+            eq = eq | minus
+            zero = (((eq & p) + p) ^ p) | eq
+            right, left = m | ~(zero | p), p & zero
+            grows[i + 1, :, w] = right
+            plus, right = right >> top, right << one | plus
+            minus, left = left >> top, left << one | minus
+            up[:, w] = left | ~(vertical | right)
+            down[:, w] = right & vertical
+        rises[i + 1] = up
+    i, j, live, steps = size_a.copy(), size_b.copy(), every, []
+    while len(live := live[(i[live] > 0) | (j[live] > 0)]):
+        x, y = i[live], j[live]
+        before = np.maximum(y - 1, 0)
+        place, bit = before >> 6, (before & 63).astype(np.uint64)
+        match = (x > 0) & (y > 0) & (text_a[live, x - 1] == text_b[live, before])
+        inserts = (y > 0) & ((rises[x, live, place] >> bit & one) > 0)
+        deletes = (x > 0) & ((y == 0) | ((grows[x, live, place] >> bit & one) > 0))
+        op = np.where(match, 0, np.where(inserts, 1, np.where(deletes, 2, 3))).astype(np.uint8)
+        steps.append((live, op))
+        i[live] -= op != 1
+        j[live] -= op != 2
+    row = np.concatenate([r for r, _ in reversed(steps)]) if steps else np.zeros(0, np.int64)
+    op = np.concatenate([o for _, o in reversed(steps)]) if steps else np.zeros(0, np.uint8)
+    return _runs(row, op)
+
+
+def _runs(row: np.ndarray, op: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal neighbours of each row as one, with their number."""
+    by_row = np.argsort(row, kind="stable")
+    row, op = row[by_row], op[by_row]
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (op[1:] != op[:-1])][: len(row)])
+    return row[new], op[new], np.diff(np.r_[new, len(row)])
+
+
+def _traced_long(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of one pair's script: ops and counts."""
+    masks, full, step = _letter_masks(b), (1 << len(b)) - 1, max(1, isqrt(len(a)))
+    kept = [(full, 0)]
+    for s in range(0, len(a), step):
+        up, down = kept[-1]
+        for up, down, _, _ in _columns(a[s : s + step], masks, len(b), up, down):
+            pass
+        kept.append((up, down))
+    i, j, ops = len(a), len(b), bytearray()
+    for s in reversed(range(0, max(1, len(a)), step)):
+        block = [(kept[s // step][0], 0, 0, 0), *_columns(a[s : s + step], masks, len(b), *kept[s // step])]
+        while i > s or (not s and (i or j)):
+            if i and j and a[i - 1] == b[j - 1]:
+                ops.append(0)
+                i, j = i - 1, j - 1
+            elif j and block[i - s][0] >> (j - 1) & 1:
+                ops.append(1)
+                j -= 1
+            elif i and (not j or block[i - s][2] >> (j - 1) & 1):
+                ops.append(2)
+                i -= 1
+            else:
+                ops.append(3)
+                i, j = i - 1, j - 1
+    return _runs(np.zeros(len(ops), np.int64), np.frombuffer(bytes(reversed(ops)), np.uint8))[1:]
 
-def _gap_row(t: np.ndarray, gaps: list[tuple[int, int]]) -> np.ndarray:
-    """min over q <= j of t[q] and the cost of a gap from q to j, along the last axis."""
-    out = t
-    steps = np.arange(t.shape[-1], dtype=t.dtype)
-    for o, e in gaps:
-        best = np.minimum.accumulate(t - e * steps, axis=-1)
-        shifted = np.concatenate([np.full_like(best[..., :1], FORBIDDEN), best[..., :-1]], axis=-1)
-        out = np.minimum(out, shifted + o + e * steps)
-    return out
-
-
-def _band(model: CostModel, bound: int | None, n: int, m: int) -> tuple[int, int]:
-    """Diagonals below and above the main one that alignments within the bound can reach."""
-    if bound is None:
-        return n, m
-    return min(n, model.most_for_cost("del", bound)), min(m, model.most_for_cost("ins", bound))
-
-
-def costs(a: list[bytes], b: list[bytes], model: CostModel, bound: int | None = None) -> np.ndarray:
-    """Global alignment costs of pairs, all at once: a row of the grid for each pair. With a bound, only diagonals that it
-    lets reach are filled, and costs beyond it are FORBIDDEN or more.
 
-    Column d of a row is place j = i + d - below, so a substitution keeps it and a deletion comes from the next one.
-    """
-    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-    k, n, m = len(a), int(la.max(initial=0)), int(lb.max(initial=0))
-    below, above = _band(model, bound, n, m)
-    width = below + above + 1
-    letters_a, letters_b = np.zeros((k, n), np.int16), np.full((k, below + m + above + 1 + n), -1, np.int16)
-    for r, (x, y) in enumerate(zip(a, b, strict=True)):
-        letters_a[r, : len(x)] = np.frombuffer(x, np.uint8)
-        letters_b[r, below + 1 : below + 1 + len(y)] = np.frombuffer(y, np.uint8)  # the letter before place j is at below + j
-    ins, dels = model.gaps("ins"), model.gaps("del")
-    sub = FORBIDDEN if model.sub is None else model.sub
-    d = np.arange(width)
-    row = np.full((k, width), FORBIDDEN, np.int64)
-    row[:, below] = 0
-    row = _gap_row(row, ins)
-    open_rows = [np.full_like(row, FORBIDDEN) for _ in dels]
-    last = lb - la + below
-    inside = (last >= 0) & (last < width)
-    out = np.where((la == 0) & inside, row[np.arange(k), np.clip(last, 0, width - 1)], FORBIDDEN)
-    for i in range(1, n + 1):
-        t = row + np.where(letters_b[:, i : i + width] == letters_a[:, i - 1 : i], 0, sub)
-        for g, (o, e) in enumerate(dels):
-            best = np.minimum(open_rows[g], row + o) + e
-            open_rows[g] = np.concatenate([best[:, 1:], np.full((k, 1), FORBIDDEN)], axis=1)
-            t = np.minimum(t, open_rows[g])
-        t[:, i + d - below < 0] = FORBIDDEN
-        row = np.minimum(_gap_row(t, ins), FORBIDDEN)
-        ends = np.flatnonzero((la == i) & inside)
-        out[ends] = row[ends, last[ends]]
-    return out if bound is None else np.where(out <= bound, out, FORBIDDEN)
-
-
-#: Cells of a grid that is filled whole; larger ones are filled for a bound that doubles until the cost is within it.
-WHOLE_CELLS = 1 << 16
-
-
-def affine_align(a: bytes, b: bytes, model: CostModel, bound: int | None = None) -> tuple[int | None, list[tuple[str, int, int]]]:
-    """Cost and script of (op, layer, count); layer is -1 outside the layers. In a layer the ops are 'O' (open), 'I' or
-    'D', and 'C' (close). No alignment, or none within the bound: (None, []).
-
-    Walking back from a position: match or substitution, linear insertion, linear deletion, then closing a layer; in a
-    layer opening comes before extending. Only diagonals within reach are filled.
-    """
-    n, m = len(a), len(b)
-    tried = bound if bound is not None else None if n * m <= WHOLE_CELLS else 64
-    while True:
-        found = _affine_banded(a, b, model, *_band(model, tried, n, m))
-        if found[0] is not None and (tried is None or found[0] <= tried):
-            return found
-        if tried == bound or _band(model, tried, n, m) == (n, m):
-            return (None, []) if found[0] is None or bound is not None else found
-        tried *= 2
-
-
-def _affine_banded(a: bytes, b: bytes, model: CostModel, below: int, above: int) -> tuple[int | None, list[tuple[str, int, int]]]:
-    n, m, width = len(a), len(b), below + above + 1
-    if not 0 <= m - n + below < width:
-        return None, []
-    sub = FORBIDDEN if model.sub is None else model.sub
-    main = np.full((n + 1, width + 1), FORBIDDEN, np.int32)  # the last column stays out of reach
-    layers = [np.full((n + 1, width + 1), FORBIDDEN, np.int32) for _ in model.layers]
-    ins, d = model.gaps("ins"), np.arange(width)
-    y = np.full(below + m + above + 1 + n, -1, np.int16)
-    y[below + 1 : below + 1 + m] = np.frombuffer(b, np.uint8)
-    for i in range(n + 1):
-        t = np.full(width, FORBIDDEN, np.int64)
-        if i == 0:
-            t[below] = 0
-        else:
-            t = main[i - 1, :-1] + np.where(y[i : i + width] == a[i - 1], 0, sub).astype(np.int64)
-            if model.dele is not None:
-                t = np.minimum(t, main[i - 1, 1:] + model.dele)
-            for g, layer in enumerate(model.layers):
-                if layer.kind == "del":
-                    layers[g][i, :-1] = np.minimum(np.minimum(layers[g][i - 1, 1:], main[i - 1, 1:] + layer.open) + layer.extend, FORBIDDEN)
-                    t = np.minimum(t, layers[g][i, :-1])
-            t[i + d - below < 0] = FORBIDDEN
-        main[i, :-1] = np.minimum(_gap_row(t, ins), FORBIDDEN)
-        for g, layer in enumerate(model.layers):
-            if layer.kind == "ins":
-                best = np.minimum.accumulate(main[i, :-1].astype(np.int64) + layer.open - layer.extend * d)
-                layers[g][i, 1:-1] = np.minimum(best[:-1] + layer.extend * d[1:], FORBIDDEN)
-    cost = int(main[n, m - n + below])
-    if cost >= FORBIDDEN:
-        return None, []
-    script: list = []
-    i, j, at = n, m, -1
-    here_of = lambda grid, i, j: int(grid[i, j - i + below]) if 0 <= j - i + below < width else FORBIDDEN
-    while i or j or at >= 0:
-        if at >= 0:
-            layer = model.layers[at]
-            here = here_of(layers[at], i, j)
-            pi, pj = (i, j - 1) if layer.kind == "ins" else (i - 1, j)
-            pushed(script, ("I" if layer.kind == "ins" else "D", at))
-            if here_of(main, pi, pj) + layer.open + layer.extend == here:
-                pushed(script, ("O", at))
-                at = -1
-            i, j = pi, pj
-            continue
-        here = here_of(main, i, j)
-        if i and j and here_of(main, i - 1, j - 1) + (0 if a[i - 1] == b[j - 1] else sub) == here:
-            pushed(script, ("=" if a[i - 1] == b[j - 1] else "X", -1))
-            i, j = i - 1, j - 1
-        elif j and model.ins is not None and here_of(main, i, j - 1) + model.ins == here:
-            pushed(script, ("I", -1))
-            j -= 1
-        elif i and model.dele is not None and here_of(main, i - 1, j) + model.dele == here:
-            pushed(script, ("D", -1))
-            i -= 1
-        else:
-            at = next(g for g, x in enumerate(layers) if here_of(x, i, j) == here)
-            pushed(script, ("C", at))
-    return cost, [(op, layer, count) for (op, layer), count in reversed(script)]
+def align(a: bytes, b: bytes) -> tuple[int, Script]:
+    """aligns() of one pair."""
+    found = aligns([a], [b])
+    return int(found.cost[0]), found.script(0)
 
 
 # --- semi-global search ----------------------------------------------------------------------------------------------
@@ -477,55 +431,65 @@ def potential(n: np.ndarray, i: np.ndarray, k: int, r: int) -> np.ndarray:
     return r * np.maximum(0, n // k - -(-i // k))
 
 
-def promising(a: bytes, b: bytes, match: tuple[int, int, int, int, int], k: int, r: int, look_ahead: int, starts: dict[int, int]) -> bool:
-    """Whether a match (start_i, start_j, end_i, end_j, cost) is worth keeping: whether some path from its end comes to the
-    end of look_ahead seeds (its own is the first), or to the start of a match kept before (starts: by diagonal, the
-    nearest), while its cost and the potential left stay below the potential at the match's start.
-
-    Furthest-reaching points by diagonal, for one more edit at a time; outer diagonals that fall behind are dropped.
-    """
-    start_i, _, end_i, end_j, cost = match
-    n = len(a)
-    worth = lambda i: r * max(0, n // k - -(-i // k))
-    stop = min(start_i // k + look_ahead, n // k) * k
-    most, allowed = worth(start_i), worth(start_i) - worth(stop)
-
-    def extended(i: int, d: int) -> int:
-        while i < stop and 0 <= i - d < len(b) and a[i] == b[i - d]:
-            i += 1
-        return i
-
-    d = end_i - end_j
-    front = {d: extended(end_i, d)}
-    if front[d] >= stop or end_i <= starts.get(d, n + 1) <= front[d]:
-        return True
-    for g in range(cost + 1, allowed):
-        reach = {x: max(front.get(x, -1) + 1, front.get(x - 1, -2) + 1, front.get(x + 1, -1)) for x in range(min(front) - 1, max(front) + 2)}
-        reach = {x: min(i, n) for x, i in reach.items() if i >= 0 and i - x <= len(b)}
-        for side in (sorted(reach), sorted(reach, reverse=True)):
-            for x in side:
-                if x in reach and g + worth(reach[x]) < most:
-                    break
-                reach.pop(x, None)
-        if not reach:
-            return False
-        front = {x: extended(i, x) for x, i in reach.items()}
-        if any(i >= stop or reach[x] <= starts.get(x, n + 1) <= i for x, i in front.items()):
-            return True
-    return False
+#: Costs by diagonal of all matches that are looked ahead from together.
+AHEAD = 1 << 20
 
 
 def locally_pruned(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray], k: int, r: int, look_ahead: int) -> dict[str, np.ndarray]:
-    """Those of batch_matches() that are promising(), from the last start of each pair on."""
-    keep = np.ones(len(found["row"]), bool)
-    starts: dict[int, int] = {}
-    pair = -1
-    rows = np.stack([found[c] for c in ("row", "start_i", "start_j", "end_i", "end_j", "match_cost")], axis=1).tolist()
-    for x in reversed(range(len(rows))):
-        at, *match = rows[x]
-        if at != pair:
-            pair, starts = at, {}
-        keep[x] = promising(a[at], b[at], tuple(match), k, r, look_ahead, starts)
-        if keep[x]:
-            starts[match[0] - match[1]] = match[0]
+    """Those of batch_matches() that are worth keeping. A match's window are look_ahead seeds, its own the first. It is kept
+    if some path from its end comes to the window's end, or to the start of a match that is kept, for less than the
+    potential from the match's start up to there, the match's own cost included.
+
+    Which of these places a match can reach does not depend on what else is kept, so that is computed for all matches at
+    once; then being kept spreads from the matches that reach their window's end to those that reach one kept already.
+    """
+    row, start, end_j, cost = (found[c] for c in ("row", "start_i", "end_j", "match_cost"))
+    n = np.array([len(x) for x in a], np.int64)
+    place = (row * (int(n.max(initial=0)) // k + 1) + start // k) * (max(map(len, b), default=0) + 1)
+    starts, of_start = np.unique(place + found["start_j"], return_inverse=True)
+    keep = np.zeros(len(row), bool)
+    reaching, reached = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, AHEAD // (2 * r * look_ahead + 1))
+    base_a, base_b = (np.cumsum([0, *(len(x) for x in y[:-1])]) if y else np.zeros(0, np.int64) for y in (a, b))
+    text_a, text_b = (np.frombuffer(b"".join(y) + b"?", np.uint8) for y in (a, b))
+    size_b = np.array([len(x) for x in b], np.int64)
+    offset = np.arange(-r * look_ahead, r * look_ahead + 1)
+    for s in range(0, len(row), step):
+        own = np.arange(s, min(s + step, len(row)))
+        stop = np.minimum(start[own] // k + look_ahead, n[row[own]] // k) * k
+        paths = np.where(offset == 0, cost[own, None], np.where(offset > 0, cost[own, None] + offset, 1 << 20))
+        i = start[own] + k
+        while len(own):
+            j = end_j[own, None] + (i - start[own] - k)[:, None] + offset
+            paths[j > size_b[row[own], None]] = 1 << 20
+            if not (i[0] - start[own[0]]) % k:  # at a seed's start, all matches at once
+                worth = potential(n[row[own]], start[own], k, r) - potential(n[row[own]], i, k, r)
+                cheap = paths < worth[:, None]
+                last = i >= stop
+                keep[own[last]] = cheap[last].any(axis=1)
+                x, y = np.nonzero(cheap)
+                code = (row[own[x]] * (int(n.max()) // k + 1) + i[x] // k) * (int(size_b.max()) + 1) + j[x, y]
+                at = np.minimum(np.searchsorted(starts, code), len(starts) - 1)
+                hit = starts[at] == code
+                reaching.append(own[x[hit]])
+                reached.append(at[hit])
+                going = ~last & (paths.min(axis=1) < potential(n[row[own]], start[own], k, r) - potential(n[row[own]], stop, k, r))
+                own, i, stop, paths, j = own[going], i[going], stop[going], paths[going], j[going]
+            if not len(own):
+                break
+            letters = text_b[np.minimum(base_b[row[own], None] + np.maximum(j, 0), len(text_b) - 1)]
+            unlike = letters != text_a[base_a[row[own]] + i][:, None]
+            paths[:, :-1] = np.minimum(paths[:, :-1] + unlike[:, :-1], paths[:, 1:] + 1)
+            paths[:, -1] += unlike[:, -1]
+            paths[j + 1 > size_b[row[own], None]] = 1 << 20
+            paths = np.minimum.accumulate(paths - offset, axis=1) + offset
+            i = i + 1
+    reaching, reached = np.concatenate(reaching), np.concatenate(reached)
+    while True:
+        kept_start = np.zeros(len(starts), bool)
+        kept_start[of_start[keep]] = True
+        more = reaching[kept_start[reached]]
+        if keep[more].all():
+            break
+        keep[more] = True
     return {c: v[keep] for c, v in found.items()}

@@ -107,7 +107,7 @@ def _sized(pairs: DataFrame, k: int, r: int, look_ahead: int) -> DataFrame:
 def matches(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
     """Seeds found in b: (id, start_i, start_j, end_i, end_j, match_cost, seed_potential), each start and end once, with its
     least cost. r 1: unchanged; r 2: or one edit away. look_ahead: of so many seeds, for local pruning (0: none): a match
-    stays only if these, its own included, can be covered for less than their potential (kernels.promising).
+    stays only if these, its own included, can be covered for less than their potential (kernels.locally_pruned).
 
     Null sequences have none; letters other than A, C, G, T are an error.
     """

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from seqloom.functions import cost_model as C
 from seqloom.functions import kernels as K
+from seqloom.functions import wavefront as V
 
 MODELS = [
     C.lcs(),
@@ -74,8 +75,8 @@ def script_cost(a, b, m, script):
 @given(DNA, DNA, st.sampled_from(MODELS))
 def test_costs_and_scripts(a, b, m):
     cost = plain_cost(a, b, m)
-    assert K.costs([a], [b], m).tolist() == [cost]
-    found, script = K.affine_align(a, b, m)
+    assert V.distances([a], [b], m).tolist() == [cost]
+    found, script = V.affine_align(a, b, m)
     assert found == cost == script_cost(a, b, m, script)
     if m.is_unit:
         found, script = K.align(a, b)
@@ -151,78 +152,117 @@ def test_models():
             C.named(bad)
 
 
-@settings(max_examples=60, deadline=None)
+CUT_MODELS = (C.lcs(), C.affine(1, 2, 1), C.linear_affine(1, 3, 2, 1), C.double_affine(1, 4, 2, 10, 1), C.affine_asymmetric(1, 2, 2, 3, 1), C.CostModel("one side", 1, 1, None, (C.Layer("del", 2, 2),)), C.CostModel("none", 1, 1, None))
+
+
+@settings(max_examples=50, deadline=None)
 @given(st.text("ACGT", max_size=40).map(str.encode), st.text("ACGT", max_size=40).map(str.encode), st.integers(0, 60))
-def test_bands_and_cuts_change_nothing(a, b, bound):
-    for model in (C.lcs(), C.affine(1, 2, 1), C.linear_affine(1, 3, 2, 1), C.double_affine(1, 4, 2, 10, 1), C.affine_asymmetric(1, 2, 2, 3, 1)):
-        whole = int(K.costs([a], [b], model)[0])
-        banded = int(K.costs([a, b], [b, a], model, bound)[0])
-        assert banded == (whole if whole <= bound else C.FORBIDDEN)
-        cost, script = K.affine_align(a, b, model, bound)
-        assert cost == (whole if whole <= bound else None)
-        before, K.WHOLE_CELLS = K.WHOLE_CELLS, 0
+def test_bounds_and_cuts_change_no_cost(a, b, bound):
+    for model in CUT_MODELS:
+        whole = min(plain_cost(a, b, model), C.FORBIDDEN)
+        within = whole if whole <= bound else C.FORBIDDEN
+        assert V.distances([a, b, a], [b, a, b], model, bound).tolist()[::2] == [within, within]
+        for traced in (256, 6):
+            before, V.TRACED = V.TRACED, traced
+            try:
+                cost, script = V.affine_align(a, b, model)
+                assert (cost if cost is not None else C.FORBIDDEN) == whole and (cost is None or script_cost(a, b, model, script) == whole)
+                assert V.affine_align(a, b, model, bound)[0] == (whole if whole <= bound else None)
+            finally:
+                V.TRACED = before
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ACGT", max_size=140).map(str.encode), st.text("ACGT", max_size=140).map(str.encode)), max_size=6))
+def test_scripts_together_and_alone(pairs):
+    """Walking back over the whole grid, a match comes first, then I, D, X; at any size, alone or with others."""
+
+    def plain(a, b):
+        grid = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                grid[i][j] = min(grid[i - 1][j] + 1, grid[i][j - 1] + 1, grid[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        i, j, script = len(a), len(b), []
+        while i or j:
+            if i and j and a[i - 1] == b[j - 1]:
+                op, i, j = "=", i - 1, j - 1
+            elif j and grid[i][j] == grid[i][j - 1] + 1:
+                op, j = "I", j - 1
+            elif i and grid[i][j] == grid[i - 1][j] + 1:
+                op, i = "D", i - 1
+            else:
+                op, i, j = "X", i - 1, j - 1
+            K.pushed(script, op)
+        return grid[-1][-1], script[::-1]
+
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    expected = [plain(x, y) for x, y in pairs]
+    for most in (512, 70, -1):
+        before, K.TOGETHER = K.TOGETHER, most
         try:
-            assert K.affine_align(a, b, model)[0] == whole
+            found = K.aligns(a, b)
         finally:
-            K.WHOLE_CELLS = before
-    before, K.TRACED_CELLS = K.TRACED_CELLS, 20
-    try:
-        cost, script = K.align(a, b)
-    finally:
-        K.TRACED_CELLS = before
-    assert cost == K.distance(a, b) == sum(n for op, n in script if op != "=")
-    assert sum(n for op, n in script if op != "I") == len(a) and sum(n for op, n in script if op != "D") == len(b)
+            K.TOGETHER = before
+        assert [(int(found.cost[k]), found.script(k)) for k in range(len(pairs))] == expected
 
 
-def test_long_pairs():
-    """20,000 letters at 5 % with unit costs, 2,500 under an affine model."""
-    r = random.Random(1)
-    a = bytes(r.choice(b"ACGT") for _ in range(20_000))
+def _long_pair(n, e, r):
+    a = bytes(r.choice(b"ACGT") for _ in range(n))
     b = bytearray()
     for c in a:
         x = r.random()
-        b += b"" if x < 0.017 else bytes([c, r.choice(b"ACGT")]) if x < 0.034 else bytes([r.choice(b"ACGT") if x < 0.05 else c])
-    b = bytes(b)
+        b += b"" if x < e / 3 else bytes([c, r.choice(b"ACGT")]) if x < 2 * e / 3 else bytes([r.choice(b"ACGT") if x < e else c])
+    return a, bytes(b)
+
+
+def test_long_pairs():
+    """20,000 letters at 5 % with unit costs, and under affine models 20,000 at 5 % and 3,000 at 20 %, in bounded memory."""
+    import tracemalloc
+
+    r = random.Random(1)
+    a, b = _long_pair(20_000, 0.05, r)
     cost, script = K.align(a, b)
-    i = j = 0
-    for op, n in script:
-        assert op != "=" or a[i : i + n] == b[j : j + n]
-        i, j = i + (op != "I") * n, j + (op != "D") * n
-    assert (i, j) == (len(a), len(b)) and cost == K.distance(a, b) == sum(n for op, n in script if op != "=")
-    model = C.affine(1, 2, 1)
-    assert K.affine_align(a[:2500], b[:2500], model)[0] == int(K.costs([a[:2500]], [b[:2500]], model)[0])
+    assert cost == K.distance(a, b) == script_cost(a, b, C.unit(), [(o, -1, n) for o, n in script])
+    for model, (x, y) in ((C.affine(1, 2, 1), (a, b)), (C.double_affine(1, 4, 2, 10, 1), _long_pair(3000, 0.2, r))):
+        tracemalloc.start()
+        cost, script = V.affine_align(x, y, model)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+        tracemalloc.stop()
+        assert cost == int(V.distances([x], [y], model)[0]) == script_cost(x, y, model, script)
 
 
-def test_local_pruning_drops_only_what_leads_nowhere():
+def test_local_pruning_by_definition():
+    """Whole grids of costs, match by match from the last start on."""
     r = random.Random(4)
     k = 4
+    dropped = 0
     for trial in range(60):
         seeds = 1 + trial % 2
-        a = "".join(r.choice("ACGT") for _ in range(40)).encode()
-        b = bytes(r.choice(b"ACGT") if r.random() < 0.2 else c for c in a)[r.randrange(4) :]
-        found = K.batch_matches([a], [b], k, seeds)
+        a = "".join(r.choice("ACGT") for _ in range(r.randrange(0, 44))).encode()
+        b = bytes(r.choice(b"ACGT") if r.random() < 0.2 else c for c in a)[r.randrange(4) :] + b"ACGT"[: r.randrange(4)]
+        others = [(b"ACGTACGTTGCA", b"ACGTTGCAACGT"), (b"", b"ACG")]
+        found = K.batch_matches([others[0][0], a, others[1][0]], [others[0][1], b, others[1][1]], k, seeds)
         look = r.choice([1, 2, 4, 20])
-        kept = K.locally_pruned([a], [b], found, k, seeds, look)
-        rows = lambda x: set(zip(*(x[c].tolist() for c in ("start_i", "start_j", "end_i", "end_j", "match_cost")), strict=True))
-        starts = {(x[0], x[1]) for x in rows(found)}
-        assert rows(kept) <= rows(found)
+        kept = K.locally_pruned([others[0][0], a, others[1][0]], [others[0][1], b, others[1][1]], found, k, seeds, look)
+        rows = lambda x: sorted(zip(*(x[c][x["row"] == 1].tolist() for c in ("start_i", "start_j", "end_i", "end_j", "match_cost")), strict=True))
         p = lambda i: seeds * max(0, len(a) // k - -(-i // k))
-        for si, sj, ei, ej, c in rows(found):
+        expected = []
+        for si, sj, ei, ej, c in reversed(rows(found)):
             stop = min(si // k + look, len(a) // k) * k
-            best = {(ei, ej): c}
-            queue, leads = [(ei, ej)], False
-            while queue:
-                i, j = queue.pop()
-                g = best[i, j]
-                if i >= stop or ((i, j) in starts and (i, j) != (si, sj)):
-                    leads = True
-                    break
-                for x, y, w in ((i + 1, j + 1, 0 if i < len(a) and j < len(b) and a[i] == b[j] else 1), (i + 1, j, 1), (i, j + 1, 1)):
-                    if x <= len(a) and y <= len(b) and g + w < p(si) - p(stop) + (w == 0) and g + w < best.get((x, y), 99):
-                        best[x, y] = g + w
-                        queue.append((x, y))
-            if not leads:
-                assert (si, sj, ei, ej, c) not in rows(kept)
-        exact = K.batch_matches([a], [a], k, seeds)
-        whole = rows(K.locally_pruned([a], [a], exact, k, seeds, look))
-        assert {(x, x, x + k, x + k, 0) for x in range(0, len(a) - k + 1, k)} <= whole
+            cost = {(ei, ej): c}
+            for i in range(ei, stop + 1):
+                for j in range(ej, len(b) + 1):
+                    ways = [cost[x, y] + w for x, y, w in ((i - 1, j - 1, a[i - 1] != b[j - 1] if j else 1), (i - 1, j, 1), (i, j - 1, 1)) if (x, y) in cost]
+                    cost[i, j] = min(ways, default=cost.get((i, j)))
+            there = {(x[0], x[1]) for x in expected}
+            if any(g < p(si) - p(i) for (i, j), g in cost.items() if i == stop or (i, j) in there):
+                expected.append((si, sj, ei, ej, c))
+        assert rows(kept) == sorted(expected)
+        dropped += len(rows(found)) - len(expected)
+    assert dropped > 20
+    before, K.AHEAD = K.AHEAD, 40
+    try:
+        again = K.locally_pruned([a], [b], K.batch_matches([a], [b], k, seeds), k, seeds, look)
+    finally:
+        K.AHEAD = before
+    assert rows(again | {"row": again["row"] + 1}) == rows(kept)
