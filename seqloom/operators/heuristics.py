@@ -1,4 +1,5 @@
-"""Lower bounds of the distance from seeds, for whole pairs: each is at most the next, and at most the distance.
+"""Lower bounds of the distance from seeds, for whole pairs or from any place on: each is at most the next, and at most the
+distance.
 
 SH counts seeds without a match; CSH counts those outside the best chain of matches; GCSH charges chains for gaps too.
 They serve to drop pairs before exact scoring.
@@ -6,68 +7,107 @@ They serve to drop pairs before exact scoring.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import pairwise
-
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from seqloom.functions import expr, kernels
+from seqloom.functions.expr import ColumnOrName
 from seqloom.operators import seeds as S
 
 
-def _by_pair(pairs: DataFrame, k: int, r: int, look_ahead: int, h: Callable[[list[bytes], list[bytes], dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
-    """(id, h), null where a sequence is."""
-    of = lambda a, b, found: (np.arange(len(a)), [h(a, b, found)])
-    return S.in_batches(pairs, k, r, of, "h int", look_ahead, all_pairs=True)
+Places = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def sh(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
-    """(id, h): potential not regained by each seed's best match; pairs without seeds have 0."""
+def _sizes(texts: list[bytes]) -> np.ndarray:
+    return np.array([len(x) for x in texts], np.int64)
 
-    def h(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray]) -> np.ndarray:
-        row, _, cost = S.least_costs(a, found, k, r)
-        return np.bincount(row, weights=cost, minlength=len(a)).astype(np.int64)
 
-    return _by_pair(pairs, k, r, look_ahead, h)
+def _sh(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray], k: int, r: int, at: Places, whole: bool = False) -> np.ndarray:
+    """The seeds' least costs, summed from each place on."""
+    _, _, cost = S.least_costs(a, found, k, r)
+    count = _sizes(a) // k
+    last = np.cumsum(count)
+    sums, row = np.r_[0, np.cumsum(cost)], at[0]
+    return sums[last[row]] - sums[(last - count)[row] + np.minimum(-(-at[1] // k), count[row])]
 
 
-def _chains(n_pairs: int, row: np.ndarray, start: tuple[np.ndarray, np.ndarray], end: tuple[np.ndarray, np.ndarray], score: np.ndarray) -> np.ndarray:
-    """The best chain's score for each pair; rows come pair by pair."""
-    keep = np.flatnonzero(score > 0)
-    cuts = np.searchsorted(row[keep], np.arange(n_pairs + 1))
-    columns = [x[keep] for x in (*start, *end, score)]
-    return np.array([kernels.best_chain(*(x[s:e] for x in columns)) for s, e in pairwise(cuts.tolist())], np.int64)
+def _csh(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray], k: int, r: int, at: Places, whole: bool = False) -> np.ndarray:
+    row, score = found["row"], r - found["match_cost"]
+    some = score > 0
+    start, end = (tuple(found[f"{x}_{c}"][some] for c in "ij") for x in ("start", "end"))
+    best = kernels.chains(len(a), row[some], start, end, score[some], at[0], at[1:])
+    return kernels.potential(_sizes(a)[at[0]], at[1], k, r) - best
 
 
-def csh(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
-    """(id, h): potential less the best chain of matches that follow each other in both sequences."""
+def _gcsh(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray], k: int, r: int, at: Places, whole: bool = False) -> np.ndarray:
+    n, m = _sizes(a), _sizes(b)
+
+    def moved(row: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = kernels.potential(n[row], i, k, r)
+        return i - j - p, j - i - p
+
+    row, score = found["row"], r - found["match_cost"]
+    (si, sj), (ei, ej) = (moved(row, found[f"{x}_i"], found[f"{x}_j"]) for x in ("start", "end"))
+    gap = (n - m)[row]
+    some = (score > 0) & (si <= gap) & (sj <= -gap) & (ei <= gap) & (ej <= -gap)
+    # Of a whole pair all chains count; from a place, those that start where its gaps cost less than is left.
+    places = (np.full(len(a), -(1 << 40)),) * 2 if whole else moved(*at)
+    best = kernels.chains(len(a), row[some], (si[some], sj[some]), (ei[some], ej[some]), score[some], at[0], places)
+    p = kernels.potential(n[at[0]], at[1], k, r)
+    left = abs((n[at[0]] - at[1]) - (m[at[0]] - at[2]))
+    return np.where(best == 0, np.maximum(left, p), p - best)
+
+
+_OF = {"sh": _sh, "csh": _csh, "gcsh": _gcsh}
+
+
+def at_places(pairs: DataFrame, at: Column, kind: str = "gcsh", k: int = 15, r: int = 2, look_ahead: int = 0) -> DataFrame:
+    """(id, i, j, h): the bound of the distance from each place (i, j) of `at`, an ARRAY<STRUCT<i, j>> over pairs, to the
+    pair's end. Nothing is shuffled: a pair's matches, chains and places are in one row. No places, or a null side: no
+    rows; places beyond a pair's ends are an error."""
+
+    def of(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray], places: pa.Array) -> tuple[np.ndarray, list]:
+        row = pc.list_parent_indices(places).to_numpy()
+        i, j = (pc.struct_field(places.flatten(), c).to_numpy().astype(np.int64) for c in "ij")
+        if ((i < 0) | (i > _sizes(a)[row]) | (j < 0) | (j > _sizes(b)[row])).any():
+            raise ValueError("a place lies beyond its pair's ends")
+        return row, [i, j, _OF[kind](a, b, found, k, r, (row, i, j))]
 
-    def h(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray]) -> np.ndarray:
-        best = _chains(len(a), found["row"], (found["start_i"], found["start_j"]), (found["end_i"], found["end_j"]), r - found["match_cost"])
-        return r * np.array([len(x) // k for x in a], np.int64) - best
+    return S.in_batches(pairs, k, r, of, "i int, j int, h int", look_ahead, more=at)
 
-    return _by_pair(pairs, k, r, look_ahead, h)
+
+def column(kind: str, a: ColumnOrName, b: ColumnOrName, k: int, r: int = 1, look_ahead: int = 0) -> Column:
+    """The bound for whole pairs as a column; null where a side is."""
+
+    @arrow_udf("int")
+    def h(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = np.zeros(len(x), np.int64)
+        none = np.ones(len(x), bool)
+        for known, p, q, found in S.matched(x, y, k, r, look_ahead):
+            out[known] = _OF[kind](p, q, found, k, r, (np.arange(len(p)), *np.zeros((2, len(p)), np.int64)), whole=True)
+            none[known] = False
+        return pa.array(out, pa.int32(), mask=none)
+
+    return h(*(expr.col(c).cast("binary") for c in (a, b)))
+
+
+def sh(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
+    """(id, h): potential not regained by each seed's best match; pairs without seeds have 0, null sides null."""
+    return pairs.select("id", column("sh", "a", "b", k, r, look_ahead).alias("h"))
+
+
+def csh(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
+    """(id, h): potential less the best chain of matches that follow each other in both sequences."""
+    return pairs.select("id", column("csh", "a", "b", k, r, look_ahead).alias("h"))
 
 
 def gcsh(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
     """(id, h): as csh, with chains in the gap-cost domain; without a match at least the difference of lengths."""
-
-    def h(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray]) -> np.ndarray:
-        n, m = (np.array([len(x) for x in y], np.int64) for y in (a, b))
-        row, points = found["row"], []
-        for i, j in ((found["start_i"], found["start_j"]), (found["end_i"], found["end_j"])):
-            p = kernels.potential(n[row], i, k, r)
-            points.append((i - j - p, j - i - p))
-        (si, sj), (ei, ej) = points
-        gap = (n - m)[row]
-        near = (si <= gap) & (sj <= -gap) & (ei <= gap) & (ej <= -gap)
-        best = _chains(len(a), row[near], (si[near], sj[near]), (ei[near], ej[near]), (r - found["match_cost"])[near])
-        p = kernels.potential(n, np.zeros_like(n), k, r)
-        return np.where(best == 0, np.maximum(abs(n - m), p), p - best)
-
-    return _by_pair(pairs, k, r, look_ahead, h)
+    return pairs.select("id", column("gcsh", "a", "b", k, r, look_ahead).alias("h"))
 
 
 KINDS = {"sh": sh, "csh": csh, "gcsh": gcsh}

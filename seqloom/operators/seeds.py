@@ -53,41 +53,47 @@ def mutations(q: Column, k: int) -> Column:
     return F.concat(marked("del", dels), marked("sub", F.array_remove(subs, q)), marked("ins", inss))
 
 
-def in_batches(pairs: DataFrame, k: int, r: int, of: Callable[[list[bytes], list[bytes], dict[str, np.ndarray]], tuple[np.ndarray, list]], columns: str, look_ahead: int = 0, all_pairs: bool = False) -> DataFrame:
-    """pairs (id, a, b) to id and columns. A pair's seeds and windows are both in its own row, so they are matched there,
-    batch by batch, and no row is moved. of() gets a batch's sequences and matches, and gives rows' places in the batch
-    and their columns. Pairs with a null side have no rows, or (all_pairs) one of nulls.
-    """
+def _checked(k: int, r: int) -> None:
     if r not in (1, 2):
         raise ValueError("r is 1 (exact matches) or 2 (one edit)")
     if not 1 <= k <= 30:
         raise ValueError("k is from 1 to 30")
-    kinds = [c.split()[1] for c in columns.split(", ")]
-    types = [{"int": pa.int32(), "string": pa.string()}[c] for c in kinds]
-    names = ["id", *(c.split()[0] for c in columns.split(", "))]
+
+
+def matched(a: pa.Array, b: pa.Array, k: int, r: int, look_ahead: int = 0) -> Iterator[tuple[np.ndarray, list[bytes], list[bytes], dict[str, np.ndarray]]]:
+    """Pairs of an Arrow batch, so many at a time: their places, sequences and matches. Pairs with a null side are left out."""
+    _checked(k, r)
+    letters = np.cumsum([sum(map(len, filter(None, xy))) for xy in zip(a.to_pylist(), b.to_pylist(), strict=True)])
+    cuts = np.unique(np.searchsorted(letters, np.arange(0, int(letters[-1]) if len(letters) else 0, LETTERS)).tolist() + [0, len(a)])
+    for s, e in pairwise(cuts.tolist()):
+        x, y = a.slice(s, e - s).to_pylist(), b.slice(s, e - s).to_pylist()
+        known = [z for z, (p, q) in enumerate(zip(x, y, strict=True)) if p is not None and q is not None]
+        x, y = [x[z] for z in known], [y[z] for z in known]
+        found = kernels.batch_matches(x, y, k, r)
+        if look_ahead:
+            found = kernels.locally_pruned(x, y, found, k, r, look_ahead)
+        yield np.array(known, np.int64) + s, x, y, found
+
+
+def in_batches(pairs: DataFrame, k: int, r: int, of: Callable[..., tuple[np.ndarray, list]], columns: str, look_ahead: int = 0, more: Column | None = None) -> DataFrame:
+    """pairs (id, a, b) to id and columns. A pair's seeds and windows are both in its own row, so they are matched there,
+    batch by batch, and no row is moved. of() gets a batch's sequences and matches (and `more`, if given), and gives rows'
+    places in the batch and their columns. Pairs with a null side have no rows.
+    """
+    _checked(k, r)
+    types = [{"int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in columns.split(", ")]
+    names, with_more = ["id", *(c.split()[0] for c in columns.split(", "))], more is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letters = np.cumsum([len(x or b"") + len(y or b"") for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
-            cuts = np.unique(np.searchsorted(letters, np.arange(0, int(letters[-1]) if len(letters) else 0, LETTERS)).tolist() + [0, batch.num_rows])
-            for s, e in pairwise(cuts.tolist()):
-                part = batch.slice(s, e - s)
-                a, b = part.column(1).to_pylist(), part.column(2).to_pylist()
-                known = [x for x, (p, q) in enumerate(zip(a, b, strict=True)) if p is not None and q is not None]
-                a, b = [a[x] for x in known], [b[x] for x in known]
-                found = kernels.batch_matches(a, b, k, r)
-                if look_ahead:
-                    found = kernels.locally_pruned(a, b, found, k, r, look_ahead)
-                row, values = of(a, b, found)
-                at = np.array(known, np.int64)[row] if len(row) else np.zeros(0, np.int64)
-                values = [pa.array(v, t) for v, t in zip(values, types, strict=True)]
-                if all_pairs and len(known) < part.num_rows:
-                    none = np.setdiff1d(np.arange(part.num_rows), known)
-                    at, values = np.r_[at, none], [pa.concat_arrays([v, pa.nulls(len(none), v.type)]) for v in values]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *values], names=names)
+            for known, a, b, found in matched(batch.column(1), batch.column(2), k, r, look_ahead):
+                extra = [batch.column(3).take(pa.array(known))] if with_more else []
+                row, values = of(a, b, found, *extra)
+                at = known[row] if len(row) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(v, t) for v, t in zip(values, types, strict=True))], names=names)
 
     kind = pairs.schema["id"].dataType.simpleString()
-    own = pairs.select("id", F.col("a").cast("binary").alias("a"), F.col("b").cast("binary").alias("b"))
+    own = pairs.select("id", F.col("a").cast("binary").alias("a"), F.col("b").cast("binary").alias("b"), *([more.alias("more")] if more is not None else []))
     return own.mapInArrow(run, f"id {kind}, {columns}")
 
 

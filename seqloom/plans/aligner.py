@@ -32,42 +32,52 @@ class Aligner:
     doubling: int = 0
 
     def costs(self, pairs: DataFrame) -> DataFrame:
-        """pairs (id, a, b) with cost. With lower bounds, pairs beyond the bound never reach the cost."""
+        """pairs (id, a, b) with cost. With lower bounds, pairs beyond the bound never reach the cost. All are columns of the
+        pair's own row, so ids may be null or repeat."""
         if self.doubling and self.bound is None and self.model.is_unit:
             return pairs.withColumn("cost", self._doubled())
-        kept = self._near(pairs)
-        scored = kept.withColumn("cost", A.alignment_cost("a", "b", self.model, self.bound))
-        if kept is pairs:
-            return scored
-        return pairs.join(scored.select("id", "cost"), "id", "left")
+        near = self._near()
+        if near is None:
+            return pairs.withColumn("cost", A.alignment_cost("a", "b", self.model, self.bound))
+        return pairs.withColumn("cost", A.alignment_cost(F.when(near, F.col("a")), "b", self.model, self.bound))
+
+    def _lower(self, a: Column, names: tuple[str, ...]) -> Column:
+        """The largest of these lower bounds, of a (which may be null) and b."""
+        cheap = {"zero": expr.zero_bound, "gap": expr.gap_bound, "count": expr.count_bound, "pair_count": expr.pair_count_bound}
+        found = [cheap[x](a, "b") if x in cheap else heuristics.column(x, a, "b", self.k, self.r, self.look_ahead) for x in names]
+        return F.greatest(*found) if len(found) > 1 else found[0]
 
     def _doubled(self) -> Column:
-        """The distance by bounds that grow until one holds, so that near pairs are told from few diagonals. The first is
-        from the difference of lengths; the last has no bound."""
-        first = expr.gap_bound("a", "b")
-        tries = [F.when(first <= most, expr.bounded_distance("a", "b", most)) for most in (4 * self.doubling**t for t in range(6))]
-        return F.coalesce(*tries, expr.distance("a", "b"))
+        """The distance by bounds that grow until one holds, so that near pairs are told from few diagonals. Those below the
+        lower bounds are passed over; the last has no bound."""
+        first = self._lower(F.col("a"), tuple(dict.fromkeys(("gap", *self.bounds))))
+
+        def tried(h: Column) -> Column:
+            tries = [F.when(h <= most, expr.bounded_distance("a", "b", most)) for most in (4 * self.doubling**t for t in range(6))]
+            return F.coalesce(*tries, expr.distance("a", "b"))
 
-    def _near(self, pairs: DataFrame) -> DataFrame:
+        return expr.let(first, tried)
+
+    def _near(self) -> Column | None:
+        """Whether all lower bounds are within the bound: expressions first; those from seeds see the pairs that are left."""
         if self.bound is None or not self.bounds:
-            return pairs
+            return None
         if not self.model.is_unit:
             raise ValueError("lower bounds hold for unit costs only")
-        cheap = {"zero": expr.zero_bound, "gap": expr.gap_bound, "count": expr.count_bound, "pair_count": expr.pair_count_bound}
-        for name in sorted(self.bounds, key=lambda n: n not in cheap):  # expressions first, joins after
-            if name in cheap:
-                pairs = pairs.where(cheap[name]("a", "b") <= self.bound)
-            else:
-                h = heuristics.bound(pairs, name, self.k, self.r, self.look_ahead).where(F.col("h") <= self.bound)
-                pairs = pairs.join(h.select("id"), "id", "left_semi")
-        return pairs
+        seeded = tuple(x for x in self.bounds if x in _OF_SEEDS)
+        cheap = tuple(x for x in self.bounds if x not in _OF_SEEDS)
+        near = self._lower(F.col("a"), cheap) <= self.bound if cheap else F.col("a").isNotNull()
+        return self._lower(F.when(near, F.col("a")), seeded) <= self.bound if seeded else near
 
     def align(self, pairs: DataFrame) -> DataFrame:
-        """pairs (id, a, b) with cost and cigar (an array of runs)."""
+        """pairs (id, a, b) with cost and cigar (an array of runs). Pairs that lower bounds tell to be beyond the bound aren't
+        aligned."""
+        near = self._near()
+        a = F.col("a") if near is None else F.when(near, F.col("a"))
         if self.model.is_unit:
-            found = A.align("a", "b") if self.bound is None else A.bounded_align("a", "b", self.bound)
+            found = A.align(a, "b") if self.bound is None else A.bounded_align(a, "b", self.bound)
             return pairs.withColumn("_r", found).select(*pairs.columns, "_r.cost", "_r.cigar")
-        found = pairs.withColumn("_r", A.affine_align("a", "b", self.model, self.bound)).select(*pairs.columns, "_r.cost", F.col("_r.cigar").alias("affine_cigar"))
+        found = pairs.withColumn("_r", A.affine_align(a, "b", self.model, self.bound)).select(*pairs.columns, "_r.cost", F.col("_r.cigar").alias("affine_cigar"))
         return found.withColumn("cigar", F.when(F.col("cost").isNotNull(), cigar.to_base("affine_cigar")))
 
     def align_with_statistics(self, pairs: DataFrame) -> DataFrame:
@@ -76,6 +86,7 @@ class Aligner:
         return self.align(pairs).withColumn("stats", reports.statistics("a", "b", "cost", "cigar"))
 
 
+_OF_SEEDS = ("sh", "csh", "gcsh")
 STRATEGIES = {"plain": (), "banded": ("gap", "count"), "seeded": ("gap", "count", "sh"), "chained": ("gap", "count", "gcsh")}
 #: Parameter sets by name. bounds, k and r steer which pairs are dropped before they are scored; look_ahead
 #: (seeds) the local pruning of matches; doubling the growth of a bound from the first lower bound on (0: none).

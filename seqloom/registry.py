@@ -356,6 +356,58 @@ def gcsh_h0(p: DataFrame) -> DataFrame:
     return H.gcsh(p, K)
 
 
+# Places from which the bounds are asked for, as far as they lie within the pair; each pair's ends are one.
+_PLACES = ((0, 0), (1, 0), (3, 5), (8, 8), (9, 12), (16, 15), (24, 20), (40, 41))
+_AT_SQL = f"pl AS (SELECT id, n, o, x.i AS i, x.j AS j FROM (SELECT id, length(a) AS n, length(b) AS o, unnest(list_append([{', '.join(f'{{{chr(39)}i{chr(39)}: {i}::BIGINT, {chr(39)}j{chr(39)}: {j}::BIGINT}}' for i, j in _PLACES)}], {{'i': length(a), 'j': length(b)}})) AS x FROM p) WHERE x.i <= n AND x.j <= o)"
+
+
+def _places(p: DataFrame) -> Column:
+    own = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _PLACES]
+    ends = F.struct(F.length("a").alias("i"), F.length("b").alias("j"))
+    return F.filter(F.array(*own, ends), lambda x: (x["i"] <= F.length("a")) & (x["j"] <= F.length("b")))
+
+
+def _from_sql(best: str, at: str, i: str, j: str) -> str:
+    """Chains from each place on: v, null where there is none."""
+    return f"z AS (SELECT id, arg_max(st, k) AS st FROM g GROUP BY id), w AS (SELECT pl.id, pl.i, pl.j, pl.n, pl.o, ({at}) AS p, list_max([x.v FOR x IN z.st IF x.i >= {i} AND x.j >= {j}]) AS v FROM pl LEFT JOIN z USING (id)) SELECT id, i::INT AS i, j::INT AS j, ({best})::INT AS h FROM w"
+
+
+_P_AT = f"greatest(n // {K} - (i + {K} - 1) // {K}, 0)"
+
+
+@query("sh_at", f"WITH {_SEEDS}, {_KMERS}, f AS (SELECT DISTINCT id, q FROM k), {_AT_SQL} SELECT pl.id, pl.i::INT AS i, pl.j::INT AS j, (SELECT count(*) FROM s LEFT JOIN f ON s.id = f.id AND s.q = f.q WHERE s.id = pl.id AND s.start >= pl.i AND f.q IS NULL)::INT AS h FROM pl")
+def sh_at(p: DataFrame) -> DataFrame:
+    return H.at_places(p, _places(p), "sh", K, 1)
+
+
+@query("csh_at", f"WITH RECURSIVE {_SEEDS}, {_KMERS}, {_MATCHES}, {_chain_sql('m', ('start_i', 'start_j'), ('end_i', 'end_j'))}, {_AT_SQL}, {_from_sql('p - coalesce(v, 0)', _P_AT, 'pl.i', 'pl.j')}")
+def csh_at(p: DataFrame) -> DataFrame:
+    return H.at_places(p, _places(p), "csh", K, 1)
+
+
+@query(
+    "gcsh_at",
+    f"WITH RECURSIVE {_SEEDS}, {_KMERS}, {_MATCHES}, {_T}, f AS (SELECT * FROM t WHERE start_ti <= n - o AND start_tj <= o - n AND end_ti <= n - o AND end_tj <= o - n), {_chain_sql('f', ('start_ti', 'start_tj'), ('end_ti', 'end_tj'))}, {_AT_SQL}, {_from_sql('CASE WHEN v IS NULL THEN greatest(abs((n - i) - (o - j)), p) ELSE p - v END', _P_AT, f'pl.i - pl.j - {_P_AT}', f'pl.j - pl.i - {_P_AT}')}",
+)
+def gcsh_at(p: DataFrame) -> DataFrame:
+    return H.at_places(p, _places(p), "gcsh", K, 1)
+
+
+_LONG_PART = "translate(md5(concat('{t}:', cast(s_suppkey as string))), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+
+
+@query("long_affine_align", with_pairs=False)
+def long_affine_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of 5,000 letters, of every supplier: cost, cost of the script's own parts, and what it consumes. SQL over whole
+    grids would take hours; tests compare with a row by row grid."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("bigint").alias("id"), "s_suppkey")
+    p = suppliers.select("id", F.expr(f"substring(concat({', '.join(_LONG_PART.format(t=t) for t in range(157))}), 1, 5000)").alias("a"))
+    p = p.repartition(8).withColumn("b", F.expr("CASE id % 3 WHEN 0 THEN replace(replace(a, 'ACGA', 'AGA'), 'TTCT', 'TTGGCT') WHEN 1 THEN replace(replace(a, 'CGG', 'CAG'), 'GATT', '') ELSE concat(substring(a, 1, 900), repeat('ACGTTTGACA', 30), substring(a, 1400)) END"))
+    s = p.select("id", A.affine_align("a", "b", cost_model.affine(1, 2, 1)).alias("r")).select("id", "r.cost", F.col("r.cigar").alias("s"))
+    count = lambda ops: F.aggregate(F.filter("s", lambda e: e["op"].isin(*ops)), F.lit(0), lambda x, e: x + e["cnt"])
+    return s.select("id", "cost", (count("X") + 2 * count("O") + count("ID")).alias("script_cost"), count("=XD").alias("used_a"), count("=XI").alias("used_b"))
+
+
 _SH_SQL = "f0 AS (SELECT DISTINCT id, q FROM k), sh AS (SELECT p.id, (count(s.q) - count(f0.q))::INT AS sh FROM p LEFT JOIN s ON p.id = s.id LEFT JOIN f0 ON s.id = f0.id AND s.q = f0.q GROUP BY p.id)"
 
 

@@ -132,14 +132,19 @@ def test_search_trace_has_the_cost(pattern, text):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(*[st.integers(0, 8)] * 2, *[st.integers(1, 3)] * 2, st.integers(0, 3)), max_size=10))
-def test_best_chain(matches):
-    def best(k):
-        si, sj, di, dj, w = matches[k]
-        return w + max([0, *(best(q) for q, x in enumerate(matches) if x[0] >= si + di and x[1] >= sj + dj)])
-
-    x = np.array(matches, np.int64).reshape(-1, 5)
-    assert K.best_chain(x[:, 0], x[:, 1], x[:, 0] + x[:, 2], x[:, 1] + x[:, 3], x[:, 4]) == max([0, *map(best, range(len(matches)))])
+@given(st.lists(st.tuples(*[st.integers(0, 8)] * 2, *[st.integers(1, 3)] * 2, st.integers(1, 3), st.integers(0, 2)), max_size=14), st.lists(st.tuples(st.integers(0, 2), *[st.integers(0, 12)] * 2), max_size=6))
+def test_chains_from_places(matches, places):
+    def best(pair, i, j):
+        return max([0, *(w + best(pair, si + di, sj + dj) for si, sj, di, dj, w, x in matches if x == pair and si >= i and sj >= j)])
+
+    x, at = np.array(matches, np.int64).reshape(-1, 6), np.array(places, np.int64).reshape(-1, 3)
+    for layers in (1 << 21, 4):
+        before, K.LAYERS = K.LAYERS, layers
+        try:
+            got = K.chains(3, x[:, 5], (x[:, 0], x[:, 1]), (x[:, 0] + x[:, 2], x[:, 1] + x[:, 3]), x[:, 4], at[:, 0], (at[:, 1], at[:, 2]))
+        finally:
+            K.LAYERS = before
+        assert got.tolist() == [best(*p) for p in places]
 
 
 def test_models():

@@ -13,13 +13,19 @@ def test_query_equals_its_sql(spark, name):
 
 def test_query_without_sql(spark):
     """Which matches local pruning keeps is tested by brute force in test_kernels.py; here: that the query keeps some."""
-    assert registry.queries().keys() - registry.oracle_sql().keys() == {"matches_locally_pruned"}
+    assert registry.queries().keys() - registry.oracle_sql().keys() == {"matches_locally_pruned", "long_affine_align"}
     place = ["id", "start_i", "start_j", "end_i", "end_j"]
     kept = registry.queries()["matches_locally_pruned"](spark, SF).select(place)
     every = registry.queries()["matches_exact"](spark, SF).select(place)
     assert kept.exceptAll(every).count() == 0 < kept.count() < every.count()
 
 
+def test_long_scripts_without_sql(spark):
+    """Costs of all pairs are their scripts' own; of one, that of a grid filled row by row."""
+    rows = registry.queries()["long_affine_align"](spark, SF).collect()
+    assert len(rows) == 10 and all(r.cost == r.script_cost > 0 and r.used_a == 5000 for r in rows)
+
+
 def test_entry(spark):
     import __spark_entry__
 
