@@ -29,7 +29,19 @@ SPELLINGS = (
     ("http://", "https://"),
     ("v.2.0", "version 2.0"),
 )
-COPYRIGHT = r"(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*$"
+#: Lines that state a copyright: the word with a year, a sign and a name, or a place for these, or a sign and one word alone. Other lines that begin with
+#: the word may be a licence's own, wrapped there.
+COPYRIGHT = r"(?m)^[ \t#*/;-]*(?:copyright[ \t:]*(?:(?:\(c\)|©)[ \t]*[^_\s]|[0-9]{4}|<|\[|\{)|\(c\)[ \t]*(?:copyright|[0-9]{4}|<|\[|\{)|©)[^\n]*$|^[ \t#*/;-]*\(c\)[ \t]+[^\s_.]+[ \t]*$"
+_GAP = r"[\s#*/;-]+"
+#: Notices in the known texts themselves, which wrapping may move into lines of other words.
+_NOTICES = (
+    r"copyright \(c\) [0-9]{4}(?:,?[\s#*/;-]*[0-9]{4})* free software foundation,? inc\.?,?",
+    r"copyright \(c\) (?:<year>|19yy|19xx|year) <?name of author>?",
+    r"copyright \(c\) year your name\.",
+    r"copyright \(c\) the regents of the university of california\. all rights reserved\.",
+    r"copyright \[yyyy\] \[name of copyright owner\]",
+)
+OWN_NOTICES = "|".join(_NOTICES).replace(" ", _GAP)
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -88,7 +100,7 @@ KNOWN = (
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, "")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), OWN_NOTICES, " "), COPYRIGHT, "")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
@@ -132,7 +144,7 @@ def _quoted(text: str) -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(lower({text}), {_quoted(COPYRIGHT)}, '', 'g')"
+    out = f"regexp_replace(regexp_replace(lower({text}), {_quoted(OWN_NOTICES)}, ' ', 'g'), {_quoted(COPYRIGHT)}, '', 'g')"
     for a, b in SPELLINGS:
         out = f"replace({out}, {_quoted(a)}, {_quoted(b)})"
     return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"

@@ -293,3 +293,20 @@ def test_decontamination_query_equals_brute_force(spark):
                 expected.add((d, k, *o))
     got = D.op4(spark, SF).collect()
     assert {(r.doc_id, r.item_id, r.n_words, r.n_matches, r.start_word) for r in got} == expected and len(got) == len(expected) > 2
+
+
+def test_every_known_licence_is_found_at_every_width(spark):
+    """Paragraphs wrapped anew, with and without comment marks, and a copyright line of one's own before them."""
+    import re
+    import textwrap
+
+    rows = []
+    for licence, text in L.KNOWN:
+        parts = re.split(r"\n[ \t]*\n", text)
+        for width in range(30, 121, 5 if len(text) < 5000 else 30):
+            for mark in ("", " * ", "# "):
+                lines = ["\n".join(mark + x for x in textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)) for p in parts]
+                rows.append((len(rows), licence, f"{mark}Copyright (c) 2019 Some Body\n{mark}\n" + f"\n{mark.rstrip()}\n".join(lines)))
+    df = spark.createDataFrame([(k, t) for k, _, t in rows], "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r.licence for r in L.licence_scan(df, L.known_digests(spark)).collect()}
+    assert [(k, x) for k, x, _ in rows if found[k] != x] == []
