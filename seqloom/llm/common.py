@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.expr import let
 from seqloom.sources.scratch import shared_dir
 
-__all__ = ["Remembered", "forget", "free_name", "least_hashed", "let", "rows_of", "saved", "shared_dir", "table", "words_of"]
+__all__ = ["Remembered", "forget", "free_name", "least_hashed", "let", "rows_of", "saved", "shared_dir", "table", "without", "words_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(docs: DataFrame, dropped: DataFrame, how: str = "left_anti") -> DataFrame:
+    """docs without (or with, left_semi) the rows whose doc_id and hash of text are in dropped (id, key); null ids are equal.
+    docs keeps its columns, whatever their names."""
+    mark, own = free_name(docs, "_mark"), free_name(docs, "_own")
+    keyed = docs.select("*", F.xxhash64("text").alias(mark))
+    found = dropped.select(F.col("id").alias(own), F.col("key").alias("_" + mark)).distinct()
+    return keyed.join(found, keyed["doc_id"].eqNullSafe(found[own]) & (keyed[mark] == found["_" + mark]), how).drop(mark)
+
+
 def least_hashed(rows: DataFrame, n: int, *key: str) -> DataFrame:
     """The n rows with the least hash of their key columns (all rows, if fewer): a sample of bounded size that doesn't
     depend on how the rows lie. Rows whose hash is too large to be among them are dropped first, so that few reach the

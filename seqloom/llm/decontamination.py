@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Remembered, rows_of, saved, table, words_of
+from seqloom.llm.common import Remembered, rows_of, saved, table, without, words_of
 
 STRETCH, SIMILARITY = 13, 0.8
 #: Picked (1) and ignored (0) words, by the least number of words of the items that they are for. Each family leaves no
@@ -267,8 +267,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap, decided for each text of a doc_id."""
+    """Documents without an overlap, decided for each text of a doc_id: null ids are ids like others, null texts have none,
+    rows that repeat id and text have one verdict, an empty table or benchmark drops nothing, and other columns, whatever
+    their names, are kept."""
     ids = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc_id"), "text")
-    found = contaminated(ids, table(spark, sf_dir, "benchmark")).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    return keyed.join(found, keyed.doc_id.eqNullSafe(found._id) & (keyed._text == found._key), "left_anti").drop("_text")
+    return without(docs, contaminated(ids, table(spark, sf_dir, "benchmark")).select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.key").alias("key")))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import Remembered, least_hashed, rows_of, saved, table, words_of
+from seqloom.llm.common import Remembered, least_hashed, rows_of, saved, table, without, words_of
 
 BUCKETS = 1 << 18
 #: Bounds of what is fitted on: labelled rows for stems, stems, rows of each class for a scorer.
@@ -459,9 +459,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts, decided for each text of a doc_id."""
+    """Documents that the classifier accepts, decided for each text of a doc_id: null ids are ids like others, null texts are
+    judged as empty ones, rows that repeat id and text have one verdict, an empty table stays empty, and other columns,
+    whatever their names, are kept."""
     ids = docs.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("doc_id"), "text")
     verdict = judged(docs, table(spark, sf_dir, "labels"), ids)
-    rejected = verdict.where(~F.col("accepted")).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    return keyed.join(rejected, keyed.doc_id.eqNullSafe(rejected._id) & (keyed._text == rejected._key), "left_anti").drop("_text")
+    return without(docs, verdict.where(~F.col("accepted")).select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.key").alias("key")))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import forget, least_hashed, rows_of, saved, table
+from seqloom.llm.common import forget, free_name, least_hashed, rows_of, saved, table, without
 from seqloom.llm.components import components
 
 BITS = 64
@@ -219,6 +219,8 @@ WORDS, SIMILAR = 5, (4, 5)
 WIDE, TIGHT = 25, 6
 #: Documents in which shingles are counted, and the count from which on one is common; at most so many are common.
 COUNTED, COMMON, COMMON_MOST = 20_000, 20, 200_000
+#: Pairs that a task holds before it hands them on.
+MOST_PAIRS = 100_000
 #: Bytes of rows of rare shingles for each partition: their number grows with the input.
 PART_BYTES = 16 << 20
 
@@ -363,10 +365,12 @@ def _runs(nodes: DataFrame, parts: int, of_run: Callable[[np.ndarray], Iterator[
             for k in np.flatnonzero(size > 2).tolist():
                 own = rows[new[k] : new[k] + size[k]]
                 for x, y in of_run(own):
-                    seen.update(zip(own["node"][x].tolist(), own["node"][y].tolist(), strict=True))
-                if len(seen) > 100_000:
-                    yield pairs(seen)
-                    seen = set()
+                    for at in range(0, len(x), MOST_PAIRS):
+                        part = slice(at, at + MOST_PAIRS)
+                        seen.update(zip(own["node"][x[part]].tolist(), own["node"][y[part]].tolist(), strict=True))
+                        if len(seen) > MOST_PAIRS:
+                            yield pairs(seen)
+                            seen = set()
             if seen:
                 yield pairs(seen)
 
@@ -472,14 +476,16 @@ def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     if all are null) one of a text. Other rows with its doc_id have roots of their own."""
     rows = rows.groupBy("root", "doc_id", "key").count()
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "count")).alias("first"))
-    kept = saved(first.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"), F.col("first.count").alias("_rows")))
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    out = keyed.join(kept, keyed.doc_id.eqNullSafe(kept._id) & (keyed._text == kept._key), "left_semi")
-    if not kept.where("_rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_text"])
-    return out.drop("_text")
+    kept = saved(first.select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("key"), F.col("first.count").alias("n")))
+    out = without(docs, kept, "left_semi")
+    if kept.where("n > 1").isEmpty():
+        return out
+    mark = free_name(docs, "_mark")
+    return out.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: of each class of similar_classes one row stays."""
+    """The pipeline's stage: of each class of similar_classes one row stays. Texts without a word are one class; null ids are
+    the last choice; of rows that repeat id and text one stays; an empty table stays empty; other columns, whatever their
+    names, are kept."""
     return one_of_each(docs, similar_classes(docs))

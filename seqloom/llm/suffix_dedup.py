@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import forget, saved, table
+from seqloom.llm.common import forget, free_name, saved, table
 
 ANCHOR = 32
 #: Bytes of text that are hashed at once, and bits for a place in them.
@@ -476,11 +476,21 @@ def repeated(docs: DataFrame, least: int = 100, crowd: int = CROWD) -> DataFrame
     return out
 
 
-def _kept(text: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
-    """What is left, bytes removed, runs removed."""
+def _whole_characters(text: bytes, s: int, e: int) -> tuple[int, int]:
+    """The bytes from s to e, with the other bytes of the characters at both ends."""
+    while 0 < s < len(text) and text[s] & 0xC0 == 0x80:
+        s -= 1
+    while e < len(text) and text[e] & 0xC0 == 0x80:
+        e += 1
+    return s, e
+
+
+def _kept(text: bytes, spans: list[bytes] | None, characters: bool = False) -> tuple[bytes, int, int]:
+    """What is left, bytes removed, runs removed. characters: those that lose some of their bytes go whole."""
     if not spans:
         return text, 0, 0
-    cut = merged([(max(0, s), min(len(text), e)) for s, e in np.concatenate([np.frombuffer(x, "<i4").reshape(-1, 2) for x in spans]).tolist()])
+    cut = [(max(0, s), min(len(text), e)) for s, e in np.concatenate([np.frombuffer(x, "<i4").reshape(-1, 2) for x in spans]).tolist()]
+    cut = merged(sorted(_whole_characters(text, s, e) for s, e in cut) if characters else cut)
     out, at = [], 0
     for s, e in cut:
         out.append(text[at:s])
@@ -490,9 +500,11 @@ def _kept(text: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
 
 
 def _with_spans(docs: DataFrame, least: int, crowd: int = CROWD) -> DataFrame:
-    own = docs.select("*", *[c.alias(f"_{n}") for n, c in (("doc", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))), ("mark", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))])
-    spans = repeated(docs, least, crowd).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("spans").alias("_spans"))
-    return own.join(spans, ["_doc", "_mark"], "left").drop("_doc", "_mark")
+    """docs, and as the last column their spans, under a name that docs has not."""
+    doc, mark, found = (free_name(docs, x) for x in ("_doc", "_mark", "_spans"))
+    own = docs.select("*", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias(doc), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias(mark))
+    spans = repeated(docs.select("doc_id", "text"), least, crowd).select(F.col("doc_id").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(found))
+    return own.join(spans, [doc, mark], "left").select(*docs.columns, found)
 
 
 def removals(docs: DataFrame, least: int = 100, crowd: int = CROWD) -> DataFrame:
@@ -515,7 +527,7 @@ def removals(docs: DataFrame, least: int = 100, crowd: int = CROWD) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_spans(docs.select("doc_id", "text"), least, crowd).select("doc_id", "text", "_spans").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return _with_spans(docs.select("doc_id", "text"), least, crowd).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -523,7 +535,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without their repeated bytes; characters that lose some of their bytes go whole. n_chars is counted anew."""
+    """docs without their repeated bytes; characters that lose some of their bytes go whole. n_chars is counted anew.
+
+    Null texts stay null and lose nothing; null doc_ids come first; rows that repeat doc_id and text lose the same; an empty
+    table stays empty; other columns, whatever their names, are kept.
+    """
     both = _with_spans(docs, 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,7 +548,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             texts = []
             for k in range(batch.num_rows):
                 text, spans = batch.column(at)[k].as_py(), batch.column(batch.num_columns - 1)[k].as_py()
-                texts.append(_kept(text.encode(), spans)[0].decode("utf-8", "ignore") if spans else text)
+                texts.append(_kept(text.encode(), spans, characters=True)[0].decode() if spans else text)
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 

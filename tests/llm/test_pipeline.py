@@ -79,3 +79,24 @@ def test_stages_decide_by_row_not_by_id(spark, monkeypatch):
     rows = [(None, "bad words"), (None, "calm words"), (7, "calm"), (7, "bad"), (7, None), (8, "bad")]
     kept = {(r.doc_id, r.text) for r in stages["quality classifier"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
     assert kept == {r for r in rows if "bad" not in (r[1] or "")}
+
+
+def test_stages_keep_columns_of_any_name(spark, monkeypatch):
+    monkeypatch.setattr(Q, "judged", lambda docs, labels, ids=None: (docs if ids is None else ids).select("doc_id", F.lit(True).alias("accepted")))
+    text = " ".join(f"word{k}" for k in range(40))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (2, text + " more"), (None, "calm é words"), (3, None)], "doc_id long, text string")
+    names = ["_text", "_doc", "_mark", "_own", "__mark", "_spans", "_id", "_key", "_rows", "id", "key", "n", "node", "root"]
+    df = df.selectExpr("*", *[f"concat('x', doc_id, '{n}') AS `{n}`" for n in names])
+    for name, run in list(dict(corpus_pipeline.STAGES).items())[:4]:
+        got = run(spark, df, SF)
+        assert got.columns == df.columns, name
+        assert all(r[n] == (None if r.doc_id is None else f"x{r.doc_id}{n}") for r in got.collect() for n in names), name
+        assert run(spark, df.limit(0), SF).count() == 0 or name == "quality classifier"
+
+
+def test_suffix_stage_cuts_between_characters(spark):
+    """A lead byte that is left over and a tail byte that is left over make no letter of their own."""
+    same = "".join(f"{k:03d}" for k in range(60))
+    rows = [(1, "é" + same + "î"), (2, "ĩ" + same + "ã"), (3, "ab" + same + "cd")]
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["suffix-array dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert got[1] == rows[0][1] and got[3] == "abcd" and set(got[2]) <= set("ĩã")
