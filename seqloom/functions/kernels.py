@@ -446,6 +446,77 @@ def batch_matches(a: list[bytes], b: list[bytes], k: int, r: int) -> dict[str, n
     return dict(zip(("row", "start_i", "start_j", "end_i", "end_j", "match_cost"), rows[:, new], strict=True))
 
 
+def suffix_arrays(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of many sequences that lie end to end, each with a place behind its end: places of all suffixes, the empty one of each
+    included, by sequence and in order within it. Ranks of twice as many letters come from two ranks of as many, until no
+    two are equal."""
+    lane = np.repeat(np.arange(len(size)), size + 1)
+    last = np.cumsum(size + 1) - 1
+    letter = np.zeros(len(lane), np.int64)
+    inner = np.ones(len(lane), bool)
+    inner[last] = False
+    letter[inner] = codes + 1
+    _, rank = np.unique(lane * 8 + letter, return_inverse=True)
+    ahead, places = 1, np.arange(len(lane))
+    while len(rank) and rank.max() < len(rank) - 1:
+        after = np.minimum(places + ahead, last[lane])  # beyond its end a suffix is empty, and less than all others
+        _, rank = np.unique(rank * len(rank) + rank[after], return_inverse=True)
+        ahead *= 2
+    out = np.empty(len(rank), np.int64)
+    out[rank] = places
+    return out
+
+
+def grown_seeds(a: list[bytes], b: list[bytes], most: int) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Seeds of a that are as short as they can be with at most `most` hits in b: from a's end on, a seed grows to the left
+    until it has so few, and the next one ends where it starts; what is left at a's start is no seed. Seeds (row, start,
+    end, hits) and their matches (row, start_i, start_j, end_i, end_j), in order.
+
+    The suffixes of all b's are sorted, with a table of how often each letter comes before the first suffixes; so a letter
+    more on the left of all pairs' growing seeds is looked up at once.
+    """
+    code_of = np.full(256, 4, np.int64)
+    code_of[[65, 67, 84, 71]] = range(4)
+    side_a, side_b = (code_of[np.frombuffer(b"".join(x), np.uint8)] for x in (a, b))
+    if (side_a > 3).any() or (side_b > 3).any():
+        raise ValueError("a sequence has other letters than A, C, G, T")
+    size_a, size_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
+    first_a, base = np.cumsum(size_a) - size_a, np.cumsum(size_b + 1) - size_b - 1
+    order = suffix_arrays(side_b, size_b)
+    spread = np.full(len(order), 4)  # letters of b by place, and 4 behind each end
+    inner = np.ones(len(order), bool)
+    inner[base + size_b] = False
+    spread[inner] = side_b
+    lane = np.repeat(np.arange(len(b)), size_b + 1)
+    before = np.where(order == base[lane], 4, spread[order - 1])
+    seen = np.zeros((4, len(order) + 1), np.int64)
+    for c in range(4):
+        seen[c, 1:] = np.cumsum(before == c)
+    count = np.array([np.bincount(lane[spread == c], minlength=len(b)) for c in range(4)]).reshape(4, -1)
+    smaller = base + 1 + np.cumsum(count, axis=0) - count  # where each lane's suffixes with that first letter begin
+    low, high, end = base.copy(), base + size_b + 1, size_a.copy()
+    seeds, ranges = [], []
+    for t in range(int(size_a.max(initial=0))):
+        own = np.flatnonzero(size_a > t)
+        i = size_a[own] - 1 - t
+        c = side_a[first_a[own] + i]
+        low[own], high[own] = (smaller[c, own] + seen[c, x[own]] - seen[c, base[own]] for x in (low, high))
+        few = own[high[own] - low[own] <= most]
+        start = size_a[few] - 1 - t
+        seeds.append(np.stack([few, start, end[few], high[few] - low[few]]))
+        ranges.append(low[few])
+        end[few], low[few], high[few] = start, base[few], base[few] + size_b[few] + 1
+    row, start, stop, hits = np.concatenate(seeds, axis=1) if seeds else np.zeros((4, 0), np.int64)
+    first = np.concatenate(ranges) if ranges else np.zeros(0, np.int64)
+    by = np.lexsort((start, row))
+    row, start, stop, hits, first = row[by], start[by], stop[by], hits[by], first[by]
+    seed = np.repeat(np.arange(len(row)), hits)
+    at = order[np.repeat(first - np.cumsum(hits) + hits, hits) + np.arange(len(seed))] - base[row[seed]]
+    found = np.stack([row[seed], start[seed], at, stop[seed], at + stop[seed] - start[seed]])
+    found = found[:, np.lexsort(found[::-1])]
+    return dict(zip(("row", "start", "end", "hits"), (row, start, stop, hits), strict=True)), dict(zip(("row", "start_i", "start_j", "end_i", "end_j"), found, strict=True))
+
+
 def potential(n: np.ndarray, i: np.ndarray, k: int, r: int) -> np.ndarray:
     return r * np.maximum(0, n // k - -(-i // k))
 

@@ -63,16 +63,21 @@ def _checked(k: int, r: int) -> None:
 def matched(a: pa.Array, b: pa.Array, k: int, r: int, look_ahead: int = 0) -> Iterator[tuple[np.ndarray, list[bytes], list[bytes], dict[str, np.ndarray]]]:
     """Pairs of an Arrow batch, so many at a time: their places, sequences and matches. Pairs with a null side are left out."""
     _checked(k, r)
+    for known, x, y in _some(a, b):
+        found = kernels.batch_matches(x, y, k, r)
+        if look_ahead:
+            found = kernels.locally_pruned(x, y, found, k, r, look_ahead)
+        yield known, x, y, found
+
+
+def _some(a: pa.Array, b: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes], list[bytes]]]:
+    """Pairs of an Arrow batch, so many at a time: their places and sequences. Pairs with a null side are left out."""
     letters = np.cumsum([sum(map(len, filter(None, xy))) for xy in zip(a.to_pylist(), b.to_pylist(), strict=True)])
     cuts = np.unique(np.searchsorted(letters, np.arange(0, int(letters[-1]) if len(letters) else 0, LETTERS)).tolist() + [0, len(a)])
     for s, e in pairwise(cuts.tolist()):
         x, y = a.slice(s, e - s).to_pylist(), b.slice(s, e - s).to_pylist()
         known = [z for z, (p, q) in enumerate(zip(x, y, strict=True)) if p is not None and q is not None]
-        x, y = [x[z] for z in known], [y[z] for z in known]
-        found = kernels.batch_matches(x, y, k, r)
-        if look_ahead:
-            found = kernels.locally_pruned(x, y, found, k, r, look_ahead)
-        yield np.array(known, np.int64) + s, x, y, found
+        yield np.array(known, np.int64) + s, [x[z] for z in known], [y[z] for z in known]
 
 
 def in_batches(pairs: DataFrame, k: int, r: int, of: Callable[..., tuple[np.ndarray, list]], columns: str, look_ahead: int = 0, more: Column | None = None) -> DataFrame:
@@ -189,6 +194,60 @@ def least_costs(a: list[bytes], found: dict[str, np.ndarray], k: int, r: int) ->
     return row, (np.arange(len(row)) - first[row]) * k, cost
 
 
+def _grown(pairs: DataFrame, most: int, part: int, names: str, columns: str) -> DataFrame:
+    if most < 0:
+        raise ValueError("a seed can't have fewer than no hits")
+    wanted, names_out = names.split(), ["id", *(c.split()[0] for c in columns.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for known, a, b in _some(batch.column(1), batch.column(2)):
+                found = kernels.grown_seeds(a, b, most)[part]
+                at = known[found["row"]] if len(known) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(found[c], pa.int32()) for c in wanted)], names=names_out)
+
+    kind = pairs.schema["id"].dataType.simpleString()
+    own = pairs.select("id", F.col("a").cast("binary").alias("a"), F.col("b").cast("binary").alias("b"))
+    return own.mapInArrow(run, f"id {kind}, {columns}")
+
+
+def grown_seeds(pairs: DataFrame, max_matches: int) -> DataFrame:
+    """(id, start, end, n_matches, seed_potential): seeds of unequal lengths, from a's end on each as short as it can be
+    with at most max_matches exact hits in b (kernels.grown_seeds). Null sides have none; letters other than A, C, G, T
+    are an error."""
+    return _grown(pairs, max_matches, 0, "start end hits", "start int, end int, n_matches int").withColumn("seed_potential", F.lit(1))
+
+
+def grown_matches(pairs: DataFrame, max_matches: int) -> DataFrame:
+    """(id, start_i, start_j, end_i, end_j, match_cost, seed_potential): the hits of grown_seeds()."""
+    found = _grown(pairs, max_matches, 1, "start_i start_j end_i end_j", "start_i int, start_j int, end_i int, end_j int")
+    return found.withColumns({"match_cost": F.lit(0), "seed_potential": F.lit(1)})
+
+
+#: Places of b to a bin of matches_in_cone().
+CONE_BIN = 64
+
+
+def matches_in_cone(pairs: DataFrame, k: int) -> DataFrame:
+    """Exact matches from whose start the target can be reached without gaps that cost more than is left (target_filter), for
+    pairs whose seeds and windows are too many for one task: both are rows, joined across tasks.
+
+    From a seed at i so many places of b are near enough as its potential allows. Windows are in bins of places, seeds in
+    each bin that they can reach, and both are joined by pair, letters and bin; so letters that repeat very often are
+    split among bins, and none outside a seed's bins is looked at.
+    """
+    n, m = F.length("a"), F.length("b")
+    own = seeds(pairs, k).select("id", "start", "q").join(pairs.select("id", n.alias("n"), m.alias("m")), "id")
+    p = expr.potential("n", "start", k)
+    centre = F.col("start") - (F.col("n") - F.col("m"))
+    low, high = F.greatest(F.lit(0), centre - p), F.least(F.col("m") - k, centre + p)
+    reach = own.select("id", "start", "q", low.alias("low"), high.alias("high")).where("low <= high")
+    reach = reach.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / CONE_BIN), F.floor(F.col("high") / CONE_BIN))))
+    windows = kmers(pairs, k).withColumn("bin", F.floor(F.col("j") / CONE_BIN))
+    met = reach.join(windows, ["id", "q", "bin"]).where("j BETWEEN low AND high")
+    return met.select("id", F.col("start").alias("start_i"), F.col("j").alias("start_j"), (F.col("start") + k).alias("end_i"), (F.col("j") + k).alias("end_j"), F.lit(0).alias("match_cost"), F.lit(1).alias("seed_potential"))
+
+
 def suffix_potentials(rows: DataFrame) -> DataFrame:
     """Adds to seeds of any lengths the sum of potentials from each on, by a window over each pair's seeds."""
     after = Window.partitionBy("id").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, 0)

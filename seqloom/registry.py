@@ -292,6 +292,30 @@ def matches_locally_pruned(p: DataFrame) -> DataFrame:
     return S.matches(p, K, 1, look_ahead=3)
 
 
+_MOST = 2
+_HITS = "len([1 FOR x IN range(1, length(b) - length({s}) + 2) IF substring(b, x::INT, length({s})) = {s}])"
+_GROWN_SQL = f"""
+w AS (SELECT id, a, b, length(a) AS i, length(a) AS stop, length(a) AS was, -1::BIGINT AS n FROM p
+      UNION ALL SELECT id, a, b, i, CASE WHEN n <= {_MOST} THEN i ELSE stop END, stop, n
+      FROM (SELECT id, a, b, i, stop, {_HITS.format(s="s")} AS n FROM (SELECT id, a, b, i - 1 AS i, stop, substring(a, i::INT, (stop - i + 1)::INT) AS s FROM w WHERE i > 0))),
+grown AS (SELECT id, a, b, i AS start, was AS stop, n FROM w WHERE n BETWEEN 0 AND {_MOST})"""
+
+
+@query("grown_seeds", f"WITH RECURSIVE {_GROWN_SQL} SELECT id, start::INT AS start, stop::INT AS \"end\", n::INT AS n_matches, 1::INT AS seed_potential, (count(*) OVER (PARTITION BY id ORDER BY start DESC))::BIGINT AS potential FROM grown")
+def grown_seeds(p: DataFrame) -> DataFrame:
+    return S.suffix_potentials(S.grown_seeds(p, _MOST))
+
+
+@query("grown_matches", f"WITH RECURSIVE {_GROWN_SQL} SELECT id, start::INT AS start_i, (x - 1)::INT AS start_j, stop::INT AS end_i, (x - 1 + stop - start)::INT AS end_j, 0::INT AS match_cost, 1::INT AS seed_potential FROM (SELECT *, unnest([x FOR x IN range(1, length(b) - (stop - start) + 2) IF substring(b, x::INT, (stop - start)::INT) = substring(a, (start + 1)::INT, (stop - start)::INT)]) AS x FROM grown)")
+def grown_matches(p: DataFrame) -> DataFrame:
+    return S.grown_matches(p, _MOST)
+
+
+@query("matches_in_cone", f"WITH {_SEEDS}, {_KMERS}, {_MATCHES} SELECT m.*, 0::INT AS match_cost, 1::INT AS seed_potential FROM m JOIN p USING (id) WHERE start_i - start_j - greatest(length(a) // {K} - (start_i + {K} - 1) // {K}, 0) <= length(a) - length(b) AND start_j - start_i - greatest(length(a) // {K} - (start_i + {K} - 1) // {K}, 0) <= length(b) - length(a)")
+def matches_in_cone(p: DataFrame) -> DataFrame:
+    return S.matches_in_cone(p, K)
+
+
 @query("seed_flags", f"SELECT id, i::INT AS i, (CASE WHEN i > 0 AND (i - 1) // {K} < length(a) // {K} THEN (i - 1) // {K} * {K} END)::INT AS ending, (i // {K} < length(a) // {K} AND i % {K} = 0) AS is_start, (i > 0 AND i % {K} = 0 AND i <= length(a) // {K} * {K}) AS is_end FROM (SELECT id, a, unnest(range(0, length(a) + 1)) AS i FROM p)")
 def seed_flags(p: DataFrame) -> DataFrame:
     at = p.select("id", F.length("a").alias("n"), F.explode(F.sequence(F.lit(0), F.length("a"))).alias("i"))

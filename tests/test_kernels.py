@@ -271,3 +271,21 @@ def test_local_pruning_by_definition():
     finally:
         K.AHEAD = before
     assert rows(again | {"row": again["row"] + 1}) == rows(kept)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ACGT", max_size=30).map(str.encode), st.text("ACG", max_size=40).map(str.encode)), max_size=5), st.integers(0, 4))
+def test_grown_seeds_by_definition(pairs, most):
+    seeds, matches = K.grown_seeds([a for a, _ in pairs], [b for _, b in pairs], most)
+    expected, hits = [], []
+    for row, (a, b) in enumerate(pairs):
+        end = len(a)
+        for i in reversed(range(len(a))):
+            s = a[i:end]
+            places = [j for j in range(len(b) - len(s) + 1) if b[j : j + len(s)] == s]
+            if len(places) <= most:
+                expected.append((row, i, end, len(places)))
+                hits += [(row, i, j, end, j + len(s)) for j in places]
+                end = i
+    assert sorted(zip(*(x.tolist() for x in seeds.values()), strict=True)) == sorted(expected)
+    assert list(zip(*(x.tolist() for x in matches.values()), strict=True)) == sorted(hits)
