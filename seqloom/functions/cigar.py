@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from seqloom.functions.expr import ColumnOrName, as_bytes, col
+from seqloom.functions.expr import ColumnOrName, as_bytes, col, let
 
 TYPE = ArrayType(StructType([StructField("op", StringType()), StructField("cnt", IntegerType())]))
 AFFINE_TYPE = ArrayType(StructType([StructField("op", StringType()), StructField("layer", IntegerType()), StructField("cnt", IntegerType())]))
@@ -22,14 +22,16 @@ def from_text(text: ColumnOrName) -> Column:
 
 
 def merged(script: ColumnOrName) -> Column:
-    """Equal neighbours joined, empty runs left out."""
+    """Equal neighbours joined, empty runs left out. Where joined runs begin is told once; each sums its own part."""
 
-    def add(acc: Column, e: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(e["op"].alias("op"), (last["cnt"] + e["cnt"]).alias("cnt"))))
-        return F.when(e["cnt"] == 0, acc).when(last["op"] == e["op"], joined).otherwise(F.concat(acc, F.array(F.struct(e["op"].alias("op"), e["cnt"].alias("cnt")))))
+    def joined(runs: Column) -> Column:
+        begins = F.filter(F.transform(runs, lambda e, k: F.when((k == 0) | (F.get(runs, k - 1)["op"] != e["op"]), k)), lambda k: k.isNotNull())
+        return let(begins, lambda at: F.transform(at, lambda k, x: F.struct(
+            F.get(runs, k)["op"].alias("op"),
+            F.aggregate(F.slice(runs, k + 1, F.coalesce(F.get(at, x + 1), F.size(runs)) - k), F.lit(0), lambda n, e: n + e["cnt"]).alias("cnt"),
+        )))
 
-    return F.aggregate(col(script), F.array().cast(TYPE), add)
+    return let(F.filter(col(script), lambda e: e["cnt"] > 0), joined)
 
 
 def appended(first: ColumnOrName, second: ColumnOrName) -> Column:

@@ -236,8 +236,8 @@ def matches_in_cone(pairs: DataFrame, k: int) -> DataFrame:
     each bin that they can reach, and both are joined by pair, letters and bin; so letters that repeat very often are
     split among bins, and none outside a seed's bins is looked at.
     """
-    n, m = F.length("a"), F.length("b")
-    own = seeds(pairs, k).select("id", "start", "q").join(pairs.select("id", n.alias("n"), m.alias("m")), "id")
+    at = pairs.select("id", "a", F.length("a").alias("n"), F.length("b").alias("m"), F.explode(_places(F.floor(F.length("a") / k).cast("int") - 1)).alias("t"))
+    own = at.select("id", "n", "m", (F.col("t") * k).alias("start"), F.substr("a", F.col("t") * k + 1, F.lit(k)).alias("q"))
     p = expr.potential("n", "start", k)
     centre = F.col("start") - (F.col("n") - F.col("m"))
     low, high = F.greatest(F.lit(0), centre - p), F.least(F.col("m") - k, centre + p)

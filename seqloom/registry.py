@@ -20,7 +20,7 @@ from seqloom.operators import seeds as S
 from seqloom.operators import similarity
 from seqloom.plans import reports
 from seqloom.plans.aligner import PRESETS, aligner
-from seqloom.sources.generate import grid
+from seqloom.sources.generate import pairs_of
 from seqloom.sources.pairs import read_pairs, simulated_pairs, write_costs, write_seq
 from seqloom.sources.scratch import shared_dir
 
@@ -527,10 +527,19 @@ def affine_script_check(p: DataFrame) -> DataFrame:
     return s.select("id", (count("X") + 2 * count("O") + count("ID")).alias("cost"), count("=XD").alias("used_a"), count("=XI").alias("used_b"))
 
 
-@query("gap_costs", "SELECT d::INT AS delta, (CASE WHEN d = 0 THEN 0 WHEN d < 0 THEN 2 + 2 * -d ELSE 3 + d END)::INT AS cost, least(abs(d) * 3, CASE WHEN d = 0 THEN 0 ELSE 2 + abs(d) END)::INT AS mixed FROM range(-20, 21) t(d)", with_pairs=False)
+def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change of diagonal from -20 to 20 for every order."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(F.col("o_orderkey").cast("bigint").alias("id"), (F.col("o_orderkey") % 41 - 20).cast("int").alias("delta"))
+
+
+_DELTAS_SQL = "(SELECT o_orderkey::BIGINT AS id, o_orderkey % 41 - 20 AS d FROM orders)"
+
+
+@query("gap_costs", f"SELECT id, d::INT AS delta, (CASE WHEN d = 0 THEN 0 WHEN d < 0 THEN 2 + 2 * -d ELSE 3 + d END)::INT AS cost, least(abs(d) * 3, CASE WHEN d = 0 THEN 0 ELSE 2 + abs(d) END)::INT AS mixed FROM {_DELTAS_SQL}", with_pairs=False)
 def gap_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.range(-20, 21).select(F.col("id").cast("int").alias("delta"))
-    return d.select("delta", expr.gap_cost(cost_model.affine_asymmetric(1, 2, 2, 3, 1), "delta").alias("cost"), expr.gap_cost(cost_model.linear_affine(1, 3, 2, 1), "delta").alias("mixed"))
+    models = {"cost": cost_model.affine_asymmetric(1, 2, 2, 3, 1), "mixed": cost_model.linear_affine(1, 3, 2, 1)}
+    return _deltas(spark, sf_dir).select("id", "delta", *[expr.gap_cost(m, "delta").alias(n) for n, m in models.items()])
 
 
 # --- edit scripts ----------------------------------------------------------------------------------------------------
@@ -602,9 +611,9 @@ def explained_steps(p: DataFrame) -> DataFrame:
 _RUNS_SQL = "regexp_extract_all(s, '(=+|X+|I+|D+)')"
 
 
-@query("cigar_text", f"WITH RECURSIVE {_GRID_SQL} SELECT id, list_aggregate([length(r)::VARCHAR || r[1] FOR r IN {_RUNS_SQL}], 'string_agg', '') AS t, len({_RUNS_SQL})::INT AS runs FROM x WHERE s <> ''")
+@query("cigar_text", f"WITH RECURSIVE {_GRID_SQL} SELECT id, coalesce(list_aggregate([length(r)::VARCHAR || r[1] FOR r IN {_RUNS_SQL}], 'string_agg', ''), '') AS t, len({_RUNS_SQL})::INT AS runs FROM x")
 def cigar_text(p: DataFrame) -> DataFrame:
-    s = p.select("id", A.align("a", "b")["cigar"].alias("s")).where(F.size("s") > 0)
+    s = p.select("id", A.align("a", "b")["cigar"].alias("s"))
     return s.select("id", cigar.to_text("s").alias("t"), F.size(cigar.from_text(cigar.to_text("s"))).alias("runs"))
 
 
@@ -625,9 +634,9 @@ def cigar_merge(p: DataFrame) -> DataFrame:
     return out.select("id", F.size("m").alias("runs"), _letters_of(F.col("m")).alias("s"))
 
 
-@query("cigar_to_affine_and_back", f"WITH RECURSIVE {_GRID_SQL} SELECT id, s, -1::INT AS layers FROM x WHERE s <> ''")
+@query("cigar_to_affine_and_back", f"WITH RECURSIVE {_GRID_SQL} SELECT id, s, (CASE WHEN s <> '' THEN -1 END)::INT AS layers FROM x")
 def cigar_to_affine_and_back(p: DataFrame) -> DataFrame:
-    s = p.select("id", cigar.to_affine(A.align("a", "b")["cigar"]).alias("s")).where(F.size("s") > 0)
+    s = p.select("id", cigar.to_affine(A.align("a", "b")["cigar"]).alias("s"))
     return s.select("id", _letters_of(cigar.to_base_strictly("s")).alias("s"), F.array_max(F.transform("s", lambda e: e["layer"])).alias("layers"))
 
 
@@ -667,17 +676,23 @@ def models_from_parts(p: DataFrame) -> DataFrame:
     return p.select("id", A.alignment_cost("a", "b", cost_model.from_parts(None, 0, 1)).alias("lcs_cost"), A.alignment_cost("a", "b", cost_model.from_parts(1, 0, 1)).alias("unit_cost"))
 
 
-@query("long_gap_costs", "SELECT cost::INT AS cost, greatest((cost - 4) // 2, cost - 10, 0)::INT AS longest, greatest(cost // 2, cost)::INT AS opened FROM range(0, 40) t(cost)", with_pairs=False)
+@query("long_gap_costs", f"SELECT id, cost::INT AS cost, greatest((cost - 4) // 2, cost - 10, 0)::INT AS longest, greatest(cost // 2, cost)::INT AS opened FROM (SELECT id, d + 20 AS cost FROM {_DELTAS_SQL})", with_pairs=False)
 def long_gap_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest gap that a cost pays for, under a model of two layers, new and open already."""
     model, cost = cost_model.double_affine(1, 4, 2, 10, 1), F.col("cost")
-    return spark.range(0, 40).select(F.col("id").cast("int").alias("cost")).select("cost", expr.most_for_cost(model, "ins", cost).alias("longest"), expr.most_for_cost(model, "ins", cost, opened=True).alias("opened"))
+    costs = _deltas(spark, sf_dir).select("id", (F.col("delta") + 20).alias("cost"))
+    return costs.select("id", "cost", expr.most_for_cost(model, "ins", cost).alias("longest"), expr.most_for_cost(model, "ins", cost, opened=True).alias("opened"))
 
 
-@query("extend_costs", "SELECT d::INT AS delta, (CASE WHEN d < 0 THEN 2 * -d ELSE d END)::INT AS cost FROM range(-20, 21) t(d)", with_pairs=False)
+@query("extend_costs", f"SELECT id, d::INT AS delta, (CASE WHEN d < 0 THEN 2 * -d ELSE d END)::INT AS cost FROM {_DELTAS_SQL}", with_pairs=False)
 def extend_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.range(-20, 21).select(F.col("id").cast("int").alias("delta"))
-    return d.select("delta", expr.extend_cost(cost_model.affine_asymmetric(1, 2, 2, 3, 1), "delta").alias("cost"))
+    return _deltas(spark, sf_dir).select("id", "delta", expr.extend_cost(cost_model.affine_asymmetric(1, 2, 2, 3, 1), "delta").alias("cost"))
+
+
+#: Models with gaps of one side in a layer, and of the other without, or with none at all.
+ONE_SIDED = {"deletions": cost_model.CostModel("deletions", 1, 1, None, (cost_model.Layer("del", 2, 2),)), "insertions": cost_model.CostModel("insertions", 1, None, 1, (cost_model.Layer("ins", 2, 2),))}
+for _name, _model in ONE_SIDED.items():
+    query(f"one_sided_{_name}", f"WITH RECURSIVE {_model_sql(_model)} SELECT id, (list_extract(m, length(b) + 1))::INT AS cost FROM g WHERE i = length(a)")(lambda p, model=_model: p.select("id", A.alignment_cost("a", "b", model).alias("cost")))
 
 
 def _scored(model: cost_model.CostModel) -> str:
@@ -855,10 +870,18 @@ def sql_affine_functions(p: DataFrame) -> DataFrame:
     return p.sparkSession.sql("SELECT id, seq_affine_cost(a, b) AS cost, seq_model_align(a, b, 'affine(1,2,1)').cost AS aligned, seq_model_cost(a, cast(NULL AS STRING), 'affine(1,2,1)') AS nothing FROM {p}", p=p)
 
 
-@query("generated_grid", "SELECT n::INT AS n, e AS error_rate, m AS error_model, 2::BIGINT AS pairs, (2 * n)::BIGINT AS letters FROM (SELECT unnest([0, 1, 20, 65, 257]) AS n), (SELECT unnest([0.0::DOUBLE, 0.05::DOUBLE, 1.0::DOUBLE]) AS e), (SELECT unnest(['uniform', 'noisy_insert', 'noisy_delete', 'symmetric_repeat']) AS m)", with_pairs=False)
+_GENERATED_SQL = "SELECT c_custkey::BIGINT AS id, [0, 1, 20, 65, 257][1 + c_custkey % 5] AS n, [0.0::DOUBLE, 0.05::DOUBLE, 1.0::DOUBLE][1 + c_custkey % 3] AS error_rate, ['uniform', 'noisy_insert', 'noisy_delete', 'symmetric_repeat'][1 + c_custkey % 4] AS error_model FROM customer"
+
+
+@query("generated_grid", f"SELECT n::INT AS n, error_rate, error_model, count(*) AS pairs, sum(n)::BIGINT AS letters, count(*) FILTER (error_rate = 0 OR n = 0) AS equal FROM ({_GENERATED_SQL}) GROUP BY 1, 2, 3", with_pairs=False)
 def generated_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = grid(spark, [0, 1, 20, 65, 257], [0.0, 0.05, 1.0], each=2)
-    return p.groupBy("n", "error_rate", "error_model").agg(F.count("b").alias("pairs"), F.sum(F.length("a")).alias("letters"))
+    """Pairs generated with parameters of every customer; without errors b is a, with errors of every letter it isn't."""
+    key = F.col("c_custkey")
+    one = lambda values, by: F.get(F.array(*map(F.lit, values)), (key % by).cast("int"))
+    parameters = spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.cast("bigint").alias("id"), one([0, 1, 20, 65, 257], 5).alias("n"), one([0.0, 0.05, 1.0], 3).alias("error_rate"), one(["uniform", "noisy_insert", "noisy_delete", "symmetric_repeat"], 4).alias("error_model"), F.lit(31415).alias("seed"))
+    p = pairs_of(parameters)
+    equal = F.when(F.col("error_rate") == 0, F.col("a") == F.col("b")).when(F.col("n") == 0, F.col("b") == "").otherwise(F.lit(False))
+    return p.groupBy("n", "error_rate", "error_model").agg(F.count("b").alias("pairs"), F.sum(F.length("a")).cast("bigint").alias("letters"), F.count_if(equal).alias("equal"))
 
 
 # --- reports and compositions ----------------------------------------------------------------------------------------

@@ -262,3 +262,16 @@ def test_write_costs(spark, tmp_path):
     df = spark.createDataFrame([(2, 1, "1X"), (1, 0, "1=")], "id long, cost int, cigar string")
     write_costs(df, str(tmp_path / "o"), ["id"])
     assert [r.value for r in spark.read.text(str(tmp_path / "o")).collect()] == ["0,1=", "1,1X"]
+
+
+def test_cone_is_joined_by_keys(spark, capsys):
+    """No product of seeds and windows, no range alone: pair, letters and bin are the join's keys."""
+    from seqloom.operators import seeds as S
+
+    p = spark.createDataFrame([(1, "ACGT" * 200, "ACGT" * 190)], "id long, a string, b string")
+    found = S.matches_in_cone(p, 4)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "SortMergeJoin [id" in plan.replace("BroadcastHashJoin [id", "SortMergeJoin [id").replace("ShuffledHashJoin [id", "SortMergeJoin [id")
+    kept = S.target_filter(p, 4)
+    assert found.select(*kept.columns).exceptAll(kept).count() == 0 == kept.exceptAll(found.select(*kept.columns)).count() and kept.count() > 1000
