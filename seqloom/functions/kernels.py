@@ -224,7 +224,8 @@ def unmatched(count: int, u: float) -> np.ndarray:
     return np.array([int((steps < j).sum()) for j in range(count + 1)], np.int64)
 
 
-def _search_rows(pattern: str, text: str, u: float) -> np.ndarray:
+def _search_rows(pattern: str, text: str, u: float, inside: bool = False) -> np.ndarray:
+    """inside: the text goes on to the left, so that pattern letters unmatched there cost like any others."""
     if not 0 <= u <= 1:
         raise ValueError("the cost of unmatched letters must be from 0 to 1")
     if bad := set(text) - set("acgtACGT"):
@@ -232,7 +233,7 @@ def _search_rows(pattern: str, text: str, u: float) -> np.ndarray:
     sets, n = _letters(pattern), len(pattern)
     unlike = {c: np.array([c not in s for s in sets], np.int64) for c in "ACGT"}
     rows = np.empty((len(text) + 1, n + 1), np.int64)
-    rows[0] = unmatched(n, u)
+    rows[0] = np.arange(n + 1) if inside else unmatched(n, u)
     steps = np.arange(n + 1)
     for i, c in enumerate(text.upper()):
         t = np.empty(n + 1, np.int64)
@@ -242,9 +243,11 @@ def _search_rows(pattern: str, text: str, u: float) -> np.ndarray:
     return rows
 
 
-def searches(patterns: list[str], texts: list[str], u: float = 0.0) -> list[np.ndarray]:
+def searches(patterns: list[str], texts: list[str], u: float = 0.0, inside: list[bool] | None = None) -> list[np.ndarray]:
     """For each pair the cost of the best match of the pattern that ends at each place of the text, then of matches over
     its right end: of all but 1, 2, ... of the pattern's letters. Pairs with patterns of one length are computed together.
+    inside: texts that are blocks of longer ones, which go on to the left. From 2 * len(pattern) letters on their costs are
+    those of the longer text, as no best match spans more.
     """
     if not 0 <= u <= 1:
         raise ValueError("the cost of unmatched letters must be from 0 to 1")
@@ -255,7 +258,7 @@ def searches(patterns: list[str], texts: list[str], u: float = 0.0) -> list[np.n
         step = max(1, SEARCHED // (n + 1))
         for s in range(0, len(own), step):
             rows = own[s : s + step]
-            for x, found in zip(rows, _searched([patterns[x] for x in rows], [texts[x] for x in rows], n, u), strict=True):
+            for x, found in zip(rows, _searched([patterns[x] for x in rows], [texts[x] for x in rows], n, u, np.array([bool(inside and inside[x]) for x in rows])), strict=True):
                 out[x] = found
     return out
 
@@ -264,7 +267,7 @@ def searches(patterns: list[str], texts: list[str], u: float = 0.0) -> list[np.n
 SEARCHED = 1 << 16
 
 
-def _searched(patterns: list[str], texts: list[str], n: int, u: float) -> list[np.ndarray]:
+def _searched(patterns: list[str], texts: list[str], n: int, u: float, inside: np.ndarray) -> list[np.ndarray]:
     size = np.array([len(t) for t in texts])
     code = np.full((len(texts), int(size.max(initial=0))), -1, np.int8)
     number = {c: x for x, c in enumerate("ACGT")} | {c: x for x, c in enumerate("acgt")}
@@ -274,7 +277,7 @@ def _searched(patterns: list[str], texts: list[str], n: int, u: float) -> list[n
         code[x, : len(t)] = [number[c] for c in t]
     unlike = np.array([[[c not in s for s in _letters(p)] for c in "ACGT"] for p in patterns], np.int64).reshape(len(patterns), 4, n)
     rest, steps, every = unmatched(n, u), np.arange(n + 1), np.arange(len(texts))
-    row = np.broadcast_to(rest, (len(texts), n + 1))
+    row = np.where(inside[:, None], steps, rest)
     out = np.zeros((len(texts), code.shape[1] + n + 1), np.int64)
     for i in range(code.shape[1] + 1):
         out[:, i] = np.where(size >= i, row[:, n], out[:, i])
@@ -301,9 +304,12 @@ def index_position(index: int, pattern_length: int, text_length: int) -> tuple[i
 
 def search_trace(pattern: str, text: str, index: int, u: float = 0.0) -> tuple[int, int, Script]:
     """Of the match at a place of search(): text and pattern letters before its first, and the script, in which D consumes
-    text and I the pattern. Walking back, a match comes first, then D, I, X."""
-    rows, sets = _search_rows(pattern, text, u), _letters(pattern)
+    text and I the pattern. Walking back, a match comes first, then D, I, X. Only as much of the text is looked at as a best
+    match can span: twice the pattern's letters."""
     i, j = index_position(index, len(pattern), len(text))
+    skipped = max(0, i - 2 * len(pattern))
+    text, i = text[skipped:i], i - skipped
+    rows, sets = _search_rows(pattern, text, u, skipped > 0), _letters(pattern)
     script: Script = []
     while j and i:
         if text[i - 1].upper() in sets[j - 1] and rows[i - 1, j - 1] == rows[i, j]:
@@ -318,7 +324,7 @@ def search_trace(pattern: str, text: str, index: int, u: float = 0.0) -> tuple[i
         else:
             pushed(script, "X")
             i, j = i - 1, j - 1
-    return i, j, script[::-1]
+    return skipped + i, j, script[::-1]
 
 
 # --- chains of matches -----------------------------------------------------------------------------------------------

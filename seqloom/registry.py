@@ -18,6 +18,7 @@ from seqloom.functions import cigar, cost_model, expr
 from seqloom.operators import heuristics as H
 from seqloom.operators import seeds as S
 from seqloom.operators import similarity
+from seqloom.operators.search import search_blocks
 from seqloom.plans import reports
 from seqloom.plans.aligner import PRESETS, aligner
 from seqloom.sources.generate import pairs_of
@@ -733,6 +734,12 @@ for _name, _u, _sql in (("semiglobal_costs", 0.0, "0"), ("semiglobal_costs_half"
     )
 
 
+for _name, _u, _sql in (("search_blocks", 0.0, "0"), ("search_blocks_half", 0.5, "((j + 1) // 2)")):
+    query(_name, f"WITH RECURSIVE {_SEARCH_SQL.format(u=_sql, un=_sql.replace('j', 'n'))} SELECT id, (k - 1)::BIGINT AS idx, list_extract(c, k)::INT AS cost FROM (SELECT id, c, unnest(range(1, len(c) + 1)) AS k FROM f)")(
+        lambda p, u=_u: search_blocks(p.select("id", F.expr(_PATTERN).alias("pattern"), F.col("a").alias("text")), u, 7).select("id", "first", F.posexplode("costs").alias("k", "cost")).select("id", (F.col("first") + F.col("k")).alias("idx"), "cost")
+    )
+
+
 @query("best_hit_per_text", f"WITH RECURSIVE {_SEARCH_SQL.format(u='j', un='n')} SELECT id, list_min(c)::INT AS cost, (list_position(c, list_min(c)) - 1)::INT AS idx FROM f")
 def best_hit_per_text(p: DataFrame) -> DataFrame:
     s = _searched(p, 1.0)

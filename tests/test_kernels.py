@@ -289,3 +289,37 @@ def test_grown_seeds_by_definition(pairs, most):
                 end = i
     assert sorted(zip(*(x.tolist() for x in seeds.values()), strict=True)) == sorted(expected)
     assert list(zip(*(x.tolist() for x in matches.values()), strict=True)) == sorted(hits)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ACGTNYR", min_size=1, max_size=6), st.text("ACGT", min_size=1, max_size=60), st.sampled_from([0.0, 0.5, 1.0]), st.integers(1, 9))
+def test_blocks_have_the_costs_of_the_text(pattern, text, u, block):
+    whole = K.search(pattern, text, u)
+    for first in range(0, len(text), block):
+        before = max(0, first - 2 * len(pattern))
+        part = text[before : first + block]
+        got = K.searches([pattern], [part], u, [before > 0])[0].tolist()
+        own = got[first - before : len(part) + 1]
+        assert own == whole[first : first + len(own)]
+    assert got[len(part) + 1 :] == whole[len(text) + 1 :]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ACGTNYR", min_size=1, max_size=5), st.text("ACGT", max_size=40), st.sampled_from([0.0, 0.5, 1.0]))
+def test_traces_look_at_what_a_match_can_span(pattern, text, u):
+    """The same script as from the grid of the whole text."""
+    rows, sets = K._search_rows(pattern, text, u), K._letters(pattern)
+    for index in range(len(text) + len(pattern) + 1):
+        i, j = K.index_position(index, len(pattern), len(text))
+        script = []
+        while i and j:
+            if text[i - 1] in sets[j - 1] and rows[i - 1, j - 1] == rows[i, j]:
+                op, i, j = "=", i - 1, j - 1
+            elif rows[i - 1, j] + 1 == rows[i, j]:
+                op, i = "D", i - 1
+            elif rows[i, j - 1] + 1 == rows[i, j]:
+                op, j = "I", j - 1
+            else:
+                op, i, j = "X", i - 1, j - 1
+            K.pushed(script, op)
+        assert K.search_trace(pattern, text, index, u) == (i, j, script[::-1])
