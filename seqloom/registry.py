@@ -609,6 +609,12 @@ def explained_steps(p: DataFrame) -> DataFrame:
     return reports.explain_alignment(p).select("id", "step", "op")
 
 
+@query("explained_in_sql", f"WITH RECURSIVE {_GRID_SQL} SELECT id, t::INT AS step, length(replace(substring(s, 1, t::INT), 'I', ''))::INT AS i, length(replace(substring(s, 1, t::INT), 'D', ''))::INT AS j, length(replace(substring(s, 1, t::INT), '=', ''))::INT AS cost, CASE WHEN t > 0 THEN s[t] END AS op FROM (SELECT id, s, unnest(range(0, length(s) + 1)) AS t FROM x)")
+def explained_in_sql(p: DataFrame) -> DataFrame:
+    reports.register(p.sparkSession)
+    return p.sparkSession.sql("SELECT * FROM seq_explain(TABLE(SELECT id, a, b FROM {p}))", p=p)
+
+
 _RUNS_SQL = "regexp_extract_all(s, '(=+|X+|I+|D+)')"
 
 

@@ -275,3 +275,25 @@ def test_cone_is_joined_by_keys(spark, capsys):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "SortMergeJoin [id" in plan.replace("BroadcastHashJoin [id", "SortMergeJoin [id").replace("ShuffledHashJoin [id", "SortMergeJoin [id")
     kept = S.target_filter(p, 4)
     assert found.select(*kept.columns).exceptAll(kept).count() == 0 == kept.exceptAll(found.select(*kept.columns)).count() and kept.count() > 1000
+
+
+def test_metrics_come_with_the_rows(spark, pairs):
+    """One pass: the sums are those of a query over the rows."""
+    from seqloom.plans.reports import Observed, statistics
+
+    seen = Observed(aligner().align(pairs), "test")
+    rows = seen.rows.select("*", statistics("a", "b", "cost", "cigar").alias("s")).collect()
+    got = seen.metrics()
+    known = [r for r in rows if r.cost is not None]
+    assert got["pairs"] == len(rows) and got["aligned"] == len(known)
+    assert all(got[n] == sum(r.s[n] for r in known) for n in ("distance", "matches", "substitutions", "insertions", "deletions"))
+    assert got["cells"] == sum(len(r.a.encode()) * 64 * -(-len(r.b.encode()) // 64) for r in known)
+
+
+def test_explained_in_sql_takes_nulls(spark):
+    from seqloom.plans import reports
+
+    reports.register(spark)
+    df = spark.createDataFrame([(1, "AC", "AG"), (2, None, "A"), (3, "", "")], "id long, a string, b string")
+    rows = spark.sql("SELECT * FROM seq_explain(TABLE(SELECT id, a, b FROM {p}))", p=df).collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, 0, 0, 0, None), (1, 1, 1, 1, 0, "="), (1, 2, 2, 2, 1, "X"), (3, 0, 0, 0, 0, None)]
