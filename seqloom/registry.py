@@ -609,6 +609,18 @@ def explained_steps(p: DataFrame) -> DataFrame:
     return reports.explain_alignment(p).select("id", "step", "op")
 
 
+_PATH_SQL = f"path AS (SELECT id, i, j, total - cost AS left_ FROM (WITH RECURSIVE {_GRID_SQL} SELECT id, length(replace(substring(s, 1, t::INT), 'I', '')) AS i, length(replace(substring(s, 1, t::INT), 'D', '')) AS j, length(replace(substring(s, 1, t::INT), '=', '')) AS cost, length(replace(s, '=', '')) AS total FROM (SELECT id, s, unnest(range(0, length(s) + 1)) AS t FROM x)))"
+
+
+@query(
+    "matches_kept_by_path",
+    f"WITH RECURSIVE {_SEEDS}, {_KMERS}, {_MATCHES}, {_chain_sql('m', ('start_i', 'start_j'), ('end_i', 'end_j'))}, z AS (SELECT id, arg_max(st, k) AS st FROM g GROUP BY id), {_PATH_SQL} "
+    f"SELECT m.id, start_i, start_j, end_i, end_j, 0::INT AS match_cost, 1::INT AS seed_potential FROM m JOIN p USING (id) JOIN z USING (id) LEFT JOIN path ON path.id = m.id AND path.i = start_i AND path.j = start_j WHERE left_ IS NULL OR {_p_sql('start_i')} - list_max([y.v FOR y IN z.st IF y.i >= start_i AND y.j >= start_j]) >= left_",
+)
+def matches_kept_by_path(p: DataFrame) -> DataFrame:
+    return H.kept_by_path(p, K)
+
+
 @query("explained_in_sql", f"WITH RECURSIVE {_GRID_SQL} SELECT id, t::INT AS step, length(replace(substring(s, 1, t::INT), 'I', ''))::INT AS i, length(replace(substring(s, 1, t::INT), 'D', ''))::INT AS j, length(replace(substring(s, 1, t::INT), '=', ''))::INT AS cost, CASE WHEN t > 0 THEN s[t] END AS op FROM (SELECT id, s, unnest(range(0, length(s) + 1)) AS t FROM x)")
 def explained_in_sql(p: DataFrame) -> DataFrame:
     reports.register(p.sparkSession)
