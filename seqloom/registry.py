@@ -21,6 +21,7 @@ from seqloom.operators import similarity
 from seqloom.operators.search import search_blocks
 from seqloom.plans import reports
 from seqloom.plans.aligner import PRESETS, aligner
+from seqloom.sources import datasource
 from seqloom.sources.generate import pairs_of
 from seqloom.sources.pairs import read_pairs, simulated_pairs, write_costs, write_seq
 from seqloom.sources.scratch import shared_dir
@@ -895,6 +896,15 @@ def sql_affine_functions(p: DataFrame) -> DataFrame:
     return p.sparkSession.sql("SELECT id, seq_affine_cost(a, b) AS cost, seq_model_align(a, b, 'affine(1,2,1)').cost AS aligned, seq_model_cost(a, cast(NULL AS STRING), 'affine(1,2,1)') AS nothing FROM {p}", p=p)
 
 
+@query("pairs_through_source", "SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2")
+def pairs_through_source(p: DataFrame) -> DataFrame:
+    """Written and read by the data source, in parts smaller than a file."""
+    datasource.register(p.sparkSession)
+    path = f"{shared_dir(p.sparkSession).rstrip('/')}/pairs-{uuid.uuid4()}"
+    p.select("a", "b").write.format("seqpairs").mode("append").save(path)
+    return p.sparkSession.read.format("seqpairs").option("splitBytes", 100_000).load(path).groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 _GENERATED_SQL = "SELECT c_custkey::BIGINT AS id, [0, 1, 20, 65, 257][1 + c_custkey % 5] AS n, [0.0::DOUBLE, 0.05::DOUBLE, 1.0::DOUBLE][1 + c_custkey % 3] AS error_rate, ['uniform', 'noisy_insert', 'noisy_delete', 'symmetric_repeat'][1 + c_custkey % 4] AS error_model FROM customer"
 
 

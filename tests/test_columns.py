@@ -297,3 +297,36 @@ def test_explained_in_sql_takes_nulls(spark):
     df = spark.createDataFrame([(1, "AC", "AG"), (2, None, "A"), (3, "", "")], "id long, a string, b string")
     rows = spark.sql("SELECT * FROM seq_explain(TABLE(SELECT id, a, b FROM {p}))", p=df).collect()
     assert sorted(map(tuple, rows)) == [(1, 0, 0, 0, 0, None), (1, 1, 1, 1, 0, "="), (1, 2, 2, 2, 1, "X"), (3, 0, 0, 0, 0, None)]
+
+
+def test_pairs_as_a_data_source(spark, tmp_path):
+    from seqloom.sources import datasource
+
+    datasource.register(spark)
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "x.txt").write_text("AC\n\nGG\nT\nodd\n")
+    (root / "y.fa").write_text(">r1 one\nAC\nGT\n>r2\n\n>r3\nA\n>r4\nC\n>r5\nT\n")
+    many = [("ACGT"[: k % 5] * (k % 7), "TT" * (k % 3)) for k in range(60)]
+    (root / "z.seq").write_text("".join(f">{a}\n<{b}\n" for a, b in many))
+    read = lambda path, **o: sorted((r.a, r.b) for r in spark.read.format("seqpairs").options(**o).load(str(path)).collect())
+    assert read(root) == sorted([("AC", ""), ("GG", "T"), ("ACGT", ""), ("A", "C"), *many])
+    for split in (9, 100):
+        assert read(root / "z.seq", splitBytes=split) == sorted(many)
+    rows = spark.read.format("seqpairs").option("splitBytes", 50).load(str(root / "z.seq")).orderBy("at").collect()
+    assert [(r.a, r.b) for r in rows] == many
+    assert read(root / "x.txt", kind="txt") == [("AC", ""), ("GG", "T")]
+    (tmp_path / "w.xyz").write_text("A\nB\n")
+    (tmp_path / "v.seq").write_text("A\n<B\n")
+    for path, options in ((root / "x.txt", {"mode": "FAILFAST"}), (root / "x.txt", {"width": "3"}), (tmp_path / "w.xyz", {}), (tmp_path / "v.seq", {}), (root / "x.txt", {"mode": "other"})):
+        with pytest.raises(Exception, match="partner|unknown|must start|mode is"):
+            read(path, **options)
+    out = tmp_path / "out"
+    df = spark.createDataFrame(many, "a string, b string").repartition(3)
+    df.write.format("seqpairs").mode("append").save(str(out))
+    assert read(out) == sorted(many) and len(list(out.glob("part-*.seq"))) == 3
+    df.limit(2).write.format("seqpairs").option("kind", "txt").mode("overwrite").save(str(out))
+    assert len(read(out)) == 2
+    query = spark.readStream.format("seqpairs").load(str(root)).select("a", "b").writeStream.format("memory").queryName("seq_in").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert spark.table("seq_in").count() == 64
