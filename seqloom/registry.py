@@ -422,14 +422,19 @@ def gcsh_at(p: DataFrame) -> DataFrame:
 _LONG_PART = "translate(md5(concat('{t}:', cast(s_suppkey as string))), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
 
+def very_long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, a, b) of every supplier: 5,000 letters, with many small edits, or one large one."""
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("bigint").alias("id"), "s_suppkey")
+    a = suppliers.select("id", F.expr(f"substring(concat({', '.join(_LONG_PART.format(t=t) for t in range(157))}), 1, 5000)").alias("a"))
+    edits = "CASE id % 3 WHEN 0 THEN replace(replace(a, 'ACGA', 'AGA'), 'TTCT', 'TTGGCT') WHEN 1 THEN replace(replace(a, 'CGG', 'CAG'), 'GATT', '') ELSE concat(substring(a, 1, 900), repeat('ACGTTTGACA', 30), substring(a, 1400)) END"
+    return a.repartition("id").withColumn("b", F.expr(edits))  # few rows with much work each
+
+
 @query("long_affine_align", with_pairs=False)
 def long_affine_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of 5,000 letters, of every supplier: cost, cost of the script's own parts, and what it consumes. SQL over whole
-    grids would take hours; tests compare with a row by row grid."""
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("bigint").alias("id"), "s_suppkey")
-    p = suppliers.select("id", F.expr(f"substring(concat({', '.join(_LONG_PART.format(t=t) for t in range(157))}), 1, 5000)").alias("a"))
-    p = p.repartition(8).withColumn("b", F.expr("CASE id % 3 WHEN 0 THEN replace(replace(a, 'ACGA', 'AGA'), 'TTCT', 'TTGGCT') WHEN 1 THEN replace(replace(a, 'CGG', 'CAG'), 'GATT', '') ELSE concat(substring(a, 1, 900), repeat('ACGTTTGACA', 30), substring(a, 1400)) END"))
-    s = p.select("id", A.affine_align("a", "b", cost_model.affine(1, 2, 1)).alias("r")).select("id", "r.cost", F.col("r.cigar").alias("s"))
+    """Of pairs of 5,000 letters: cost, cost of the script's own parts, and what it consumes. SQL over whole grids would take
+    hours; a test compares with a grid that is filled row by row."""
+    s = very_long_pairs(spark, sf_dir).select("id", A.affine_align("a", "b", cost_model.affine(1, 2, 1)).alias("r")).select("id", "r.cost", F.col("r.cigar").alias("s"))
     count = lambda ops: F.aggregate(F.filter("s", lambda e: e["op"].isin(*ops)), F.lit(0), lambda x, e: x + e["cnt"])
     return s.select("id", "cost", (count("X") + 2 * count("O") + count("ID")).alias("script_cost"), count("=XD").alias("used_a"), count("=XI").alias("used_b"))
 
