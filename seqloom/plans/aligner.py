@@ -32,9 +32,9 @@ class Aligner:
     doubling: int = 0
 
     def costs(self, pairs: DataFrame) -> DataFrame:
-        """pairs (id, a, b) with cost. With lower bounds, pairs beyond the bound never reach the cost. All are columns of the
-        pair's own row, so ids may be null or repeat."""
-        if self.doubling and self.bound is None and self.model.is_unit:
+        """pairs (id, a, b) with cost. With lower bounds, pairs beyond the bound never reach the cost; without a bound, they
+        tell which bounds needn't be tried. All are columns of the pair's own row, so ids may be null or repeat."""
+        if (self.doubling or self.bounds) and self.bound is None and self.model.is_unit:
             return pairs.withColumn("cost", self._doubled())
         near = self._near()
         if near is None:
@@ -53,7 +53,7 @@ class Aligner:
         first = self._lower(F.col("a"), tuple(dict.fromkeys(("gap", *self.bounds))))
 
         def tried(h: Column) -> Column:
-            tries = [F.when(h <= most, expr.bounded_distance("a", "b", most)) for most in (4 * self.doubling**t for t in range(6))]
+            tries = [F.when(h <= most, expr.bounded_distance("a", "b", most)) for most in (4 * (self.doubling or 2) ** t for t in range(6))]
             return F.coalesce(*tries, expr.distance("a", "b"))
 
         return expr.let(first, tried)

@@ -330,3 +330,26 @@ def test_pairs_as_a_data_source(spark, tmp_path):
     query = spark.readStream.format("seqpairs").load(str(root)).select("a", "b").writeStream.format("memory").queryName("seq_in").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("seq_in").count() == 64
+
+
+def test_parameters_change_the_plan_and_no_cost(spark, pairs):
+    """Lower bounds from seeds are functions in the plan, with or without a bound, and where scripts are asked for."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    calls = lambda df: plan(df).count("ArrowEvalPython")
+    plain, full = aligner("nw"), aligner("full", k=3)
+    assert calls(plain.costs(pairs)) == 0 < calls(full.costs(pairs)) and calls(aligner("default", k=3, r=1).costs(pairs)) > 0
+    assert calls(aligner("full", k=3, bound=4).costs(pairs)) > 0 == calls(aligner("nw", bound=4).costs(pairs))
+    assert calls(aligner("full", k=3, bound=4).align(pairs)) > calls(aligner("nw", bound=4).align(pairs))
+    assert "levenshtein" in plan(aligner("simple").costs(pairs)) and calls(aligner("simple").costs(pairs)) == 0
+    expected = {r.id: r.cost for r in plain.costs(pairs).collect()}
+    for k, r, look in ((3, 1, 0), (5, 2, 0), (3, 1, 2)):
+        for name in ("default", "full", "chained"):
+            own = aligner(name, k=k, r=r, look_ahead=look)
+            assert {x.id: x.cost for x in own.costs(pairs).collect()} == expected
+    twice = pairs.unionByName(pairs).unionByName(pairs.selectExpr("CAST(NULL AS BIGINT) AS id", "a", "b"))
+    assert aligner("chained", k=3, bound=9).costs(twice).count() == twice.count()
+    near = {(r.id, r.cost) for r in aligner("chained", k=3, bound=4).costs(twice).collect() if r.id is not None}
+    assert near == {(k, c if c is not None and c <= 4 else None) for k, c in expected.items()}
