@@ -25,7 +25,7 @@ from seqloom.llm.common import forget, free_name, least_hashed, rows_of, saved,
 from seqloom.llm.components import components
 
 BITS = 64
-TILE = 2048
+TILE = 512
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -334,7 +334,7 @@ _KEYED = [("shingle", "<u4"), ("size", "<i4"), ("node", "<i8"), ("fp", "<u8"), (
 def _runs(nodes: DataFrame, parts: int, of_run: Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
     """nodes: node, size, fp, rare, root. Pairs (u, v) of what of_run gives for each shingle with more than one set: its
     rows, in order of size. Rows cross the shuffle packed, by bucket of shingles, and one bucket is held at a time."""
-    buckets = 16 * parts
+    buckets = parts  # a packed row for each bucket and slice of rows: their number must not grow with its square
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
