@@ -85,6 +85,29 @@ def bounded_align(a: ColumnOrName, b: ColumnOrName, bound: int) -> Column:
     return F.when(found["cost"].isNotNull(), found)
 
 
+@arrow_udf(INT)
+def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    places, x, y = _known(a, b)
+    return _spread(pa.array(kernels.distances(x, y), pa.int32()), places, len(a))
+
+
+def long_distance(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """expr.distance by the bit-parallel kernel, many pairs at once: for pairs of hundreds of letters, which take the JVM
+    milliseconds each. Null if either is."""
+    return _distance(_binary(a), _binary(b))
+
+
+def doubled_distance(a: ColumnOrName, b: ColumnOrName, lower: Column, bound: int) -> Column:
+    """long_distance() by bounds that double, those below the lower bound passed over (kernels.doubled)."""
+
+    @arrow_udf(INT)
+    def run(x: pa.Array, y: pa.Array, h: pa.Array) -> pa.Array:
+        places, p, q = _known(x, y)
+        return _spread(pa.array(kernels.doubled(p, q, h.take(pa.array(places)).to_numpy(zero_copy_only=False), bound), pa.int32()), places, len(x))
+
+    return run(_binary(a), _binary(b), lower)
+
+
 def alignment_cost(a: ColumnOrName, b: ColumnOrName, model: CostModel | str, bound: int | None = None) -> Column:
     """Cost under any model; null if there is no alignment, or it costs more than bound. Pairs are computed together,
     those of like lengths at a time; the work grows with the cost."""

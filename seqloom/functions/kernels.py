@@ -62,6 +62,103 @@ def distance(a: bytes, b: bytes) -> int:
     return cost
 
 
+#: Words of the masks of all pairs that are scored together, and pairs at most.
+SCORED, LANES = 1 << 20, 2048
+
+
+def distances(a: list[bytes], b: list[bytes], bound: int | None = None) -> np.ndarray:
+    """Distances of many pairs, 64 places of each pair's column to a number. With a bound only numbers are computed that
+    hold diagonals within it: distances up to it are exact, others come out larger than it.
+    """
+    out = np.empty(len(a), np.int64)
+    order = sorted(range(len(a)), key=lambda x: (-(-len(b[x]) // 64), len(a[x])))
+    e = 0
+    while e < len(order):
+        s, e = e, e + 1
+        words = -(-len(b[order[s]]) // 64)
+        while e < len(order) and -(-len(b[order[e]]) // 64) == words and e - s < LANES and (e - s + 1) * (4 * words + len(a[order[e]])) < SCORED:
+            e += 1
+        rows = order[s:e]
+        out[rows] = _scored([a[x] for x in rows], [b[x] for x in rows], max(1, words), bound)
+    return out
+
+
+def _scored(a: list[bytes], b: list[bytes], words: int, bound: int | None) -> np.ndarray:
+    """distances() of pairs of so many words. Cells beyond the band are taken to be one more than their neighbours, which
+    they are at most. score: each pair's cost at the end of the band's last word."""
+    k, n = len(a), max(map(len, a))
+    size_a, size_b = (np.array([len(x) for x in y]) for y in (a, b))
+    if bound is not None and bound >= max(n, int(size_b.max())):
+        bound = None
+    text_a, text_b = np.zeros((k, n + 1), np.uint8), np.zeros((k, 64 * words), np.uint8)
+    for r in range(k):
+        text_a[r, : len(a[r])] = np.frombuffer(a[r], np.uint8)
+        text_b[r, : len(b[r])] = np.frombuffer(b[r], np.uint8)
+    there = np.arange(64 * words) < size_b[:, None]
+    letters = np.flatnonzero(np.bincount(text_b[there], minlength=256))
+    masks = np.zeros((words, len(letters) + 1, k), "<u8")  # the last: letters that b lacks
+    for x, c in enumerate(letters):
+        masks[:, x] = np.packbits((text_b == c) & there, axis=1, bitorder="little").view("<u8").T
+    masks = masks.reshape(words, -1)
+    code = np.full(256, len(letters))
+    code[letters] = np.arange(len(letters))
+    at = np.ascontiguousarray((code[text_a] * k + np.arange(k)[:, None]).T)
+    one, top = np.uint64(1), np.uint64(63)
+    up, down = np.full((words, k), ~np.uint64(0)), np.zeros((words, k), np.uint64)
+    last = words - 1 if bound is None else min(words - 1, bound // 64)
+    score, out = np.full(k, 64 * (last + 1)), np.zeros(k, np.int64)
+
+    def finished(i: int) -> None:
+        own = np.flatnonzero(size_a == i)
+        if len(own):
+            place = size_b[own]
+            w = np.arange(last + 1)[:, None]
+            over = ~np.uint64(0) << np.clip(place - 64 * w, 0, 63).astype(np.uint64)
+            over[place >= 64 * (w + 1)] = 0
+            rest = np.bitwise_count(up[: last + 1, own] & over).astype(np.int64) - np.bitwise_count(down[: last + 1, own] & over)
+            # What lies below the band's last word is one more each.
+            out[own] = score[own] - rest.sum(axis=0) + np.maximum(0, place - 64 * (last + 1))
+            if bound is not None:  # an end outside the band was not computed
+                out[own[abs(i - place) > bound]] = bound + 1
+
+    finished(0)
+    for i in range(n):
+        first = 0
+        if bound is not None:
+            if last < min(words - 1, (i + 1 + bound) // 64):
+                last += 1
+                score += 64
+            first = min(last, max(0, i - bound) // 64)
+        plus, minus = np.ones(k, np.uint64), np.zeros(k, np.uint64)  # what the row below a word's first rises or falls by
+        for w in range(first, last + 1):
+            p, m, eq = up[w], down[w], masks[w].take(at[i], mode="clip")
+            vertical = eq | m
+            eq |= minus
+            zero = (((eq & p) + p) ^ p) | eq
+            right, left = m | ~(zero | p), p & zero
+            plus, right = right >> top, right << one | plus
+            minus, left = left >> top, left << one | minus
+            up[w] = left | ~(vertical | right)
+            down[w] = right & vertical
+        score += plus.astype(np.int64) - minus.astype(np.int64)
+        finished(i + 1)
+    return out
+
+
+def doubled(a: list[bytes], b: list[bytes], low: np.ndarray, bound: int) -> np.ndarray:
+    """distances() by bounds that double from `bound` on until one holds, so that near pairs are told from few diagonals.
+    low: lower bounds; bounds below them are passed over. The sixth is the last; then there is none."""
+    out, left = np.zeros(len(a), np.int64), np.arange(len(a))
+    for t in range(7):
+        most = bound << t if t < 6 else None
+        own = left if most is None else left[low[left] <= most]
+        found = distances([a[x] for x in own], [b[x] for x in own], most)
+        holds = np.ones(len(own), bool) if most is None else found <= most
+        out[own[holds]] = found[holds]
+        left = np.setdiff1d(left, own[holds])
+    return out
+
+
 #: Letters of b up to which pairs are traced many at a time, and bytes of their masks.
 TOGETHER, MASK_BYTES = 512, 1 << 25
 #: Ops as numbers.

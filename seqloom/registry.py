@@ -45,9 +45,15 @@ FROM (
 PAIRS_SQL = PAIRS.replace("{string}", "varchar")
 
 
+def dealt(keys: DataFrame, by: str) -> DataFrame:
+    """keys in as many parts as shuffles make, and none merged with others because it is small: a file of keys has few row
+    groups, and the pairs made from a few bytes take much work."""
+    return keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, a, b) of every order."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    orders = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey")
     return spark.sql(PAIRS.replace("{string}", "string").replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
@@ -427,7 +433,7 @@ def very_long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("bigint").alias("id"), "s_suppkey")
     a = suppliers.select("id", F.expr(f"substring(concat({', '.join(_LONG_PART.format(t=t) for t in range(157))}), 1, 5000)").alias("a"))
     edits = "CASE id % 3 WHEN 0 THEN replace(replace(a, 'ACGA', 'AGA'), 'TTCT', 'TTGGCT') WHEN 1 THEN replace(replace(a, 'CGG', 'CAG'), 'GATT', '') ELSE concat(substring(a, 1, 900), repeat('ACGTTTGACA', 30), substring(a, 1400)) END"
-    return a.repartition("id").withColumn("b", F.expr(edits))  # few rows with much work each
+    return dealt(a, "id").withColumn("b", F.expr(edits))  # few rows with much work each
 
 
 @query("long_affine_align", with_pairs=False)
@@ -810,14 +816,15 @@ LONG_SQL = LONG_PAIRS.replace("{string}", "varchar")
 
 def long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, a, b) of every customer: 255 to 515 letters; few edits, many substitutions, one long gap, or unlike."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    customer = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")
     return spark.sql(LONG_PAIRS.replace("{string}", "string").replace("FROM customer", "FROM {customer}"), customer=customer)
 
 
 @query("long_unit_distance", f"SELECT id, levenshtein(a, b)::INT AS cost, (CASE WHEN levenshtein(a, b) <= 60 THEN levenshtein(a, b) END)::INT AS near FROM ({LONG_SQL})", with_pairs=False)
 def long_unit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = long_pairs(spark, sf_dir)
-    return p.select("id", expr.distance("a", "b").alias("cost"), expr.bounded_distance("a", "b", 60).alias("near"))
+    found = p.select("id", A.long_distance("a", "b").alias("cost"))
+    return found.withColumn("near", F.when(F.col("cost") <= 60, F.col("cost")))
 
 
 @query("long_align", f"SELECT id, levenshtein(a, b)::INT AS cost, levenshtein(a, b)::INT AS script_cost, true AS ok FROM ({LONG_SQL})", with_pairs=False)

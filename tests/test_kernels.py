@@ -323,3 +323,21 @@ def test_traces_look_at_what_a_match_can_span(pattern, text, u):
                 op, i, j = "X", i - 1, j - 1
             K.pushed(script, op)
         assert K.search_trace(pattern, text, index, u) == (i, j, script[::-1])
+
+
+@pytest.mark.parametrize("bound", [None, 0, 1, 5, 63, 64, 65, 130])
+def test_distances_of_many_pairs(bound):
+    """Lengths around words' ends, letters that only one side has, ends inside and outside the band."""
+    random, a, b = np.random.default_rng(5), [], []
+    for n in (0, 1, 2, 63, 64, 65, 127, 128, 129, 200, 300):
+        for m in (0, 1, 62, 64, 66, 128, 130, 190, 257, 300):
+            x = bytes(random.choice(list(b"ACGT"), n).tolist())
+            a.append(x)
+            b.append((x + bytes(random.choice(list(b"ACGTN"), m).tolist()))[:m])
+            a.append(x)
+            b.append(b"".join(x[s : s + 1] if random.random() > 0.1 else b"AC" for s in range(n)))
+    expected = [K.distance(x, y) for x, y in zip(a, b, strict=True)]
+    found = K.distances(a, b, bound).tolist()
+    assert bound is None or any(x <= bound for x in expected) and any(x > bound for x in expected)
+    assert [x if bound is None or x <= bound else -1 for x in found] == [x if bound is None or x <= bound else -1 for x in expected]
+    assert K.doubled(a, b, np.array([abs(len(x) - len(y)) for x, y in zip(a, b, strict=True)]), 2).tolist() == expected
