@@ -160,7 +160,7 @@ def doubled(a: list[bytes], b: list[bytes], low: np.ndarray, bound: int) -> np.n
 
 
 #: Letters of b up to which pairs are traced many at a time, and bytes of their masks.
-TOGETHER, MASK_BYTES = 512, 1 << 25
+TOGETHER, MASK_BYTES = 1024, 1 << 25
 #: Ops as numbers.
 OPS = "=IDX"
 
