@@ -244,7 +244,8 @@ def matches_in_cone(pairs: DataFrame, k: int) -> DataFrame:
     reach = own.select("id", "start", "q", low.alias("low"), high.alias("high")).where("low <= high")
     reach = reach.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / CONE_BIN), F.floor(F.col("high") / CONE_BIN))))
     windows = kmers(pairs, k).withColumn("bin", F.floor(F.col("j") / CONE_BIN))
-    met = reach.join(windows, ["id", "q", "bin"]).where("j BETWEEN low AND high")
+    # Both sides are merged by key: before rows are made of lists they look small enough to send to every task.
+    met = reach.join(windows.hint("merge"), ["id", "q", "bin"]).where("j BETWEEN low AND high")
     return met.select("id", F.col("start").alias("start_i"), F.col("j").alias("start_j"), (F.col("start") + k).alias("end_i"), (F.col("j") + k).alias("end_j"), F.lit(0).alias("match_cost"), F.lit(1).alias("seed_potential"))
 
 
