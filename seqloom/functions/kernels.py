@@ -293,6 +293,18 @@ def _traced_long(a: bytes, b: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _runs(np.zeros(len(ops), np.int64), np.frombuffer(bytes(reversed(ops)), np.uint8))[1:]
 
 
+def positions(found: Scripts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every position of every script, in order: the pair, i, j, and the cost up to there."""
+    pairs = np.arange(len(found.cost))
+    run = np.repeat(pairs, np.diff(np.r_[0, found.end]))
+    row, op = np.r_[pairs, np.repeat(run, found.count)], np.r_[np.full(len(pairs), -1), np.repeat(found.op, found.count)]
+    order = np.argsort(row, kind="stable")  # each pair's start, then its steps
+    row, op = row[order], op[order]
+    first = np.searchsorted(row, row)
+    out = (np.cumsum(step) for step in ((op >= 0) & (op != 1), (op >= 0) & (op != 2), op > 0))
+    return row, *(x - x[first] for x in out)
+
+
 def align(a: bytes, b: bytes) -> tuple[int, Script]:
     """aligns() of one pair."""
     found = aligns([a], [b])

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from seqloom.functions import align as A
-from seqloom.functions import cigar, expr, kernels
+from seqloom.functions import expr, kernels
 from seqloom.functions.expr import ColumnOrName
 from seqloom.operators import seeds as S
 
@@ -115,15 +114,19 @@ def kept_by_path(pairs: DataFrame, k: int, r: int = 1, kind: str = "csh") -> Dat
     """Matches (see seeds.matches) without those that a best path shows to be of no use: those that start on the pair's path
     where the bound from there is less than what the path still costs, so that they don't bring the bound up to it.
 
-    Path and matches are joined by pair and place, the path's at seeds' starts alone. ids are unique; null sides have no
-    matches.
+    Path, bounds and matches of a pair come from its own row, so nothing is joined or shuffled. Null sides have no matches.
     """
-    script = A.align("a", "b")
-    steps = pairs.select("id", script.alias("r")).select("id", "r.cost", F.explode(F.filter(cigar.path("r.cigar"), lambda w: w["i"] % k == 0)).alias("w"))
-    path = steps.select("id", "w.i", "w.j", (F.col("cost") - F.col("w.cost")).alias("left"))
-    places = F.transform(F.filter(cigar.path(script["cigar"]), lambda w: w["i"] % k == 0), lambda w: F.struct(w["i"].alias("i"), w["j"].alias("j")))
-    useless = path.join(at_places(pairs, places, kind, k, r), ["id", "i", "j"]).where("h < left").select("id", F.col("i").alias("start_i"), F.col("j").alias("start_j"))
-    return S.matches(pairs, k, r).join(useless, ["id", "start_i", "start_j"], "left_anti").select(*S.MATCH, "match_cost", "seed_potential")
+
+    def of(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray]) -> tuple[np.ndarray, list]:
+        scripts = kernels.aligns(a, b)
+        row, i, j, cost = kernels.positions(scripts)
+        row, i, j, cost = (x[i % k == 0] for x in (row, i, j, cost))
+        useless = _OF[kind](a, b, found, k, r, (row, i, j)) < scripts.cost[row] - cost
+        n, m = (int(_sizes(x).max(initial=0)) + 1 for x in (a, b))
+        kept = ~np.isin((found["row"] * n + found["start_i"]) * m + found["start_j"], ((row * n + i) * m + j)[useless])
+        return found["row"][kept], [found[c][kept] for c in (*S.MATCH[1:], "match_cost")]
+
+    return S.in_batches(pairs, k, r, of, S.MATCH_COLUMNS).withColumn("seed_potential", F.lit(r))
 
 
 KINDS = {"sh": sh, "csh": csh, "gcsh": gcsh}
