@@ -516,6 +516,23 @@ def _neighbours(code: np.ndarray, k: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
+def _edits(x: np.ndarray, k: int, y: np.ndarray, length: int) -> np.ndarray:
+    """Edits between words of k letters and of k - 1, k or k + 1, up to 1; 2 stands for more."""
+    if length == k:
+        unlike = x ^ y
+        return np.minimum(np.bitwise_count((unlike | unlike >> 1) & (0x5555555555555555 & ((1 << 2 * k) - 1))).astype(np.int64), 2)
+    # One letter left out of the longer word gives the shorter one: the letters that both begin and end with are all of it.
+    (more, n), (less, m) = ((x, k), (y, length)) if k > length else ((y, length), (x, k))
+    ends = more ^ less
+    same = np.where(ends == 0, m, (np.frexp((ends & -ends).astype(np.float64))[1] - 1) >> 1)  # at the end
+    begins = (more >> 2) ^ less
+    top = np.frexp(begins.astype(np.float64))[1]
+    # Rounding to a double can raise a number to the next power of two; then it has one bit less.
+    top -= (begins >> np.maximum(top - 1, 0)) == 0
+    same = np.minimum(same, m) + np.where(begins <= 0, m, m - (top + 1 >> 1))
+    return np.where(same >= m, 1, 2)
+
+
 def batch_matches(a: list[bytes], b: list[bytes], k: int, r: int) -> dict[str, np.ndarray]:
     """Matches of many pairs of A, C, G, T at once: row (the pair), start_i, start_j, end_i, end_j, match_cost, each once, in
     this order. Seeds and windows are joined on pair and code by sorting."""
@@ -530,30 +547,45 @@ def batch_matches(a: list[bytes], b: list[bytes], k: int, r: int) -> dict[str, n
     row = np.repeat(np.arange(len(a)), count)
     start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * k
     own = window_codes(side_a, k)[first_a[row] + start] if len(row) else np.zeros(0, np.int64)
-    wanted: dict[int, list[tuple[np.ndarray, int]]] = {k: [(own, 0)]}
-    if r == 2:
-        for length, codes in _neighbours(own, k):
-            wanted.setdefault(length, []).append((codes, 1))
     row_b = np.repeat(np.arange(len(b)), size_b)
-    found = []
-    for length, lists in wanted.items():
-        if not length:
-            continue  # a deletion of all of a seed is found anywhere, and tells nothing
+
+    def joined(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Seeds and places of b: windows of that length with the seed's code."""
         windows = window_codes(side_b, length)
         at = np.flatnonzero(row_b[: len(windows)] == row_b[length - 1 :]) if len(windows) else np.zeros(0, np.int64)
-        codes, number = np.unique(windows[at], return_inverse=True)
-        key = row_b[at] * max(1, len(codes)) + number
+        known, number = np.unique(windows[at], return_inverse=True)
+        key = row_b[at] * max(1, len(known)) + number
         order = np.argsort(key, kind="stable")
         key, place = key[order], (at - first_b[row_b[at]])[order]
-        for code, cost in lists:
-            known = np.searchsorted(codes, code)
-            there = np.flatnonzero((known < len(codes)) & (codes[np.minimum(known, max(0, len(codes) - 1))] == code)) if len(codes) else np.zeros(0, np.int64)
-            want = row[there] * max(1, len(codes)) + known[there]
-            low, n = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
-            n -= low
-            seed = np.repeat(there, n)
-            j = place[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(seed))]
-            found.append(np.stack([row[seed], start[seed], j, start[seed] + k, j + length, np.full(len(seed), cost)]))
+        where = np.searchsorted(known, codes)
+        there = np.flatnonzero((where < len(known)) & (known[np.minimum(where, max(0, len(known) - 1))] == codes)) if len(known) else np.zeros(0, np.int64)
+        want = row[there] * max(1, len(known)) + where[there]
+        low, n = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
+        n -= low
+        return np.repeat(there, n), place[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+    def matches(seed: np.ndarray, j: np.ndarray, length: int, cost: np.ndarray | int) -> np.ndarray:
+        return np.stack([row[seed], start[seed], j, start[seed] + k, j + length, np.zeros(len(seed), np.int64) + cost])
+
+    found = []
+    if r == 1:
+        found.append(matches(*joined(own, k), k, 0))
+    elif k < 4:  # halves of so few letters are found nearly everywhere
+        wanted: dict[int, list[tuple[np.ndarray, int]]] = {k: [(own, 0)]}
+        for length, codes in _neighbours(own, k):
+            wanted.setdefault(length, []).append((codes, 1))
+        # A deletion of all of a seed is found anywhere, and tells nothing.
+        found += [matches(*joined(codes, length), length, cost) for length, lists in wanted.items() if length for codes, cost in lists]
+    else:
+        # An edit leaves one half of the seed as it is: the first, where a match begins, or the last, where it ends.
+        half = k // 2
+        first, last = joined(own >> 2 * (k - half), half), joined(own & ((1 << 2 * (k - half)) - 1), k - half)
+        for length in (k - 1, k, k + 1):
+            seed, j = np.concatenate([first[0], last[0]]), np.concatenate([first[1], last[1] + (k - half) - length])
+            inside = (j >= 0) & (j + length <= size_b[row[seed]])
+            seed, j = seed[inside], j[inside]
+            cost = _edits(own[seed], k, window_codes(side_b, length)[first_b[row[seed]] + j] if len(seed) else own[:0], length)
+            found.append(matches(seed[cost < 2], j[cost < 2], length, cost[cost < 2]))
     rows = np.concatenate(found, axis=1)
     rows = rows[:, np.lexsort(rows[::-1])]
     new = np.ones(rows.shape[1], bool)
@@ -561,6 +593,26 @@ def batch_matches(a: list[bytes], b: list[bytes], k: int, r: int) -> dict[str, n
     return dict(zip(("row", "start_i", "start_j", "end_i", "end_j", "match_cost"), rows[:, new], strict=True))
 
 
+def consistent(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray], k: int, r: int) -> dict[str, np.ndarray]:
+    """batch_matches() and, of those that may cost one more, the matches with start or end one letter of b earlier or later
+    that are missing, as often as they come."""
+    near = np.flatnonzero(found["match_cost"] + 1 < r)
+    more = []
+    for s, e in ((0, 1), (0, -1), (1, 0), (-1, 0)):
+        own = {c: v[near] for c, v in found.items()}
+        more.append(own | {"start_j": own["start_j"] + s, "end_j": own["end_j"] + e, "match_cost": own["match_cost"] + 1})
+    added = {c: np.concatenate([x[c] for x in more]) for c in found}
+    base = np.cumsum([0, *map(len, a)])
+    most = max(map(len, b), default=0) + 3
+
+    def code(x: dict[str, np.ndarray]) -> np.ndarray:
+        place = (base[x["row"]] + x["row"] + x["start_i"]) * most + x["start_j"] + 1
+        return (place * (k + 5) + x["end_j"] - x["start_j"] + 2) * (r + 1) + x["match_cost"]
+
+    missing = ~np.isin(code(added), code(found))
+    return {c: np.concatenate([v, added[c][missing]]) for c, v in found.items()}
+
+
 def suffix_arrays(codes: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Of many sequences that lie end to end, each with a place behind its end: places of all suffixes, the empty one of each
     included, by sequence and in order within it. Ranks of twice as many letters come from two ranks of as many, until no
@@ -658,11 +710,11 @@ def locally_pruned(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray],
     base_a, base_b = (np.cumsum([0, *(len(x) for x in y[:-1])]) if y else np.zeros(0, np.int64) for y in (a, b))
     text_a, text_b = (np.frombuffer(b"".join(y) + b"?", np.uint8) for y in (a, b))
     size_b = np.array([len(x) for x in b], np.int64)
-    offset = np.arange(-r * look_ahead, r * look_ahead + 1)
+    offset = np.arange(-r * look_ahead, r * look_ahead + 1, dtype=np.int32)
     for s in range(0, len(row), step):
         own = np.arange(s, min(s + step, len(row)))
         stop = np.minimum(start[own] // k + look_ahead, n[row[own]] // k) * k
-        paths = np.where(offset == 0, cost[own, None], np.where(offset > 0, cost[own, None] + offset, 1 << 20))
+        paths = np.where(offset == 0, cost[own, None], np.where(offset > 0, cost[own, None] + offset, 1 << 20)).astype(np.int32)
         i = start[own] + k
         while len(own):
             j = end_j[own, None] + (i - start[own] - k)[:, None] + offset

@@ -102,7 +102,7 @@ def in_batches(pairs: DataFrame, k: int, r: int, of: Callable[..., tuple[np.ndar
     return own.mapInArrow(run, f"id {kind}, {columns}")
 
 
-_MATCH_COLUMNS = "start_i int, start_j int, end_i int, end_j int, match_cost int"
+MATCH_COLUMNS = "start_i int, start_j int, end_i int, end_j int, match_cost int"
 
 
 def _sized(pairs: DataFrame, k: int, r: int, look_ahead: int) -> DataFrame:
@@ -112,7 +112,7 @@ def _sized(pairs: DataFrame, k: int, r: int, look_ahead: int) -> DataFrame:
         n, m = (np.array([len(x) for x in y], np.int64)[found["row"]] for y in (a, b))
         return found["row"], [found[c] for c in MATCH[1:]] + [found["match_cost"], n, m]
 
-    return in_batches(pairs, k, r, of, f"{_MATCH_COLUMNS}, n int, m int", look_ahead)
+    return in_batches(pairs, k, r, of, f"{MATCH_COLUMNS}, n int, m int", look_ahead)
 
 
 def matches(pairs: DataFrame, k: int, r: int = 1, look_ahead: int = 0) -> DataFrame:
@@ -173,6 +173,16 @@ def consistent(found: DataFrame) -> DataFrame:
     return grouped.withColumn("_", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(found.columns)
 
 
+def consistent_matches(pairs: DataFrame, k: int, r: int = 2) -> DataFrame:
+    """consistent() of matches(): they are added where the pair is, so no row is moved."""
+
+    def of(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray]) -> tuple[np.ndarray, list]:
+        every = kernels.consistent(a, b, found, k, r)
+        return every["row"], [every[c] for c in (*MATCH[1:], "match_cost")]
+
+    return in_batches(pairs, k, r, of, MATCH_COLUMNS).withColumn("seed_potential", F.lit(r))
+
+
 def seed_costs(pairs: DataFrame, k: int, r: int = 1) -> DataFrame:
     """(id, start, end, seed_potential, seed_cost): seeds with the least cost of their matches (the potential where there
     is none)."""

@@ -36,6 +36,8 @@ class Aligner:
         tell which bounds needn't be tried. All are columns of the pair's own row, so ids may be null or repeat."""
         if (self.doubling or self.bounds) and self.bound is None and self.model.is_unit:
             return pairs.withColumn("cost", self._doubled())
+        if self.bound is None and self.model.is_unit:
+            return pairs.withColumn("cost", A.long_distance("a", "b"))
         near = self._near()
         if near is None:
             return pairs.withColumn("cost", A.alignment_cost("a", "b", self.model, self.bound))
@@ -50,13 +52,8 @@ class Aligner:
     def _doubled(self) -> Column:
         """The distance by bounds that grow until one holds, so that near pairs are told from few diagonals. Those below the
         lower bounds are passed over; the last has no bound."""
-        first = self._lower(F.col("a"), tuple(dict.fromkeys(("gap", *self.bounds))))
-
-        def tried(h: Column) -> Column:
-            tries = [F.when(h <= most, expr.bounded_distance("a", "b", most)) for most in (4 * (self.doubling or 2) ** t for t in range(6))]
-            return F.coalesce(*tries, expr.distance("a", "b"))
-
-        return expr.let(first, tried)
+        lower = self._lower(F.col("a"), tuple(dict.fromkeys(("gap", *self.bounds))))
+        return A.doubled_distance("a", "b", lower, 4 * (self.doubling or 2))
 
     def _near(self) -> Column | None:
         """Whether all lower bounds are within the bound: expressions first; those from seeds see the pairs that are left."""

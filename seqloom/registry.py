@@ -53,19 +53,28 @@ def dealt(keys: DataFrame, by: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, a, b) of every order."""
-    orders = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey")
-    return spark.sql(PAIRS.replace("{string}", "string").replace("FROM orders", "FROM {orders}"), orders=orders)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return _pairs_of(orders)
+
+
+def _pairs_of(orders: DataFrame) -> DataFrame:
+    return orders.sparkSession.sql(PAIRS.replace("{string}", "string").replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, with_pairs: bool = True) -> Callable[[Callable], Callable]:
-    """Registers a query; sql may use the view p (id, a, b)."""
+def _dealt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs_of(dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), "o_orderkey"))
+
+
+def query(name: str, sql: str | None = None, with_pairs: bool = True, heavy: bool = False) -> Callable[[Callable], Callable]:
+    """Registers a query; sql may use the view p (id, a, b). heavy: its pairs take much work each, so they are dealt to all
+    tasks, not only to those that read the keys."""
 
     def add(f: Callable) -> Callable:
-        _QUERIES[name] = (lambda spark, sf_dir: f(pairs(spark, sf_dir))) if with_pairs else f
+        _QUERIES[name] = (lambda spark, sf_dir: f((_dealt_pairs if heavy else pairs)(spark, sf_dir))) if with_pairs else f
         if sql is not None:
             if with_pairs:
                 head = f"p AS ({PAIRS_SQL})"
@@ -255,7 +264,7 @@ def mutations(p: DataFrame) -> DataFrame:
     return q.select("q", F.explode(S.mutations(F.col("q"), K2)).alias("m")).select("q", "m.kind", F.col("m.q").alias("w"))
 
 
-@query("matches_inexact", f"WITH {_INEXACT} SELECT * FROM m")
+@query("matches_inexact", f"WITH {_INEXACT} SELECT * FROM m", heavy=True)
 def matches_inexact(p: DataFrame) -> DataFrame:
     return S.matches_inexact(p, K2)
 
@@ -265,13 +274,13 @@ def matches_inexact(p: DataFrame) -> DataFrame:
     f"""WITH {_INEXACT},
 x AS (SELECT id, start_i, start_j + ds AS start_j, end_i, end_j + de AS end_j, match_cost + 1 AS match_cost, seed_potential
       FROM m, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(ds, de) WHERE match_cost + 1 < seed_potential)
-SELECT * FROM m UNION ALL SELECT x.* FROM x ANTI JOIN m USING (id, start_i, start_j, end_i, end_j, match_cost)""",
+SELECT * FROM m UNION ALL SELECT x.* FROM x ANTI JOIN m USING (id, start_i, start_j, end_i, end_j, match_cost)""", heavy=True,
 )
 def consistency_closure(p: DataFrame) -> DataFrame:
-    return S.consistent(S.matches_inexact(p, K2))
+    return S.consistent_matches(p, K2)
 
 
-@query("seed_costs", f"WITH {_INEXACT} SELECT s.id, s.start, s.start + {K2} AS \"end\", 2::INT AS seed_potential, coalesce(c.c, 2)::INT AS seed_cost FROM s LEFT JOIN (SELECT id, start_i, min(match_cost) AS c FROM m GROUP BY 1, 2) c ON s.id = c.id AND s.start = c.start_i")
+@query("seed_costs", f"WITH {_INEXACT} SELECT s.id, s.start, s.start + {K2} AS \"end\", 2::INT AS seed_potential, coalesce(c.c, 2)::INT AS seed_cost FROM s LEFT JOIN (SELECT id, start_i, min(match_cost) AS c FROM m GROUP BY 1, 2) c ON s.id = c.id AND s.start = c.start_i", heavy=True)
 def seed_costs(p: DataFrame) -> DataFrame:
     return S.seed_costs(p, K2, 2)
 
@@ -289,7 +298,7 @@ def matches_in_order(p: DataFrame) -> DataFrame:
 _P2 = lambda c: _p_sql(c, "n", K2, 2)
 
 
-@query("matches_built", f"WITH {_INEXACT}, t AS (SELECT m.*, length(a) AS n, length(b) AS o FROM m JOIN p USING (id)) SELECT id, start_i, start_j, end_i, end_j, match_cost, seed_potential, (min(match_cost) OVER (PARTITION BY id, start_i))::INT AS seed_cost FROM t WHERE start_i - start_j - {_P2('start_i')} <= n - o AND start_j - start_i - {_P2('start_i')} <= o - n")
+@query("matches_built", f"WITH {_INEXACT}, t AS (SELECT m.*, length(a) AS n, length(b) AS o FROM m JOIN p USING (id)) SELECT id, start_i, start_j, end_i, end_j, match_cost, seed_potential, (min(match_cost) OVER (PARTITION BY id, start_i))::INT AS seed_cost FROM t WHERE start_i - start_j - {_P2('start_i')} <= n - o AND start_j - start_i - {_P2('start_i')} <= o - n", heavy=True)
 def matches_built(p: DataFrame) -> DataFrame:
     return S.built(p, K2, 2, gaps=True)
 
@@ -319,7 +328,7 @@ def grown_matches(p: DataFrame) -> DataFrame:
     return S.grown_matches(p, _MOST)
 
 
-@query("matches_in_cone", f"WITH {_SEEDS}, {_KMERS}, {_MATCHES} SELECT m.*, 0::INT AS match_cost, 1::INT AS seed_potential FROM m JOIN p USING (id) WHERE start_i - start_j - greatest(length(a) // {K} - (start_i + {K} - 1) // {K}, 0) <= length(a) - length(b) AND start_j - start_i - greatest(length(a) // {K} - (start_i + {K} - 1) // {K}, 0) <= length(b) - length(a)")
+@query("matches_in_cone", f"WITH {_SEEDS}, {_KMERS}, {_MATCHES} SELECT m.*, 0::INT AS match_cost, 1::INT AS seed_potential FROM m JOIN p USING (id) WHERE start_i - start_j - greatest(length(a) // {K} - (start_i + {K} - 1) // {K}, 0) <= length(a) - length(b) AND start_j - start_i - greatest(length(a) // {K} - (start_i + {K} - 1) // {K}, 0) <= length(b) - length(a)", heavy=True)
 def matches_in_cone(p: DataFrame) -> DataFrame:
     return S.matches_in_cone(p, K)
 
@@ -469,7 +478,7 @@ f AS (SELECT *, 2 - match_cost AS score FROM t WHERE {near}),
 hs AS (SELECT p.id, (CASE WHEN r.v IS NULL THEN greatest(abs(length(a) - length(b)), {_p_sql("0", "length(a)", K2, 2)}) ELSE {_p_sql("0", "length(a)", K2, 2)} - r.v END)::INT AS h FROM p LEFT JOIN r USING (id))"""
 
 
-@query("gcsh_inexact_h0", f"WITH RECURSIVE {_inexact_gcsh_sql('a', 'b')} SELECT id, h FROM hs")
+@query("gcsh_inexact_h0", f"WITH RECURSIVE {_inexact_gcsh_sql('a', 'b')} SELECT id, h FROM hs", heavy=True)
 def gcsh_inexact_h0(p: DataFrame) -> DataFrame:
     return H.bound(p, "gcsh", K2, 2)
 
@@ -627,7 +636,7 @@ _PATH_SQL = f"path AS (SELECT id, i, j, total - cost AS left_ FROM (WITH RECURSI
 @query(
     "matches_kept_by_path",
     f"WITH RECURSIVE {_SEEDS}, {_KMERS}, {_MATCHES}, {_chain_sql('m', ('start_i', 'start_j'), ('end_i', 'end_j'))}, z AS (SELECT id, arg_max(st, k) AS st FROM g GROUP BY id), {_PATH_SQL} "
-    f"SELECT m.id, start_i, start_j, end_i, end_j, 0::INT AS match_cost, 1::INT AS seed_potential FROM m JOIN p USING (id) JOIN z USING (id) LEFT JOIN path ON path.id = m.id AND path.i = start_i AND path.j = start_j WHERE left_ IS NULL OR {_p_sql('start_i')} - list_max([y.v FOR y IN z.st IF y.i >= start_i AND y.j >= start_j]) >= left_",
+    f"SELECT m.id, start_i, start_j, end_i, end_j, 0::INT AS match_cost, 1::INT AS seed_potential FROM m JOIN p USING (id) JOIN z USING (id) LEFT JOIN path ON path.id = m.id AND path.i = start_i AND path.j = start_j WHERE left_ IS NULL OR {_p_sql('start_i')} - list_max([y.v FOR y IN z.st IF y.i >= start_i AND y.j >= start_j]) >= left_", heavy=True,
 )
 def matches_kept_by_path(p: DataFrame) -> DataFrame:
     return H.kept_by_path(p, K)
@@ -759,24 +768,24 @@ def _searched(p: DataFrame, u: float) -> DataFrame:
 
 
 for _name, _u, _sql in (("semiglobal_costs", 0.0, "0"), ("semiglobal_costs_half", 0.5, "((j + 1) // 2)"), ("semiglobal_costs_full", 1.0, "j")):
-    query(_name, f"WITH RECURSIVE {_SEARCH_SQL.format(u=_sql, un=_sql.replace('j', 'n'))} SELECT id, (k - 1)::INT AS idx, list_extract(c, k)::INT AS cost FROM (SELECT id, c, unnest(range(1, len(c) + 1)) AS k FROM f)")(
+    query(_name, f"WITH RECURSIVE {_SEARCH_SQL.format(u=_sql, un=_sql.replace('j', 'n'))} SELECT id, (k - 1)::INT AS idx, list_extract(c, k)::INT AS cost FROM (SELECT id, c, unnest(range(1, len(c) + 1)) AS k FROM f)", heavy=True)(
         lambda p, u=_u: _searched(p, u).select("id", F.posexplode("c").alias("idx", "cost"))
     )
 
 
 for _name, _u, _sql in (("search_blocks", 0.0, "0"), ("search_blocks_half", 0.5, "((j + 1) // 2)")):
-    query(_name, f"WITH RECURSIVE {_SEARCH_SQL.format(u=_sql, un=_sql.replace('j', 'n'))} SELECT id, (k - 1)::BIGINT AS idx, list_extract(c, k)::INT AS cost FROM (SELECT id, c, unnest(range(1, len(c) + 1)) AS k FROM f)")(
+    query(_name, f"WITH RECURSIVE {_SEARCH_SQL.format(u=_sql, un=_sql.replace('j', 'n'))} SELECT id, (k - 1)::BIGINT AS idx, list_extract(c, k)::INT AS cost FROM (SELECT id, c, unnest(range(1, len(c) + 1)) AS k FROM f)", heavy=True)(
         lambda p, u=_u: search_blocks(p.select("id", F.expr(_PATTERN).alias("pattern"), F.col("a").alias("text")), u, 7).select("id", "first", F.posexplode("costs").alias("k", "cost")).select("id", (F.col("first") + F.col("k")).alias("idx"), "cost")
     )
 
 
-@query("best_hit_per_text", f"WITH RECURSIVE {_SEARCH_SQL.format(u='j', un='n')} SELECT id, list_min(c)::INT AS cost, (list_position(c, list_min(c)) - 1)::INT AS idx FROM f")
+@query("best_hit_per_text", f"WITH RECURSIVE {_SEARCH_SQL.format(u='j', un='n')} SELECT id, list_min(c)::INT AS cost, (list_position(c, list_min(c)) - 1)::INT AS idx FROM f", heavy=True)
 def best_hit_per_text(p: DataFrame) -> DataFrame:
     s = _searched(p, 1.0)
     return s.select("id", F.array_min("c").alias("cost"), (F.array_position("c", F.array_min("c")) - 1).cast("int").alias("idx"))
 
 
-@query("search_trace_check", f"WITH RECURSIVE {_SEARCH_SQL.format(u='0', un='0')} SELECT id, list_min(c)::INT AS cost FROM f")
+@query("search_trace_check", f"WITH RECURSIVE {_SEARCH_SQL.format(u='0', un='0')} SELECT id, list_min(c)::INT AS cost FROM f", heavy=True)
 def search_trace_check(p: DataFrame) -> DataFrame:
     s = p.select("id", "a", F.expr(_PATTERN).alias("q")).withColumn("c", A.search("q", "a", 0.0))
     s = s.withColumn("idx", (F.array_position("c", F.array_min("c")) - 1).cast("int"))
@@ -785,7 +794,7 @@ def search_trace_check(p: DataFrame) -> DataFrame:
 
 for _name, _u, _sql in (("search_trace_half", 0.5, "((j + 1) // 2)"), ("search_trace_full", 1.0, "j")):
 
-    @query(_name, f"WITH RECURSIVE {_SEARCH_SQL.format(u=_sql, un=_sql.replace('j', 'n'))} SELECT id, list_min(c)::INT AS cost, (CASE WHEN i0 <= la THEN i0 ELSE la END)::INT AS i, (CASE WHEN i0 <= la THEN n ELSE n - (i0 - la) END)::INT AS j FROM (SELECT f.id, c, n, list_position(c, list_min(c)) - 1 AS i0, length(a) AS la FROM f JOIN p ON f.id = p.id)")
+    @query(_name, f"WITH RECURSIVE {_SEARCH_SQL.format(u=_sql, un=_sql.replace('j', 'n'))} SELECT id, list_min(c)::INT AS cost, (CASE WHEN i0 <= la THEN i0 ELSE la END)::INT AS i, (CASE WHEN i0 <= la THEN n ELSE n - (i0 - la) END)::INT AS j FROM (SELECT f.id, c, n, list_position(c, list_min(c)) - 1 AS i0, length(a) AS la FROM f JOIN p ON f.id = p.id)", heavy=True)
     def search_trace_unmatched(p: DataFrame, u: float = _u) -> DataFrame:
         """What the traced script costs, with the pattern's letters left over at both ends; and where the trace ends."""
         s = p.select("id", "a", F.expr(_PATTERN).alias("q")).withColumn("c", A.search("q", "a", u))
@@ -854,7 +863,7 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4()}"
 
 
-@query("read_seq", "SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2")
+@query("read_seq", "SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2", heavy=True)
 def read_seq(p: DataFrame) -> DataFrame:
     """Written in the .seq format, and read again."""
     path = _folder(p.sparkSession, "seq")
@@ -862,14 +871,14 @@ def read_seq(p: DataFrame) -> DataFrame:
     return read_pairs(p.sparkSession, path, kind="seq").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-@query("read_txt", "SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2")
+@query("read_txt", "SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2", heavy=True)
 def read_txt(p: DataFrame) -> DataFrame:
     path = _folder(p.sparkSession, "txt")
     p.select(F.concat("a", F.lit("\n"), "b")).write.text(path)
     return read_pairs(p.sparkSession, path).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-@query("read_fasta", "SELECT id, a, b FROM p WHERE a <> '' AND b <> ''")
+@query("read_fasta", "SELECT id, a, b FROM p WHERE a <> '' AND b <> ''", heavy=True)
 def read_fasta(p: DataFrame) -> DataFrame:
     path = _folder(p.sparkSession, "fasta")
     folded = lambda c: F.regexp_replace(c, "(.{20})", "$1\n")

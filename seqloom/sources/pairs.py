@@ -6,6 +6,10 @@ turn). Large files are split among tasks; a line's number in its file comes from
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +21,13 @@ def _extension(path: Column) -> Column:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Adds n, each row's number in its file. Windows hold one block of a file, or one number for each block."""
+    """Adds n, each row's number in its file. A block is read in order by one task, so a row's number in it is how far its id
+    is from the block's first; no row is moved. One row for each block goes to all tasks."""
     at = rows.withColumn("at", F.monotonically_increasing_id())
-    blocks = at.groupBy("file", "block").agg(F.count("*").alias("size"))
+    blocks = at.groupBy("file", "block").agg(F.count("*").alias("size"), F.min("at").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-    return at.withColumn("n", within).join(starts, ["file", "block"]).withColumn("n", F.col("n") + F.col("base")).drop("base", "at")
+    starts = blocks.select("file", "block", (F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    return at.join(F.broadcast(starts), ["file", "block"]).withColumn("n", F.col("at") + F.col("base")).drop("base", "at")
 
 
 def _lines(spark: SparkSession, path: str, separator: str, pattern: str) -> DataFrame:
@@ -31,6 +35,39 @@ def _lines(spark: SparkSession, path: str, separator: str, pattern: str) -> Data
     return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
+_PAIR = "file string, pair bigint, a string, b string, name_a string, name_b string, sides bigint"
+
+
+def _side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, n, value, name), each file's in the order of n, to pairs of an even n and the next. Sides whose partner
+    another task has are rows of their own, with nulls for it."""
+    names = [c.split()[0] for c in _PAIR.split(", ")]
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        n = rows["n"].to_numpy()
+        file = rows["file"].combine_chunks().dictionary_encode().indices.to_numpy()
+        met = np.zeros(len(n), bool)
+        met[:-1] = (n[:-1] % 2 == 0) & (n[1:] == n[:-1] + 1) & (file[1:] == file[:-1])
+        second = np.r_[False, met[:-1]]
+        at = np.flatnonzero(~second)
+        even = n[at] % 2 == 0
+        left, right = pa.array(at, mask=~even), pa.array(np.where(met[at], at + 1, at), mask=even & ~met[at])
+        side = lambda c, k: rows[c].combine_chunks().take(k)
+        columns = [side("file", pa.array(at)), pa.array(n[at] // 2), side("value", left), side("value", right), side("name", left), side("name", right), pa.array(1 + met[at].astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    kept = None  # the last row, whose partner may be in the next batch
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch] if kept is None else [kept, batch])
+            kept = batch.slice(batch.num_rows - 1)
+            whole = rows["n"][-1].as_py() % 2 == 1
+            yield pairs(rows if whole else rows.slice(0, len(rows) - 1))
+            kept = None if whole else kept
+    if kept is not None:
+        yield pairs(pa.Table.from_batches([kept]))
+
+
 def _paired(rows: DataFrame, strict: bool, prefixed: bool) -> DataFrame:
     rows = _numbered(rows)
     value, side = F.col("value"), F.col("n") % 2
@@ -38,9 +75,10 @@ def _paired(rows: DataFrame, strict: bool, prefixed: bool) -> DataFrame:
         mark = F.when(side == 0, ">").otherwise("<")
         fits = F.substring(value, 1, 1) == mark
         value = F.when(fits, F.substring(value, 2, 2**31 - 1)).otherwise(F.raise_error(F.concat(F.lit("a .seq line must start with > and < in turn: "), F.substring(value, 1, 40))))
-    one = lambda k, c: F.max(F.when(side == k, c))
-    pairs = rows.withColumn("value", value).groupBy("file", (F.floor(F.col("n") / 2)).alias("pair"))
-    out = pairs.agg(one(0, F.col("value")).alias("a"), one(1, F.col("value")).alias("b"), one(0, F.col("name")).alias("name_a"), one(1, F.col("name")).alias("name_b"), F.count("*").alias("sides"))
+    sides = rows.withColumn("value", value).select("file", "n", "value", "name").mapInArrow(_side_by_side, _PAIR)
+    one = lambda c: F.max(c).alias(c)
+    halves = sides.where("sides = 1").groupBy("file", "pair").agg(*map(one, ("a", "b", "name_a", "name_b")), F.sum("sides").alias("sides"))
+    out = sides.where("sides = 2").unionByName(halves)
     if strict:
         return out.withColumn("b", F.when(F.col("sides") == 2, F.col("b")).otherwise(F.raise_error(F.concat(F.lit("the last line of "), F.col("file"), F.lit(" has no partner"))))).drop("sides")
     return out.where("sides = 2").drop("sides")

@@ -341,3 +341,7 @@ def test_distances_of_many_pairs(bound):
     assert bound is None or any(x <= bound for x in expected) and any(x > bound for x in expected)
     assert [x if bound is None or x <= bound else -1 for x in found] == [x if bound is None or x <= bound else -1 for x in expected]
     assert K.doubled(a, b, np.array([abs(len(x) - len(y)) for x, y in zip(a, b, strict=True)]), 2).tolist() == expected
+
+
+def test_distances_of_no_pairs():
+    assert K.distances([], []).tolist() == [] and K.doubled([], [], np.zeros(0, int), 8).tolist() == []
