@@ -97,13 +97,15 @@ def long_distance(a: ColumnOrName, b: ColumnOrName) -> Column:
     return _distance(_binary(a), _binary(b))
 
 
-def doubled_distance(a: ColumnOrName, b: ColumnOrName, lower: Column, bound: int) -> Column:
-    """long_distance() by bounds that double, those below the lower bound passed over (kernels.doubled)."""
+def doubled_distance(a: ColumnOrName, b: ColumnOrName, lower: Column, bound: int, tries: range = range(7)) -> Column:
+    """long_distance() by bounds that double, those below the lower bound passed over (kernels.doubled). Null where none of
+    the tries holds."""
 
     @arrow_udf(INT)
     def run(x: pa.Array, y: pa.Array, h: pa.Array) -> pa.Array:
         places, p, q = _known(x, y)
-        return _spread(pa.array(kernels.doubled(p, q, h.take(pa.array(places)).to_numpy(zero_copy_only=False), bound), pa.int32()), places, len(x))
+        found = kernels.doubled(p, q, h.take(pa.array(places)).to_numpy(zero_copy_only=False), bound, tries)
+        return _spread(pa.array(found, pa.int32(), mask=found < 0), places, len(x))
 
     return run(_binary(a), _binary(b), lower)
 

@@ -145,11 +145,12 @@ def _scored(a: list[bytes], b: list[bytes], words: int, bound: int | None) -> np
     return out
 
 
-def doubled(a: list[bytes], b: list[bytes], low: np.ndarray, bound: int) -> np.ndarray:
+def doubled(a: list[bytes], b: list[bytes], low: np.ndarray, bound: int, tries: range = range(7)) -> np.ndarray:
     """distances() by bounds that double from `bound` on until one holds, so that near pairs are told from few diagonals.
-    low: lower bounds; bounds below them are passed over. The sixth is the last; then there is none."""
-    out, left = np.zeros(len(a), np.int64), np.arange(len(a))
-    for t in range(7):
+    low: lower bounds; bounds below them are passed over. The sixth is the last; then there is none. tries: which of these
+    are tried; -1 where none of them holds."""
+    out, left = np.full(len(a), -1), np.arange(len(a))
+    for t in tries:
         most = bound << t if t < 6 else None
         own = left if most is None else left[low[left] <= most]
         found = distances([a[x] for x in own], [b[x] for x in own], most)
@@ -697,8 +698,10 @@ def locally_pruned(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray],
     if some path from its end comes to the window's end, or to the start of a match that is kept, for less than the
     potential from the match's start up to there, the match's own cost included.
 
-    Which of these places a match can reach does not depend on what else is kept, so that is computed for all matches at
-    once; then being kept spreads from the matches that reach their window's end to those that reach one kept already.
+    Which of these places a match can reach does not depend on what else is kept, so being kept spreads from the matches
+    that reach their window's end to those that reach one kept already. A match is first followed only to the nearest
+    starts of others that it reaches, mostly the next of its diagonal's; it is kept if one of them is. Those that this
+    leaves open are followed through their whole window, all at once.
     """
     row, start, end_j, cost = (found[c] for c in ("row", "start_i", "end_j", "match_cost"))
     n = np.array([len(x) for x in a], np.int64)
@@ -711,8 +714,11 @@ def locally_pruned(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray],
     text_a, text_b = (np.frombuffer(b"".join(y) + b"?", np.uint8) for y in (a, b))
     size_b = np.array([len(x) for x in b], np.int64)
     offset = np.arange(-r * look_ahead, r * look_ahead + 1, dtype=np.int32)
-    for s in range(0, len(row), step):
-        own = np.arange(s, min(s + step, len(row)))
+
+    def follow(own: np.ndarray, nearest: bool) -> np.ndarray:
+        """Marks matches that reach their window's end, and notes the starts that they reach. nearest: only up to the first
+        place where they reach any; which ones stopped there."""
+        stopped = [own[:0]]
         stop = np.minimum(start[own] // k + look_ahead, n[row[own]] // k) * k
         paths = np.where(offset == 0, cost[own, None], np.where(offset > 0, cost[own, None] + offset, 1 << 20)).astype(np.int32)
         i = start[own] + k
@@ -731,6 +737,11 @@ def locally_pruned(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray],
                 reaching.append(own[x[hit]])
                 reached.append(at[hit])
                 going = ~last & (paths.min(axis=1) < potential(n[row[own]], start[own], k, r) - potential(n[row[own]], stop, k, r))
+                if nearest:
+                    stops = np.zeros(len(own), bool)
+                    stops[x[hit]] = True
+                    stopped.append(own[going & stops])
+                    going &= ~stops
                 own, i, stop, paths, j = own[going], i[going], stop[going], paths[going], j[going]
             if not len(own):
                 break
@@ -741,12 +752,21 @@ def locally_pruned(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray],
             paths[j + 1 > size_b[row[own], None]] = 1 << 20
             paths = np.minimum.accumulate(paths - offset, axis=1) + offset
             i = i + 1
-    reaching, reached = np.concatenate(reaching), np.concatenate(reached)
-    while True:
-        kept_start = np.zeros(len(starts), bool)
-        kept_start[of_start[keep]] = True
-        more = reaching[kept_start[reached]]
-        if keep[more].all():
-            break
-        keep[more] = True
+        return np.concatenate(stopped)
+
+    def spread() -> None:
+        of, to = np.concatenate(reaching), np.concatenate(reached)
+        while True:
+            kept_start = np.zeros(len(starts), bool)
+            kept_start[of_start[keep]] = True
+            more = of[kept_start[to]]
+            if keep[more].all():
+                return
+            keep[more] = True
+
+    left = np.arange(len(row))
+    for nearest in (True, False):
+        left = np.concatenate([left[:0], *(follow(left[s : s + step], nearest) for s in range(0, len(left), step))])
+        spread()
+        left = left[~keep[left]]
     return {c: v[keep] for c, v in found.items()}

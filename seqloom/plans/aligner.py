@@ -35,7 +35,7 @@ class Aligner:
         """pairs (id, a, b) with cost. With lower bounds, pairs beyond the bound never reach the cost; without a bound, they
         tell which bounds needn't be tried. All are columns of the pair's own row, so ids may be null or repeat."""
         if (self.doubling or self.bounds) and self.bound is None and self.model.is_unit:
-            return pairs.withColumn("cost", self._doubled())
+            return self._doubled(pairs)
         if self.bound is None and self.model.is_unit:
             return pairs.withColumn("cost", A.long_distance("a", "b"))
         near = self._near()
@@ -49,11 +49,19 @@ class Aligner:
         found = [cheap[x](a, "b") if x in cheap else heuristics.column(x, a, "b", self.k, self.r, self.look_ahead) for x in names]
         return F.greatest(*found) if len(found) > 1 else found[0]
 
-    def _doubled(self) -> Column:
+    def _doubled(self, pairs: DataFrame) -> DataFrame:
         """The distance by bounds that grow until one holds, so that near pairs are told from few diagonals. Those below the
-        lower bounds are passed over; the last has no bound."""
-        lower = self._lower(F.col("a"), tuple(dict.fromkeys(("gap", *self.bounds))))
-        return A.doubled_distance("a", "b", lower, 4 * (self.doubling or 2))
+        lower bounds are passed over; the last has no bound. Lower bounds from seeds cost more than the first bounds, so only
+        pairs have them that no bound of the first ones holds for."""
+        first = 4 * (self.doubling or 2)
+        seeded = tuple(x for x in self.bounds if x in _OF_SEEDS)
+        lower = self._lower(F.col("a"), tuple(dict.fromkeys(("gap", *(x for x in self.bounds if x not in _OF_SEEDS)))))
+        if not seeded:
+            return pairs.withColumn("cost", A.doubled_distance("a", "b", lower, first))
+        near = pairs.withColumn("_near", A.doubled_distance("a", "b", lower, first, range(UNSEEDED)))
+        far = F.when(F.col("_near").isNull(), F.col("a"))
+        cost = A.doubled_distance(far, "b", F.greatest(lower, self._lower(far, seeded)), first, range(UNSEEDED, 7))
+        return near.withColumn("cost", F.coalesce("_near", cost)).drop("_near")
 
     def _near(self) -> Column | None:
         """Whether all lower bounds are within the bound: expressions first; those from seeds see the pairs that are left."""
@@ -84,6 +92,8 @@ class Aligner:
 
 
 _OF_SEEDS = ("sh", "csh", "gcsh")
+#: Doubled bounds that are tried before lower bounds from seeds.
+UNSEEDED = 4
 STRATEGIES = {"plain": (), "banded": ("gap", "count"), "seeded": ("gap", "count", "sh"), "chained": ("gap", "count", "gcsh")}
 #: Parameter sets by name. bounds, k and r steer which pairs are dropped before they are scored; look_ahead
 #: (seeds) the local pruning of matches; doubling the growth of a bound from the first lower bound on (0: none).
