@@ -8,12 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import arrow_udf, pandas_udf
+from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StructField, StructType
 
 from seqloom.functions import cigar, kernels, wavefront
@@ -143,19 +142,38 @@ def affine_align(a: ColumnOrName, b: ColumnOrName, model: CostModel | str, bound
     return run(_binary(a), _binary(b))
 
 
-def _searches(p: pd.Series, t: pd.Series, unmatched: float) -> pd.Series:
-    known = [k for k, (x, y) in enumerate(zip(p, t, strict=True)) if x is not None and y is not None]
-    out = np.full(len(p), None, object)
-    for k, found in zip(known, kernels.searches([p.iloc[k] for k in known], [t.iloc[k] for k in known], unmatched), strict=True):
-        out[k] = found
-    return pd.Series(out, dtype=object)
+def flat(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all values, end to end, and how many each has; nulls have none."""
+    x = pc.fill_null(x.cast(pa.large_binary()), b"")
+    starts = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int64)
+    data = np.frombuffer(x.buffers()[2] or b"", np.uint8)[starts[0] : starts[-1]]
+    return data, np.diff(starts)
+
+
+#: Rows of an Arrow batch that are searched or traced at once.
+SOME = 2000
+
+
+def _in_parts(of: Callable[..., pa.Array], *sides: pa.Array) -> pa.Array:
+    """of() some rows at a time, so that what is held beside a batch and its result is bounded."""
+    return pa.concat_arrays([of(*(x.slice(s, SOME) for x in sides)) for s in range(0, max(1, len(sides[0])), SOME)])
+
+
+def _searches(p: pa.Array, t: pa.Array, unmatched: float) -> pa.Array:
+    def some(p: pa.Array, t: pa.Array) -> pa.Array:
+        there = pc.and_(pc.is_valid(p), pc.is_valid(t))
+        costs, size = kernels.search_costs(*flat(p.filter(there)), *flat(t.filter(there)), unmatched)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(costs, pa.int32()))
+        return _spread(lists, np.flatnonzero(there.to_numpy(zero_copy_only=False)), len(p))
+
+    return _in_parts(some, p, t)
 
 
 def search(pattern: ColumnOrName, text: ColumnOrName, unmatched: float = 0.0) -> Column:
-    """ARRAY<INT>: costs of the pattern's best match at each place of text (kernels.searches)."""
+    """ARRAY<INT>: costs of the pattern's best match at each place of text (kernels.search_costs)."""
 
-    @pandas_udf(INTS)
-    def run(p: pd.Series, t: pd.Series) -> pd.Series:
+    @arrow_udf(INTS)
+    def run(p: pa.Array, t: pa.Array) -> pa.Array:
         return _searches(p, t, unmatched)
 
     return run(col(pattern), col(text))
@@ -175,10 +193,19 @@ def trace_path(trace: Column) -> Column:
 def search_trace(pattern: ColumnOrName, text: ColumnOrName, index: ColumnOrName, unmatched: float = 0.0) -> Column:
     """STRUCT<text_start, pattern_start, cigar> of the match at a place of search()."""
 
-    @pandas_udf(_struct(text_start=INT, pattern_start=INT, cigar=cigar.TYPE))
-    def run(p: pd.Series, t: pd.Series, k: pd.Series) -> pd.DataFrame:
-        rows = [(None, None, None) if x is None or y is None or i is None or i != i else kernels.search_trace(x, y, int(i), unmatched) for x, y, i in zip(p, t, k, strict=True)]
-        return pd.DataFrame({"text_start": pd.array([r[0] for r in rows], "Int32"), "pattern_start": pd.array([r[1] for r in rows], "Int32"), "cigar": [None if r[2] is None else [{"op": o, "cnt": n} for o, n in r[2]] for r in rows]})
+    kind = pa.list_(pa.struct([("op", pa.string()), ("cnt", pa.int32())]))
+
+    def some(p: pa.Array, t: pa.Array, k: pa.Array) -> pa.Array:
+        rows = [(None, None, None) if x is None or y is None or i is None else kernels.search_trace(x, y, i, unmatched) for x, y, i in zip(*(c.to_pylist() for c in (p, t, k)), strict=True)]
+        ops, counts = (pa.array([run[c] for r in rows for run in r[2] or ()], kind.value_type[c].type) for c in (0, 1))
+        ends = np.cumsum([0, *(len(r[2] or ()) for r in rows)])
+        none = np.array([r[2] is None for r in rows], bool)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.r_[none, False]), pa.StructArray.from_arrays([ops, counts], ["op", "cnt"]))
+        return pa.StructArray.from_arrays([*(pa.array([r[c] for r in rows], pa.int32()) for c in (0, 1)), lists], ["text_start", "pattern_start", "cigar"])
+
+    @arrow_udf(_struct(text_start=INT, pattern_start=INT, cigar=cigar.TYPE))
+    def run(p: pa.Array, t: pa.Array, k: pa.Array) -> pa.Array:
+        return _in_parts(some, p, t, k)
 
     return run(col(pattern), col(text), col(index))
 
@@ -204,8 +231,8 @@ def register(spark: SparkSession) -> None:
             _checked(*pair)
         return _scripts(a, b)
 
-    @pandas_udf(INTS)
-    def seq_search(p: pd.Series, t: pd.Series) -> pd.Series:
+    @arrow_udf(INTS)
+    def seq_search(p: pa.Array, t: pa.Array) -> pa.Array:
         return _searches(p, t, 0.0)
 
     def by_model(x: pa.Array, y: pa.Array, model: pa.Array, of: Callable, kind: pa.DataType) -> pa.Array:

@@ -7,7 +7,6 @@ a list of (op, count): '=' and 'X' consume both, 'D' a, 'I' b. Other cost models
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import groupby
 from math import isqrt
 
 import numpy as np
@@ -354,54 +353,98 @@ def _search_rows(pattern: str, text: str, u: float, inside: bool = False) -> np.
 
 
 def searches(patterns: list[str], texts: list[str], u: float = 0.0, inside: list[bool] | None = None) -> list[np.ndarray]:
+    """search_costs() of each pair."""
+    sides = []
+    for x in (patterns, texts):
+        own = [t.encode() for t in x]
+        sides += [np.frombuffer(b"".join(own), np.uint8), np.array([len(t) for t in own], np.int64)]
+    found, size = search_costs(*sides, u, None if inside is None else np.array(inside, bool))
+    return np.split(found, np.cumsum(size)[:-1]) if len(size) else []
+
+
+#: Cells of one row of the grids of all pairs that are searched together, and costs that they give.
+SEARCHED, SEARCHED_COSTS = 1 << 16, 1 << 21
+
+
+def _code_table(letters: dict[str, str]) -> np.ndarray:
+    """By byte of a letter, or of its small form, a bit for each of A, C, G, T that it stands for; others: none."""
+    table = np.zeros(256, np.uint8)
+    for c, known in letters.items():
+        table[[ord(c), ord(c.lower())]] = sum(1 << "ACGT".index(x) for x in known)
+    return table
+
+
+_TEXT_BITS = _code_table({c: c for c in "ACGT"})
+_PATTERN_BITS = _code_table({c: c for c in "ACGT"} | WILDCARDS)
+
+
+def search_costs(patterns: np.ndarray, pattern_size: np.ndarray, texts: np.ndarray, text_size: np.ndarray, u: float = 0.0, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each pair the cost of the best match of the pattern that ends at each place of the text, then of matches over
-    its right end: of all but 1, 2, ... of the pattern's letters. Pairs with patterns of one length are computed together.
+    its right end: of all but 1, 2, ... of the pattern's letters. Patterns and texts lie end to end, as bytes, and so do
+    the costs; the second result is the number of each pair's. Pairs with patterns of one length are computed together,
+    a letter of all their texts at a time, with the pairs side by side.
+
     inside: texts that are blocks of longer ones, which go on to the left. From 2 * len(pattern) letters on their costs are
     those of the longer text, as no best match spans more.
     """
     if not 0 <= u <= 1:
         raise ValueError("the cost of unmatched letters must be from 0 to 1")
-    out: list = [None] * len(patterns)
-    order = sorted(range(len(patterns)), key=lambda x: (len(patterns[x]), len(texts[x])))
-    for n, same in groupby(order, key=lambda x: len(patterns[x])):
-        own = list(same)
-        step = max(1, SEARCHED // (n + 1))
-        for s in range(0, len(own), step):
-            rows = own[s : s + step]
-            for x, found in zip(rows, _searched([patterns[x] for x in rows], [texts[x] for x in rows], n, u, np.array([bool(inside and inside[x]) for x in rows])), strict=True):
-                out[x] = found
+    text, pattern = _TEXT_BITS[texts], _PATTERN_BITS[patterns]
+    if not text.all():
+        raise ValueError(f"text letter {_first_bad(texts, text)!r} is not one of ACGT")
+    if not pattern.all():
+        raise ValueError(f"pattern letter {_first_bad(patterns, pattern)!r} is not one of ACGT, N, *, Y, R")
+    count = text_size + pattern_size + 1
+    first, first_p, first_t = (np.cumsum(x) - x for x in (count, pattern_size, text_size))
+    out = np.empty(int(count.sum()), np.int32)
+    order = np.lexsort((text_size, pattern_size))
+    e = 0
+    while e < len(order):
+        s, n = e, int(pattern_size[order[e]])
+        most = min(int(np.searchsorted(pattern_size[order], n, "right")), s + max(1, SEARCHED // (n + 1)))
+        fits = (np.arange(s, most) - s + 1) * count[order[s:most]] <= SEARCHED_COSTS
+        e = s + max(1, int(fits.sum()))
+        own = order[s:e]
+        size = text_size[own]
+        letters = text[np.minimum(first_t[own] + np.arange(int(size[-1]))[:, None], max(0, len(text) - 1))] if size[-1] else np.zeros((0, len(own)), np.uint8)
+        sets = pattern[first_p[own] + np.arange(n)[:, None]] if n else np.zeros((0, len(own)), np.uint8)
+        found = _searched(sets, letters, size, u, np.zeros(len(own), bool) if inside is None else inside[own]).T
+        there = np.arange(found.shape[1]) < count[own, None]
+        out[(first[own, None] + np.arange(found.shape[1]))[there]] = found[there]
+    return out, count
+
+
+def _first_bad(data: np.ndarray, known: np.ndarray) -> str:
+    at = int(np.flatnonzero(known == 0)[0])
+    return data[at : at + 4].tobytes().decode("utf-8", "replace")[0]
+
+
+def _searched(sets: np.ndarray, letters: np.ndarray, size: np.ndarray, u: float, inside: np.ndarray) -> np.ndarray:
+    """Costs of pairs in order of their texts' sizes, by place and pair. Letters are bits; sets those that a pattern's letter
+    stands for."""
+    n = len(sets)
+    kind = np.int16 if n < 1 << 14 else np.int32
+    rest, steps = unmatched(n, u).astype(kind)[:, None], np.arange(n + 1, dtype=kind)[:, None]
+    row = np.where(inside, steps, rest)
+    out = np.zeros((len(letters) + n + 1, len(size)), kind)
+    cuts = np.searchsorted(size, np.arange(len(letters) + 1), "right").tolist()  # pairs whose text has ended
+    done = 0
+    for i, ended in enumerate(cuts):
+        out[i, done:] = row[n]
+        if ended > done:
+            out[i + 1 : i + n + 1, done:ended] = (row[:, : ended - done] + rest[-1] - rest)[:n][::-1]
+            row, sets, done = row[:, ended - done :], sets[:, ended - done :], ended
+        if i < len(letters):
+            t = np.zeros(row.shape, kind)
+            np.minimum(row[1:] + 1, row[:-1] + ((sets & letters[i, done:]) == 0), out=t[1:])
+            t -= steps
+            for j in range(n):
+                np.minimum(t[j + 1], t[j], out=t[j + 1])
+            t += steps
+            row = t
     return out
 
 
-#: Cells of one row of the grids of all pairs that are searched together.
-SEARCHED = 1 << 16
-
-
-def _searched(patterns: list[str], texts: list[str], n: int, u: float, inside: np.ndarray) -> list[np.ndarray]:
-    size = np.array([len(t) for t in texts])
-    code = np.full((len(texts), int(size.max(initial=0))), -1, np.int8)
-    number = {c: x for x, c in enumerate("ACGT")} | {c: x for x, c in enumerate("acgt")}
-    for x, t in enumerate(texts):
-        if bad := set(t) - number.keys():
-            raise ValueError(f"text letter {min(bad)!r} is not one of ACGT")
-        code[x, : len(t)] = [number[c] for c in t]
-    unlike = np.array([[[c not in s for s in _letters(p)] for c in "ACGT"] for p in patterns], np.int64).reshape(len(patterns), 4, n)
-    rest, steps, every = unmatched(n, u), np.arange(n + 1), np.arange(len(texts))
-    row = np.where(inside[:, None], steps, rest)
-    out = np.zeros((len(texts), code.shape[1] + n + 1), np.int64)
-    for i in range(code.shape[1] + 1):
-        out[:, i] = np.where(size >= i, row[:, n], out[:, i])
-        ends = np.flatnonzero(size == i)
-        if len(ends) and n:
-            out[ends, i + 1 : i + n + 1] = (row[ends] + rest[-1] - rest)[:, n - 1 :: -1] if n else 0
-        if i < code.shape[1]:
-            t = np.zeros((len(texts), n + 1), np.int64)
-            t[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + unlike[every, code[:, i]])
-            going = (size > i)[:, None]
-            row = np.where(going, np.minimum.accumulate(t - steps, axis=1) + steps, row)
-    return [out[x, : s + n + 1] for x, s in enumerate(size.tolist())]
-
-
 def search(pattern: str, text: str, u: float = 0.0) -> list[int]:
     """searches() of one pair."""
     return searches([pattern], [text], u)[0].tolist()

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import kernels
+from seqloom.functions.align import SOME, flat
 
 #: Letters of a block.
 BLOCK = 1 << 14
@@ -40,12 +42,20 @@ def search_blocks(rows: DataFrame, unmatched: float = 0.0, block: int = BLOCK) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pattern, part, skip, inside, last = (batch.column(c).to_pylist() for c in range(2, 7))
-            found = kernels.searches(pattern, part, unmatched, inside)
-            # Place `skip` is the block before's last; a text's very first place is the first block's.
-            own = [c[s + (s > 0 or i) : None if z else len(t) + 1] for c, s, i, z, t in zip(found, skip, inside, last, part, strict=True)]
-            first = [b * block + (b > 0) for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(first, pa.int64()), pa.array(own, pa.list_(pa.int32()))], names=["id", "block", "first", "costs"])
+            for at in range(0, batch.num_rows, SOME):
+                yield costs(batch.slice(at, SOME))
+
+    def costs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        number, skip = (batch.column(c).to_numpy().astype(np.int64) for c in (1, 4))
+        inside, last = (batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in (5, 6))
+        part, size = flat(batch.column(3))
+        found, count = kernels.search_costs(*flat(batch.column(2)), part, size, unmatched, inside)
+        # Place `skip` is the block before's last; a text's very first place is the first block's.
+        begin, end = skip + ((skip > 0) | inside), np.where(last, count, size + 1)
+        place = np.arange(len(found)) - np.repeat(np.cumsum(count) - count, count)
+        own = found[(place >= np.repeat(begin, count)) & (place < np.repeat(end, count))]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.maximum(0, end - begin))], pa.int32()), pa.array(own, pa.int32()))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(number * block + (number > 0), pa.int64()), lists], names=["id", "block", "first", "costs"])
 
     own = blocks(rows, block)
     dealt = own.repartition("id", "block")  # a text's blocks come from one row
