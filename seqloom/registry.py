@@ -863,19 +863,31 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4()}"
 
 
+def _counted(rows: DataFrame, path: str, *by: str) -> DataFrame:
+    """How often rows of the files in path repeat. They are grouped in parts whose number grows with the files, so that no
+    task holds more of them as the input grows."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SPLIT_PARTS * spark.read.text(path).rdd.getNumPartitions())
+    return rows.repartition(parts, *by).groupBy(*by).agg(F.count("*").alias("n"))
+
+
+#: Parts of a group-by for each split of the files that are read.
+SPLIT_PARTS = 8
+
+
 @query("read_seq", "SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2", heavy=True)
 def read_seq(p: DataFrame) -> DataFrame:
     """Written in the .seq format, and read again."""
     path = _folder(p.sparkSession, "seq")
     write_seq(p, path, ["id"])
-    return read_pairs(p.sparkSession, path, kind="seq").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return _counted(read_pairs(p.sparkSession, path, kind="seq"), path, "a", "b")
 
 
 @query("read_txt", "SELECT a, b, count(*) AS n FROM p GROUP BY 1, 2", heavy=True)
 def read_txt(p: DataFrame) -> DataFrame:
     path = _folder(p.sparkSession, "txt")
     p.select(F.concat("a", F.lit("\n"), "b")).write.text(path)
-    return read_pairs(p.sparkSession, path).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return _counted(read_pairs(p.sparkSession, path), path, "a", "b")
 
 
 @query("read_fasta", "SELECT id, a, b FROM p WHERE a <> '' AND b <> ''", heavy=True)
@@ -890,7 +902,7 @@ def read_fasta(p: DataFrame) -> DataFrame:
 def write_costs_lines(p: DataFrame) -> DataFrame:
     path = _folder(p.sparkSession, "costs")
     write_costs(aligner().align(p).withColumn("cigar", cigar.to_text("cigar")), path, ["id"])
-    return p.sparkSession.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+    return _counted(p.sparkSession.read.text(path).withColumnRenamed("value", "line"), path, "line")
 
 
 @query("simulated_reads", "SELECT 'chr' AS name, id::VARCHAR AS id, substring(b, 3, greatest(length(b) - 3, 0)) AS a, a AS b FROM p WHERE length(b) > 3")
@@ -923,7 +935,7 @@ def pairs_through_source(p: DataFrame) -> DataFrame:
     datasource.register(p.sparkSession)
     path = f"{shared_dir(p.sparkSession).rstrip('/')}/pairs-{uuid.uuid4()}"
     p.select("a", "b").write.format("seqpairs").mode("append").save(path)
-    return p.sparkSession.read.format("seqpairs").option("splitBytes", 100_000).load(path).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return _counted(p.sparkSession.read.format("seqpairs").option("splitBytes", 100_000).load(path), path, "a", "b")
 
 
 _GENERATED_SQL = "SELECT c_custkey::BIGINT AS id, [0, 1, 20, 65, 257][1 + c_custkey % 5] AS n, [0.0::DOUBLE, 0.05::DOUBLE, 1.0::DOUBLE][1 + c_custkey % 3] AS error_rate, ['uniform', 'noisy_insert', 'noisy_delete', 'symmetric_repeat'][1 + c_custkey % 4] AS error_model FROM customer"
