@@ -216,7 +216,11 @@ def repeated_spans(left: list[bytes], right: list[bytes], least: int) -> list[tu
         orders.append((np.array(order), np.array(common)))
     size_l, size_r = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     most_l, most_r = np.full(n, -1), np.full(n, -1)
-    for b in range(reach + 1):  # bytes before the anchor
+    # Which are equal, and long enough, changes with the bytes before the anchor (b) only at these numbers of them.
+    (_, common_l), (_, common_r) = orders
+    starts = np.unique(np.concatenate([[0], common_l + 1, least - common_r, size_l + 1, least - size_r]))
+    starts = starts[(starts >= 0) & (starts <= reach)].tolist()
+    for b, end in zip(starts, [*starts[1:], reach + 1], strict=True):
         fits = np.flatnonzero((size_l >= b) & (size_r >= least - b))
         if len(fits) < 2:
             continue
@@ -227,7 +231,7 @@ def repeated_spans(left: list[bytes], right: list[bytes], least: int) -> list[tu
             cls = cls * (n + 1) + own
         _, first, inverse = np.unique(cls[fits], return_index=True, return_inverse=True)
         again = fits[first[inverse.reshape(-1)] != np.arange(len(fits))]
-        most_l[again] = np.maximum(most_l[again], b)
+        most_l[again] = np.maximum(most_l[again], end - 1)
         most_r[again] = np.maximum(most_r[again], least - b)
     return [(int(a), int(b)) if a >= 0 else None for a, b in zip(most_l, most_r, strict=True)]
 
