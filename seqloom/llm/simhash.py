@@ -219,6 +219,10 @@ WORDS, SIMILAR = 5, (4, 5)
 WIDE, TIGHT = 25, 6
 #: Documents in which shingles are counted, and the count from which on one is common; at most so many are common.
 COUNTED, COMMON, COMMON_MOST = 20_000, 20, 200_000
+#: Sets that share a rare shingle, beyond which their parities are compared too, so that few pairs are left to verify.
+CROWD = 32
+#: Words of parities that are compared at once.
+MOST_WORDS = 1 << 20
 #: Pairs that a task holds before it hands them on.
 MOST_PAIRS = 100_000
 #: Bytes of rows of rare shingles for each partition: their number grows with the input.
@@ -245,6 +249,14 @@ def set_fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(found), bitorder="little").view("<i8")[0])
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each of a number of bits, a power of two and no fewer than the set has hashes, whether an odd number of hashes falls
+    on it. Two sets differ in at least as many hashes as bits; of unlike numbers the larger one is folded first."""
+    n = max(512, 1 << (len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def rare(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first shingles of the set in an order that all texts share, common ones last: as many as it takes for any two
     sets of the least similarity to have one of them in common."""
@@ -278,8 +290,8 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """For each row of texts: doc_id, key, node (a digest of its set), size (of the set), fp and its rare shingles (32 bits of
-    each, packed: what they have in common by chance is told by verifying)."""
+    """For each row of texts: doc_id, key, node (a digest of its set), size (of the set), fp, its rare shingles (32 bits of
+    each, packed: what they have in common by chance is told by verifying) and parities."""
     sent = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,11 +301,11 @@ def sketches(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 node = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), 7) for s in found), np.uint64, len(found)).view(np.int64)
                 first = [rare(s, sent.value).view(np.int64) for s in found]
                 lists = pa.array([x.astype("<i8").astype("<u4").tobytes() for x in first], pa.binary())
-                columns = [part.column(0), part.column(1), pa.array(node), pa.array([len(s) for s in found], pa.int32()), pa.array(map(set_fingerprint, found), pa.int64()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "size", "fp", "rare"])
+                columns = [part.column(0), part.column(1), pa.array(node), pa.array([len(s) for s in found], pa.int32()), pa.array(map(set_fingerprint, found), pa.int64()), lists, pa.array([parities(s).tobytes() for s in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "node", "size", "fp", "rare", "parities"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key bigint, node bigint, size int, fp bigint, rare binary")
+    return texts.select("doc_id", "key", "text").mapInArrow(run, f"doc_id {kind}, key bigint, node bigint, size int, fp bigint, rare binary, parities binary")
 
 
 def close_pairs(rows: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -310,10 +322,16 @@ def close_pairs(rows: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.
             yield i + x, j + y
 
 
-def forest(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of close_pairs as many as join what they all join: fewer than there are rows."""
-    label, found = np.arange(len(rows)), []
+def forest(rows: np.ndarray, radius: int, kept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of close_pairs (those that are kept, if given) as many as join what they all join: fewer than there are rows. label:
+    what is joined already; what the pairs join is added to it."""
+    label, found = np.arange(len(rows)) if label is None else label, []
     for x, y in close_pairs(rows, radius):
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        if kept is not None and len(x):
+            good = kept(x, y)
+            x, y = x[good], y[good]
         while True:
             apart = label[x] != label[y]
             x, y = x[apart], y[apart]
@@ -324,16 +342,43 @@ def forest(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             first = order[np.r_[True, high[order][1:] != high[order][:-1]]]
             found.append((x[first], y[first]))
             label[high[first]] = low[first]
-            label = _roots(label)
+            label[:] = _roots(label)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (label[:0], label[:0])
 
 
-_KEYED = [("shingle", "<u4"), ("size", "<i4"), ("node", "<i8"), ("fp", "<u8"), ("root", "<i8")]
+def alike(rows: np.ndarray, held: list[np.ndarray]) -> Callable[..., np.ndarray]:
+    """held: parities of rows (in order of size). A function of places x <= y: which pairs differ in no more bits than similar
+    sets may differ in hashes, or in no more than a share of that. It drops no similar pair."""
+    words = np.array([len(p) for p in held])
+    size = rows["size"].astype(np.int64)
+    own = {}
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero((words == w) | (words == 2 * w))  # sizes that fit have such numbers
+        place = np.zeros(len(held), np.int64)
+        place[at] = np.arange(len(at))
+        own[w] = place, np.stack([np.bitwise_xor.reduce(held[k].reshape(-1, w)) for k in at.tolist()])
+
+    def of(x: np.ndarray, y: np.ndarray, share: float = 1) -> np.ndarray:
+        good = np.zeros(len(x), bool)
+        for w, (place, p) in own.items():
+            at = np.flatnonzero(words[x] == w)
+            for k in range(0, len(at), max(1, MOST_WORDS // w)):
+                part = at[k : k + max(1, MOST_WORDS // w)]
+                differ = np.bitwise_count(p[place[x[part]]] ^ p[place[y[part]]]).sum(axis=1, dtype=np.int64)
+                good[part] = (SIMILAR[0] + SIMILAR[1]) * differ <= share * (SIMILAR[1] - SIMILAR[0]) * (size[x[part]] + size[y[part]])
+        return good
+
+    return of
 
 
-def _runs(nodes: DataFrame, parts: int, of_run: Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """nodes: node, size, fp, rare, root. Pairs (u, v) of what of_run gives for each shingle with more than one set: its
-    rows, in order of size. Rows cross the shuffle packed, by bucket of shingles, and one bucket is held at a time."""
+_KEYED = [("shingle", "<u4"), ("size", "<i4"), ("node", "<i8"), ("fp", "<u8")]
+_MEMBER = [("size", "<i4"), ("node", "<i8"), ("fp", "<u8"), ("root", "<i8")]
+
+
+def meetings(nodes: DataFrame, parts: int) -> DataFrame:
+    """nodes: node, size, fp, rare. (u, v, met): where two sets alone have a rare shingle (met 2), u and v are these, if they
+    are close; where more have it, a row for each: u the shingle, v the set, met how many have it. Rows cross the shuffle
+    packed, by bucket of shingles, and one bucket is held at a time."""
     buckets = parts  # a packed row for each bucket and slice of rows: their number must not grow with its square
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +388,7 @@ def _runs(nodes: DataFrame, parts: int, of_run: Callable[[np.ndarray], Iterator[
                 number = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
                 rows = np.empty(len(number), _KEYED)
                 rows["shingle"] = np.concatenate(lists) if lists else 0
-                for name, k in (("node", 0), ("size", 1), ("fp", 2), ("root", 4)):
+                for name, k in (("node", 0), ("size", 1), ("fp", 2)):
                     rows[name] = np.asarray(part.column(k)).astype(np.int64).view(np.uint64 if name == "fp" else np.int64)[number]
                 to = rows["shingle"] % buckets
                 order = np.argsort(to, kind="stable")
@@ -358,25 +403,15 @@ def _runs(nodes: DataFrame, parts: int, of_run: Callable[[np.ndarray], Iterator[
             rows = rows[np.lexsort([rows["node"], rows["size"], rows["shingle"]])]
             new = np.flatnonzero(np.r_[True, rows["shingle"][1:] != rows["shingle"][:-1]])
             size = np.diff(np.r_[new, len(rows)])
-            x = new[size == 2]  # most runs: told at once
+            x = new[size == 2]  # most runs
             near = (np.bitwise_count(rows["fp"][x] ^ rows["fp"][x + 1]) <= WIDE) & (SIMILAR[1] * rows["size"][x].astype(np.int64) >= SIMILAR[0] * rows["size"][x + 1].astype(np.int64))
-            x = x[near & (rows["root"][x] != rows["root"][x + 1])]
-            seen: set[tuple[int, int]] = set(zip(rows["node"][x].tolist(), rows["node"][x + 1].tolist(), strict=True))
-            for k in np.flatnonzero(size > 2).tolist():
-                own = rows[new[k] : new[k] + size[k]]
-                for x, y in of_run(own):
-                    for at in range(0, len(x), MOST_PAIRS):
-                        part = slice(at, at + MOST_PAIRS)
-                        seen.update(zip(own["node"][x[part]].tolist(), own["node"][y[part]].tolist(), strict=True))
-                        if len(seen) > MOST_PAIRS:
-                            yield pairs(seen)
-                            seen = set()
-            if seen:
-                yield pairs(seen)
-
-        def pairs(seen: set[tuple[int, int]]) -> pa.RecordBatch:
-            both = np.array(sorted(seen), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["u", "v"])
+            near &= rows["node"][x] != rows["node"][x + 1]
+            u, v = _pairs(rows["node"][x[near]], rows["node"][x[near] + 1])
+            met = np.repeat(size, size)
+            more = met > 2
+            u, v, met = np.r_[u, rows["shingle"][more].astype(np.int64)], np.r_[v, rows["node"][more]], np.r_[np.full(len(u), 2), met[more]]
+            for at in range(0, len(u), MOST_PAIRS):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + MOST_PAIRS], t) for c, t in ((u, pa.int64()), (v, pa.int64()), (met, pa.int32()))], names=["u", "v", "met"])
 
         held, bucket = [], None
         for batch in batches:
@@ -389,23 +424,88 @@ def _runs(nodes: DataFrame, parts: int, of_run: Callable[[np.ndarray], Iterator[
         if held:
             yield from out(held)
 
-    dealt = nodes.select("node", "size", "fp", "rare", "root").mapInArrow(deal, "bucket bigint, data binary")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "u bigint, v bigint").distinct()
+    dealt = nodes.select("node", "size", "fp", "rare").mapInArrow(deal, "bucket bigint, data binary")
+    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "u bigint, v bigint, met int")
+
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, the smaller one first."""
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
 
-def _first_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """As many close pairs as join what all of them join: of the closest ones alone, and of all."""
-    for radius in (TIGHT, WIDE):
-        yield forest(rows, radius)
 
+def _met_pairs(met: DataFrame, nodes: DataFrame, parts: int, of_run: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """met: as meetings() gives it; nodes: node, size, fp, parities, root. Pairs (u, v) of what of_run gives for each shingle
+    that more than two sets have: their rows, in order of size, and their parities (none unless the shingle is crowded). One
+    shingle's sets are held at a time."""
 
-def _other_pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            u, v = _pairs(*(np.concatenate(c) for c in zip(*done, strict=True)))
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        def told(parts: list[tuple[np.ndarray, list[bytes | None]]]) -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate([r for r, _ in parts]) if len(parts) > 1 else parts[0][0]
+            bits = [np.frombuffer(b, "<u8") for _, held in parts for b in held] if len(rows) > CROWD else []
+            for x, y in of_run(rows, bits):
+                if len(x):
+                    done.append((rows["node"][x], rows["node"][y]))
+                    if sum(len(a) for a, _ in done) > MOST_PAIRS:
+                        yield out()
+
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shingle = np.asarray(batch.column(0))
+            rows = np.empty(len(shingle), _MEMBER)
+            for k, name in enumerate(("node", "size", "fp", "root"), 1):
+                rows[name] = np.asarray(batch.column(k)).astype(np.int64).view(np.uint64 if name == "fp" else np.int64)
+            bits = batch.column(5)
+            cuts = np.r_[0, np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, len(shingle)].tolist()
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if held and shingle[s] != last:
+                    yield from told(held)
+                    held = []
+                last = shingle[s]
+                held.append((rows[s:e], bits.slice(s, e - s).to_pylist()))
+        if held:
+            yield from told(held)
+        if done:
+            yield out()
+
+    own = met.where("met > 2").select(F.col("u").alias("shingle"), F.col("v").alias("node"), "met")
+    rows = own.join(nodes, "node").select("shingle", "node", "size", "fp", "root", F.when(F.col("met") > CROWD, F.col("parities")).alias("parities"))
+    return rows.repartition(parts, "shingle").sortWithinPartitions("shingle", "size", "node").mapInArrow(run, "u bigint, v bigint")
+
+
+def _first_pairs(rows: np.ndarray, bits: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As many close pairs as join what all of them join: the closest ones first."""
+    label = np.arange(len(rows))
+    if bits:
+        like = alike(rows, bits)
+        yield forest(rows, WIDE, lambda x, y: like(x, y, 0.75), label)
+        yield forest(rows, WIDE, like, label)
+    else:
+        for radius in (TIGHT, WIDE):
+            yield forest(rows, radius, label=label)
+
+
+def _other_pairs(rows: np.ndarray, bits: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All close pairs that aren't joined yet."""
     if (rows["root"] == rows["root"][0]).all():
         return
+    like = alike(rows, bits) if bits else None
     for x, y in close_pairs(rows, WIDE):
         apart = rows["root"][x] != rows["root"][y]
-        yield x[apart], y[apart]
+        x, y = x[apart], y[apart]
+        if like is not None and len(x):
+            good = like(x, y)
+            x, y = x[good], y[good]
+        yield x, y
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -426,18 +526,22 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, key (a hash of its text), node (a digest of its set of shingles), root: equal for
     texts that links of similar sets join.
 
-    Similar sets have a rare shingle in common. Fingerprints of the sets that have it are compared in tiles, and pairs
-    that are close enough are verified by their sets: first pairs that join what all of them would, then those of the
-    others that are not joined yet. Shuffle files are given up after each step, so that few take room at once.
+    Similar sets have a rare shingle in common. Fingerprints of the sets that have it are compared in tiles (of many sets
+    their parities too), and pairs that are close enough are verified by their sets: first pairs that join what all of
+    them would, then those of the others that are not joined yet. Shuffle files are given up after each step, so that
+    few take room at once.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     own = saved(sketches(texts, common_shingles(texts)))
-    nodes = saved(own.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("rare").alias("rare"), F.min(F.struct("doc_id", "key")).alias("who")))
+    nodes = saved(own.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("rare").alias("rare"), F.first("parities").alias("parities"), F.min(F.struct("doc_id", "key")).alias("who")))
     forget(spark)
-    size = nodes.agg(F.sum(F.octet_length("rare"))).first()[0] or 0  # a rare shingle takes four bytes here, a row 32
+    size = nodes.agg(F.sum(F.octet_length("rare"))).first()[0] or 0  # a rare shingle takes four bytes here, a row 24
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-8 * size // PART_BYTES))
-    pairs = saved(_runs(nodes.withColumn("root", F.col("node")), parts, _first_pairs))
+    met = saved(meetings(nodes, parts))
+    forget(spark)
+    alone = met.where("met = 2").select("u", "v")
+    pairs = saved(alone.unionByName(_met_pairs(met, nodes.withColumn("root", F.col("node")), parts, _first_pairs)).distinct())
     forget(spark)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,7 +565,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     links = similar_pairs(pairs)
     roots = components(links)
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    others = saved(_runs(rooted, parts, _other_pairs).join(pairs, ["u", "v"], "left_anti"))
+    others = saved(_met_pairs(met, rooted, parts, _other_pairs).distinct().join(pairs, ["u", "v"], "left_anti"))
     forget(spark)
     if not others.isEmpty():
         more = similar_pairs(others)

@@ -194,3 +194,41 @@ def test_long_texts_null_ids_and_ties(spark):
     expected = [(-1, signed("a b c d"), -1)] * 2 + [(-1, signed(long), 7), (7, signed(long), 7), (9, signed(long + " tail"), 7), (3, 0, 3), (4, 0, 3), (4, 0, 3)]
     assert got == sorted(expected)
     assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_parities_drop_no_similar_pair():
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (3, 90, 460, 500, 515, 900, 1030, 3000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0.0, 0.02, 0.05, 0.09, 0.12, 0.3, 0.6):
+            k = int(share * n)
+            sets.append(np.unique(np.r_[base[k:], rng.integers(0, 2**63, rng.integers(0, k + 1), dtype=np.uint64)]))
+    sets.sort(key=len)
+    rows = np.zeros(len(sets), S._MEMBER)
+    rows["size"] = [len(x) for x in sets]
+    x, y = np.array([(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 5 * len(sets[a]) >= 4 * len(sets[b])]).T
+    true = np.array([S.similar(sets[a], sets[b]) for a, b in zip(x, y, strict=True)])
+    passed = S.alike(rows, [S.parities(s) for s in sets])(x, y)
+    assert passed[true].all() and len({len(S.parities(s)) for s in sets}) > 3
+    assert (passed & ~true).sum() < (~true).sum() / 4
+
+
+def test_large_group_of_near_copies_hands_on_few_pairs(spark, monkeypatch):
+    """Copies about as alike as the least similarity: many pairs are near by fingerprint and not similar."""
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(edited(r, base, r.randint(2, 5))) for _ in range(160)]
+    own = classes(similar_by_brute_force(texts), range(len(texts)))
+    assert 5 < len(set(own.values())) < len(texts)
+    handed, plain_verified = [], S.verified
+
+    def counted(pairs, sets):
+        handed.append(pairs.count())
+        return plain_verified(pairs, sets)
+
+    monkeypatch.setattr(S, "verified", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = S.near_copy_stage(spark, df, "").collect()
+    assert sorted(x.doc_id for x in kept) == sorted(set(own.values()))
+    assert len(handed) == 2 and handed[1] < 2 * len(texts), handed
