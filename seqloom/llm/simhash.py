@@ -220,7 +220,7 @@ WIDE, TIGHT = 25, 6
 #: Documents in which shingles are counted, and the count from which on one is common; at most so many are common.
 COUNTED, COMMON, COMMON_MOST = 20_000, 20, 200_000
 #: Sets that share a rare shingle, beyond which their parities are compared too, so that few pairs are left to verify.
-CROWD = 32
+CROWD = 16
 #: Words of parities that are compared at once.
 MOST_WORDS = 1 << 20
 #: Pairs that a task holds before it hands them on.
