@@ -536,7 +536,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     own = saved(sketches(texts, common_shingles(texts)))
     nodes = saved(own.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("rare").alias("rare"), F.first("parities").alias("parities"), F.min(F.struct("doc_id", "key")).alias("who")))
     forget(spark)
-    size = nodes.agg(F.sum(F.octet_length("rare"))).first()[0] or 0  # a rare shingle takes four bytes here, a row 24
+    size = nodes.agg(F.sum(F.octet_length("rare"))).first()[0] or 0  # a rare shingle takes four bytes here, a row less than 32
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-8 * size // PART_BYTES))
     met = saved(meetings(nodes, parts))
     forget(spark)
