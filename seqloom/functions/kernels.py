@@ -565,76 +565,178 @@ def _edits(x: np.ndarray, k: int, y: np.ndarray, length: int) -> np.ndarray:
     if length == k:
         unlike = x ^ y
         return np.minimum(np.bitwise_count((unlike | unlike >> 1) & (0x5555555555555555 & ((1 << 2 * k) - 1))).astype(np.int64), 2)
-    # One letter left out of the longer word gives the shorter one: the letters that both begin and end with are all of it.
-    (more, n), (less, m) = ((x, k), (y, length)) if k > length else ((y, length), (x, k))
-    ends = more ^ less
-    same = np.where(ends == 0, m, (np.frexp((ends & -ends).astype(np.float64))[1] - 1) >> 1)  # at the end
-    begins = (more >> 2) ^ less
-    top = np.frexp(begins.astype(np.float64))[1]
-    # Rounding to a double can raise a number to the next power of two; then it has one bit less.
-    top -= (begins >> np.maximum(top - 1, 0)) == 0
-    same = np.minimum(same, m) + np.where(begins <= 0, m, m - (top + 1 >> 1))
-    return np.where(same >= m, 1, 2)
+    # One letter left out of the longer word gives the shorter one: all letters that are unlike when both ends are laid upon
+    # each other lie before those that are unlike when both beginnings are (in front of all letters is a mark).
+    (more, less, m) = (x, y, length) if k > length else (y, x, k)
+    odd = 0x5555555555555555 & ((1 << 2 * m) - 1)
+    ends, begins = more ^ less, (more >> 2) ^ less
+    ends = (ends | ends >> 1) & odd | 1 << 2 * m
+    return np.where((begins | begins >> 1) & odd < (ends & -ends), 1, 2)
 
 
-def batch_matches(a: list[bytes], b: list[bytes], k: int, r: int) -> dict[str, np.ndarray]:
-    """Matches of many pairs of A, C, G, T at once: row (the pair), start_i, start_j, end_i, end_j, match_cost, each once, in
-    this order. Seeds and windows are joined on pair and code by sorting."""
-    code_of = np.full(256, 4, np.int64)
+def _ordered(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both by high, then low (none below 0): as one number each, where they fit in one."""
+    bits = int(low.max(initial=0)).bit_length()
+    if int(high.max(initial=0)).bit_length() + bits < 63:
+        both = np.sort(high << bits | low)
+        return both >> bits, both & ((1 << bits) - 1)
+    order = np.lexsort((low, high))
+    return high[order], low[order]
+
+
+#: Sides b of so many letters are looked through bit by bit, longer ones by codes; seeds and words that are filled together.
+NEAR, WORDS = 512, 1 << 15
+
+Hits = list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]
+
+
+def _hits(a: list[bytes], b: list[bytes], k: int, r: int, places: bool = True) -> tuple[np.ndarray, np.ndarray, Hits]:
+    """Seeds of many pairs of A, C, G, T (their pair and start), and where they are found: (seed, place of b, length, cost),
+    in no order and some more than once. Without places those of short sides may be wrong, the rest is not."""
+    code_of = np.full(256, 4, np.uint8)
     code_of[[65, 67, 84, 71]] = range(4)
     side_a, side_b = (code_of[np.frombuffer(b"".join(x), np.uint8)] for x in (a, b))
     if (side_a > 3).any() or (side_b > 3).any():
         raise ValueError("a sequence has other letters than A, C, G, T")
     size_a, size_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
-    first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
     count = size_a // k
     row = np.repeat(np.arange(len(a)), count)
     start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * k
-    own = window_codes(side_a, k)[first_a[row] + start] if len(row) else np.zeros(0, np.int64)
-    row_b = np.repeat(np.arange(len(b)), size_b)
+    at = (np.cumsum(size_a) - size_a)[row] + start
+    near = (size_b <= NEAR)[row]
+    own, found = np.flatnonzero(near), []
+    step = max(1, WORDS // max(1, -(-int(size_b[row[own]].max(initial=0)) // (64 - k))))
+    for f in range(0, len(own), step):
+        some = own[f : f + step]
+        found += [(some[seed], *x) for seed, *x in _by_bits(side_a, at[some], row[some], side_b, size_b, k, r, places)]
+    own = np.flatnonzero(~near)
+    if len(own):
+        found += [(own[seed], *x) for seed, *x in _by_codes(window_codes(side_a, k)[at[own]], row[own], side_b, size_b, k, r)]
+    return row, start, found
+
+
+def _by_bits(side_a: np.ndarray, at: np.ndarray, row: np.ndarray, side_b: np.ndarray, size_b: np.ndarray, k: int, r: int, places: bool) -> Hits:
+    """Hits of seeds (at places of side_a, in pairs row): a word has a bit for each of 64 places of b. Bit j of a state stays
+    while the seed's letters up to now are those from place j on, without an edit or with one of a kind."""
+    # Words of the pairs: a window that starts in the first `step` places of a word ends in it.
+    step = 64 - k
+    pairs = np.unique(row)
+    words = np.maximum(1, -(-(size_b[pairs] - k + 2) // step))
+    pair = np.repeat(np.arange(len(pairs)), words)
+    first = (np.arange(len(pair)) - (np.cumsum(words) - words)[pair]) * step  # place of a word's bit 0
+    left = size_b[pairs][pair] - first
+    letters = np.append(side_b, np.full(64, 4, np.uint8))
+    base = (np.cumsum(size_b) - size_b)[pairs][pair] + first
+    data = letters[np.minimum(base, len(side_b))[:, None] + np.arange(64)]
+    masks = np.stack([np.packbits(data == c, axis=1, bitorder="little").view("<u8").ravel() for c in range(4)])
+    # Seeds by words.
+    own = np.searchsorted(pairs, row)
+    n = words[own]
+    seed = np.repeat(np.arange(len(row)), n)
+    word = np.repeat((np.cumsum(words) - words)[own] - np.cumsum(n) + n, n) + np.arange(len(seed))
+    same = np.full(len(seed), ~np.uint64(0))
+    other, less, more = np.zeros((3, len(seed)), np.uint64)
+    letter = at[seed]
+    for t in range(k):
+        mask = masks[side_a[letter + t], word]
+        here = mask >> np.uint64(t)
+        if r > 1:
+            other = (other & here) | (same & ~here)
+            less = (less & (mask >> np.uint64(t - 1)) | same) if t else same
+            more = (more | same) & (mask >> np.uint64(t + 1))
+        same = same & here
+    kinds = [(same, k, 0)] if r == 1 else [(same, k, 0), (other, k, 1), (less, k - 1, 1), (more | same, k + 1, 1)]
+    found = []
+    for state, length, cost in kinds:
+        if not length:
+            continue  # a deletion of all of a seed is found anywhere, and tells nothing
+        room = np.minimum(np.maximum(left - length + 1, 0), step).astype(np.uint64)
+        state = state & ((np.uint64(1) << room) - np.uint64(1))[word]
+        lane = np.flatnonzero(state)
+        j = first[word[lane]]
+        if places:
+            parts = state[lane].astype("<u8").view(np.uint8)
+            some = np.flatnonzero(parts)
+            bits = np.flatnonzero(np.unpackbits(parts[some], bitorder="little").view(bool))
+            bit = (some[bits >> 3] << 3) + (bits & 7)
+            lane, j = lane[bit >> 6], j[bit >> 6] + (bit & 63)
+        found.append((seed[lane], j, length, np.full(len(lane), cost)))
+    return found
+
+
+def _by_codes(own: np.ndarray, row: np.ndarray, side_b: np.ndarray, size_b: np.ndarray, k: int, r: int) -> Hits:
+    """Hits of seeds (their codes and pairs): they and windows are joined on pair and code by sorting."""
+    first_b = np.cumsum(size_b) - size_b
+    row_b, base, asked = np.repeat(np.arange(len(size_b)), size_b), first_b[row], np.bincount(row, minlength=len(size_b)) > 0
 
     def joined(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Seeds and places of b: windows of that length with the seed's code."""
         windows = window_codes(side_b, length)
-        at = np.flatnonzero(row_b[: len(windows)] == row_b[length - 1 :]) if len(windows) else np.zeros(0, np.int64)
-        known, number = np.unique(windows[at], return_inverse=True)
-        key = row_b[at] * max(1, len(known)) + number
-        order = np.argsort(key, kind="stable")
-        key, place = key[order], (at - first_b[row_b[at]])[order]
-        where = np.searchsorted(known, codes)
-        there = np.flatnonzero((where < len(known)) & (known[np.minimum(where, max(0, len(known) - 1))] == codes)) if len(known) else np.zeros(0, np.int64)
-        want = row[there] * max(1, len(known)) + where[there]
+        at = np.flatnonzero((row_b[: len(windows)] == row_b[length - 1 :]) & asked[row_b[: len(windows)]]) if len(windows) else np.zeros(0, np.int64)
+        if not len(at):
+            return at, at
+        there, kinds, words = np.arange(len(codes)), 1 << 2 * length, windows[at]
+        if (len(size_b) * kinds).bit_length() > 62:  # words are numbered
+            known, words = np.unique(words, return_inverse=True)
+            kinds, where = len(known), np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            there = np.flatnonzero(known[where] == codes)
+            codes = where[there]
+        key, place = _ordered(row_b[at] * kinds + words, at)
+        want = row[there] * kinds + codes
         low, n = np.searchsorted(key, want, "left"), np.searchsorted(key, want, "right")
         n -= low
-        return np.repeat(there, n), place[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        seed = np.repeat(there, n)
+        return seed, place[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(seed))] - base[seed]
 
-    def matches(seed: np.ndarray, j: np.ndarray, length: int, cost: np.ndarray | int) -> np.ndarray:
-        return np.stack([row[seed], start[seed], j, start[seed] + k, j + length, np.zeros(len(seed), np.int64) + cost])
+    def hits(seed: np.ndarray, j: np.ndarray, length: int, cost: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+        return seed, j, length, np.full(len(seed), cost)
 
-    found = []
     if r == 1:
-        found.append(matches(*joined(own, k), k, 0))
-    elif k < 4:  # halves of so few letters are found nearly everywhere
+        return [hits(*joined(own, k), k, 0)]
+    if k < 4:  # halves of so few letters are found nearly everywhere
         wanted: dict[int, list[tuple[np.ndarray, int]]] = {k: [(own, 0)]}
         for length, codes in _neighbours(own, k):
             wanted.setdefault(length, []).append((codes, 1))
         # A deletion of all of a seed is found anywhere, and tells nothing.
-        found += [matches(*joined(codes, length), length, cost) for length, lists in wanted.items() if length for codes, cost in lists]
-    else:
-        # An edit leaves one half of the seed as it is: the first, where a match begins, or the last, where it ends.
-        half = k // 2
-        first, last = joined(own >> 2 * (k - half), half), joined(own & ((1 << 2 * (k - half)) - 1), k - half)
-        for length in (k - 1, k, k + 1):
-            seed, j = np.concatenate([first[0], last[0]]), np.concatenate([first[1], last[1] + (k - half) - length])
-            inside = (j >= 0) & (j + length <= size_b[row[seed]])
-            seed, j = seed[inside], j[inside]
-            cost = _edits(own[seed], k, window_codes(side_b, length)[first_b[row[seed]] + j] if len(seed) else own[:0], length)
-            found.append(matches(seed[cost < 2], j[cost < 2], length, cost[cost < 2]))
-    rows = np.concatenate(found, axis=1)
-    rows = rows[:, np.lexsort(rows[::-1])]
-    new = np.ones(rows.shape[1], bool)
-    new[1:] = (rows[:5, 1:] != rows[:5, :-1]).any(axis=0)  # the least cost of each start and end comes first
-    return dict(zip(("row", "start_i", "start_j", "end_i", "end_j", "match_cost"), rows[:, new], strict=True))
+        return [hits(*joined(codes, length), length, cost) for length, lists in wanted.items() if length for codes, cost in lists]
+    # An edit leaves one half of the seed as it is: the first, where a match begins, or the last, where it ends.
+    half, found = k // 2, []
+    first, last = joined(own >> 2 * (k - half), half), joined(own & ((1 << 2 * (k - half)) - 1), k - half)
+    seed = np.concatenate([first[0], last[0]])
+    code, begin, room = own[seed], base[seed], size_b[row[seed]]
+    for length in (k - 1, k, k + 1):
+        j = np.concatenate([first[1], last[1] + (k - half) - length])
+        inside = np.flatnonzero((j >= 0) & (j + length <= room))
+        cost = _edits(code[inside], k, window_codes(side_b, length)[begin[inside] + j[inside]] if len(inside) else code[:0], length)
+        near = cost < 2
+        inside = inside[near]
+        found.append((seed[inside], j[inside], length, cost[near]))
+    return found
+
+
+def batch_matches(a: list[bytes], b: list[bytes], k: int, r: int) -> dict[str, np.ndarray]:
+    """Matches of many pairs of A, C, G, T at once: row (the pair), start_i, start_j, end_i, end_j, match_cost, each once, in
+    this order."""
+    row, start, found = _hits(a, b, k, r)
+    found = found or [(start[:0], start[:0], k, start[:0])]
+    # Below a place: one more than the length less k, and the cost.
+    seed, rest = _ordered(np.concatenate([x[0] for x in found]), np.concatenate([j << 3 | (length - k + 1) << 1 | cost for _, j, length, cost in found]))
+    new = np.ones(len(seed), bool)
+    new[1:] = (seed[1:] != seed[:-1]) | (rest[1:] >> 1 != rest[:-1] >> 1)  # the least cost of each start and end comes first
+    seed, rest = seed[new], rest[new]
+    i, j = start[seed], rest >> 3
+    return {"row": row[seed], "start_i": i, "start_j": j, "end_i": i + k, "end_j": j + k - 1 + (rest >> 1 & 3), "match_cost": rest & 1}
+
+
+def seed_costs(a: list[bytes], b: list[bytes], k: int, r: int) -> dict[str, np.ndarray]:
+    """Seeds of many pairs and the least cost of their matches (r where there is none): row, start_i, match_cost. The matches
+    are neither sorted nor told apart."""
+    row, start, found = _hits(a, b, k, r, False)
+    least = np.full(len(row), r)
+    for most in (1, 0):
+        for seed, _, _, cost in found:
+            least[seed[cost == most]] = most
+    return {"row": row, "start_i": start, "match_cost": least}
 
 
 def consistent(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray], k: int, r: int) -> dict[str, np.ndarray]:

@@ -11,6 +11,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,11 +61,12 @@ def _checked(k: int, r: int) -> None:
         raise ValueError("k is from 1 to 30")
 
 
-def matched(a: pa.Array, b: pa.Array, k: int, r: int, look_ahead: int = 0) -> Iterator[tuple[np.ndarray, list[bytes], list[bytes], dict[str, np.ndarray]]]:
-    """Pairs of an Arrow batch, so many at a time: their places, sequences and matches. Pairs with a null side are left out."""
+def matched(a: pa.Array, b: pa.Array, k: int, r: int, look_ahead: int = 0, find: Callable[..., dict[str, np.ndarray]] = kernels.batch_matches) -> Iterator[tuple[np.ndarray, list[bytes], list[bytes], dict[str, np.ndarray]]]:
+    """Pairs of an Arrow batch, so many at a time: their places, sequences and matches (or what find() finds). Pairs with a
+    null side are left out."""
     _checked(k, r)
     for known, x, y in _some(a, b):
-        found = kernels.batch_matches(x, y, k, r)
+        found = find(x, y, k, r)
         if look_ahead:
             found = kernels.locally_pruned(x, y, found, k, r, look_ahead)
         yield known, x, y, found
@@ -72,18 +74,19 @@ def matched(a: pa.Array, b: pa.Array, k: int, r: int, look_ahead: int = 0) -> It
 
 def _some(a: pa.Array, b: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes], list[bytes]]]:
     """Pairs of an Arrow batch, so many at a time: their places and sequences. Pairs with a null side are left out."""
-    letters = np.cumsum([sum(map(len, filter(None, xy))) for xy in zip(a.to_pylist(), b.to_pylist(), strict=True)])
+    letters = np.cumsum(sum(pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b)))
     cuts = np.unique(np.searchsorted(letters, np.arange(0, int(letters[-1]) if len(letters) else 0, LETTERS)).tolist() + [0, len(a)])
+    whole = pc.and_(pc.is_valid(a), pc.is_valid(b)).to_numpy(zero_copy_only=False)
     for s, e in pairwise(cuts.tolist()):
         x, y = a.slice(s, e - s).to_pylist(), b.slice(s, e - s).to_pylist()
-        known = [z for z, (p, q) in enumerate(zip(x, y, strict=True)) if p is not None and q is not None]
-        yield np.array(known, np.int64) + s, [x[z] for z in known], [y[z] for z in known]
+        known = np.flatnonzero(whole[s:e])
+        yield known + s, *((x, y) if len(known) == e - s else ([z[n] for n in known] for z in (x, y)))
 
 
-def in_batches(pairs: DataFrame, k: int, r: int, of: Callable[..., tuple[np.ndarray, list]], columns: str, look_ahead: int = 0, more: Column | None = None) -> DataFrame:
+def in_batches(pairs: DataFrame, k: int, r: int, of: Callable[..., tuple[np.ndarray, list]], columns: str, look_ahead: int = 0, more: Column | None = None, find: Callable[..., dict[str, np.ndarray]] = kernels.batch_matches) -> DataFrame:
     """pairs (id, a, b) to id and columns. A pair's seeds and windows are both in its own row, so they are matched there,
-    batch by batch, and no row is moved. of() gets a batch's sequences and matches (and `more`, if given), and gives rows'
-    places in the batch and their columns. Pairs with a null side have no rows.
+    batch by batch, and no row is moved. of() gets a batch's sequences and matches (or what find() finds; and `more`, if
+    given), and gives rows' places in the batch and their columns. Pairs with a null side have no rows.
     """
     _checked(k, r)
     types = [{"int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in columns.split(", ")]
@@ -91,7 +94,7 @@ def in_batches(pairs: DataFrame, k: int, r: int, of: Callable[..., tuple[np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for known, a, b, found in matched(batch.column(1), batch.column(2), k, r, look_ahead):
+            for known, a, b, found in matched(batch.column(1), batch.column(2), k, r, look_ahead, find):
                 extra = [batch.column(3).take(pa.array(known))] if with_more else []
                 row, values = of(a, b, found, *extra)
                 at = known[row] if len(row) else np.zeros(0, np.int64)
@@ -188,10 +191,10 @@ def seed_costs(pairs: DataFrame, k: int, r: int = 1) -> DataFrame:
     is none)."""
 
     def of(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray]) -> tuple[np.ndarray, list]:
-        row, start, cost = least_costs(a, found, k, r)
-        return row, [start, start + k, np.full(len(row), r), cost]
+        start = found["start_i"]
+        return found["row"], [start, start + k, np.full(len(start), r), found["match_cost"]]
 
-    return in_batches(pairs, k, r, of, "start int, end int, seed_potential int, seed_cost int")
+    return in_batches(pairs, k, r, of, "start int, end int, seed_potential int, seed_cost int", find=kernels.seed_costs)
 
 
 def least_costs(a: list[bytes], found: dict[str, np.ndarray], k: int, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
