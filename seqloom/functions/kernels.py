@@ -485,6 +485,8 @@ def search_trace(pattern: str, text: str, index: int, u: float = 0.0) -> tuple[i
 
 #: Layers of all pairs that are swept together.
 LAYERS = 1 << 21
+#: Matches of a pair that are compared with each other, and the cells of pairs and matches that are filled together.
+FEW, CELLS = 128, 1 << 16
 
 
 def chains(n_pairs: int, row: np.ndarray, start: tuple[np.ndarray, np.ndarray], end: tuple[np.ndarray, np.ndarray], score: np.ndarray, at_row: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -492,7 +494,53 @@ def chains(n_pairs: int, row: np.ndarray, start: tuple[np.ndarray, np.ndarray],
     starts at or after the end of the one before, the first at or after the place, in both coordinates. Matches (of pair
     row) end after they start in the first coordinate, and have positive scores.
 
-    All pairs are swept at once, from the largest first coordinate on. What is held of a pair are layers: for each sum v,
+    Pairs with few matches compare each with all others, the other pairs are swept.
+    """
+    out = np.zeros(len(at_row), np.int64)
+    few = np.bincount(row, minlength=n_pairs) <= FEW
+    for which, of in ((few, _compared), (~few, _swept)):
+        own, asked = np.flatnonzero(which[row]), np.flatnonzero(which[at_row])
+        if len(own) and len(asked):
+            out[asked] = of(n_pairs, row[own], *(tuple(c[own] for c in x) for x in (start, end)), score[own], at_row[asked], tuple(c[asked] for c in at))
+    return out
+
+
+def _compared(n_pairs: int, row: np.ndarray, start: tuple[np.ndarray, np.ndarray], end: tuple[np.ndarray, np.ndarray], score: np.ndarray, at_row: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """chains(), match by match from the last start on, for all pairs with about as many matches at once."""
+    out = np.zeros(len(at_row), np.int64)
+    fits = all(-(1 << 31) <= x.min(initial=0) and x.max(initial=0) < (1 << 31) - 1 for x in (*start, *end))
+    kind = np.int32 if fits and int(score.max(initial=0)) * FEW < 1 << 31 else np.int64
+    order = _order(row, start[0] - start[0].min(initial=0))
+    *sides, score = (x[order].astype(kind) for x in (*start, *end, score))
+    count = np.bincount(row, minlength=n_pairs)
+    first = np.cumsum(count) - count
+    by_count = np.argsort(count, kind="stable")
+    count_up = count[by_count]
+    at = tuple(np.clip(x, np.iinfo(kind).min, np.iinfo(kind).max).astype(kind) for x in at)
+    asks = np.argsort(at_row, kind="stable")
+    asked = np.searchsorted(at_row[asks], np.arange(n_pairs + 1))
+    s = int(np.searchsorted(count_up, 1))
+    while s < n_pairs:
+        least = int(count_up[s])
+        e = min(s + max(1, CELLS // (least + 3)), int(np.searchsorted(count_up, least + least // 4 + 2, "right")))
+        lanes, m = by_count[s:e], int(count_up[e - 1])
+        s, turn = e, np.arange(m)[:, None]
+        cells = np.minimum(first[lanes] + turn, len(score) - 1)
+        sx, sy, ex, ey = (x[cells] for x in sides)
+        best = np.where(turn < count[lanes], score[cells], 0)  # cells without a match come last and have a score of 0
+        for x in range(m - 2, -1, -1):
+            best[x] += (best[x + 1 :] * ((sx[x + 1 :] >= ex[x]) & (sy[x + 1 :] >= ey[x]))).max(axis=0)
+        n = asked[lanes + 1] - asked[lanes]
+        lane = np.repeat(np.arange(len(lanes)), n)
+        places = asks[np.repeat(asked[lanes] - np.cumsum(n) + n, n) + np.arange(len(lane))]
+        for f in range(0, len(places), len(lanes)):
+            some, z = places[f : f + len(lanes)], lane[f : f + len(lanes)]
+            out[some] = (best[:, z] * ((sx[:, z] >= at[0][some]) & (sy[:, z] >= at[1][some]))).max(axis=0)
+    return out
+
+
+def _swept(n_pairs: int, row: np.ndarray, start: tuple[np.ndarray, np.ndarray], end: tuple[np.ndarray, np.ndarray], score: np.ndarray, at_row: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """chains(), all pairs at once, from the largest first coordinate on. What is held of a pair are layers: for each sum v,
     the largest second coordinate at which a chain of v or more starts. These fall as v grows, so the best chain at or
     after a place is the number of layers that reach it; a match's own sum is known from its end before its start comes.
     """
@@ -584,6 +632,14 @@ def _ordered(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return high[order], low[order]
 
 
+def _order(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Places by high, then low (none below 0), then place."""
+    bits = int(low.max(initial=0)).bit_length()
+    if int(high.max(initial=0)).bit_length() + bits < 63:
+        return _ordered(high << bits | low, np.arange(len(high)))[1]
+    return np.lexsort((low, high))
+
+
 #: Sides b of so many letters are looked through bit by bit, longer ones by codes; seeds and words that are filled together.
 NEAR, WORDS = 512, 1 << 15
 

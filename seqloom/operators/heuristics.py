@@ -51,7 +51,8 @@ def _gcsh(a: list[bytes], b: list[bytes], found: dict[str, np.ndarray], k: int,
         return i - j - p, j - i - p
 
     row, score = found["row"], r - found["match_cost"]
-    (si, sj), (ei, ej) = (moved(row, found[f"{x}_i"], found[f"{x}_j"]) for x in ("start", "end"))
+    p = r * ((n // k)[row] - found["start_i"] // k)  # a seed's end has one seed's potential less
+    (si, sj), (ei, ej) = ((x - q, -x - q) for x, q in ((found["start_i"] - found["start_j"], p), (found["end_i"] - found["end_j"], p - r)))
     gap = (n - m)[row]
     some = (score > 0) & (si <= gap) & (sj <= -gap) & (ei <= gap) & (ej <= -gap)
     # Of a whole pair all chains count; from a place, those that start where its gaps cost less than is left.
