@@ -1,5 +1,5 @@
-"""Seeds, k-mers and matches as relations. Seeds and windows are matched by sorting their codes, many pairs at a time and
-where the pairs are: nothing is shuffled.
+"""Seeds, k-mers and matches as relations. Seeds and windows are matched bit by bit, or by sorting their codes where b is
+long, many pairs at a time and where the pairs are: nothing is shuffled.
 
 pairs: (id, a, b) of A, C, G, T. Seeds are the disjoint k-letter pieces of a; k-mers all windows of b.
 """
